@@ -25,6 +25,8 @@ ships_by_value(__name__)
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 17
 #: Documents of one source and length in a slice, about.
 SLICE = 2_000
+#: Words up to which a remaining budget is always left to the exact program.
+EXACT = 100_000
 
 
 def sizes(docs: DataFrame) -> DataFrame:
@@ -58,8 +60,8 @@ def targets(by_source: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataFram
 def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take so that the sum comes as close to the budget from below as it can after the like shares.
 
-    Bounded knapsack: after like shares and a greedy pass from long to short, less than about twice the longest length
-    remains; a bit set of reachable sums (a count in binary parts) is walked back to the counts.
+    Bounded knapsack: after like shares and a greedy pass from long to short, twice the longest length or EXACT words
+    remain at most; a bit set of reachable sums (a count in binary parts) is walked back to the counts.
     """
     if budget <= 0 or not lengths:
         return [0] * len(lengths)
@@ -68,11 +70,11 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
         return list(counts)
     took = [c * budget // total for c in counts]
     rest = budget - sum(a * b for a, b in zip(lengths, took))
-    top = max(lengths)
+    exact = max(2 * max(lengths), EXACT)
     for k in sorted(range(len(lengths)), key=lambda k: -lengths[k]):
-        if rest <= 2 * top:
+        if rest <= exact:
             break
-        more = min(counts[k] - took[k], (rest - top) // lengths[k])
+        more = min(counts[k] - took[k], (rest - exact // 2) // lengths[k])
         if more > 0:
             took[k] += more
             rest -= more * lengths[k]
@@ -126,10 +128,10 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) ->
     ready = counted.alias("x").join(aims.alias("y"), same).select("x.source", "size", "n", "source_size", "target")
     plans = cut(ready.groupBy("source").applyInPandas(plan, "source string, size long, n long, source_size long, target double, times long, more long"))
     both = own.alias("d").join(plans.alias("p"), F.col("d.source").eqNullSafe(F.col("p.source")) & (F.col("d.size") == F.col("p.size")))
-    chance = F.xxhash64(F.lit(seed), F.col("d.doc_id"))
+    chance = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("d.doc_id")), 11)
     parts = F.ceil(F.col("p.n") / SLICE)
     # slices of the hash range, in order: a document's rank is the count of the slices before and its rank within its own
-    part = F.floor((F.shiftrightunsigned(chance, 11) / float(1 << 53)) * parts).cast("long")
+    part = F.floor((chance / float(1 << 53)) * parts).cast("long")
     cols = [F.col(f"d.`{c}`").alias(c) for c in own.columns]
     partial = both.where("p.more > 0 and p.more < p.n").select(*cols, F.col("p.source_size"), F.col("p.target"), F.col("p.times"), F.col("p.more").alias("_more"), chance.alias("_h"), part.alias("_part"))
     simple = both.where("p.more = 0 or p.more = p.n").select(*cols, F.col("p.source_size"), F.col("p.target"), (F.col("p.times") + (F.col("p.more") > 0).cast("long")).alias("times"))
