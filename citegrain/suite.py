@@ -1,7 +1,18 @@
-"""All queries of the library on the driver's tables, and their SQL."""
+"""All queries of the library on the driver's tables, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .plans import audits, graphs, series, texts
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-FLAGSHIP = "coupling"
+for _family in (graphs, series, audits, texts):
+    QUERIES |= _family.QUERIES
+    ORACLE_SQL |= _family.ORACLE_SQL
+
+#: The traversal-weighted main path of a citation network.
+FLAGSHIP = "global_main_path"
