@@ -138,4 +138,4 @@ def dashed_pages(entry: Column) -> Column:
     """A trimmed entry with two hyphens for en dashes in its pages field."""
     field = r"(pages\s*=\s*\{)([^}]*)(\})"
     inner = F.regexp_extract(entry, field, 2)
-    return F.trim(F.when(inner.contains("–"), F.replace(entry, inner, F.replace(inner, F.lit("–"), F.lit("--")))).otherwise(entry))
+    return F.regexp_replace(F.when(inner.contains("–"), F.replace(entry, inner, F.replace(inner, F.lit("–"), F.lit("--")))).otherwise(entry), r"^\s+|\s+$", "")

@@ -230,10 +230,10 @@ def _candidates(edges: DataFrame, kind: str, pick) -> DataFrame:
     def make(key, rows):
         import pandas as pd
 
-        rows_out = [(list(path), str(rank), int(tie)) for path, rank, tie in pick(Dag(zip(rows["source"], rows["target"])), kind)]
+        rows_out = [(list(path), str(rank), tie) for path, rank, tie in pick(Dag(zip(rows["source"], rows["target"])), kind)]
         return pd.DataFrame(rows_out, columns=["path", "rank", "tie"])
 
-    return _per_component(edges, make, f"path array<{t}>, rank string, tie long")
+    return _per_component(edges, make, f"path array<{t}>, rank string, tie {t}")
 
 
 def _unroll(one: DataFrame) -> DataFrame:
@@ -247,7 +247,7 @@ def _first(candidates: DataFrame, last_on_ties: bool = False) -> DataFrame:
 
 
 def main_path(edges: DataFrame, search: str = "global", kind: str = "spc") -> DataFrame:
-    """position, node of the main path. Ids must be integers. search: global (heaviest sum), forward or backward (greedy)."""
+    """position, node of the main path. search: global (heaviest sum), forward or backward (greedy)."""
 
     def pick(dag: Dag, kind: str):
         weights, n_out = dag.weigh(kind)
@@ -264,10 +264,13 @@ def main_path(edges: DataFrame, search: str = "global", kind: str = "spc") -> Da
 
 
 def key_routes(edges: DataFrame, k: int = 10, search: str = "local", kind: str = "spc") -> DataFrame:
-    """route (nodes joined by >), n_key_edges: the k heaviest edges, each prolonged to a route, equal routes merged."""
-    weights = traversal_weights(edges, kind)
-    top = weights.orderBy(F.desc("weight"), "source", "target").limit(k).select("source", "target", F.lit(True).alias("key"))
-    marked = edges.join(F.broadcast(top), ["source", "target"], "left")
+    """route (nodes joined by >), n_key_edges: the k heaviest edges, each prolonged to a route, equal routes merged.
+
+    edges may bring their own weight; else it is the traversal weight of the given kind.
+    """
+    weighted = edges if "weight" in edges.columns else traversal_weights(edges, kind)
+    top = weighted.orderBy(F.desc("weight"), "source", "target").limit(k).select("source", "target", F.lit(True).alias("key"))
+    marked = weighted.join(F.broadcast(top), ["source", "target"], "left")
 
     def make(key, rows):
         import pandas as pd
@@ -276,7 +279,7 @@ def key_routes(edges: DataFrame, k: int = 10, search: str = "local", kind: str =
         if not keyed:
             return pd.DataFrame({"route": [], "n_key_edges": []}).astype({"route": str, "n_key_edges": "int64"})
         dag = Dag(zip(rows["source"], rows["target"]))
-        weights, _ = dag.weigh(kind)
+        weights = {(u, v): w for u, v, w in zip(rows["source"], rows["target"], rows["weight"])}
         steps = dag.best(weights)
         found: dict[tuple, int] = {}
         for e in sorted(keyed, key=lambda e: (-weights[e], e)):
@@ -284,7 +287,7 @@ def key_routes(edges: DataFrame, k: int = 10, search: str = "local", kind: str =
             found[path] = found.get(path, 0) + 1
         return pd.DataFrame([(">".join(map(str, p)), n) for p, n in found.items()], columns=["route", "n_key_edges"])
 
-    return _per_component(marked.select("source", "target", "key"), make, "route string, n_key_edges long")
+    return _per_component(marked.select("source", "target", "weight", "key"), make, "route string, n_key_edges long")
 
 
 def robustness(edges: DataFrame) -> DataFrame:

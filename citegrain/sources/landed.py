@@ -17,19 +17,29 @@ def responses(spark: SparkSession, path: str) -> DataFrame:
 
 
 def at(v: str, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(F.col(v), f"$.{path}", kind)
+    return F.try_variant_get(F.col(v), _path(path), kind)
+
+
+def _path(path: str) -> str:
+    return f"${path}" if path.startswith("[") else f"$.{path}"
 
 
 def scalar(v: str, path: str) -> Column:
     """The first value that is not empty of a string, an object with '$', or a list of either."""
-    p = f"$.{path}"
-    return F.coalesce(*[blank_to_null(F.try_variant_get(F.col(v), p + end, "string")) for end in ("['$']", "[0]['$']", "[0]", "")])
+
+    def plain(x: Column) -> Column:
+        is_object = F.try_variant_get(x, "$", "map<string,variant>").isNotNull()
+        return blank_to_null(F.when(is_object, F.try_variant_get(x, "$['$']", "string")).otherwise(F.try_variant_get(x, "$", "string")))
+
+    one, many = (F.try_variant_get(F.col(v), _path(path), kind) for kind in ("variant", "array<variant>"))
+    listed = F.coalesce(many, F.array_compact(F.array(one)))
+    return F.get(F.filter(F.transform(listed, plain), lambda x: x.isNotNull()), 0)
 
 
 def items(df: DataFrame, v: str, path: str, to: str) -> DataFrame:
     """A row for each element of a list, or one for a single object; pos is its place."""
-    one = F.try_variant_get(F.col(v), f"$.{path}", "variant")
-    many = F.try_variant_get(F.col(v), f"$.{path}", "array<variant>")
+    one = F.try_variant_get(F.col(v), _path(path), "variant")
+    many = F.try_variant_get(F.col(v), _path(path), "array<variant>")
     return df.select("*", F.posexplode(F.coalesce(many, F.array_compact(F.array(one)))).alias("pos", to))
 
 
