@@ -42,6 +42,11 @@ def normal_title(c: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), "[^0-9a-z]+", " "))
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), worked out once however often body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
 def singular(word: Column) -> Column:
     long = F.length(word) > 4
     plain_s = word.endswith("s") & ~word.rlike("(ss|is|us|ics|sis)$")
@@ -52,10 +57,10 @@ def normal_term(c: Column) -> Column:
     """Organising Visions -> organizing vision: hyphens and punctuation to spaces, -ise to -ize, the last word singular."""
     t = F.regexp_replace(F.translate(F.lower(c), "-/", "  "), r"(?U)[^\w\s]", " ")
     stems = "|".join(x[:-1] for x in ISE_STEMS)
-    t = F.trim(F.regexp_replace(F.regexp_replace(t, rf"(?U)\b({stems})s(e|ed|es|ing|ation|ations)\b", "$1z$2"), r"(?U)\s+", " "))
-    words = F.split(t, " ")
-    last = singular(F.element_at(words, -1))
-    return F.when(t == "", "").otherwise(F.array_join(F.concat(F.slice(words, 1, F.size(words) - 1), F.array(last)), " "))
+    t = F.regexp_replace(t, rf"(?U)\b({stems})s(e|ed|es|ing|ation|ations)\b", "$1z$2")
+    last = lambda w: F.array(_let(F.element_at(w, -1), singular))
+    joined = lambda w: F.when(F.size(w) == 0, "").otherwise(F.array_join(F.concat(F.slice(w, 1, F.size(w) - 1), last(w)), " "))
+    return F.when(c.isNotNull(), _let(F.array_remove(F.split(t, r"(?U)\s+"), ""), joined))
 
 
 def phrases(text: Column, least: int = 2, most: int = 3) -> Column:
@@ -64,23 +69,22 @@ def phrases(text: Column, least: int = 2, most: int = 3) -> Column:
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?im)(©|\(c\)|copyright).*$|all rights reserved.*$", " ")
     t = F.regexp_replace(t, r"\b(IT|AI|AR|VR|ML|HR|UX|UI|BI)\b", "$1_")
     clauses = F.split(F.lower(t), r"[.;:!?()\[\]]")
-    bare = lambda w: F.rtrim(w, F.lit("_"))
-    short = lambda w: (F.length(bare(w)) < 3) & ~bare(w).isin(ACRONYMS)
-    edge = lambda w: ~w.isin(stop) & ~short(w)
+    short = lambda w: (F.length(w) < 3) & ~w.isin(ACRONYMS)
+    # each word with whether it may begin or end a phrase, and whether it may be within one; told once for all phrases
+    rated = lambda w: F.struct(w.alias("w"), (~w.isin(stop) & ~short(F.rtrim(w, F.lit("_")))).alias("e"), (~w.isin(stop) | w.isin("of", "and", "for")).alias("m"))
 
     def grams(tokens: Column, n: int) -> Column:
-        at = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - n + 1)).otherwise(F.array().cast("array<int>"))
-        made = F.transform(at, lambda i: F.slice(tokens, i, n))
-        good = lambda g: edge(g[0]) & edge(g[n - 1])
-        if n == 3:
-            return F.filter(made, lambda g: good(g) & (~g[1].isin(stop) | g[1].isin("of", "and", "for")))
-        return F.filter(made, good)
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
+        inner = lambda i: F.get(tokens, i + 1)["m"] if n == 3 else F.lit(True)
+        good = F.filter(starts, lambda i: F.get(tokens, i)["e"] & F.get(tokens, i + (n - 1))["e"] & inner(i))
+        return F.transform(good, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k)["w"] for k in range(n)]))
 
     def of_clause(clause: Column) -> Column:
-        tokens = F.regexp_extract_all(clause, F.lit(r"[a-z][a-z_\-']+"), F.lit(0))
-        return F.flatten(F.transform(F.array(tokens), lambda t: F.concat(*[grams(t, n) for n in range(least, most + 1)])))
+        tokens = F.transform(F.regexp_extract_all(clause, F.lit(r"[a-z][a-z_\-']+"), F.lit(0)), rated)
+        return _let(tokens, lambda t: F.concat(*[grams(t, n) for n in range(least, most + 1)]))
 
-    found = F.transform(F.flatten(F.transform(clauses, of_clause)), lambda g: F.replace(normal_term(F.array_join(g, " ")), F.lit("_"), F.lit("")))
+    raw = F.array_distinct(F.flatten(F.transform(clauses, of_clause)))
+    found = F.transform(raw, lambda g: F.replace(normal_term(g), F.lit("_"), F.lit("")))
     return F.sort_array(F.array_distinct(F.filter(found, lambda x: x != "")))
 
 

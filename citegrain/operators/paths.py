@@ -207,8 +207,7 @@ def _type(edges: DataFrame) -> str:
     return dict(edges.dtypes)["source"]
 
 
-def traversal_weights(edges: DataFrame, kind: str = "spc") -> DataFrame:
-    """source, target, weight (decimal(38,0)) of each edge of a DAG. Counts above 38 digits raise an error, nothing wraps."""
+def _weighed(edges: DataFrame, kind: str) -> DataFrame:
     t = _type(edges)
 
     def make(key, rows):
@@ -219,9 +218,14 @@ def traversal_weights(edges: DataFrame, kind: str = "spc") -> DataFrame:
         found, _ = Dag(zip(rows["source"], rows["target"])).weigh(kind)
         if max(found.values(), default=0) >= 10**38:
             raise OverflowError("a traversal weight has more than 38 digits")
-        return pd.DataFrame([(u, v, Decimal(w)) for (u, v), w in found.items()], columns=["source", "target", "weight"])
+        return pd.DataFrame([(u, v, Decimal(w), key[0]) for (u, v), w in found.items()], columns=["source", "target", "weight", "component"])
+
+    return _per_component(edges, make, f"source {t}, target {t}, weight decimal(38,0), component {t}")
 
-    return _per_component(edges, make, f"source {t}, target {t}, weight decimal(38,0)")
+
+def traversal_weights(edges: DataFrame, kind: str = "spc") -> DataFrame:
+    """source, target, weight (decimal(38,0)) of each edge of a DAG. Counts above 38 digits raise an error, nothing wraps."""
+    return _weighed(edges, kind).drop("component")
 
 
 def _candidates(edges: DataFrame, kind: str, pick) -> DataFrame:
@@ -268,7 +272,7 @@ def key_routes(edges: DataFrame, k: int = 10, search: str = "local", kind: str =
 
     edges may bring their own weight; else it is the traversal weight of the given kind.
     """
-    weighted = edges if "weight" in edges.columns else traversal_weights(edges, kind)
+    weighted = with_component(edges) if "weight" in edges.columns else _weighed(edges, kind).checkpoint()
     top = weighted.orderBy(F.desc("weight"), "source", "target").limit(k).select("source", "target", F.lit(True).alias("key"))
     marked = weighted.join(F.broadcast(top), ["source", "target"], "left")
 
@@ -287,7 +291,7 @@ def key_routes(edges: DataFrame, k: int = 10, search: str = "local", kind: str =
             found[path] = found.get(path, 0) + 1
         return pd.DataFrame([(">".join(map(str, p)), n) for p, n in found.items()], columns=["route", "n_key_edges"])
 
-    return _per_component(marked.select("source", "target", "weight", "key"), make, "route string, n_key_edges long")
+    return marked.groupBy("component").applyInPandas(make, "route string, n_key_edges long")
 
 
 def robustness(edges: DataFrame) -> DataFrame:
