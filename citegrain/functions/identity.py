@@ -24,7 +24,7 @@ def short_id(c: Column) -> Column:
 
 def to_provider_id(c: Column) -> Column:
     """Digits of an EID or a prefixed id, leading zeros kept."""
-    return F.regexp_replace(F.trim(c), r"^(2-s2\.0-|SCOPUS_ID:)", "")
+    return F.regexp_replace(F.replace(F.trim(c), F.lit("SCOPUS_ID:"), F.lit("")), r"(?i)^2-s2\.0-", "")
 
 
 def to_eid(c: Column) -> Column:
@@ -39,12 +39,11 @@ def eid_digits(*cs: Column) -> Column:
 def id_type(c: Column) -> Column:
     """eid, doi, pii or scopus_id, by the look of it."""
     x = F.trim(c)
+    bare = F.replace(x, F.lit("SCOPUS_ID:"), F.lit(""))
     return (
-        F.when(x.startswith("2-s2.0-"), "eid")
-        .when(x.rlike(r"(?i)^(https?://(dx\.)?doi\.org/)?10\.\d{4,9}/"), "doi")
-        .when(x.rlike(r"^[SB]\d{4}[\dX()-]+") | x.rlike(r"^S\d{15}[\dX]$"), "pii")
-        .otherwise("scopus_id")
-    )
+        F.when(F.lower(x).startswith("2-s2.0-"), "eid").when(x.startswith("10.") | x.contains("/"), "doi").when(bare.rlike(r"^\d+$"), "scopus_id")
+        .when(bare.rlike(r"^[SB][A-Za-z0-9-]*$"), "pii").otherwise("scopus_id")
+    )
 
 
 def compact_issn(c: Column) -> Column:

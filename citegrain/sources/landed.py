@@ -152,3 +152,90 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
 
 def best_quartile(ranks: Column) -> Column:
     return quartile(F.array_max(ranks))
+
+
+def _list_of(v: str, path: str) -> Column:
+    """The elements of a list as variants, or the one object."""
+    one, many = (F.try_variant_get(F.col(v), _path(path), kind) for kind in ("variant", "array<variant>"))
+    return F.coalesce(many, F.array_compact(F.array(one)))
+
+
+def _part(x: Column, path: str) -> Column:
+    return F.try_variant_get(x, _path(path), "string")
+
+
+def abstract_details(docs: DataFrame, v: str = "json") -> DataFrame:
+    """scopus_id, doi, title, description, abstract_source, venue, cover_date, cited_by_count, authors (structs) of abstract responses.
+
+    Authors come from the authors block, else from the creators.
+    """
+    r, core = "['abstracts-retrieval-response']", "['abstracts-retrieval-response'].coredata"
+    full, brief = _list_of(v, f"{r}.authors.author"), _list_of(v, f"{core}['dc:creator'].author")
+    authors = F.transform(F.when(F.size(full) > 0, full).otherwise(brief), lambda a: F.struct(_part(a, "['@auid']").alias("auth_id"), _part(a, "['ce:indexed-name']").alias("name"), _part(a, "['ce:surname']").alias("surname"), F.coalesce(_part(a, "['ce:initials']"), _part(a, "['ce:given-name']")).alias("initials")))
+    text = scalar(v, f"{core}['dc:description']")
+    get = lambda n: scalar(v, f"{core}['{n}']")
+    return docs.select(to_provider_id(get("dc:identifier")).alias("scopus_id"), get("prism:doi").alias("doi"), get("dc:title").alias("title"), text.alias("description"), F.when(text.isNotNull(), "scopus").otherwise("none").alias("abstract_source"), get("prism:publicationName").alias("venue"), get("prism:coverDate").alias("cover_date"), get("citedby-count").try_cast("long").alias("cited_by_count"), authors.alias("authors"), scalar(v, f"{r}.item.bibrecord.tail.bibliography['@refcount']").try_cast("int").alias("refs_reported"))
+
+
+def identifiers(docs: DataFrame, v: str = "json") -> DataFrame:
+    """scopus_id, eid, doi, pii, pubmed_id of abstract responses."""
+    get = lambda n: scalar(v, f"['abstracts-retrieval-response'].coredata['{n}']")
+    return docs.select(to_provider_id(get("dc:identifier")).alias("scopus_id"), get("eid").alias("eid"), get("prism:doi").alias("doi"), get("pii").alias("pii"), get("pubmed-id").alias("pubmed_id"))
+
+
+def author_profiles(docs: DataFrame, v: str = "json") -> DataFrame:
+    """author_id, orcid, counts, surname, given_name, affiliation (the first current one) of author responses."""
+    r = "['author-retrieval-response']"
+    get, name = (lambda n: scalar(v, f"{r}.coredata['{n}']")), (lambda n: scalar(v, f"{r}['author-profile']['preferred-name']['{n}']"))
+    place = F.get(_list_of(v, f"{r}['author-profile']['affiliation-current'].affiliation"), 0)
+    return docs.select(F.replace(get("dc:identifier"), F.lit("AUTHOR_ID:"), F.lit("")).alias("author_id"), get("orcid").alias("orcid"), get("document-count").try_cast("long").alias("document_count"), get("cited-by-count").try_cast("long").alias("cited_by_count"), get("citation-count").try_cast("long").alias("citation_count"), name("surname").alias("surname"), name("given-name").alias("given_name"), _part(place, "['ip-doc'].afdispname").alias("affiliation"))
+
+
+def found_authors(docs: DataFrame, v: str = "json") -> DataFrame:
+    """author_id, name, variants, subjects, document_count, affiliation of author searches; lists distinct, in order."""
+    e = items(docs, v, "['search-results'].entry", "e").where(at("e", "error").isNull())
+    full = lambda x: F.concat_ws(", ", blank_to_null(_part(x, "surname")), blank_to_null(_part(x, "['given-name']")))
+    variants = F.array_distinct(F.filter(F.transform(_list_of("e", "['name-variant']"), full), lambda x: x != ""))
+    subjects = F.array_distinct(F.array_compact(F.transform(_list_of("e", "['subject-area']"), lambda x: _part(x, "['$']"))))
+    name = F.concat_ws(", ", scalar("e", "['preferred-name'].surname"), scalar("e", "['preferred-name']['given-name']"))
+    return e.select("pos", F.replace(scalar("e", "['dc:identifier']"), F.lit("AUTHOR_ID:"), F.lit("")).alias("author_id"), name.alias("name"), variants.alias("variants"), subjects.alias("subjects"), scalar("e", "['document-count']").try_cast("long").alias("document_count"), scalar("e", "['affiliation-current']['affiliation-name']").alias("affiliation"))
+
+
+def index_authors(docs: DataFrame, v: str = "json") -> DataFrame:
+    """openalex_id, name, works_count, cited_by_count, topics (the first three) of an open index's authors."""
+    e = items(docs, v, "results", "e")
+    topics = F.slice(F.array_compact(F.transform(_list_of("e", "topics"), lambda x: _part(x, "display_name"))), 1, 3)
+    return e.select("pos", short_id(at("e", "id")).alias("openalex_id"), at("e", "display_name").alias("name"), at("e", "orcid").alias("orcid"), at("e", "works_count", "long").alias("works_count"), at("e", "cited_by_count", "long").alias("cited_by_count"), topics.alias("topics"))
+
+
+def index_sources(docs: DataFrame, v: str = "json") -> DataFrame:
+    """An open index's journals with its own measures."""
+    e = items(docs, v, "results", "e")
+    return e.select(short_id(at("e", "id")).alias("openalex_id"), at("e", "display_name").alias("title"), at("e", "host_organization_name").alias("publisher"), compact_issn(at("e", "issn_l")).alias("issn"), F.try_variant_get(F.col("e"), "$.issn", "array<string>").alias("issns"), at("e", "summary_stats['2yr_mean_citedness']", "double").alias("two_year_mean_citedness"), at("e", "summary_stats.h_index", "int").alias("h_index"), at("e", "summary_stats.i10_index", "int").alias("i10_index"), at("e", "works_count", "long").alias("works_count"), at("e", "cited_by_count", "long").alias("cited_by_count"))
+
+
+def article_hits(docs: DataFrame, v: str = "json") -> DataFrame:
+    """title, creator, authors, venue, cover_date, doi, pii, open_access of a publisher's full-text search."""
+    e = items(docs, v, "results", "e")
+    names = F.array_compact(F.transform(_list_of("e", "authors"), lambda a: _part(a, "name")))
+    return e.select("pos", at("e", "title").alias("title"), F.get(names, 0).alias("creator"), names.alias("authors"), at("e", "sourceTitle").alias("venue"), at("e", "publicationDate").alias("cover_date"), bare_doi(at("e", "doi")).alias("doi"), at("e", "pii").alias("pii"), F.coalesce(at("e", "openAccess", "boolean"), F.lit(False)).alias("open_access"))
+
+
+def bibliographies(docs: DataFrame, citing: str, v: str = "json") -> DataFrame:
+    """Entries of full bibliographies in the shape of references: ids by their type, the year as it stands."""
+    e = items(docs, v, "['abstracts-retrieval-response'].item.bibrecord.tail.bibliography.reference", "e")
+    ids = _list_of("e", "['ref-info']['refd-itemidlist'].itemid")
+    of = lambda kind: _part(F.get(F.filter(ids, lambda x: F.upper(_part(x, "['@idtype']")) == kind), 0), "['$']")
+    authors = F.array_compact(F.transform(_list_of("e", "['ref-info']['ref-authors'].author"), lambda a: _part(a, "['ce:indexed-name']")))
+    return e.select(citing, "pos", of("SGR").alias("ref_scopus_id"), bare_doi(of("DOI")).alias("ref_doi"), scalar("e", "['ref-info']['ref-title']['ref-titletext']").alias("title"), authors.alias("authors"), scalar("e", "['ref-info']['ref-sourcetitle']").alias("source"), year_of(scalar("e", "['ref-info']['ref-publicationyear']['@first']")).alias("year"))
+
+
+def resolved(wanted: DataFrame, by_doi: DataFrame, by_other: DataFrame, by_name: DataFrame) -> DataFrame:
+    """wanted_id, work_id, route of the first way that finds a work: DOI, another id, exact title within a year.
+
+    wanted: wanted_id, doi, other; by_doi: doi, work_id; by_other: other, work_id; by_name: wanted_id, work_id (see by_title).
+    """
+    a, b, c = by_doi.select(F.lower("doi").alias("_d"), F.col("work_id").alias("_a")), by_other.select(F.col("other").alias("_o"), F.col("work_id").alias("_b")), by_name.select("wanted_id", F.col("work_id").alias("_c"))
+    own = wanted.join(a, F.lower("doi") == F.col("_d"), "left").join(b, F.col("other") == F.col("_o"), "left").join(c, "wanted_id", "left")
+    route = F.when(F.col("_a").isNotNull(), "doi").when(F.col("_b").isNotNull(), "other id").when(F.col("_c").isNotNull(), "title").otherwise("none")
+    return own.select("wanted_id", F.coalesce("_a", "_b", "_c").alias("work_id"), route.alias("route"))

@@ -267,3 +267,54 @@ def test_streams(spark, sf, tmp_path):
     query.processAllAvailable()
     query.stop()
     assert spark.sql("SELECT sum(n) FROM counts").first()[0] == source.count()
+
+
+def test_scopes(spark):
+    from citegrain.operators import scopes
+
+    assert len(scopes.scope_issns("AIS8")) == 16 and scopes.scope_issns("0276-7783, 0960085x; 02767783") == ["0276-7783", "0960-085X"]
+    assert scopes.scope_issns(None) is None
+    with pytest.raises(ValueError):
+        scopes.scope_issns("basket of nine")
+    rows = spark.createDataFrame([("02767783", None), ("1111-1111", "1047-7047"), ("3333-3333", None)], "issn string, eissn string")
+    assert scopes.in_scope(rows, "basket_of_eight", "issn", "eissn").count() == 2
+    assert scopes.scoped_query("x", ["0276-7783"]) == "(x) AND (ISSN(02767783))" and scopes.scoped_query("x", None) == "x"
+    assert scopes.author_query("Roe, A. (B)", "Some Uni") == "AUTHLASTNAME(Roe) AND AUTHFIRST(A. B) AND AFFIL(Some Uni)"
+    assert scopes.author_name("E. Burton Roe") == ("Roe", "E. Burton") and scopes.author_name("Roe") == ("Roe", None)
+    assert [len(x.split(" OR ")) for x in scopes.source_chunks([str(i) for i in range(250)])] == [100, 100, 50]
+    refs = spark.createDataFrame([("007", None), ("8", "10.1/a"), ("9", "10.1/b")], "ref_scopus_id string, ref_doi string")
+    assert scopes.matching_references(refs, ["2-s2.0-007", "https://doi.org/10.1/A"]).count() == 2
+    assert [one(spark, scopes.venue_abbreviation, v) for v in ("MIS Quarterly", "Annals of the Big Idea", "")] == ["MISQ", "ABI", "?"]
+    papers = spark.createDataFrame([("1", 5), ("2", 9), ("3", 1)], "paper_id string, cited_by_count long")
+    assert [r.paper_id for r in scopes.corpus(papers, ["3", "1", "3"]).collect()] == ["3", "1"]
+    assert [r.paper_id for r in scopes.corpus(papers, where=F.col("cited_by_count") > 1, most=1).collect()] == ["2"]
+    t = lambda *rows: spark.createDataFrame(list(rows), "doi string, text string")
+    got = scopes.fulltext(t(("a", "x" * 5000), ("b", "x"), ("c", None), ("d", None)), t(("b", "open")), t(("c", "abs"), ("b", "abs")))
+    assert {r.doi: r.provenance for r in got.collect()} == {"a": "publisher", "b": "open copy", "c": "abstract", "d": "none"}
+    walk = spark.createDataFrame([("s", 0, 2000, 5), ("a", 1, 2025, 3), ("b", 1, 2026, 2)], "node string, generation int, year int, cited_by_count long")
+    assert scopes.degenerate(walk, 2, 2, 2026).count() == 3 and scopes.degenerate(walk, 5, 200, 2040).count() == 0
+
+
+def test_more_responses(spark, tmp_path):
+    import json
+
+    def read(doc):
+        (tmp_path / "x.json").write_text(json.dumps(doc))
+        return landed.responses(spark, str(tmp_path / "x.json")).withColumn("citing_id", F.lit("c"))
+
+    abstract = {"abstracts-retrieval-response": {"coredata": {"dc:identifier": "SCOPUS_ID:01", "eid": "2-s2.0-01", "prism:doi": "10.1/x", "dc:title": "T", "dc:creator": {"author": {"@auid": "7", "ce:indexed-name": "A B."}}}, "item": {"bibrecord": {"tail": {"bibliography": {"@refcount": "3", "reference": {"ref-info": {"refd-itemidlist": {"itemid": [{"@idtype": "SGR", "$": "55"}, {"@idtype": "DOI", "$": "10.1/Q"}]}, "ref-publicationyear": {"@first": "1988"}, "ref-title": {"ref-titletext": "Old"}}}}}}}}}
+    got = landed.abstract_details(read(abstract)).first()
+    assert (got.scopus_id, got.abstract_source, got.authors[0].name, got.refs_reported) == ("01", "none", "A B.", 3)
+    assert landed.identifiers(read(abstract)).first().eid == "2-s2.0-01"
+    b = landed.bibliographies(read(abstract), "citing_id").first()
+    assert (b.ref_scopus_id, b.ref_doi, b.year, b.title) == ("55", "10.1/q", 1988, "Old")
+    author = {"author-retrieval-response": {"coredata": {"dc:identifier": "AUTHOR_ID:9", "document-count": "4"}, "author-profile": {"preferred-name": {"surname": "Roe", "given-name": "A"}, "affiliation-current": {"affiliation": [{"ip-doc": {"afdispname": "Uni"}}]}}}}
+    p = landed.author_profiles(read(author)).first()
+    assert (p.author_id, p.document_count, p.surname, p.affiliation) == ("9", 4, "Roe", "Uni")
+    search = {"search-results": {"entry": [{"dc:identifier": "AUTHOR_ID:9", "preferred-name": {"surname": "Roe", "given-name": "A"}, "name-variant": [{"surname": "Roe", "given-name": "Al"}, {"surname": "Roe", "given-name": "Al"}], "subject-area": {"$": "Math"}}]}}
+    f = landed.found_authors(read(search)).first()
+    assert (f.name, f.variants, f.subjects) == ("Roe, A", ["Roe, Al"], ["Math"])
+    hits = {"results": [{"title": "T", "authors": [{"name": "N"}], "sourceTitle": "V", "publicationDate": "2020-01-01", "doi": "10.1/H", "openAccess": True, "id": "https://x/S1", "display_name": "J", "issn_l": "0276-7783", "summary_stats": {"h_index": 4, "2yr_mean_citedness": 1.5}, "topics": [{"display_name": t} for t in "abcd"]}]}
+    assert (landed.article_hits(read(hits)).first().creator, landed.article_hits(read(hits)).first().open_access) == ("N", True)
+    assert (landed.index_sources(read(hits)).first().h_index, landed.index_sources(read(hits)).first().two_year_mean_citedness) == (4, 1.5)
+    assert landed.index_authors(read(hits)).first().topics == ["a", "b", "c"]
