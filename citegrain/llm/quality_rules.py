@@ -22,10 +22,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import bounded, let, text_of, words_of
+from .common import bounded, cut, let, text_of, words_of
 
 #: Scores are shares of a document's word characters or words; cutoffs are these many steps of 1/200.
 STEPS = 200
+#: Character classes that are counted.
+SYMBOLS, CAPITALS = "#*$%&|<>", "A-ZÀ-ÖØ-Þ"
 #: Rules and the feature columns that their score is a share of.
 RULES = {"symbols": ("n_symbols", "word_chars"), "capitals": ("n_capitals", "word_chars")}
 RISK, DELTA = 0.05, 0.05
@@ -60,40 +62,40 @@ def _repeat_words(words: Column) -> Column:
     return let(words, lambda w: F.when(F.size(w) < n, F.lit(0).cast("long")).otherwise(let(hashes(w), counted)))
 
 
-def features(docs: DataFrame) -> DataFrame:
-    """Adds the counts that the base rule and the scores are made of. Windows are compared by a 64-bit hash within a text."""
-    text = text_of()
-    only = lambda keep: F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("long")
+FEATURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+
+
+def _only(text: Column, keep: str) -> Column:
+    """Characters of a class in the text; taken out rather than left over, as a negated class of several ranges is slow."""
+    return (F.length(text) - F.length(F.regexp_replace(text, f"[{keep}]", ""))).cast("long")
+
+
+def measured(text: Column) -> Column:
+    """The counts of a text as a struct: FEATURES and n_capitals. Windows are compared by a 64-bit hash within a text."""
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    words = let(words_of(text), lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), _repeat_words(w).alias("r")))
-    out = docs.withColumn("_w", words)
-    return out.withColumns({
-        "n_words": F.col("_w.n"),
-        "word_chars": F.col("_w.c"),
-        "n_symbols": only("#*$%&|<>"),
-        "n_dup_lines": let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long"),
-        "n_repeat_words": F.col("_w.r"),
-    }).drop("_w")
-
-
-def scores(docs: DataFrame) -> DataFrame:
-    """Adds n_capitals, word_chars and n_symbols if missing: all that the scores need, without the costly counts."""
-    text = text_of()
-    only = lambda keep: F.length(F.regexp_replace(text, f"[^{keep}]+", "")).cast("long")
-    made = {"n_capitals": only("A-ZÀ-ÖØ-Þ")}
-    if "word_chars" not in docs.columns:
-        made |= {"word_chars": F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", "")).cast("long"), "n_symbols": only("#*$%&|<>")}
-    return docs.withColumns(made)
-
-
-def _bin(rule: str) -> Column:
-    """The strictest cutoff (in steps, 1 to STEPS) that the document reaches, 0 for none."""
-    part, whole = (F.col(x) for x in RULES[rule])
+
+    def of(w: Column) -> Column:
+        return F.struct(
+            F.size(w).cast("long").alias("n_words"), F.length(F.array_join(w, "")).cast("long").alias("word_chars"), _only(text, SYMBOLS).alias("n_symbols"),
+            let(lines, lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"), _repeat_words(w).alias("n_repeat_words"), _only(text, CAPITALS).alias("n_capitals"),
+        )
+
+    return let(words_of(text), of)
+
+
+def features(docs: DataFrame) -> DataFrame:
+    """Adds the columns FEATURES."""
+    return docs.select("*", F.inline(F.array(measured(text_of())))).drop("n_capitals")
+
+
+def _bin(rule: str, of=F.col) -> Column:
+    """The strictest cutoff (in steps, 1 to STEPS) that the document reaches, 0 for none; of: a count by its name."""
+    part, whole = (of(x) for x in RULES[rule])
     return F.when(whole > 0, F.least(F.lit(STEPS).cast("long"), F.floor(part * STEPS / whole))).otherwise(F.lit(0)).cast("int")
 
 
-def base_failed() -> Column:
-    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+def base_failed(of=F.col) -> Column:
+    return (of("n_words") < 10) | (100 * of("n_repeat_words") > 20 * of("n_words"))
 
 
 def _tail(n: Column, k: Column, p: float) -> Column:
@@ -118,18 +120,19 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     """
     p = risk / len(RULES)
     label = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"))
-    slim = scores(docs.select("doc_id", "text", F.coalesce(F.col(stratum), F.lit("")).alias("stratum")))
-    slim = slim.select("doc_id", "stratum", *[_bin(r).alias(r) for r in RULES])
+    # only what the scores need, without the costly counts
+    needed = {"word_chars": F.length(F.regexp_replace(text_of(), r"[\x20\x09-\x0D]+", "")).cast("long"), "n_symbols": _only(text_of(), SYMBOLS), "n_capitals": _only(text_of(), CAPITALS)}
+    slim = docs.select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.struct(*[c.alias(k) for k, c in needed.items()]).alias("_m"))
+    slim = slim.select("doc_id", "stratum", *[_bin(r, lambda c: F.col("_m")[c]).alias(r) for r in RULES])
     seen = slim.join(label, "doc_id").select("stratum", "_q", F.explode(F.create_map(*[y for r in RULES for y in (F.lit(r), F.col(r))])).alias("rule", "bin"))
-    counted = seen.groupBy("stratum", "rule", "bin").agg(F.sum(F.when(F.col("_q") >= 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("_q") >= 1, 0).otherwise(1)).alias("bad"))
+    counted = cut(seen.groupBy("stratum", "rule", "bin").agg(F.sum(F.when(F.col("_q") >= 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("_q") >= 1, 0).otherwise(1)).alias("bad")))
     by_rule = W.partitionBy("stratum", "rule")
     # every cutoff 1..STEPS, so that the order of trials does not depend on which scores occur
     steps = counted.groupBy("stratum", "rule").agg(F.sum("good").alias("n_good")).withColumn("bin", F.explode(F.sequence(F.lit(1), F.lit(STEPS))))
     steps = steps.join(counted, ["stratum", "rule", "bin"], "left")
     down = by_rule.orderBy(F.desc("bin"))
     steps = steps.withColumns({"good_rejected": F.coalesce(F.sum("good").over(down), F.lit(0)).cast("long"), "bad_rejected": F.coalesce(F.sum("bad").over(down), F.lit(0)).cast("long")})
-    tests = steps.select("stratum").distinct().agg(F.count(F.lit(1)).alias("_strata"))
-    strata = tests.first()[0]
+    strata = counted.agg(F.countDistinct("stratum")).first()[0]
     at_most = delta / max(1, strata * len(RULES))
     n, k = F.col("n_good"), F.col("good_rejected")
     passes = F.when(k > n * p, F.lit(False)).otherwise(_tail(n, k, p) <= at_most)
@@ -145,21 +148,23 @@ def judge(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFra
     Null text: no words, so base_failed. Null stratum: a stratum of its own. Empty cutoffs or labels: only the base rule
     rejects. Repeated rows are judged alike. Columns of docs named like an added one are replaced.
     """
-    own = scores(features(docs.drop(*[c for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "rejected_by", "kept") if c in docs.columns])))
+    made = (*FEATURES, "base_failed", "rejected_by", "kept")
+    own = docs.drop(*made)
     name = F.coalesce(F.col(stratum), F.lit(""))
     few = bounded(cutoffs.select("stratum", "rule", "cutoff"), MOST_LITERALS)
-    by: dict[str, list] = {}
     if few is None:
         wide = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut"))
-        own = own.join(wide, name == wide["stratum"], "left").drop(wide["stratum"])
+        own = own.join(wide.withColumnRenamed("stratum", "_stratum"), name == F.col("_stratum"), "left").drop("_stratum")
         limit = {r: F.col("_cut")[r] for r in RULES}
     else:
-        for s, r, c in few:
-            by.setdefault(r, []).append((s, c))
-        limit = {}
-        for r in RULES:
-            pairs = [F.lit(x) for pair in by.get(r, []) for x in pair]
-            limit[r] = F.element_at(F.create_map(*pairs), name) if pairs else F.lit(None).cast("int")
-    hit = F.array_compact(F.array(*[F.when(_bin(r) >= limit[r], F.lit(r)) for r in RULES]))
-    own = own.withColumn("base_failed", base_failed()).withColumn("rejected_by", hit)
-    return own.withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0)).drop("_cut", "n_capitals")
+        by: dict[str, list] = {r: [F.lit(x) for s, rule, c in few if rule == r for x in (s, c)] for r in RULES}
+        limit = {r: F.element_at(F.create_map(*by[r]), name) if by[r] else F.lit(None).cast("int") for r in RULES}
+
+    def verdict(m: Column) -> Column:
+        of = lambda c: m[c]
+        hit = F.array_compact(F.array(*[F.when(_bin(r, of) >= limit[r], F.lit(r)) for r in RULES]))
+        fails = base_failed(of)
+        return F.struct(*[m[c].alias(c) for c in FEATURES], fails.alias("base_failed"), hit.alias("rejected_by"), (~fails & (F.size(hit) == 0)).alias("kept"))
+
+    # one generated row from the text to the verdict: neither a filter above nor the choice of fields works it out again
+    return own.select(*[c for c in own.columns if c != "_cut"], F.inline(F.array(let(measured(text_of()), verdict))))
