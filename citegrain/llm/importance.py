@@ -3,8 +3,9 @@
 Words and word pairs of a text are hashed into BUCKETS buckets. Two bag models are counted: one of all texts (raw), one of
 the target, the texts labelled good and not toxic. A bucket's log ratio compares what the target has with what it would
 have if it were like raw, ``log((target + PRIOR) / (share_raw * n_target + PRIOR))``: buckets without evidence say nothing.
-A document's log weight is the mean log ratio of its n-grams, times LENGTH: as if all texts were equally long, since a
-plain sum would rank by length. Adding Gumbel noise to the log weights and taking the k largest is a sample of k documents
+A document's log weight is the mean log ratio of its n-grams, times LENGTH: as if all texts had so many of them, since a
+plain sum would rank by length. A document's own n-grams are taken out of the counts first (leave one out), or those that
+the target was fitted on would vouch for themselves. Adding Gumbel noise to the log weights and taking the k largest is a sample of k documents
 without replacement by weight.
 
 Counts cover all texts. The target model is fitted on at most TARGET labelled documents, those with the least hash.
@@ -19,7 +20,7 @@ from .common import cut, ships_by_value
 
 ships_by_value(__name__)
 
-BUCKETS, PRIOR, LENGTH, TARGET, SEED = 1 << 18, 2.0, 100.0, 200_000, 11
+BUCKETS, PRIOR, LENGTH, TARGET, SEED = 1 << 18, 5.0, 400.0, 200_000, 11
 BINS = 4096
 
 
@@ -62,30 +63,40 @@ def bucket_counts(docs: DataFrame, target_ids) -> DataFrame:
     return slim.mapInArrow(run, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
-def ratios(counted: DataFrame):
-    """The log ratio of each bucket; BUCKETS rows at most come to the driver."""
+def dense(counted: DataFrame):
+    """The counts as an array of two rows, raw and target; BUCKETS rows at most come to the driver."""
     import numpy as np
 
     rows = counted.toArrow()
-    raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
-    at = rows.column("bucket").to_numpy()
-    raw[at], target[at] = rows.column("raw").to_numpy(), rows.column("target").to_numpy()
-    like = raw / max(1.0, raw.sum()) * target.sum()
-    return np.log((target + PRIOR) / (like + PRIOR)).astype(np.float32)
+    sums = np.zeros((2, BUCKETS))
+    for k, name in enumerate(("raw", "target")):
+        sums[k, rows.column("bucket").to_numpy()] = rows.column(name).to_numpy()
+    return sums
 
 
-def log_weights(docs: DataFrame, sent) -> DataFrame:
-    """doc_id, log_weight (0 for a text without words) of each row; sent: the broadcast log ratios."""
+def log_weights(docs: DataFrame, sent, target_ids) -> DataFrame:
+    """doc_id, log_weight (0 for a text without words) of each row; sent: the broadcast counts, target_ids as in bucket_counts."""
 
     def run(batches):
+        import numpy as np
         import pyarrow as pa
 
-        ratio = sent.value
+        (raw, target), ids = sent.value, target_ids.value
+        n_raw, n_target = raw.sum(), target.sum()
+
+        def weight(d, text):
+            own = hashed(text)
+            if not len(own):
+                return 0.0
+            at, n = np.unique(own, return_counts=True)
+            k = np.searchsorted(ids, d) if d is not None else len(ids)
+            mine = int(k < len(ids) and ids[k] == d)
+            share = max(0.0, n_target - mine * len(own)) / max(1.0, n_raw - len(own))
+            ratio = np.log((np.maximum(0.0, target[at] - mine * n) + PRIOR) / (np.maximum(0.0, raw[at] - n) * share + PRIOR))
+            return float((ratio * n).sum() / len(own)) * LENGTH
+
         for batch in batches:
-            out = []
-            for t in batch.column(1).to_pylist():
-                own = hashed(t)
-                out.append(float(ratio[own].mean(dtype="float64")) * LENGTH if len(own) else 0.0)
+            out = [weight(d, t) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.float64())], names=["doc_id", "log_weight"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, log_weight double")
@@ -146,9 +157,10 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, seed: int
     n_good, n_all = per.agg(F.coalesce(F.sum("good"), F.lit(0)), F.count(F.lit(1))).first()
     ids = per.where("good = 1").orderBy(F.xxhash64("doc_id"), "doc_id").limit(target).select("doc_id").toArrow().column(0).to_numpy()
     sc = docs.sparkSession.sparkContext
-    ratio = ratios(cut(bucket_counts(docs, sc.broadcast(np.sort(ids)))))
+    target_ids = sc.broadcast(np.sort(ids))
+    sums = sc.broadcast(dense(cut(bucket_counts(docs, target_ids))))
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "doc_id"), 11) + 0.5) / float(1 << 53)
-    rows = cut(log_weights(docs, sc.broadcast(ratio)).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))))
+    rows = cut(log_weights(docs, sums, target_ids).withColumn("gumbel_key", F.col("log_weight") - F.log(-F.log(uniform))))
     if k is None:
         k = round(rows.count() * n_good / n_all) if n_all else rows.count()
     return top_k(rows, "gumbel_key", k)
