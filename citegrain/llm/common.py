@@ -72,14 +72,25 @@ def bounded(df: DataFrame, limit: int) -> list | None:
     return rows if len(rows) <= limit else None
 
 
+def bounded_array(df: DataFrame, limit: int):
+    """Like bounded(), for columns of longs: a numpy array of rows and columns."""
+    import numpy as np
+
+    got = df.limit(limit + 1).toArrow()
+    return np.column_stack([c.to_numpy() for c in got.columns]) if got.num_rows <= limit else None
+
+
 def cells(members: DataFrame, keys: list[str], of: str, most: int) -> DataFrame:
     """Deal the members of each key into cells of about 2 * most rows at the most, every two of them meeting in a cell.
 
     Keys with one member go. A key with n members gets c = ceil(n / most) parts by a hash of the column ``of``; cell
     (x, y), x < y, holds the parts x and y, and if c = 1 there is one cell. Adds cell (long). Counts are partial sums,
     and the join that brings them back is an ordinary one, which adaptive execution splits where a key is hot.
+
+    Keys that have the very same members, told by their number and two 64-bit sums of hashes, are dealt once.
     """
-    counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    each = [F.bit_xor(F.xxhash64(of, F.lit(k))).alias(f"_x{k}") for k in (1, 2)]
+    counts = members.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), *each).where("_n > 1").dropDuplicates(["_n", "_x1", "_x2"]).drop("_x1", "_x2")
     dealt = (
         members.join(counts, keys)
         .withColumn("_c", F.ceil(F.col("_n") / most).cast("int"))

@@ -18,14 +18,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import Union, bounded, by_cell, cells, components, cut, ships_by_value
+from .common import Union, bounded_array, by_cell, cells, components, cut, ships_by_value
 
 ships_by_value(__name__)
 
 SHINGLE, SIMILAR, MIN_CHARS = 7, 0.8, 20
 BANDS, ROWS = 12, 4
 #: Lines in a part of a cell.
-CELL = 512
+CELL = 256
 MOST_SENT = 400_000
 
 
@@ -133,7 +133,7 @@ def _lines(docs: DataFrame, signed: bool, wanted=None) -> DataFrame:
         import numpy as np
         import pyarrow as pa
 
-        want = None if wanted is None else set(wanted.value.tolist())
+        want = None if wanted is None else set(wanted.value[:, 0].tolist())
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
@@ -151,14 +151,9 @@ def _lines(docs: DataFrame, signed: bool, wanted=None) -> DataFrame:
 
 
 def _send(df: DataFrame, most: int):
-    """The table's columns as broadcast arrays, or None if it has more than ``most`` rows."""
-    import numpy as np
-
-    rows = bounded(df, most)
-    if rows is None:
-        return None
-    arrays = np.array([tuple(x) for x in rows], np.int64).reshape(-1, len(df.columns))
-    return df.sparkSession.sparkContext.broadcast(arrays if len(df.columns) > 1 else arrays[:, 0])
+    """The table's rows (longs) as a broadcast array, or None if it has more than ``most`` of them."""
+    rows = bounded_array(df, most)
+    return None if rows is None else df.sparkSession.sparkContext.broadcast(rows)
 
 
 #: Orders keepers; a null doc_id comes last.
@@ -236,16 +231,23 @@ def drop_lines(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     def run(pairs):
         import pandas as pd
 
-        gone_at = {(r[0], r[1]): tuple(r[2:]) for r in sent.value.tolist()}
+        gone = sent.value
+        place: dict[int, list[int]] = {}
+        for k, own in enumerate(gone[:, 0].tolist()):
+            place.setdefault(own, []).append(k)
         for ids, texts in pairs:
             rows = []
             for d, t in zip(ids, texts):
                 if t is None or t == "":
                     rows.append((t, 0, 0))
                     continue
-                d = None if pd.isna(d) else int(d)
-                here = (int(d is None), d or 0, doc_key(t))
-                drop = {k for k, a, b, _ in line_ids(t) if (a, b) in gone_at and gone_at[a, b] != (*here, k)}
+                d, key, drop = None if pd.isna(d) else int(d), None, set()
+                for k, a, b, _ in line_ids(t):
+                    for at in place.get(a, ()):
+                        if gone[at, 1] == b:
+                            key = doc_key(t) if key is None else key
+                            if tuple(gone[at, 2:].tolist()) != (int(d is None), d or 0, key, k):
+                                drop.add(k)
                 lines = t.split("\n")
                 rows.append(("\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else t, len(lines), len(drop)))
             yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
