@@ -24,7 +24,7 @@ ships_by_value(__name__)
 
 WEIGHTS, MOST, SEED = (5, 2, 1), 3, 17
 #: Documents of one source and length in a slice, about.
-SLICE = 2_000
+SLICE = 256
 #: Words up to which a remaining budget is always left to the exact program.
 EXACT = 100_000
 
