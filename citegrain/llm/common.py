@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import gc
 import sys
 import tempfile
+import uuid
 
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -40,30 +43,44 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def shared_dir(spark: SparkSession) -> None:
-    """Make sure that checkpoint() has a folder: the cluster's own, or a temporary one where none is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """This session's folder that all executors share: the one of spark.checkpoint.dir, or a temporary one where none is set."""
     sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoint-"))
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The rows written to the shared folder: a lost executor costs nothing, and the lineage ends here.
+def _remove(spark: SparkSession, path: str) -> None:
+    """What this session has written goes when it ends."""
+    try:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    except Exception:  # the session is gone already
+        pass
 
-    What was shuffled to make them is not needed any more. Spark drops such files when the driver's JVM collects its
-    garbage, which a small driver heap may put off for long, so that is asked for here.
-    """
-    shared_dir(df.sparkSession)
-    out = df.checkpoint(eager=True)
-    df.sparkSession.sparkContext._jvm.System.gc()
-    return out
 
+def cut(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: a lost executor costs nothing, and the lineage ends here.
 
-def spread(df: DataFrame) -> int:
-    """How many partitions a shuffle of this session has."""
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    Columnar files are a fraction of the size of a checkpoint of rows, and later joins know how large they are. What was
+    shuffled to make the rows is not needed any more; Spark drops such files when the driver's JVM collects its garbage,
+    which a driver that has little to do may put off for long, so that is asked for here.
+    """
+    spark, schema = df.sparkSession, df.schema
+    folder = f"{shared_dir(spark)}/tables"
+    if folder not in _FOLDERS:
+        _FOLDERS.add(folder)
+        atexit.register(_remove, spark, folder)
+    path = f"{folder}/{uuid.uuid4()}"
+    df.write.parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return spark.read.schema(schema).parquet(path)
+
+
+_FOLDERS: set[str] = set()
 
 
 def bounded(df: DataFrame, limit: int) -> list | None:
