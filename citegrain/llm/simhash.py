@@ -52,17 +52,18 @@ def fingerprint(text: str | None, width: int) -> int:
 
 
 def fingerprints(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, fp (the 64 bits as a signed long) of each row. Null text: no words, fingerprint zero."""
+    """doc_id, key (a hash of the text), fp (the 64 bits as a signed long) of each row. Null text: no words, fingerprint zero."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            fps = np.array([fingerprint(t, width) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, width) for t in batch.column(2).to_pylist()], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], names=["doc_id", "key", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fp long")
+    slim = docs.select(F.col("doc_id").cast("long"), F.xxhash64("text").alias("key"), F.col("text").cast("string"))
+    return slim.mapInArrow(run, "doc_id long, key long, fp long")
 
 
 def _masks(radius: int) -> list[int]:
@@ -144,7 +145,7 @@ def links(fps: DataFrame, radius: int) -> DataFrame:
 
 
 def near_groups(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """doc_id, fp, component_id of each row of docs: the component's smallest doc_id (nulls don't count; null if it has only such).
+    """doc_id, key, fp, component_id of each row of docs; key is a hash of the text, component_id the component's smallest doc_id (nulls don't count; null if it has only such).
 
     docs: doc_id, text; other columns are ignored. Rows repeated in docs are repeated in the result; empty docs give an
     empty result. All texts without words have fingerprint zero and make up one group, with what is near zero.
@@ -155,7 +156,7 @@ def near_groups(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
     grouped = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id")
-    return own.join(named, "fp").select("doc_id", "fp", "component_id")
+    return own.join(named, "fp").select("doc_id", "key", "fp", "component_id")
 
 
 def hex_of(fp: str) -> Column:
@@ -163,16 +164,19 @@ def hex_of(fp: str) -> Column:
 
 
 def keep_one(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of docs that stand for their group: those of the group's smallest doc_id, one of them if it is repeated.
+    """The rows of docs but those that another document of their group stands for; of repeated rows one stays.
 
-    Rows with a null doc_id stay. Other columns are kept whatever their names.
+    The document of the group's smallest doc_id stays. Rows with a null doc_id stay, too, and rows of one doc_id with
+    different texts are documents of their own. Other columns are kept whatever their names.
+
+    The documents to drop are looked up, not those to keep: they are few where copies are few.
     """
-    groups = near_groups(docs, width, radius)
-    keep = groups.where("doc_id = component_id").select("doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("_times"))
-    keep = cut(keep)
-    kept = docs.join(keep.select("doc_id"), "doc_id", "left_semi").unionByName(docs.where("doc_id is null")).select(*docs.columns)
-    repeated = keep.where("_times > 1").select("doc_id")
+    groups = cut(near_groups(docs, width, radius))
+    drop = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct())
+    same = (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_k"))
+    kept = docs.join(drop, same, "left_anti")
+    repeated = cut(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).count().where("count > 1").select("_d", "_k"))
     if repeated.isEmpty():
         return kept
-    once = kept.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return kept.join(repeated, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+    once = kept.join(repeated, same).dropDuplicates(["_d", "_k"]).select(*docs.columns)
+    return kept.join(repeated, same, "left_anti").unionByName(once)
