@@ -27,6 +27,8 @@ BANDS, ROWS = 12, 4
 #: Lines in a part of a cell.
 CELL = 256
 MOST_SENT = 400_000
+#: Texts of an Arrow batch.
+BATCH = 1_000
 
 
 def normal(line: str) -> str:
@@ -204,10 +206,13 @@ def drop_lines(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     """docs with the text of the lines that stay, n_lines and n_removed (long; lines before, and how many went).
 
     Every row of docs stays, in any case, with its other columns (one named n_lines or n_removed is replaced). Null text:
-    stays null, no lines. Rows that repeat both doc_id and text count as one document and are cut alike. A text of which
+    stays null, no lines. The session's Arrow batches are held to BATCH rows. Rows that repeat both doc_id and text count as one document and are cut alike. A text of which
     all lines go becomes empty. Empty docs: empty result.
     """
     docs = docs.drop("n_lines", "n_removed")
+    conf = docs.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:  # whole texts go through Python and back
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     gone = surplus(docs, most_sent)
     sent = _send(gone, most_sent)
     table = None

@@ -24,7 +24,7 @@ def odd(spark):
     from pyspark.sql import functions as F
 
     rows = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string")
-    clash = {"size": F.lit(7), "kept": F.lit("x"), "fp": F.lit(1.5), "key": F.lit("k"), "row": F.lit(0), "n_lines": F.lit(-1), "_t": F.lit("t"), "sigs": F.lit(3), "n_words": F.lit(-2)}
+    clash = {"size": F.lit(7), "kept": F.lit("x"), "fp": F.lit(1.5), "key": F.lit("k"), "row": F.lit(0), "n_lines": F.lit(-1), "_t": F.lit("t"), "sigs": F.lit(3), "n_words": F.lit(-2), "n_capitals": F.lit("c"), "_w": F.lit(0), "host": F.lit("h"), "times": F.lit("t")}
     return rows.withColumns(clash)
 
 
