@@ -3,13 +3,14 @@
 A rule (host, path, verdict) fits its host and all subdomains if the url's path starts with the rule's; the longest rule
 wins. Urls that no rule judges are scored by two variable-order Markov models over the bytes behind ``://``, lower-cased:
 one of the urls that rules allow, one of those they block. A model has the counts of contexts of 0 to ORDER bytes and is
-smoothed from order to order (Witten-Bell): a context that was seen with few successors leans on the shorter one. Of all
-contexts only the GRAMS most frequent grams are kept, which bounds the model by a parameter whatever the input; dropping
-rare long grams is what makes the order vary.
+smoothed from order to order (Witten-Bell): a context that was seen with few successors leans on the shorter one. All
+counted grams are kept, in tables: windows of ORDER + 1 bytes are counted, shorter grams are sums over these, and the
+totals and kinds of a context are those of all its grams. Each distinct window of the urls that are to be scored has its
+log ratio worked out once. The most frequent windows, HEAD at most, are sent to the executors; the others are joined.
 
 The score is the difference of both log-likelihoods over the number of bytes. Its threshold is calibrated on a fifth of
 the ruled hosts, by hash, which the models have not seen: the one with the least mean error of both classes there.
-Then the models are counted again over all ruled urls. If either class has no urls, all others are allowed.
+The models that judge have the counts of all ruled urls. If either class has no urls, all others are allowed.
 """
 
 from __future__ import annotations
@@ -18,12 +19,20 @@ import math
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from .common import cut, ships_by_value
+from .token_counts import _least
 
 ships_by_value(__name__)
 
-ORDER, GRAMS = 4, 200_000
+ORDER = 4
+#: Windows whose log ratios are sent to the executors; the others are joined, with the same result.
+HEAD = 200_000
+#: Log ratios are summed as whole multiples of 1/UNIT, so that the order of a sum does not matter.
+UNIT = 1 << 36
+#: Classes of urls that windows are counted by: allowed and blocked by a rule, the same on held-out hosts, judged by none.
+CLASSES = ("allow", "block", "held_allow", "held_block", "open")
 RULES = (("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com", "/de/", "block"), ("org", "/fr/", "allow"))
 #: Scores are rounded to 1/BINS for the calibration and cut off at -LIMIT and LIMIT.
 BINS, LIMIT = 50, 8
@@ -52,41 +61,74 @@ def grams_of(url: str | None) -> list[bytes]:
     return b"\0" * ORDER + (url or "").partition("://")[2].lower().encode() + b"\0"
 
 
-def counts(urls: DataFrame) -> DataFrame:
-    """gram (binary), allow, block (long): how often each context and successor occurs; urls: url, verdict (of a rule)."""
+def windows(urls: DataFrame) -> DataFrame:
+    """gram (binary, ORDER + 1 bytes) and how often it occurs in the urls of each of CLASSES (long); urls: url, kind (index of the class)."""
 
     def run(batches):
         import pyarrow as pa
 
-        seen: tuple[dict, dict] = ({}, {})
+        seen = tuple({} for _ in CLASSES)
 
         def out():
-            every = list(seen[0].keys() | seen[1].keys())
-            return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *[pa.array([x.get(g, 0) for g in every], pa.int64()) for x in seen]], names=["gram", "allow", "block"])
+            every = list(set().union(*seen))
+            return pa.RecordBatch.from_arrays([pa.array(every, pa.binary()), *[pa.array([x.get(g, 0) for g in every], pa.int64()) for x in seen]], names=["gram", *CLASSES])
 
         for batch in batches:
-            for url, verdict in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                own, raw = seen[verdict == "block"], grams_of(url)
-                for at in range(ORDER, len(raw)):
-                    for k in range(ORDER + 1):
-                        g = raw[at - k : at + 1]
-                        own[g] = own.get(g, 0) + 1
-            if len(seen[0]) + len(seen[1]) > 400_000:
+            for url, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                own, raw = seen[kind], grams_of(url)
+                for at in range(len(raw) - ORDER):
+                    g = raw[at : at + ORDER + 1]
+                    own[g] = own.get(g, 0) + 1
+            if sum(map(len, seen)) > 400_000:
                 yield out()
-                seen = ({}, {})
+                seen = tuple({} for _ in CLASSES)
         yield out()
 
-    return urls.select(F.col("url").cast("string"), "verdict").mapInArrow(run, "gram binary, allow long, block long").groupBy("gram").agg(F.sum("allow").alias("allow"), F.sum("block").alias("block"))
+    found = urls.select(F.col("url").cast("string"), "kind").mapInArrow(run, "gram binary, " + ", ".join(f"{c} long" for c in CLASSES))
+    return found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in CLASSES])
 
 
-def model(counted: DataFrame, column: str, grams: int = GRAMS) -> dict[bytes, int]:
-    """The most frequent grams of one class; at most ``grams`` rows of ORDER + 1 bytes come to the driver."""
-    rows = counted.where(F.col(column) > 0).orderBy(F.desc(column), "gram").limit(grams).select("gram", column).collect()
-    return {bytes(g): n for g, n in rows}
+#: The counts of each model: without and with the held-out hosts.
+MODELS = {"a0": ("allow",), "b0": ("block",), "a1": ("allow", "held_allow"), "b1": ("block", "held_block")}
+
+
+def _chances(grams: DataFrame, size: int, shorter: DataFrame | None) -> DataFrame:
+    """grams (of ``size`` bytes) with the chance of the last byte after the others in each of MODELS, as in compiled().
+
+    A gram that a model has not seen has the shorter one's chance, weighed down if the model knows the context. A context
+    has 256 grams at most.
+    """
+    context = W.partitionBy(F.substring("gram", 1, size - 1))
+    own = grams.withColumns({m: sum((F.col(c) for c in of[1:]), F.col(of[0])) for m, of in MODELS.items()})
+    own = own.withColumns({f"{m}_total": F.sum(m).over(context) for m in MODELS} | {f"{m}_kinds": F.sum((F.col(m) > 0).cast("long")).over(context) for m in MODELS})
+    if shorter is None:
+        own = own.withColumns({f"{m}_up": F.lit(1 / 256) for m in MODELS})
+    else:
+        up = shorter.select(F.col("gram").alias("_up"), *[F.col(f"p_{m}").alias(f"{m}_up") for m in MODELS])
+        own = own.join(up, F.substring("gram", 2, size - 1) == F.col("_up"))
+    chance = lambda m: (F.col(m) + F.col(f"{m}_kinds") * F.col(f"{m}_up")) / (F.col(f"{m}_total") + F.col(f"{m}_kinds"))
+    return own.select("gram", *[F.when(F.col(f"{m}_total") > 0, chance(m)).otherwise(F.col(f"{m}_up")).alias(f"p_{m}") for m in MODELS], *CLASSES)
+
+
+def ratios(found: DataFrame) -> DataFrame:
+    """gram, n (how often urls that are to be scored have it), r0, r1 (log ratio of both classes without and with held-out hosts, in 1/UNIT)."""
+    levels = {ORDER + 1: found}
+    for size in range(ORDER, 0, -1):
+        shorter = levels[size + 1].groupBy(F.substring("gram", 2, size).alias("gram")).agg(*[F.sum(c).alias(c) for c in CLASSES])
+        levels[size] = cut(shorter) if size > 2 else shorter
+    chances = None
+    for size in range(1, ORDER + 2):
+        chances = _chances(levels[size], size, chances)
+        if 2 < size <= ORDER:
+            chances = cut(chances)
+    ratio = lambda k: F.round((F.log(f"p_a{k}") - F.log(f"p_b{k}")) * UNIT).cast("long").alias(f"r{k}")
+    return cut(chances.withColumn("n", F.col("held_allow") + F.col("held_block") + F.col("open")).where("n > 0").select("gram", "n", ratio(0), ratio(1)))
 
 
 def compiled(counts: dict[bytes, int]) -> dict[bytes, float]:
-    """b"p" + gram: log probability of its last byte after the others; b"b" + context: log of the weight of the shorter context.
+    """A model of counts in memory, the plain form of what ratios() does by tables.
+
+    b"p" + gram: log probability of its last byte after the others; b"b" + context: log of the weight of the shorter context.
 
     Witten-Bell: P(byte | context) = (count + kinds * P(byte | shorter context)) / (total + kinds), kinds being the
     number of different successors of the context; the shortest context leans on equal chances of all 256 bytes.
@@ -127,26 +169,42 @@ def likelihood(model: dict[bytes, float], raw: bytes) -> float:
     return out
 
 
-def score(models, url: str | None) -> float:
-    raw = grams_of(url)
-    return (likelihood(models[0], raw) - likelihood(models[1], raw)) / (len(raw) - ORDER)
-
-
-def scored(urls: DataFrame, models) -> Column:
-    sent = urls.sparkSession.sparkContext.broadcast(models)
+def scored(pages: DataFrame, table: DataFrame, head: int = HEAD) -> DataFrame:
+    """page (a struct with url), model (0 or 1) and score; pages: page, model; table: the ratios of all windows that they have."""
+    top = table.where(F.col("n") >= _least(table, head)).select("gram", "r0", "r1").toArrow()
+    sent = pages.sparkSession.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), zip(top.column(1).to_pylist(), top.column(2).to_pylist()))))
 
     def run(batches):
+        from collections import Counter
+
         import pandas as pd
 
-        for url in batches:
-            yield pd.Series([score(sent.value, x) for x in url], dtype="float64")
+        known = sent.value
+        for urls, models in batches:
+            rows = []
+            for url, model in zip(urls, models):
+                raw, got, rest = grams_of(url), 0, Counter()
+                for at in range(len(raw) - ORDER):
+                    g = raw[at : at + ORDER + 1]
+                    r = known.get(g)
+                    if r is None:
+                        rest[g] += 1
+                    else:
+                        got += r[model]
+                rows.append((got, len(raw) - ORDER, [{"gram": g, "f": f} for g, f in rest.items()]))
+            yield pd.DataFrame(rows, columns=["sum", "size", "rest"])
 
     from collections.abc import Iterator
 
     import pandas as pd
 
-    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.Series]}
-    return F.pandas_udf(run, "double")(F.col("url").cast("string"))
+    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
+    own = F.pandas_udf(run, "sum long, size long, rest array<struct<gram:binary,f:long>>")(F.col("page.url").cast("string"), F.col("model"))
+    rows = cut(pages.select(F.monotonically_increasing_id().alias("row"), "page", "model", own.alias("own")))  # the ids hold from here on
+    each = rows.select("row", "model", F.explode("own.rest").alias("x")).select("row", "model", "x.gram", "x.f").join(table, "gram")
+    more = each.groupBy("row").agg(F.sum(F.col("f") * F.when(F.col("model") == 0, F.col("r0")).otherwise(F.col("r1"))).alias("more"))
+    total = F.col("own.sum") + F.coalesce("more", F.lit(0))
+    return rows.join(more, "row", "left").select("page", "model", (total / UNIT / F.col("own.size")).alias("score"))
 
 
 def calibrate(bins: list[tuple[int, str, int]]) -> float:
@@ -169,7 +227,7 @@ def calibrate(bins: list[tuple[int, str, int]]) -> float:
     return (where[0] + where[-1]) / 2 / BINS
 
 
-def judge(pages: DataFrame, rules=RULES) -> DataFrame:
+def judge(pages: DataFrame, rules=RULES, head: int = HEAD) -> DataFrame:
     """pages with host, path, rule, score (null where a rule judges) and verdict; columns of these names are replaced.
 
     Null url or none with ://: host and path empty, no rule, allowed unless the models say otherwise. Empty pages: empty
@@ -178,22 +236,17 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     own = ["host", "path", "rule", "score", "verdict"]
     named = pages.drop(*own).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
     named = named.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    ruled = named.where("_r is not null").select("url", "host", F.col("_r.verdict").alias("verdict"))
     held = F.pmod(F.xxhash64("host", F.lit(5)), F.lit(5)) == 0
-
-    def fitted(urls: DataFrame):
-        found = cut(counts(urls))
-        return tuple(compiled(model(found, v)) for v in ("allow", "block"))
-
-    models = fitted(ruled.where(~held))
+    kind = F.when(F.col("_r").isNull(), 4).otherwise(F.when(F.col("_r.verdict") == "block", 1).otherwise(0) + F.when(held, 2).otherwise(0))
+    found = cut(windows(named.select("url", kind.alias("kind"))))
     out = named.withColumn("rule", F.col("_r.rule"))
-    if all(models):
-        at = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), scored(ruled, models))) * BINS).cast("int")
-        bins = ruled.where(held).select(at.alias("bin"), "verdict").groupBy("bin", "verdict").count().collect()
+    if all(found.agg(F.sum("allow"), F.sum("block")).first()):
+        judged = out.where(F.col("_r").isNull() | held).select(F.struct("*").alias("page"), F.col("_r").isNull().cast("int").alias("model"))
+        judged = scored(judged, ratios(found), head)
+        at = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) * BINS).cast("int")
+        bins = judged.where("model = 0").select(at.alias("bin"), F.col("page._r.verdict").alias("verdict")).groupBy("bin", "verdict").count().collect()
         threshold = calibrate([tuple(x) for x in bins])
-        models = fitted(ruled)
-        rest = out.where("_r is null")
-        rest = rest.withColumn("score", scored(rest, models)).withColumn("verdict", F.when(F.col("score") < threshold, "block").otherwise("allow"))
+        rest = judged.where("model = 1").select("page.*", "score").withColumn("verdict", F.when(F.col("score") < threshold, "block").otherwise("allow"))
     else:
         rest = out.where("_r is null").withColumns({"score": F.lit(None).cast("double"), "verdict": F.lit("allow")})
     done = out.where("_r is not null").withColumns({"score": F.lit(None).cast("double"), "verdict": F.col("_r.verdict")})

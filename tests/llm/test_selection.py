@@ -222,6 +222,30 @@ def test_models_add_up_and_tell_apart(spark):
     assert sum((r.verdict == "block") == ("casino" in r.url) for r in rest) >= 190
 
 
+def test_scores_are_those_of_all_grams(spark):
+    """More grams of a class than any number that is sent: scores and verdicts are those of the plain models of all counts."""
+    import random
+
+    rng = random.Random(8)
+    tail = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz0123456789-/", k=60))
+    urls = [f"http://s{i}.example.net/en/{tail()}" for i in range(2500)] + [f"http://s{i}.net/{tail()}" for i in range(2500)] + [f"http://s{i}.example.org/{tail()}" for i in range(200)]
+    urls += [u.replace("example.net/en", "example.org") for u in urls[:20]] + [u.replace(".net", ".org", 1) for u in urls[2500:2520]] + [None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    counted = {"allow": Counter(), "block": Counter()}
+    for i, u in enumerate(urls[:5000]):
+        raw = url_filter.grams_of(u)
+        counted["allow" if i < 2500 else "block"].update(raw[at - k : at + 1] for at in range(url_filter.ORDER, len(raw)) for k in range(url_filter.ORDER + 1))
+    assert min(map(len, counted.values())) > 200_000
+    models = [url_filter.compiled(c) for c in counted.values()]
+    runs = [{r.page_id: r for r in df.collect()} for df in (url_filter.judge(pages), url_filter.judge(pages, head=500))]
+    for i, u in enumerate(urls):
+        raw = url_filter.grams_of(u)
+        want = (url_filter.likelihood(models[0], raw) - url_filter.likelihood(models[1], raw)) / (len(raw) - url_filter.ORDER)
+        for got in runs:
+            assert got[i].score is None if i < 5000 else got[i].score == pytest.approx(want, abs=1e-9)
+    assert runs[0] == runs[1]
+
+
 def test_importance_prefers_the_target(spark, docs, labels, odd, none):
     found = importance.resample(docs, labels).collect()
     assert len(found) == docs.count()
