@@ -1,8 +1,8 @@
 """Fuzzy line deduplication by MinHash: one line of each group of near-equal lines stays in the whole corpus.
 
-1. Each line of a text (split at \\n) is normalised: A-Z etc. lower-cased, white space single. Lines under MIN_CHARS code
-   points are left alone. Equal normalised lines are counted once, by partial sums.
-2. A distinct line has a MinHash signature over its 7-character shingles: BANDS bands of ROWS values. Lines that share
+1. Each line of a text (split at \\n) is normalised: A-Z etc. lower-cased, white space single. Blank lines and lines
+   under ``least`` code points are left alone; the query and the pipeline take 1, so all lines that are not blank. Equal normalised lines are counted once, by partial sums.
+2. A distinct line has a MinHash signature over its 7-character shingles (a shorter line is its own only shingle): BANDS bands of ROWS values. Lines that share
    a band become candidates: at Jaccard 0.8 with probability 0.998, at 0.85 with 0.9999, at 0.05 with less than 1e-4.
 3. Candidates are compared in cells of bounded size by the exact Jaccard similarity of their shingle sets, at least
    SIMILAR; a cell hands out a spanning forest of the links it has verified.
@@ -35,14 +35,14 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_ids(text: str) -> list[tuple[int, int, int, str]]:
+def line_ids(text: str, least: int = MIN_CHARS) -> list[tuple[int, int, int, str]]:
     """Line number, two 64-bit hashes and the normalised form of each line that takes part."""
     import xxhash
 
     signed = lambda x: x - (1 << 64) if x >> 63 else x
     out = []
     for k, line in enumerate(text.split("\n")):
-        if len(line) >= MIN_CHARS and len(own := normal(line)) >= MIN_CHARS:
+        if len(line) >= least and len(own := normal(line)) >= max(1, least):
             raw = own.encode("utf-8", "surrogatepass")
             out.append((k, signed(xxhash.xxh64_intdigest(raw, 42)), signed(xxhash.xxh64_intdigest(raw, 7)), own))
     return out
@@ -55,9 +55,11 @@ def doc_key(text: str) -> int:
 
 
 def signatures(lines: list[str]):
-    """A row of BANDS signed 64-bit keys for each line (MIN_CHARS or more code points each)."""
+    """A row of BANDS signed 64-bit keys for each line; one under SHINGLE code points is filled up with zeros."""
     import numpy as np
 
+    lines = [x.ljust(SHINGLE, "\0") for x in lines]
+
     rng = np.random.default_rng(20_240_229)
     mult = rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
     plus = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
@@ -102,7 +104,7 @@ def signatures(lines: list[str]):
 
 
 def shingles(line: str) -> set[str]:
-    return {line[k : k + SHINGLE] for k in range(len(line) - SHINGLE + 1)}
+    return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
 
 
 def verified(rows: list[tuple]) -> list[tuple[int, int]]:
@@ -128,7 +130,7 @@ def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _lines(docs: DataFrame, signed: bool, wanted=None) -> DataFrame:
+def _lines(docs: DataFrame, signed: bool, wanted=None, least: int = MIN_CHARS) -> DataFrame:
     """A row for each line that takes part: id, id2, doc_id, doc_key, line, and keys (signed) or text (not signed; only those wanted)."""
 
     def run(batches):
@@ -139,7 +141,7 @@ def _lines(docs: DataFrame, signed: bool, wanted=None) -> DataFrame:
         for whole in batches:
             for k in range(0, whole.num_rows, 512):
                 batch = whole.slice(k, 512)
-                rows = [(a, b, d, key, n, own) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for key in (doc_key(t),) for n, a, b, own in line_ids(t) if want is None or a in want]
+                rows = [(a, b, d, key, n, own) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for key in (doc_key(t),) for n, a, b, own in line_ids(t, least) if want is None or a in want]
                 a, b, d, key, n, own = zip(*rows) if rows else ((),) * 6
                 first = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int32())]
                 if signed:
@@ -162,16 +164,16 @@ def _send(df: DataFrame, most: int):
 _PLACE = "struct(doc_id is null as nil, coalesce(doc_id, 0) as doc_id, doc_key, line)"
 
 
-def surplus(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+def surplus(docs: DataFrame, most_sent: int = MOST_SENT, least: int = MIN_CHARS) -> DataFrame:
     """id, id2, keep_nil, keep_doc, keep_key, keep_line: a row for each distinct line of which some occurrence goes, and where the one that stays is."""
     distinct = cut(
-        _lines(docs, True).groupBy("id", "id2").agg(F.min(F.expr(_PLACE)).alias("at"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
+        _lines(docs, True, None, least).groupBy("id", "id2").agg(F.min(F.expr(_PLACE)).alias("at"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
     )
     shared = distinct.select("id", F.explode("keys").alias("key")).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("_n > 1")
     shared = cut(shared.select("key", "id"))
     wanted_ids = shared.select("id").distinct()
     sent = _send(wanted_ids, most_sent)
-    texts = _lines(docs, False, sent)
+    texts = _lines(docs, False, sent, least)
     if sent is None:
         texts = texts.join(wanted_ids, "id", "left_semi")
     texts = texts.groupBy("id", "id2").agg(F.first("text").alias("text"))
@@ -197,12 +199,12 @@ def surplus(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     roots = components(found).select("node.id", "node.id2", "root")
     named = distinct.select("id", "id2", "at", "n").join(roots, ["id", "id2"], "left").where("n > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", F.struct("id", "id2")))
-    least = named.groupBy("root").agg(F.min("at").alias("keep"))
-    out = named.join(least, "root").select("id", "id2", F.col("keep.nil").cast("long").alias("keep_nil"), F.col("keep.doc_id").alias("keep_doc"), F.col("keep.doc_key").alias("keep_key"), F.col("keep.line").cast("long").alias("keep_line"))
+    first = named.groupBy("root").agg(F.min("at").alias("keep"))
+    out = named.join(first, "root").select("id", "id2", F.col("keep.nil").cast("long").alias("keep_nil"), F.col("keep.doc_id").alias("keep_doc"), F.col("keep.doc_key").alias("keep_key"), F.col("keep.line").cast("long").alias("keep_line"))
     return cut(out)
 
 
-def drop_lines(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
+def drop_lines(docs: DataFrame, most_sent: int = MOST_SENT, least: int = MIN_CHARS) -> DataFrame:
     """docs with the text of the lines that stay, n_lines and n_removed (long; lines before, and how many went).
 
     Every row of docs stays, in any case, with its other columns (one named n_lines or n_removed is replaced). Null text:
@@ -213,12 +215,12 @@ def drop_lines(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
     conf = docs.sparkSession.conf
     if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:  # whole texts go through Python and back
         conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
-    gone = surplus(docs, most_sent)
+    gone = surplus(docs, most_sent, least)
     sent = _send(gone, most_sent)
     table = None
     if sent is None:
         # places to drop, by document
-        at = _lines(docs, False).drop("text").join(gone, ["id", "id2"])
+        at = _lines(docs, False, None, least).drop("text").join(gone, ["id", "id2"])
         at = at.where("not (keep_nil = cast(doc_id is null as long) and keep_doc = coalesce(doc_id, 0) and keep_key = doc_key and keep_line = line)")
         table = at.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set("line")).alias("_drop"))
     text = F.col("text").cast("string")
@@ -247,7 +249,7 @@ def drop_lines(docs: DataFrame, most_sent: int = MOST_SENT) -> DataFrame:
                     rows.append((t, 0, 0))
                     continue
                 d, key, drop = None if pd.isna(d) else int(d), None, set()
-                for k, a, b, _ in line_ids(t):
+                for k, a, b, _ in line_ids(t, least):
                     for at in place.get(a, ()):
                         if gone[at, 1] == b:
                             key = doc_key(t) if key is None else key

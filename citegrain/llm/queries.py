@@ -28,7 +28,7 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.drop_lines(table(spark, sf_dir, "documents")).select("doc_id", "n_lines", "n_removed", "text")
+    return line_dedup.drop_lines(table(spark, sf_dir, "documents"), least=1).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

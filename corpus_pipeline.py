@@ -30,7 +30,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that another document or place keeps go; a document of which nothing is left goes too. n_chars follows the text."""
-    left = line_dedup.drop_lines(_packed(docs, "doc_id", "text")).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
+    left = line_dedup.drop_lines(_packed(docs, "doc_id", "text"), least=1).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
     return _unpacked(left, docs, "doc_id", "text", n_chars=F.length("text").cast("long"))
 
 

@@ -161,6 +161,41 @@ def test_lines_as_by_all_pairs(spark, odd, none, docs, sent):
     assert line_dedup.drop_lines(odd, sent).columns == [c for c in odd.columns if c != "n_lines"] + ["n_lines", "n_removed"]
 
 
+@pytest.mark.parametrize("sent", [400_000, 0])
+def test_short_lines_take_part(spark, sent):
+    """Equal lines of any length and near lines of 7 to 19 characters by all pairs; blank lines stay."""
+    rows = [(d, t) for d, (t, _) in enumerate(SHORT)]
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), sent, 1).collect()}
+    lines = [(d, k, " ".join(x.lower().split())) for d, t in rows for k, x in enumerate(t.split("\n")) if x.strip()]
+    sets = [{x[k : k + 7] for k in range(max(1, len(x) - 6))} for _, _, x in lines]
+    root = classes(len(lines), [(a, b) for a, b in combinations(range(len(lines)), 2) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])])
+    gone = {lines[i][:2] for i, r in enumerate(root) if r != i}
+    want = {d: ("\n".join(x for k, x in enumerate(t.split("\n")) if (d, k) not in gone), sum(x == d for x, _ in gone)) for d, t in rows}
+    assert got == want == dict(enumerate((left, n) for _, (left, n) in SHORT))
+
+
+#: Texts, and what is left of them with the number of lines that go.
+SHORT = [
+    ("Les.\nOf, edti oner.\nab\n", ("Les.\nOf, edti oner.\nab\n", 0)),
+    ("les.\nOF,  edti oner.\na\n\n", ("a\n\n", 2)),
+    ("Les.\nab\nnew", ("new", 2)),
+    ("abcdefghijklmnopq", ("abcdefghijklmnopq", 0)),
+    ("abcdefghijklmnopqr", ("", 1)),
+    ("abcdefgh\nabcdefg", ("abcdefgh\nabcdefg", 0)),
+    ("Les.\nnew", ("", 2)),
+]
+
+
+def test_pipeline_drops_copies_with_short_lines(spark, sf):
+    """A document of which every line stays elsewhere goes, short lines or not."""
+    import corpus_pipeline as p
+
+    text = "Les.\nthis is a longer line of some words that counts"
+    docs = spark.createDataFrame([(1, text), (2, text + "\nshort"), (3, text)], "doc_id long, text string")
+    left = p.lines(spark, docs.selectExpr("*", "length(text) as n_chars"), sf)
+    assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, text), (2, "short")]
+
+
 def test_many_near_lines_in_cells(spark):
     """A group that is larger than a cell comes out whole."""
     before, line_dedup.CELL = line_dedup.CELL, 10
