@@ -1,51 +1,59 @@
 """Fuzzy line deduplication by MinHash: one line of each group of near-equal lines stays in the whole corpus.
 
-1. Each line of a text (split at \\n) is normalised: A-Z etc. lower-cased, white space single. Blank lines and lines
-   under ``least`` code points are left alone; the query and the pipeline take 1, so all lines that are not blank. Equal normalised lines are counted once, by partial sums.
-2. A distinct line has a MinHash signature over its 7-character shingles (a shorter line is its own only shingle): BANDS bands of ROWS values. Lines that share
-   a band become candidates: at Jaccard 0.8 with probability 0.998, at 0.85 with 0.9999, at 0.05 with less than 1e-4.
-3. Candidates are compared in cells of bounded size by the exact Jaccard similarity of their shingle sets, at least
-   SIMILAR; a cell hands out a spanning forest of the links it has verified.
+1. Each line of a text (split at \\n) is normalised: A-Z etc. lower-cased, white space single. Blank lines are left alone,
+   and lines under ``least`` code points (1: none). Equal normalised lines are counted once, by partial sums.
+2. A distinct line has a MinHash signature over its 7-character shingles (a shorter line is its own only shingle): BANDS
+   bands of ROWS values. Lines that share a band become candidates: at Jaccard 0.8 with probability 0.997, at 0.85 with
+   0.9998, at 0.1 with 1.5e-4, so that chance candidates among unlike lines stay few as the corpus grows.
+3. Candidates are compared in cells of bounded size, by lines and by characters, by the exact Jaccard similarity of their
+   shingle sets, at least SIMILAR; a cell hands out a spanning forest of the links it has verified.
 4. Connected components of the links; the least (doc_id, text hash, line number) of a component stays, its other lines go.
 
-Two tables are looked up by line: candidates (to fetch their texts) and lines to drop. Up to MOST_SENT rows each goes to
-the executors with the job, beyond it through a shuffle; both ways give the same result.
+Three tables are looked up: bands that several lines share, candidates (to fetch their texts) and lines to drop. Up to
+MOST_SENT rows each goes to the executors with the job, beyond it through a shuffle; both ways give the same result.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
+from pyspark.sql import types as T
 
-from .common import Union, bounded_array, by_cell, cells, components, cut, ships_by_value
+from .common import bounded_array, by_cell, cells, components, cut, discard, packed, ships_by_value, unpacked
 
 ships_by_value(__name__)
 
-SHINGLE, SIMILAR, MIN_CHARS = 7, 0.8, 20
-BANDS, ROWS = 12, 4
-#: Lines in a part of a cell.
-CELL = 256
+SHINGLE, SIMILAR = 7, 0.8
+BANDS, ROWS = 15, 5
+#: Lines in a part of a cell, and characters of them.
+CELL, CELL_CHARS = 256, 2_000_000
 MOST_SENT = 400_000
-#: Texts of an Arrow batch.
-BATCH = 1_000
+#: Shared bands that are sent along.
+MOST_BANDS = 1_000_000
+#: Texts that are held in one piece by a task, and their characters.
+SOME = 256
 
 
 def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def line_ids(text: str, least: int = MIN_CHARS) -> list[tuple[int, int, int, str]]:
-    """Line number, two 64-bit hashes and the normalised form of each line that takes part."""
+def line_table(texts: list[str], least: int = 1):
+    """The lines of some texts that take part: place in texts, line number, two 64-bit hashes (arrays), normalised forms."""
+    import numpy as np
     import xxhash
 
-    signed = lambda x: x - (1 << 64) if x >> 63 else x
-    out = []
-    for k, line in enumerate(text.split("\n")):
-        if len(line) >= least and len(own := normal(line)) >= max(1, least):
-            raw = own.encode("utf-8", "surrogatepass")
-            out.append((k, signed(xxhash.xxh64_intdigest(raw, 42)), signed(xxhash.xxh64_intdigest(raw, 7)), own))
-    return out
+    docs, lines, own = [], [], []
+    for d, text in enumerate(texts):
+        for k, line in enumerate(text.split("\n")):
+            if len(line) >= least and len(form := normal(line)) >= max(1, least):
+                docs.append(d)
+                lines.append(k)
+                own.append(form)
+    raw = [x.encode("utf-8", "surrogatepass") for x in own]
+    h = xxhash.xxh64_intdigest
+    ids, ids2 = (np.fromiter((h(x, seed) for x in raw), np.uint64, len(raw)).view(np.int64) for seed in (42, 7))
+    return np.array(docs, np.int64), np.array(lines, np.int32), ids, ids2, own
 
 
 def doc_key(text: str) -> int:
@@ -62,7 +70,6 @@ def signatures(lines: list[str]):
 
     rng = np.random.default_rng(20_240_229)
     mult = rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
-    plus = rng.integers(0, 1 << 32, BANDS * ROWS, dtype=np.uint32)
     out = np.empty((len(lines), BANDS), np.int64)
     at = 0
     while at < len(lines):
@@ -86,12 +93,11 @@ def signatures(lines: list[str]):
         h = h[inside[: len(h)]]
         counts = sizes - SHINGLE + 1
         starts = np.cumsum(counts) - counts
+        # the hashes are mixed already, so an odd factor is turn enough: least values come from the high bits
         mins = np.empty((BANDS * ROWS, end - at), np.uint32)
         turned = np.empty_like(h)
         for p in range(BANDS * ROWS):
             np.multiply(h, mult[p], out=turned)
-            np.add(turned, plus[p], out=turned)
-            np.bitwise_xor(turned, turned >> np.uint32(15), out=turned)
             mins[p] = np.minimum.reduceat(turned, starts)
         wide = mins.astype(np.uint64).reshape(BANDS, ROWS, -1)
         key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], end - at, 1)
@@ -103,82 +109,151 @@ def signatures(lines: list[str]):
     return out
 
 
-def shingles(line: str) -> set[str]:
-    return {line[k : k + SHINGLE] for k in range(max(1, len(line) - SHINGLE + 1))}
+def shingle_sets(lines: list[str]) -> list:
+    """The distinct shingles of each line as a sorted array: seven code points packed into 63 bits, or else strings.
+
+    Code points of 512 and more don't fit; lines that have some are numbered by the strings of this call, so that arrays
+    of one call compare exactly.
+    """
+    import numpy as np
+
+    out: list = []
+    code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
+    wide = len(code) > 0 and int(code.max()) >= 512
+    names: dict[str, int] = {}
+    at = 0
+    for line in lines:
+        n = len(line)
+        if wide:
+            own = np.array([names.setdefault(line[k : k + SHINGLE], len(names)) for k in range(max(1, n - SHINGLE + 1))], np.int64)
+        elif n <= SHINGLE:  # shorter than a shingle: a negative number, with its length
+            whole = sum(ord(c) << 9 * k for k, c in enumerate(line))
+            own = np.array([whole if n == SHINGLE else -1 - (whole << 3 | n)], np.int64)
+        else:
+            part = code[at : at + n].astype(np.int64)
+            own = part[: n - SHINGLE + 1].copy()
+            for k in range(1, SHINGLE):
+                own |= part[k : n - SHINGLE + 1 + k] << 9 * k
+        out.append(np.unique(own))
+        at += n
+    return out
 
 
 def verified(rows: list[tuple]) -> list[tuple[int, int]]:
-    """(index, index) links that connect the lines as all pairs with Jaccard SIMILAR or more would. rows: ..., id, text."""
-    sets = [shingles(x[-1]) for x in rows]
-    order = sorted(range(len(rows)), key=lambda k: (len(sets[k]), k))
-    groups, out, low = Union(len(rows)), [], 0
-    for i, k in enumerate(order):
-        n = len(sets[k])
-        while len(sets[order[low]]) < SIMILAR * n - 1e-9:
-            low += 1
-        for j in range(low, i):
-            o = order[j]
-            if groups.find(k) != groups.find(o):
-                both = len(sets[k] & sets[o])
-                if both >= SIMILAR * (n + len(sets[o]) - both) - 1e-9:
-                    groups.join(k, o)
+    """(index, index) links that connect the lines as all pairs with Jaccard SIMILAR or more would. rows: ..., id, text.
+
+    Lines come in the order of their set sizes; each is compared with the groups so far, with a group's members from the
+    largest set down until one is near or all are too small.
+    """
+    sets = shingle_sets([x[-1] for x in rows])
+    sizes = [len(x) for x in sets]
+    groups: list[list[int]] = []
+    out = []
+    for k in sorted(range(len(rows)), key=lambda k: (sizes[k], k)):
+        own, n = sets[k], sizes[k]
+        linked, rest = [k], []
+        for members in groups:
+            for o in reversed(members):
+                m = sizes[o]
+                if m < SIMILAR * n - 1e-9:
+                    rest.append(members)
+                    break
+                at = own.searchsorted(sets[o])
+                both = int((own.take(at, mode="clip") == sets[o]).sum())
+                if both >= SIMILAR * (n + m - both) - 1e-9:
                     out.append((k, o))
+                    linked = members + linked if len(linked) == 1 else sorted(members + linked, key=lambda x: (sizes[x], x))
+                    break
+            else:
+                rest.append(members)
+        groups = [*rest, linked]
     return out
 
 
-def _texts(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def _pieces(batches):
+    """Arrow batches in pieces of SOME rows."""
+    for whole in batches:
+        for k in range(0, whole.num_rows, SOME):
+            yield whole.slice(k, SOME)
 
 
-def _lines(docs: DataFrame, signed: bool, wanted=None, least: int = MIN_CHARS) -> DataFrame:
-    """A row for each line that takes part: id, id2, doc_id, doc_key, line, and keys (signed) or text (not signed; only those wanted)."""
+def _lines(docs: DataFrame, least: int) -> DataFrame:
+    """A row for each line that takes part: id, id2, nil (1: no doc_id), doc_id, doc_key, line, size (characters), keys."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
-        want = None if wanted is None else set(wanted.value[:, 0].tolist())
-        for whole in batches:
-            for k in range(0, whole.num_rows, 512):
-                batch = whole.slice(k, 512)
-                rows = [(a, b, d, key, n, own) for d, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for key in (doc_key(t),) for n, a, b, own in line_ids(t, least) if want is None or a in want]
-                a, b, d, key, n, own = zip(*rows) if rows else ((),) * 6
-                first = [pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(d, pa.int64()), pa.array(key, pa.int64()), pa.array(n, pa.int32())]
-                if signed:
-                    keys = signatures(list(own)) if rows else np.empty((0, BANDS), np.int64)
-                    last = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
-                else:
-                    last = pa.array(own, pa.string())
-                yield pa.RecordBatch.from_arrays([*first, last], names=["id", "id2", "doc_id", "doc_key", "line", "keys" if signed else "text"])
+        for batch in _pieces(batches):
+            texts = batch.column(2).to_pylist()
+            at, line, ids, ids2, own = line_table(texts, least)
+            doc_keys = np.array([doc_key(t) if t else 0 for t in texts], np.int64)
+            keys = signatures(own) if own else np.empty((0, BANDS), np.int64)
+            size = np.fromiter(map(len, own), np.int64, len(own))
+            first = [pa.array(x) for x in (ids, ids2, batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at], doc_keys[at], line, size)]
+            last = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
+            yield pa.RecordBatch.from_arrays([*first, last], names=["id", "id2", "nil", "doc_id", "doc_key", "line", "size", "keys"])
 
-    return _texts(docs).mapInArrow(run, "id long, id2 long, doc_id long, doc_key long, line int, " + ("keys array<long>" if signed else "text string"))
+    return docs.selectExpr(*_PLACED, _TEXT).mapInArrow(run, "id long, id2 long, nil long, doc_id long, doc_key long, line int, size long, keys array<long>")
 
 
-def _send(df: DataFrame, most: int):
-    """The table's rows (longs) as a broadcast array, or None if it has more than ``most`` of them."""
-    rows = bounded_array(df, most)
-    return None if rows is None else df.sparkSession.sparkContext.broadcast(rows)
+#: Whether there is no doc_id (1 or 0), the doc_id (0 if none), the text (empty if none).
+_PLACED = ("cast(doc_id is null as long) as nil", "coalesce(cast(doc_id as long), 0L) as doc_id")
+_TEXT = "coalesce(cast(text as string), '') as text"
 
 
-#: Orders keepers; a null doc_id comes last.
-_PLACE = "struct(doc_id is null as nil, coalesce(doc_id, 0) as doc_id, doc_key, line)"
+def _found(docs: DataFrame, sent, least: int) -> DataFrame:
+    """id, id2, nil, doc_id, doc_key, line, text of each line whose id is in the first column of the broadcast array (None: of all)."""
 
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
-def surplus(docs: DataFrame, most_sent: int = MOST_SENT, least: int = MIN_CHARS) -> DataFrame:
+        for batch in _pieces(batches):
+            texts = batch.column(2).to_pylist()
+            at, line, ids, ids2, own = line_table(texts, least)
+            if sent is not None:
+                hit = np.flatnonzero(_among(ids, sent.value[:, 0])[1])
+                at, line, ids, ids2, own = at[hit], line[hit], ids[hit], ids2[hit], [own[k] for k in hit.tolist()]
+            keys = {d: doc_key(texts[d]) for d in set(at.tolist())}
+            key = np.fromiter((keys[d] for d in at.tolist()), np.int64, len(at))
+            columns = [pa.array(x) for x in (ids, ids2, batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at], key, line)]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(own, pa.string())], names=["id", "id2", "nil", "doc_id", "doc_key", "line", "text"])
+
+    return docs.selectExpr(*_PLACED, _TEXT).mapInArrow(run, "id long, id2 long, nil long, doc_id long, doc_key long, line int, text string")
+
+
+def _among(ids, known):
+    """The first place of each id in the sorted array ``known``, and whether it is there."""
+    import numpy as np
+
+    if not len(known):
+        return np.zeros(len(ids), np.int64), np.zeros(len(ids), bool)
+    at = np.minimum(known.searchsorted(ids), len(known) - 1)
+    return at, known[at] == ids
+
+
+def _send(df: DataFrame, most: int):
+    """The table's rows (longs), sorted by the first column, as a broadcast array, or None if it has more than ``most`` of them."""
+    rows = bounded_array(df, most)
+    return None if rows is None else df.sparkSession.sparkContext.broadcast(rows[rows[:, 0].argsort(kind="stable")])
+
+
+def surplus(docs: DataFrame, most_sent: int = MOST_SENT, least: int = 1) -> DataFrame:
     """id, id2, keep_nil, keep_doc, keep_key, keep_line: a row for each distinct line of which some occurrence goes, and where the one that stays is."""
-    distinct = cut(
-        _lines(docs, True, None, least).groupBy("id", "id2").agg(F.min(F.expr(_PLACE)).alias("at"), F.count(F.lit(1)).alias("n"), F.first("keys").alias("keys"))
-    )
-    shared = distinct.select("id", F.explode("keys").alias("key")).withColumn("_n", F.count(F.lit(1)).over(W.partitionBy("key"))).where("_n > 1")
-    shared = cut(shared.select("key", "id"))
+    place = F.struct("nil", "doc_id", "doc_key", "line")  # orders keepers; a null doc_id comes last
+    distinct = cut(_lines(docs, least).groupBy("id", "id2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
+    each = distinct.select("id", "size", F.explode("keys").alias("key"))
+    bands = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    few = bands.limit(MOST_BANDS + 1).count() <= (MOST_BANDS if most_sent else 0)
+    shared = cut(each.join(F.broadcast(bands) if few else bands, "key"))
     wanted_ids = shared.select("id").distinct()
     sent = _send(wanted_ids, most_sent)
-    texts = _lines(docs, False, sent, least)
+    texts = _found(docs, sent, least).select("id", "id2", "text")
     if sent is None:
         texts = texts.join(wanted_ids, "id", "left_semi")
     texts = texts.groupBy("id", "id2").agg(F.first("text").alias("text"))
-    dealt = cells(shared, ["key"], "id", CELL).select("cell", "id").join(texts, "id").select("cell", F.struct("id", "id2").alias("id"), "text")
-    dealt = dealt.select("cell", "id.id", "id.id2", "text")
+    dealt = cells(shared, ["key"], "id", CELL, "size", CELL_CHARS).select("cell", "id").join(texts, "id").select("cell", "id", "id2", "text")
 
     def run(batches):
         import pyarrow as pa
@@ -200,70 +275,66 @@ def surplus(docs: DataFrame, most_sent: int = MOST_SENT, least: int = MIN_CHARS)
     named = distinct.select("id", "id2", "at", "n").join(roots, ["id", "id2"], "left").where("n > 1 or root is not null")
     named = named.withColumn("root", F.coalesce("root", F.struct("id", "id2")))
     first = named.groupBy("root").agg(F.min("at").alias("keep"))
-    out = named.join(first, "root").select("id", "id2", F.col("keep.nil").cast("long").alias("keep_nil"), F.col("keep.doc_id").alias("keep_doc"), F.col("keep.doc_key").alias("keep_key"), F.col("keep.line").cast("long").alias("keep_line"))
-    return cut(out)
+    keep = [F.col(f"keep.{a}").cast("long").alias(f"keep_{b}") for a, b in (("nil", "nil"), ("doc_id", "doc"), ("doc_key", "key"), ("line", "line"))]
+    out = cut(named.join(first, "root").select("id", "id2", *keep))
+    discard(distinct, bands, shared)
+    return out
 
 
-def drop_lines(docs: DataFrame, most_sent: int = MOST_SENT, least: int = MIN_CHARS) -> DataFrame:
+def drop_lines(docs: DataFrame, most_sent: int = MOST_SENT, least: int = 1) -> DataFrame:
     """docs with the text of the lines that stay, n_lines and n_removed (long; lines before, and how many went).
 
-    Every row of docs stays, in any case, with its other columns (one named n_lines or n_removed is replaced). Null text:
-    stays null, no lines. The session's Arrow batches are held to BATCH rows. Rows that repeat both doc_id and text count as one document and are cut alike. A text of which
-    all lines go becomes empty. Empty docs: empty result.
+    Every row of docs stays, in any case, with its other columns whatever their names (one named n_lines or n_removed is
+    replaced). Null text: stays null, no lines. Null doc_id: the last to keep a line. Rows that repeat both doc_id and
+    text count as one document and are cut alike. A text of which all lines go becomes empty. Empty docs: empty result.
+    Texts and lines may be of any length.
     """
     docs = docs.drop("n_lines", "n_removed")
-    conf = docs.sparkSession.conf
-    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH:  # whole texts go through Python and back
-        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
     gone = surplus(docs, most_sent, least)
     sent = _send(gone, most_sent)
-    table = None
+    own = packed(docs, "doc_id", "text").withColumn("text", F.col("text").cast("string"))
+    new = {"text": F.col("text")}
     if sent is None:
         # places to drop, by document
-        at = _lines(docs, False, None, least).drop("text").join(gone, ["id", "id2"])
-        at = at.where("not (keep_nil = cast(doc_id is null as long) and keep_doc = coalesce(doc_id, 0) and keep_key = doc_key and keep_line = line)")
-        table = at.groupBy("doc_id", "doc_key").agg(F.sort_array(F.collect_set("line")).alias("_drop"))
-    text = F.col("text").cast("string")
-    whole = docs.withColumn("_t", text)
-    if table is not None:
-        key = F.shiftrightunsigned(F.xxhash64(F.coalesce("_t", F.lit(""))), 1)
-        whole = whole.withColumn("_key", key)
-        whole = whole.join(table.select(F.col("doc_id").alias("_d"), F.col("doc_key").alias("_k"), "_drop"), (F.col("_key") == F.col("_k")) & F.col("doc_id").eqNullSafe(F.col("_d")), "left").drop("_d", "_k", "_key")
-        lines = F.split("_t", "\n", -1)
-        left = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.col("_drop"), i), F.lit(False)))
-        made = whole.withColumns({"n_lines": F.coalesce(F.when(F.length("_t") > 0, F.size(lines)), F.lit(0)).cast("long"), "n_removed": F.coalesce(F.size("_drop"), F.lit(0)).cast("long")})
-        made = made.withColumn("n_removed", F.greatest("n_removed", F.lit(0).cast("long")))
-        return made.withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(left, "\n")).otherwise(F.col("_t"))).select(*docs.columns, "n_lines", "n_removed")
-
-    def run(pairs):
-        import pandas as pd
+        at = _found(docs, None, least).drop("text").join(gone, ["id", "id2"])
+        at = at.where("not (keep_nil = nil and keep_doc = doc_id and keep_key = doc_key and keep_line = line)")
+        places = at.groupBy("nil", "doc_id", "doc_key").agg(F.sort_array(F.collect_set("line")).alias("drop"))
+        key = F.shiftrightunsigned(F.xxhash64(F.coalesce("text", F.lit(""))), 1)
+        here = own.withColumns({"key": key, "nil": F.col("doc_id").isNull().cast("long"), "d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))}).alias("o")
+        both = here.join(places.alias("p"), F.expr("o.key = p.doc_key and o.nil = p.nil and o.d = p.doc_id"), "left").select("o.doc_id", "o.text", "o._row", "p.drop")
+        lines = F.split("text", "\n", -1)
+        left = F.filter(lines, lambda x, i: ~F.coalesce(F.array_contains(F.col("drop"), i), F.lit(False)))
+        counts = {"n_lines": F.coalesce(F.when(F.length("text") > 0, F.size(lines)), F.lit(0)).cast("long"), "n_removed": F.greatest(F.coalesce(F.size("drop"), F.lit(0)), F.lit(0)).cast("long")}
+        made = both.withColumns(counts).withColumn("text", F.when(F.col("n_removed") > 0, F.array_join(left, "\n")).otherwise(F.col("text")))
+        return made.select(*unpacked(made, docs, "doc_id", "text", **new), "n_lines", "n_removed")
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
 
         gone = sent.value
-        place: dict[int, list[int]] = {}
-        for k, own in enumerate(gone[:, 0].tolist()):
-            place.setdefault(own, []).append(k)
-        for ids, texts in pairs:
-            rows = []
-            for d, t in zip(ids, texts):
-                if t is None or t == "":
-                    rows.append((t, 0, 0))
-                    continue
-                d, key, drop = None if pd.isna(d) else int(d), None, set()
-                for k, a, b, _ in line_ids(t, least):
-                    for at in place.get(a, ()):
-                        if gone[at, 1] == b:
-                            key = doc_key(t) if key is None else key
-                            if tuple(gone[at, 2:].tolist()) != (int(d is None), d or 0, key, k):
-                                drop.add(k)
-                lines = t.split("\n")
-                rows.append(("\n".join(x for k, x in enumerate(lines) if k not in drop) if drop else t, len(lines), len(drop)))
-            yield pd.DataFrame(rows, columns=["text", "n_lines", "n_removed"])
-
-    from collections.abc import Iterator
-
-    import pandas as pd
-
-    run.__annotations__ = {"pairs": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    cutter = F.pandas_udf(run, "text string, n_lines long, n_removed long")
-    made = whole.withColumn("_m", cutter(F.col("doc_id").cast("long"), F.col("_t")))
-    return made.withColumns({"text": F.col("_m.text"), "n_lines": F.col("_m.n_lines"), "n_removed": F.col("_m.n_removed")}).select(*docs.columns, "n_lines", "n_removed")
+        known = np.ascontiguousarray(gone[:, 0])
+        for batch in _pieces(batches):
+            texts, nil, ids = batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
+            at, line, id1, id2, _ = line_table([t or "" for t in texts], least)
+            first, hit = _among(id1, known)
+            drop: dict[int, set[int]] = {}
+            keys: dict[int, int] = {}
+            for k in np.flatnonzero(hit).tolist():
+                d, n = int(at[k]), int(line[k])
+                for row in range(int(first[k]), len(known)):
+                    if known[row] != id1[k]:
+                        break
+                    if gone[row, 1] == id2[k]:
+                        if d not in keys:
+                            keys[d] = doc_key(texts[d])
+                        if tuple(gone[row, 2:].tolist()) != (nil[d], ids[d], keys[d], n):
+                            drop.setdefault(d, set()).add(n)
+            left = ["\n".join(x for k, x in enumerate(t.split("\n")) if k not in drop[d]) if d in drop else t for d, t in enumerate(texts)]
+            n_lines = [t.count("\n") + 1 if t else 0 for t in texts]
+            n_removed = [len(drop.get(d, ())) for d in range(len(texts))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(left, pa.string()), batch.column(2), pa.array(n_lines, pa.int64()), pa.array(n_removed, pa.int64())], names=["doc_id", "text", "_row", "n_lines", "n_removed"])
+
+    made = own.withColumns({"nil": F.col("doc_id").isNull().cast("long"), "d": F.coalesce(F.col("doc_id").cast("long"), F.lit(0).cast("long"))})
+    made = made.mapInArrow(run, T.StructType([*own.schema.fields, T.StructField("n_lines", T.LongType()), T.StructField("n_removed", T.LongType())]))
+    return made.select(*unpacked(made, docs, "doc_id", "text", **new), "n_lines", "n_removed")

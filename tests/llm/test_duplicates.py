@@ -112,10 +112,10 @@ def plain_lines(rows):
     for d, t in rows:
         for k, line in enumerate((t or "").split("\n")):
             own = " ".join(line.lower().split())
-            if len(line) >= 20 and len(own) >= 20:
+            if own:
                 at.append((own, (d is None, d or 0, xxhash.xxh64_intdigest((t or "").encode(), 42) >> 1, k)))
     texts = sorted({x for x, _ in at})
-    sets = [{x[k : k + 7] for k in range(len(x) - 6)} for x in texts]
+    sets = [{x[k : k + 7] for k in range(max(1, len(x) - 6))} for x in texts]
     near = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])]
     root = dict(zip(texts, classes(len(texts), near)))
     keep = {}
@@ -165,7 +165,7 @@ def test_lines_as_by_all_pairs(spark, odd, none, docs, sent):
 def test_short_lines_take_part(spark, sent):
     """Equal lines of any length and near lines of 7 to 19 characters by all pairs; blank lines stay."""
     rows = [(d, t) for d, (t, _) in enumerate(SHORT)]
-    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), sent, 1).collect()}
+    got = {r.doc_id: (r.text, r.n_removed) for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string"), sent).collect()}
     lines = [(d, k, " ".join(x.lower().split())) for d, t in rows for k, x in enumerate(t.split("\n")) if x.strip()]
     sets = [{x[k : k + 7] for k in range(max(1, len(x) - 6))} for _, _, x in lines]
     root = classes(len(lines), [(a, b) for a, b in combinations(range(len(lines)), 2) if len(sets[a] & sets[b]) * 5 >= 4 * len(sets[a] | sets[b])])
