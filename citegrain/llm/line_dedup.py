@@ -15,6 +15,8 @@ MOST_SENT rows each goes to the executors with the job, beyond it through a shuf
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -30,7 +32,9 @@ CELL, CELL_CHARS = 256, 2_000_000
 MOST_SENT = 400_000
 #: Shared bands that are sent along.
 MOST_BANDS = 1_000_000
-#: Texts that are held in one piece by a task, and their characters.
+#: Bands that a task sorts at once.
+BLOCK = 2_000_000
+#: Texts that are held in one piece by a task.
 SOME = 256
 
 
@@ -62,14 +66,25 @@ def doc_key(text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8", "surrogatepass"), 42) >> 1
 
 
+def _donors():
+    """For each value of a signature, the other ones in a fixed random order."""
+    import numpy as np
+
+    rng = np.random.default_rng(20_240_229)
+    n = BANDS * ROWS
+    return np.array([rng.permutation([k for k in range(n) if k != own]) for own in range(n)]).T.copy()
+
+
 def signatures(lines: list[str]):
-    """A row of BANDS signed 64-bit keys for each line; one under SHINGLE code points is filled up with zeros."""
+    """A row of BANDS signed 64-bit keys for each line; one under SHINGLE code points is filled up with zeros.
+
+    One-permutation MinHash: a shingle's hash falls into one of BANDS * ROWS ranges, and a range's value is the least hash
+    in it. A range without any borrows from another one, the first that has one in a fixed random order of its own.
+    """
     import numpy as np
 
     lines = [x.ljust(SHINGLE, "\0") for x in lines]
-
-    rng = np.random.default_rng(20_240_229)
-    mult = rng.integers(1, 1 << 32, BANDS * ROWS, dtype=np.uint32) | np.uint32(1)
+    n, none, donors = BANDS * ROWS, np.uint32(0xFFFFFFFF), _donors()
     out = np.empty((len(lines), BANDS), np.int64)
     at = 0
     while at < len(lines):
@@ -91,20 +106,24 @@ def signatures(lines: list[str]):
         for k in range(1, SHINGLE):
             inside[ends - k] = False
         h = h[inside[: len(h)]]
-        counts = sizes - SHINGLE + 1
-        starts = np.cumsum(counts) - counts
-        # the hashes are mixed already, so an odd factor is turn enough: least values come from the high bits
-        mins = np.empty((BANDS * ROWS, end - at), np.uint32)
-        turned = np.empty_like(h)
-        for p in range(BANDS * ROWS):
-            np.multiply(h, mult[p], out=turned)
-            mins[p] = np.minimum.reduceat(turned, starts)
-        wide = mins.astype(np.uint64).reshape(BANDS, ROWS, -1)
-        key = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[:, None], end - at, 1)
+        least = np.full((end - at) * n, none, np.uint32)
+        place = np.repeat(np.arange(0, (end - at) * n, n), sizes - SHINGLE + 1)
+        place += (h.astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+        np.minimum.at(least, place, h)
+        empty, filled = np.flatnonzero(least == none), least.copy()
+        for order in donors:
+            if not len(empty):
+                break
+            own = empty % n
+            got = least[empty - own + order[own]]
+            filled[empty] = got
+            empty = empty[got == none]
+        wide = filled.astype(np.uint64).reshape(-1, BANDS, ROWS)
+        key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (end - at, BANDS)).copy()
         for r in range(ROWS):
-            key = (key ^ wide[:, r]) * np.uint64(0x9E3779B97F4A7C15)
+            key = (key ^ wide[:, :, r]) * np.uint64(0x9E3779B97F4A7C15)
             key ^= key >> np.uint64(29)
-        out[at:end] = key.T.view(np.int64)
+        out[at:end] = key.view(np.int64)
         at = end
     return out
 
@@ -117,24 +136,26 @@ def shingle_sets(lines: list[str]) -> list:
     """
     import numpy as np
 
-    out: list = []
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     wide = len(code) > 0 and int(code.max()) >= 512
+    if not wide and len(code) >= SHINGLE:  # all places at once; those across two lines are not looked at
+        size = len(code) - SHINGLE + 1
+        every = code[:size].astype(np.int64)
+        for k in range(1, SHINGLE):
+            every |= code[k : size + k].astype(np.int64) << 9 * k
+    out: list = []
     names: dict[str, int] = {}
     at = 0
     for line in lines:
         n = len(line)
         if wide:
             own = np.array([names.setdefault(line[k : k + SHINGLE], len(names)) for k in range(max(1, n - SHINGLE + 1))], np.int64)
-        elif n <= SHINGLE:  # shorter than a shingle: a negative number, with its length
-            whole = sum(ord(c) << 9 * k for k, c in enumerate(line))
-            own = np.array([whole if n == SHINGLE else -1 - (whole << 3 | n)], np.int64)
+        elif n < SHINGLE:  # a negative number, with its length
+            own = np.array([-1 - (sum(ord(c) << 9 * k for k, c in enumerate(line)) << 3 | n)], np.int64)
         else:
-            part = code[at : at + n].astype(np.int64)
-            own = part[: n - SHINGLE + 1].copy()
-            for k in range(1, SHINGLE):
-                own |= part[k : n - SHINGLE + 1 + k] << 9 * k
-        out.append(np.unique(own))
+            own = every[at : at + n - SHINGLE + 1].copy()
+        own.sort()
+        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
         at += n
     return out
 
@@ -239,12 +260,65 @@ def _send(df: DataFrame, most: int):
     return None if rows is None else df.sparkSession.sparkContext.broadcast(rows[rows[:, 0].argsort(kind="stable")])
 
 
+def shared_bands(distinct: DataFrame) -> DataFrame:
+    """key: the bands that two or more rows of ``distinct`` (keys) have.
+
+    Most bands have one line only, so they travel packed: each task sorts some BLOCK of them, marks those it has twice, and
+    sends each range of hashes as one value; a range, of about as many bands, is merged by one task. A band is sent once
+    for each block at the most, however many lines share it.
+    """
+    ranges = max(1, math.ceil(distinct.count() * BANDS / BLOCK))
+
+    def packs(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        def out():
+            keys = np.concatenate(held)
+            keys.sort()
+            first = np.concatenate([[True], keys[1:] != keys[:-1]])
+            at = np.flatnonzero(first)
+            twice = np.diff(at, append=len(keys)) > 1
+            keys = keys[at]
+            ends = keys.searchsorted(((np.arange(1, ranges, dtype=object) << 64) // ranges).astype(np.uint64)).tolist() if ranges > 1 else []
+            spans = [(k, a, b) for k, (a, b) in enumerate(zip([0, *ends], [*ends, len(keys)])) if b > a]
+            columns = [pa.array([k for k, _, _ in spans], pa.int64()), pa.array([keys[a:b].tobytes() for _, a, b in spans], pa.binary()), pa.array([twice[a:b].tobytes() for _, a, b in spans], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "packed", "twice"])
+
+        held, size = [], 0
+        for batch in batches:
+            own = batch.column(0).flatten().to_numpy().view(np.uint64)
+            for k in range(0, len(own), BLOCK):
+                held.append(own[k : k + BLOCK])
+                size += len(held[-1])
+                if size >= BLOCK:
+                    yield out()
+                    held, size = [], 0
+        if size:
+            yield out()
+
+    def merged(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        for rows in by_cell(batches, 3):
+            keys = np.concatenate([np.frombuffer(x[1], np.uint64) for x in rows])
+            twice = np.concatenate([np.frombuffer(x[2], bool) for x in rows])
+            order = keys.argsort(kind="stable")
+            keys, twice = keys[order], twice[order]
+            twice[1:] |= keys[1:] == keys[:-1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(keys[twice]).view(np.int64))], names=["key"])
+
+    sent = distinct.select("keys").mapInArrow(packs, "part long, packed binary, twice binary")
+    return sent.repartition("part").sortWithinPartitions("part").mapInArrow(merged, "key long")
+
+
 def surplus(docs: DataFrame, most_sent: int = MOST_SENT, least: int = 1) -> DataFrame:
     """id, id2, keep_nil, keep_doc, keep_key, keep_line: a row for each distinct line of which some occurrence goes, and where the one that stays is."""
     place = F.struct("nil", "doc_id", "doc_key", "line")  # orders keepers; a null doc_id comes last
     distinct = cut(_lines(docs, least).groupBy("id", "id2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
     each = distinct.select("id", "size", F.explode("keys").alias("key"))
-    bands = cut(each.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key"))
+    bands = cut(shared_bands(distinct))
     few = bands.limit(MOST_BANDS + 1).count() <= (MOST_BANDS if most_sent else 0)
     shared = cut(each.join(F.broadcast(bands) if few else bands, "key"))
     wanted_ids = shared.select("id").distinct()
