@@ -119,20 +119,27 @@ def decode_docs(ids: DataFrame, path: str | None = None, pat: str | None = None)
     return ids.select(F.col("doc_id").cast("long"), F.col("ids").cast("array<int>")).mapInArrow(run, "doc_id long, bytes binary")
 
 
-def digests(docs: DataFrame, path: str | None = None, pat: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row: encoded, then decoded, without the ids leaving the task."""
+def digests(docs: DataFrame, path: str | None = None, pat: str | None = None, with_ids: bool = False) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of each row, and ids (array<int>) if asked for: encoded, then decoded.
+
+    Null or empty text: no ids, the digests of nothing. Null doc_ids stay, rows may repeat, other columns are ignored
+    whatever their names, and empty docs give an empty result. Texts of any length are encoded whole.
+    """
 
     def rows(enc, texts):
         from hashlib import sha256
 
         import pyarrow as pa
 
-        out = ([], [], [])
+        out = ([], [], [], [])
         for t in texts:
             ids = encode(enc, t)
             out[0].append(len(ids))
             out[1].append(sha256(str(ids)[1:-1].replace(" ", "").encode()).hexdigest())
             out[2].append(sha256(enc.decode_bytes(ids)).hexdigest())
-        return [pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])]
+            if with_ids:
+                out[3].append(ids)
+        made = [pa.array(out[0], pa.int64()), pa.array(out[1]), pa.array(out[2])]
+        return [*made, pa.array(out[3], pa.list_(pa.int32()))] if with_ids else made
 
-    return _run(docs, path, pat, "n_tokens long, ids_sha256 string, decoded_sha256 string", rows)
+    return _run(docs, path, pat, "n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else ""), rows)

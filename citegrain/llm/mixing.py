@@ -6,7 +6,8 @@ source can't take is shared among the others by weight (water filling, solved in
 Within a source with S words and target T, every document is taken floor(T / S) times. The remaining budget R < S is
 fitted by document counts for each exact length: a like share of every length is taken first, rounded down, and a
 bounded-knapsack dynamic program over the counts that are left finds the reachable sum closest below what remains. Which
-documents of a length are taken is decided by a seeded hash of doc_id, so that reruns agree.
+documents of a length are taken is decided by a seeded hash of doc_id, then doc_id and a hash of the text, so that reruns
+agree.
 
 Only lengths and counts meet in one task: a source's histogram has a row for each distinct length, however many
 documents it has. The documents of a length are ranked in slices of a hash range, so that no length gathers in one task.
@@ -14,11 +15,13 @@ documents it has. The documents of a length are ranked in slices of a hash range
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import ships_by_value, cut
+from .common import cut, packed, ships_by_value, unpacked
 
 ships_by_value(__name__)
 
@@ -61,7 +64,8 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
     """How many of each length to take so that the sum comes as close to the budget from below as it can after the like shares.
 
     Bounded knapsack: after like shares and a greedy pass from long to short, twice the longest length or EXACT words
-    remain at most; a bit set of reachable sums (a count in binary parts) is walked back to the counts.
+    remain at most; a bit set of reachable sums (a count in binary parts) is walked back to the counts. Of n parts, about
+    2 * sqrt(n) bit sets are held at a time.
     """
     if budget <= 0 or not lengths:
         return [0] * len(lengths)
@@ -87,18 +91,27 @@ def fit(lengths: list[int], counts: list[int], budget: int) -> list[int]:
             parts.append((k, n, n * a))
             left -= n
             n *= 2
-    mask, reach, steps = (1 << (rest + 1)) - 1, 1, []
-    for k, n, a in parts:
-        new = (reach | reach << a) & mask
-        steps.append((k, n, a, new & ~reach))
-        reach = new
+    # the sums that the first parts reach, kept at every so many parts; those in between are worked out again on the way back
+    mask, reach, block = (1 << (rest + 1)) - 1, 1, max(1, math.isqrt(len(parts)))
+    kept = [reach]
+    for done, (_, _, a) in enumerate(parts, 1):
+        reach |= (reach << a) & mask
+        if done % block == 0:
+            kept.append(reach)
         if reach >> rest & 1:
+            parts = parts[:done]
             break
     at = reach.bit_length() - 1
-    for k, n, a, first in reversed(steps):
-        if first >> at & 1:  # the sum was first reached with this part
-            took[k] += n
-            at -= a
+    for start in range((len(parts) - 1) // block * block, -1, -block):
+        some, reach, first = parts[start : start + block], kept[start // block], []
+        for _, _, a in some:
+            new = (reach | reach << a) & mask
+            first.append(new & ~reach)
+            reach = new
+        for (k, n, a), reached in zip(reversed(some), reversed(first)):
+            if reached >> at & 1:  # the sum was first reached with this part
+                took[k] += n
+                at -= a
     return took
 
 
@@ -140,17 +153,20 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) ->
     before = slices.withColumn("_before", F.coalesce(F.sum("_k").over(W.partitionBy("source", "size").orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).drop("_k")
     cond = F.col("a.source").eqNullSafe(F.col("b.source")) & (F.col("a.size") == F.col("b.size")) & (F.col("a._part") == F.col("b._part"))
     ranked = partial.alias("a").join(before.alias("b"), cond).select("a.*", "b._before")
-    rank = F.col("_before") + F.row_number().over(W.partitionBy(*group).orderBy("_h", "doc_id"))
+    rank = F.col("_before") + F.row_number().over(W.partitionBy(*group).orderBy("_h", "doc_id", "key"))
     picked = ranked.withColumn("times", F.col("times") + (rank <= F.col("_more")).cast("long"))
     return simple.unionByName(picked.select(*simple.columns))
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs as the mix takes them: each as often as mix() says, the others left out. All columns stay."""
-    plan = mix(docs, **options).groupBy("doc_id", "key").agg(F.sum("times").alias("_times"), F.count(F.lit(1)).alias("_rows"))
-    plan = cut(plan.where("_times > 0").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k"), "_times", "_rows"))
-    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_k"))
-    both = docs.join(plan, same)
-    if not plan.where("_rows > 1").isEmpty():  # rows that can't be told apart: one of them stands for all
-        both = both.where("_rows = 1").unionByName(both.where("_rows > 1").dropDuplicates(["_d", "_k"]))
-    return both.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), F.col("_times")))).select(*docs.columns)
+    """The rows of docs as the mix takes them: each as often as mix() says, the others left out.
+
+    All columns stay, whatever their names. Rows with the same doc_id and text can't be told apart: one of them stands
+    for all, as often as they are taken together. Null doc_ids and texts are like any other; empty docs: empty result.
+    """
+    plan = mix(docs, **options).groupBy("doc_id", "key").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
+    plan = cut(plan.where("times > 0").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "times", "rows"))
+    both = packed(docs, "doc_id", "text").join(plan, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k")))
+    if not plan.where("rows > 1").isEmpty():
+        both = both.where("rows = 1").unionByName(both.where("rows > 1").dropDuplicates(["d", "k"]))
+    return both.withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*unpacked(both, docs, "doc_id", "text"))

@@ -12,6 +12,9 @@ testing), which needs no correction along the grid. The risk is split over the r
 reject at most ``risk`` of a stratum's good documents, with confidence 1 - delta for all strata at once. Of the
 certified cutoffs, the one with the best balance of bad over good rejections is taken. A stratum with too few labels
 certifies nothing and keeps all its documents.
+
+The test takes labelled documents as independent draws. A text that occurs more than once in a stratum is one draw, with
+its least label; near copies that differ in their text still count each.
 """
 
 from __future__ import annotations
@@ -112,19 +115,25 @@ def _tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k == 0, F.exp(first)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1).cast("long"))), start, step, lambda s: F.exp(s["l"])))
 
 
+def _named(stratum: Column) -> Column:
+    """A stratum's name for joins and maps, null and the empty string apart."""
+    return F.coalesce(F.concat(F.lit("="), stratum.cast("string")), F.lit(""))
+
+
 def fit_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk: float = RISK, delta: float = DELTA) -> DataFrame:
     """Certified cutoffs: stratum, rule, cutoff (in steps), n_good, good_rejected, bad_rejected.
 
     docs: doc_id, text and the stratum column; labels: doc_id, quality (1 good, 0 bad; the least of repeated labels,
-    nulls ignored). Only counts by stratum, rule and step are gathered.
+    nulls ignored). A null stratum is one of its own. Only counts by stratum, rule and step are gathered.
     """
     p = risk / len(RULES)
     label = labels.where("quality is not null").groupBy("doc_id").agg(F.min("quality").alias("_q"))
     # only what the scores need, without the costly counts
     needed = {"word_chars": F.length(F.regexp_replace(text_of(), r"[\x20\x09-\x0D]+", "")).cast("long"), "n_symbols": _only(text_of(), SYMBOLS), "n_capitals": _only(text_of(), CAPITALS)}
-    slim = docs.select("doc_id", F.coalesce(F.col(stratum), F.lit("")).alias("stratum"), F.struct(*[c.alias(k) for k, c in needed.items()]).alias("_m"))
-    slim = slim.select("doc_id", "stratum", *[_bin(r, lambda c: F.col("_m")[c]).alias(r) for r in RULES])
-    seen = slim.join(label, "doc_id").select("stratum", "_q", F.explode(F.create_map(*[y for r in RULES for y in (F.lit(r), F.col(r))])).alias("rule", "bin"))
+    slim = docs.select("doc_id", _named(F.col(stratum)).alias("stratum"), F.xxhash64(text_of()).alias("text"), F.struct(*[c.alias(k) for k, c in needed.items()]).alias("_m"))
+    slim = slim.select("doc_id", "stratum", "text", *[_bin(r, lambda c: F.col("_m")[c]).alias(r) for r in RULES])
+    drawn = slim.join(label, "doc_id").groupBy("stratum", "text", *RULES).agg(F.min("_q").alias("_q"))
+    seen = drawn.select("stratum", "_q", F.explode(F.create_map(*[y for r in RULES for y in (F.lit(r), F.col(r))])).alias("rule", "bin"))
     counted = cut(seen.groupBy("stratum", "rule", "bin").agg(F.sum(F.when(F.col("_q") >= 1, 1).otherwise(0)).alias("good"), F.sum(F.when(F.col("_q") >= 1, 0).otherwise(1)).alias("bad")))
     by_rule = W.partitionBy("stratum", "rule")
     # every cutoff 1..STEPS, so that the order of trials does not depend on which scores occur
@@ -139,7 +148,8 @@ def fit_cutoffs(docs: DataFrame, labels: DataFrame, stratum: str = "lang", risk:
     steps = steps.withColumn("_fails", F.max(F.when(passes, 0).otherwise(1)).over(down)).where("_fails = 0")
     gain = F.col("bad_rejected") - GOOD_WEIGHT * F.col("good_rejected")
     best = steps.withColumn("_rank", F.row_number().over(by_rule.orderBy(gain.desc(), F.desc("bin")))).where((F.col("_rank") == 1) & (gain > 0))
-    return best.select("stratum", "rule", F.col("bin").alias("cutoff"), "n_good", "good_rejected", "bad_rejected")
+    name = F.when(F.col("stratum") != "", F.expr("substring(stratum, 2)")).alias("stratum")
+    return best.select(name, "rule", F.col("bin").alias("cutoff"), "n_good", "good_rejected", "bad_rejected")
 
 
 def judge(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFrame:
@@ -150,12 +160,14 @@ def judge(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFra
     """
     made = (*FEATURES, "base_failed", "rejected_by", "kept")
     own = docs.drop(*made)
-    name = F.coalesce(F.col(stratum), F.lit(""))
-    few = bounded(cutoffs.select("stratum", "rule", "cutoff"), MOST_LITERALS)
+    columns = [F.col(f"o.`{c}`") for c in own.columns]
+    own, name = own.alias("o"), _named(F.col(f"o.`{stratum}`"))
+    cutoffs = cutoffs.select(_named(F.col("stratum")).alias("stratum"), "rule", "cutoff")
+    few = bounded(cutoffs, MOST_LITERALS)
     if few is None:
-        wide = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("_cut"))
-        own = own.join(wide.withColumnRenamed("stratum", "_stratum"), name == F.col("_stratum"), "left").drop("_stratum")
-        limit = {r: F.col("_cut")[r] for r in RULES}
+        wide = cutoffs.groupBy("stratum").agg(F.map_from_entries(F.collect_list(F.struct("rule", "cutoff"))).alias("cut"))
+        own = own.join(wide.alias("w"), name == F.col("w.stratum"), "left")
+        limit = {r: F.col("w.cut")[r] for r in RULES}
     else:
         by: dict[str, list] = {r: [F.lit(x) for s, rule, c in few if rule == r for x in (s, c)] for r in RULES}
         limit = {r: F.element_at(F.create_map(*by[r]), name) if by[r] else F.lit(None).cast("int") for r in RULES}
@@ -167,4 +179,4 @@ def judge(docs: DataFrame, cutoffs: DataFrame, stratum: str = "lang") -> DataFra
         return F.struct(*[m[c].alias(c) for c in FEATURES], fails.alias("base_failed"), hit.alias("rejected_by"), (~fails & (F.size(hit) == 0)).alias("kept"))
 
     # one generated row from the text to the verdict: neither a filter above nor the choice of fields works it out again
-    return own.select(*[c for c in own.columns if c != "_cut"], F.inline(F.array(let(measured(text_of()), verdict))))
+    return own.select(*columns, F.inline(F.array(let(measured(text_of("o.text")), verdict))))

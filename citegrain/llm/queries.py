@@ -75,13 +75,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 _RULES = quality_rules
 ORACLE_SQL: dict[str, str] = {
     "op1_quality_rules": rf"""
-WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce('=' || lang, '') AS stratum, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
 win AS (SELECT rid, i, array_to_string(ws[i:i+4], ' ') AS g FROM (SELECT rid, ws, unnest(range(1, len(ws) - 3)) AS i FROM w)),
 dup AS (SELECT rid, i FROM win QUALIFY count(*) OVER (PARTITION BY rid, g) > 1),
 cov AS (SELECT rid, count(DISTINCT p) AS r FROM (SELECT rid, unnest(range(i, i + 5)) AS p FROM dup) GROUP BY rid),
 f AS (
-  SELECT rid, doc_id, stratum, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
+  SELECT rid, doc_id, stratum, t, len(ws)::BIGINT AS n_words, length(array_to_string(ws, ''))::BIGINT AS word_chars,
     length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::BIGINT AS n_symbols,
     length(regexp_replace(t, '[^A-ZÀ-ÖØ-Þ]+', '', 'g'))::BIGINT AS n_capitals,
     (len(list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')))
@@ -91,7 +91,7 @@ f AS (
 b AS (SELECT *, CASE WHEN word_chars > 0 THEN least({_RULES.STEPS}, floor(n_symbols * {_RULES.STEPS} / word_chars)) ELSE 0 END AS symbols,
     CASE WHEN word_chars > 0 THEN least({_RULES.STEPS}, floor(n_capitals * {_RULES.STEPS} / word_chars)) ELSE 0 END AS capitals FROM f),
 l AS (SELECT doc_id, min(quality) AS q FROM labels WHERE quality IS NOT NULL GROUP BY doc_id),
-s AS (SELECT stratum, q, rule, bin FROM (SELECT stratum, q, symbols, capitals FROM b JOIN l USING (doc_id)) UNPIVOT (bin FOR rule IN (symbols, capitals))),
+s AS (SELECT stratum, q, rule, bin FROM (SELECT stratum, min(q) AS q, symbols, capitals FROM b JOIN l USING (doc_id) GROUP BY stratum, t, symbols, capitals) UNPIVOT (bin FOR rule IN (symbols, capitals))),
 g AS (SELECT stratum, rule, count(*) FILTER (q >= 1) AS n_good FROM s GROUP BY ALL),
 k AS (SELECT g.stratum, g.rule, g.n_good, c.cut, (SELECT count(*) FROM s WHERE s.stratum = g.stratum AND s.rule = g.rule AND s.bin >= c.cut AND s.q >= 1) AS good,
     (SELECT count(*) FROM s WHERE s.stratum = g.stratum AND s.rule = g.rule AND s.bin >= c.cut AND s.q < 1) AS bad

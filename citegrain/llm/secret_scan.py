@@ -109,7 +109,8 @@ def scanner():
 def scan_docs(docs: DataFrame) -> DataFrame:
     """doc_id, spans (array of kind, start, end; code points, end exclusive) of each row of docs.
 
-    Null text: no spans. Other columns are ignored, rows may repeat, empty docs give an empty result.
+    Null text: no spans. Other columns are ignored, rows may repeat, empty docs give an empty result. Texts of any length
+    are scanned whole.
     """
 
     def rows(batches):

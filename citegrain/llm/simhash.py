@@ -7,10 +7,11 @@ Distinct fingerprints only are compared, so copies cost nothing. They are dealt
 bits are cut into radius + 2 blocks; two fingerprints that differ in at most radius bits agree in at least two whole
 blocks, so they share a shard of some pair of blocks (15 pairs for radius 4, shards keyed by 21 or 22 bits). Each shard
 has a BK-tree: the children of a node are keyed by their Hamming distance to it, and a search follows only the edges
-within the radius. The trees travel by shuffle to where a shard is searched rather than by one broadcast to all, since
-their total grows with the data. A shard above ``SHARD`` fingerprints is dealt into parts, every two of which meet in a
-tree of bounded size. A search skips a subtree that is known to hold its own component only, which keeps dense groups of
-near copies from costing the square of their size. Each tree hands out a spanning forest of its links, never all pairs.
+within the radius. Up to ``SENT`` distinct fingerprints, which is asked first, the trees' values are broadcast, and each
+task grows and searches those of its own shards; beyond it, what belongs to a shard travels by shuffle, with the same
+result. A shard above ``SHARD`` fingerprints is dealt into parts, every two of which meet in a tree of bounded size. A
+search skips a subtree that is known to hold its own component only, which keeps dense groups of near copies from costing
+the square of their size. Each tree hands out a spanning forest of its links, never all pairs.
 """
 
 from __future__ import annotations
@@ -20,12 +21,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Union, by_cell, cells, components, cut, ships_by_value
+from .common import Union, bounded_array, by_cell, cells, components, cut, discard, packed, ships_by_value, unpacked
 
 ships_by_value(__name__)
 
 #: Fingerprints in a part of a shard; a tree holds two parts at most.
 SHARD = 2048
+#: Distinct fingerprints that are broadcast (8 bytes each), and the tasks for each pair of blocks then.
+SENT, SPLIT = 500_000, 4
 
 
 def fingerprint(text: str | None, width: int) -> int:
@@ -116,35 +119,86 @@ class BKTree:
         return [(self.sets.find(k), k) for k in range(len(self.values)) if self.sets.find(k) != k]
 
 
-def links(fps: DataFrame, radius: int) -> DataFrame:
+def _batch(out):
+    import pyarrow as pa
+
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+
+
+def _forest(own: list[int], radius: int, out: tuple[list[int], list[int]]) -> None:
+    """Adds the links of a tree of distinct signed fingerprints to out."""
+    mask = (1 << 64) - 1
+    if len(own) == 2:
+        found = [(0, 1)] if ((own[0] ^ own[1]) & mask).bit_count() <= radius else []
+    else:
+        found = BKTree([x & mask for x in own], radius).forest()
+    for a, b in found:
+        out[0].append(own[a])
+        out[1].append(own[b])
+
+
+def _sent_links(spark, values, radius: int) -> DataFrame:
+    """links() of a sorted array of fingerprints, which is broadcast: a task grows the trees of a share of a pair's shards."""
+    from itertools import combinations_with_replacement
+
+    masks, shard = _masks(radius), SHARD
+    sent = spark.sparkContext.broadcast(values)
+
+    def run(batches):
+        import numpy as np
+
+        out: tuple[list[int], list[int]] = ([], [])
+        for batch in batches:
+            for task in batch.column(0).to_pylist():
+                which, share = divmod(task, SPLIT)
+                key = sent.value & np.int64(masks[which])
+                order = key.argsort(kind="stable")
+                key, own = key[order], sent.value[order]
+                starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+                sizes = np.diff(starts, append=len(key))
+                mine = (sizes > 1) & ((starts % SPLIT == share) | (sizes > shard))
+                for start, size in zip(starts[mine].tolist(), sizes[mine].tolist()):
+                    members = own[start : start + size]
+                    if size <= shard:
+                        _forest(members.tolist(), radius, out)
+                    else:  # every two parts meet, in the tasks of all shares
+                        parts = [members[k::-(-size // shard)] for k in range(-(-size // shard))]
+                        for k, (x, y) in enumerate(combinations_with_replacement(range(len(parts)), 2)):
+                            if x < y and k % SPLIT == share:
+                                _forest(np.concatenate([parts[x], parts[y]]).tolist(), radius, out)
+                    if len(out[0]) > 50_000:
+                        yield _batch(out)
+                        out = ([], [])
+        yield _batch(out)
+
+    n = len(masks) * SPLIT
+    return spark.range(0, n, 1, n).mapInArrow(run, "a long, b long")
+
+
+def links(fps: DataFrame, radius: int, most_sent: int = SENT) -> DataFrame:
     """Distinct fps (fp long) to links a, b that connect exactly what links within the radius connect."""
+    import numpy as np
+
+    few = bounded_array(fps.select("fp"), most_sent)
+    if few is not None:
+        return _sent_links(fps.sparkSession, np.sort(few[:, 0]), radius)
     shards = fps.select("fp", F.posexplode(F.array(*[F.col("fp").bitwiseAND(F.lit(m)) for m in _masks(radius)])).alias("t", "key"))
     dealt = cells(shards, ["t", "key"], "fp", SHARD).select("cell", "fp")
     # Parts of one shard meet in several cells, and cells may share a hash: a cell is a set, more in it only adds true links.
 
     def run(batches):
-        import pyarrow as pa
-
         out: tuple[list[int], list[int]] = ([], [])
-        mask = (1 << 64) - 1
         for rows in by_cell(batches, 2):
-            own = sorted({x[1] for x in rows})
-            if len(own) == 2:
-                found = [(0, 1)] if ((own[0] ^ own[1]) & mask).bit_count() <= radius else []
-            else:
-                found = BKTree([x & mask for x in own], radius).forest()
-            for a, b in found:
-                out[0].append(own[a])
-                out[1].append(own[b])
+            _forest(sorted({x[1] for x in rows}), radius, out)
             if len(out[0]) > 50_000:
-                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+                yield _batch(out)
                 out = ([], [])
-        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], names=["a", "b"])
+        yield _batch(out)
 
     return dealt.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
 
 
-def near_groups(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
+def near_groups(docs: DataFrame, width: int = 5, radius: int = 4, most_sent: int = SENT) -> DataFrame:
     """doc_id, key, fp, component_id of each row of docs; key is a hash of the text, component_id the component's smallest doc_id (nulls don't count; null if it has only such).
 
     docs: doc_id, text; other columns are ignored. Rows repeated in docs are repeated in the result; empty docs give an
@@ -152,7 +206,7 @@ def near_groups(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
     """
     own = cut(fingerprints(docs, width))
     firsts = own.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = components(links(firsts.select("fp"), radius))
+    roots = components(links(firsts.select("fp"), radius, most_sent))
     grouped = firsts.join(roots, firsts.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id")
@@ -172,11 +226,14 @@ def keep_one(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
     The documents to drop are looked up, not those to keep: they are few where copies are few.
     """
     groups = cut(near_groups(docs, width, radius))
-    drop = cut(groups.where("doc_id <> component_id").select(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).distinct())
-    same = (F.col("doc_id") == F.col("_d")) & (F.xxhash64("text") == F.col("_k"))
-    kept = docs.join(drop, same, "left_anti")
-    repeated = cut(groups.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_d"), F.col("key").alias("_k")).count().where("count > 1").select("_d", "_k"))
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, same).dropDuplicates(["_d", "_k"]).select(*docs.columns)
-    return kept.join(repeated, same, "left_anti").unionByName(once)
+    key = [F.col("doc_id").alias("d"), F.col("key").alias("k")]
+    drop = cut(groups.where("doc_id <> component_id").select(*key).distinct())
+    own = packed(docs, "doc_id", "text")
+    same = (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("k"))
+    kept = own.join(drop, same, "left_anti")
+    repeated = cut(groups.where("doc_id = component_id").groupBy(*key).count().where("count > 1").select("d", "k"))
+    discard(groups)
+    if not repeated.isEmpty():
+        once = kept.join(repeated, same).dropDuplicates(["d", "k"]).select(*kept.columns)
+        kept = kept.join(repeated, same, "left_anti").unionByName(once)
+    return kept.select(*unpacked(kept, docs, "doc_id", "text"))

@@ -8,9 +8,9 @@ counted grams are kept, in tables: windows of ORDER + 1 bytes are counted, short
 totals and kinds of a context are those of all its grams. Each distinct window of the urls that are to be scored has its
 log ratio worked out once. The most frequent windows, HEAD at most, are sent to the executors; the others are joined.
 
-The score is the difference of both log-likelihoods over the number of bytes. Its threshold is calibrated on a fifth of
-the ruled hosts, by hash, which the models have not seen: the one with the least mean error of both classes there.
-The models that judge have the counts of all ruled urls. If either class has no urls, all others are allowed.
+The score is the difference of both log-likelihoods over the number of bytes. A fifth of the ruled hosts, by hash, is held
+out of the models and calibrates the threshold: the one with the least mean error of both classes there. The same models
+judge. If either class has no urls to count, all others are allowed. Urls of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, ships_by_value
+from .common import cut, packed, ships_by_value, unpacked
 from .token_counts import _least
 
 ships_by_value(__name__)
@@ -88,8 +88,13 @@ def windows(urls: DataFrame) -> DataFrame:
     return found.groupBy("gram").agg(*[F.sum(c).alias(c) for c in CLASSES])
 
 
-#: The counts of each model: without and with the held-out hosts.
-MODELS = {"a0": ("allow",), "b0": ("block",), "a1": ("allow", "held_allow"), "b1": ("block", "held_block")}
+#: The classes that the models are counted from.
+MODELS = ("allow", "block")
+
+
+def held_out(host: Column) -> Column:
+    """Whether a host is left out of the models."""
+    return F.pmod(F.xxhash64(host, F.lit(5)), F.lit(5)) == 0
 
 
 def _chances(grams: DataFrame, size: int, shorter: DataFrame | None) -> DataFrame:
@@ -99,8 +104,7 @@ def _chances(grams: DataFrame, size: int, shorter: DataFrame | None) -> DataFram
     has 256 grams at most.
     """
     context = W.partitionBy(F.substring("gram", 1, size - 1))
-    own = grams.withColumns({m: sum((F.col(c) for c in of[1:]), F.col(of[0])) for m, of in MODELS.items()})
-    own = own.withColumns({f"{m}_total": F.sum(m).over(context) for m in MODELS} | {f"{m}_kinds": F.sum((F.col(m) > 0).cast("long")).over(context) for m in MODELS})
+    own = grams.withColumns({f"{m}_total": F.sum(m).over(context) for m in MODELS} | {f"{m}_kinds": F.sum((F.col(m) > 0).cast("long")).over(context) for m in MODELS})
     if shorter is None:
         own = own.withColumns({f"{m}_up": F.lit(1 / 256) for m in MODELS})
     else:
@@ -111,7 +115,7 @@ def _chances(grams: DataFrame, size: int, shorter: DataFrame | None) -> DataFram
 
 
 def ratios(found: DataFrame) -> DataFrame:
-    """gram, n (how often urls that are to be scored have it), r0, r1 (log ratio of both classes without and with held-out hosts, in 1/UNIT)."""
+    """gram, n (how often urls that are to be scored have it), r (log ratio of both classes, in 1/UNIT)."""
     levels = {ORDER + 1: found}
     for size in range(ORDER, 0, -1):
         shorter = levels[size + 1].groupBy(F.substring("gram", 2, size).alias("gram")).agg(*[F.sum(c).alias(c) for c in CLASSES])
@@ -121,8 +125,8 @@ def ratios(found: DataFrame) -> DataFrame:
         chances = _chances(levels[size], size, chances)
         if 2 < size <= ORDER:
             chances = cut(chances)
-    ratio = lambda k: F.round((F.log(f"p_a{k}") - F.log(f"p_b{k}")) * UNIT).cast("long").alias(f"r{k}")
-    return cut(chances.withColumn("n", F.col("held_allow") + F.col("held_block") + F.col("open")).where("n > 0").select("gram", "n", ratio(0), ratio(1)))
+    ratio = F.round((F.log("p_allow") - F.log("p_block")) * UNIT).cast("long").alias("r")
+    return cut(chances.withColumn("n", F.col("held_allow") + F.col("held_block") + F.col("open")).where("n > 0").select("gram", "n", ratio))
 
 
 def compiled(counts: dict[bytes, int]) -> dict[bytes, float]:
@@ -170,9 +174,9 @@ def likelihood(model: dict[bytes, float], raw: bytes) -> float:
 
 
 def scored(pages: DataFrame, table: DataFrame, head: int = HEAD) -> DataFrame:
-    """page (a struct with url), model (0 or 1) and score; pages: page, model; table: the ratios of all windows that they have."""
-    top = table.where(F.col("n") >= _least(table, head)).select("gram", "r0", "r1").toArrow()
-    sent = pages.sparkSession.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), zip(top.column(1).to_pylist(), top.column(2).to_pylist()))))
+    """page (a struct with url) and score; pages: page; table: the ratios of all windows that they have."""
+    top = table.where(F.col("n") >= _least(table, head)).select("gram", "r").toArrow()
+    sent = pages.sparkSession.sparkContext.broadcast(dict(zip(top.column(0).to_pylist(), top.column(1).to_pylist())))
 
     def run(batches):
         from collections import Counter
@@ -180,9 +184,9 @@ def scored(pages: DataFrame, table: DataFrame, head: int = HEAD) -> DataFrame:
         import pandas as pd
 
         known = sent.value
-        for urls, models in batches:
+        for urls in batches:
             rows = []
-            for url, model in zip(urls, models):
+            for url in urls:
                 raw, got, rest = grams_of(url), 0, Counter()
                 for at in range(len(raw) - ORDER):
                     g = raw[at : at + ORDER + 1]
@@ -190,7 +194,7 @@ def scored(pages: DataFrame, table: DataFrame, head: int = HEAD) -> DataFrame:
                     if r is None:
                         rest[g] += 1
                     else:
-                        got += r[model]
+                        got += r
                 rows.append((got, len(raw) - ORDER, [{"gram": g, "f": f} for g, f in rest.items()]))
             yield pd.DataFrame(rows, columns=["sum", "size", "rest"])
 
@@ -198,13 +202,13 @@ def scored(pages: DataFrame, table: DataFrame, head: int = HEAD) -> DataFrame:
 
     import pandas as pd
 
-    run.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series]], "return": Iterator[pd.DataFrame]}
-    own = F.pandas_udf(run, "sum long, size long, rest array<struct<gram:binary,f:long>>")(F.col("page.url").cast("string"), F.col("model"))
-    rows = cut(pages.select(F.monotonically_increasing_id().alias("row"), "page", "model", own.alias("own")))  # the ids hold from here on
-    each = rows.select("row", "model", F.explode("own.rest").alias("x")).select("row", "model", "x.gram", "x.f").join(table, "gram")
-    more = each.groupBy("row").agg(F.sum(F.col("f") * F.when(F.col("model") == 0, F.col("r0")).otherwise(F.col("r1"))).alias("more"))
+    run.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
+    own = F.pandas_udf(run, "sum long, size long, rest array<struct<gram:binary,f:long>>")(F.col("page.url").cast("string"))
+    rows = cut(pages.select(F.monotonically_increasing_id().alias("row"), "page", own.alias("own")))  # the ids hold from here on
+    each = rows.select("row", F.explode("own.rest").alias("x")).select("row", "x.gram", "x.f").join(table, "gram")
+    more = each.groupBy("row").agg(F.sum(F.col("f") * F.col("r")).alias("more"))
     total = F.col("own.sum") + F.coalesce("more", F.lit(0))
-    return rows.join(more, "row", "left").select("page", "model", (total / UNIT / F.col("own.size")).alias("score"))
+    return rows.join(more, "row", "left").select("page", (total / UNIT / F.col("own.size")).alias("score"))
 
 
 def calibrate(bins: list[tuple[int, str, int]]) -> float:
@@ -231,23 +235,22 @@ def judge(pages: DataFrame, rules=RULES, head: int = HEAD) -> DataFrame:
     """pages with host, path, rule, score (null where a rule judges) and verdict; columns of these names are replaced.
 
     Null url or none with ://: host and path empty, no rule, allowed unless the models say otherwise. Empty pages: empty
-    result. Repeated rows are judged alike and count as often in the models.
+    result. Repeated rows are judged alike and count as often in the models. Other columns stay, whatever their names.
     """
-    own = ["host", "path", "rule", "score", "verdict"]
-    named = pages.drop(*own).withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
-    named = named.withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    held = F.pmod(F.xxhash64("host", F.lit(5)), F.lit(5)) == 0
-    kind = F.when(F.col("_r").isNull(), 4).otherwise(F.when(F.col("_r.verdict") == "block", 1).otherwise(0) + F.when(held, 2).otherwise(0))
+    pages = pages.drop("host", "path", "rule", "score", "verdict")
+    named = packed(pages, "url").withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))})
+    named = named.withColumn("judged", rule_of(F.col("host"), F.col("path"), rules))
+    held, none = held_out(F.col("host")), F.lit(None).cast("double")
+    kind = F.when(F.col("judged").isNull(), 4).otherwise(F.when(F.col("judged.verdict") == "block", 1).otherwise(0) + F.when(held, 2).otherwise(0))
     found = cut(windows(named.select("url", kind.alias("kind"))))
-    out = named.withColumn("rule", F.col("_r.rule"))
     if all(found.agg(F.sum("allow"), F.sum("block")).first()):
-        judged = out.where(F.col("_r").isNull() | held).select(F.struct("*").alias("page"), F.col("_r").isNull().cast("int").alias("model"))
-        judged = scored(judged, ratios(found), head)
+        own = scored(named.where(F.col("judged").isNull() | held).select(F.struct("*").alias("page")), ratios(found), head)
         at = F.floor(F.greatest(F.lit(-LIMIT), F.least(F.lit(LIMIT), F.col("score"))) * BINS).cast("int")
-        bins = judged.where("model = 0").select(at.alias("bin"), F.col("page._r.verdict").alias("verdict")).groupBy("bin", "verdict").count().collect()
+        bins = own.where("page.judged is not null").select(at.alias("bin"), F.col("page.judged.verdict").alias("verdict")).groupBy("bin", "verdict").count().collect()
         threshold = calibrate([tuple(x) for x in bins])
-        rest = judged.where("model = 1").select("page.*", "score").withColumn("verdict", F.when(F.col("score") < threshold, "block").otherwise("allow"))
+        rest = own.where("page.judged is null").select("page.*", "score").withColumn("verdict", F.when(F.col("score") < threshold, "block").otherwise("allow"))
     else:
-        rest = out.where("_r is null").withColumns({"score": F.lit(None).cast("double"), "verdict": F.lit("allow")})
-    done = out.where("_r is not null").withColumns({"score": F.lit(None).cast("double"), "verdict": F.col("_r.verdict")})
-    return done.unionByName(rest).drop("_r")
+        rest = named.where("judged is null").withColumns({"score": none, "verdict": F.lit("allow")})
+    done = named.where("judged is not null").withColumns({"score": none, "verdict": F.col("judged.verdict")})
+    every = done.unionByName(rest)
+    return every.select(*unpacked(every, pages, "url"), "host", "path", F.col("judged.rule").alias("rule"), "score", "verdict")

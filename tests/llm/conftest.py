@@ -25,6 +25,7 @@ def odd(spark):
 
     rows = spark.createDataFrame(ODD, "doc_id long, text string, lang string, source string")
     clash = {"size": F.lit(7), "kept": F.lit("x"), "fp": F.lit(1.5), "key": F.lit("k"), "row": F.lit(0), "n_lines": F.lit(-1), "_t": F.lit("t"), "sigs": F.lit(3), "n_words": F.lit(-2), "n_capitals": F.lit("c"), "_w": F.lit(0), "host": F.lit("h"), "times": F.lit("t")}
+    clash |= {c: F.lit(f"own {c}") for c in ("_d", "_k", "_t", "_m", "_times", "_rows", "_cut", "_r", "_row", "_n", "cell", "id", "id2", "d", "k", "nil", "drop", "cut", "stratum", "rows", "each", "judged", "page", "key 2", "a.b")}
     return rows.withColumns(clash)
 
 

@@ -41,6 +41,13 @@ def test_bpe_round_trip(odd):
     same([(d, bytes(b)) for d, b in back], [(d, t.encode()) for d, t in texts(odd)])
 
 
+def test_bpe_of_very_long_texts(spark, enc):
+    """Texts over the size of a piece, with and without white space to cut at."""
+    long = ["It's  a \n\n test,\t\t  of 12 34\r\n pieces… é    end   " * 2500, "é" * 60_000, "word " * 30_000]
+    docs = spark.createDataFrame(list(enumerate(long)), "doc_id long, text string")
+    same(byte_bpe.digests(docs).collect(), [(d, *digest(enc, t)) for d, t in enumerate(long)])
+
+
 def test_bpe_pieces(enc):
     text = "It's  a \n\n test,\t\t  of 12 34\r\n pieces… é    end   " * 40
     for size in (1, 7, 50, 333):

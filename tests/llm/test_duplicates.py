@@ -61,16 +61,17 @@ def spread_fps(rng, centres, near, flips):
     return sorted(out)
 
 
-@pytest.mark.parametrize("radius,shard", [(4, 2048), (4, 8), (2, 5), (7, 16)])
-def test_links_connect_as_all_pairs_do(spark, radius, shard):
-    """Random points and dense balls, in whole shards and in shards that are cut into parts."""
+@pytest.mark.parametrize("sent", [500_000, 0])
+@pytest.mark.parametrize("radius,shard", [(4, 2048), (4, 8), (7, 16)])
+def test_links_connect_as_all_pairs_do(spark, radius, shard, sent):
+    """Random points and dense balls, in whole shards and in shards that are cut into parts; trees broadcast or shuffled."""
     rng = random.Random(radius * 100 + shard)
     fps = sorted({*spread_fps(rng, 12, 25, 4), *(rng.getrandbits(64) for _ in range(200))})
     want = classes(len(fps), [(a, b) for a, b in combinations(range(len(fps)), 2) if (fps[a] ^ fps[b]).bit_count() <= radius])
     signed = [x - (1 << 64) if x >> 63 else x for x in fps]
     before, simhash.SHARD = simhash.SHARD, shard
     try:
-        found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius).collect()
+        found = simhash.links(spark.createDataFrame([(x,) for x in signed], "fp long"), radius, sent).collect()
     finally:
         simhash.SHARD = before
     at = {x: i for i, x in enumerate(signed)}
@@ -188,7 +189,7 @@ SHORT = [
 
 def test_pipeline_drops_copies_with_short_lines(spark, sf):
     """A document of which every line stays elsewhere goes, short lines or not."""
-    import corpus_pipeline as p
+    from citegrain.llm import stages as p
 
     text = "Les.\nthis is a longer line of some words that counts"
     docs = spark.createDataFrame([(1, text), (2, text + "\nshort"), (3, text)], "doc_id long, text string")
@@ -196,6 +197,81 @@ def test_pipeline_drops_copies_with_short_lines(spark, sf):
     assert sorted((r.doc_id, r.text) for r in left.collect()) == [(1, text), (2, "short")]
 
 
+@pytest.mark.parametrize("sent", [400_000, 0])
+def test_a_line_is_never_lost(spark, sent):
+    """Ids that floats can't tell apart, beside a null one: one copy of each line stays."""
+    line = "a line of some words that three documents have"
+    rows = [((1 << 60) + 1, line), ((1 << 60) + 3, line), (None, "something else that only stands here"), (None, line)]
+    got = line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), sent).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted([(rows[0][0], line), (rows[1][0], ""), rows[2], (None, "")], key=str)
+
+
+def test_long_lines_in_small_cells(spark):
+    """Near-equal lines of many characters are dealt into more cells, not held at once, and come out whole."""
+    rng = random.Random(3)
+    base = [rng.choice("abcdefghij klm") for _ in range(3000)]
+    rows = []
+    for d in range(40):
+        w = list(base)
+        for _ in range(rng.randint(0, 20)):
+            w[rng.randrange(len(w))] = "Z"
+        rows.append((d, "x".join(["", *"".join(w).split(), ""])))
+    before, line_dedup.CELL_CHARS = line_dedup.CELL_CHARS, 20_000
+    try:
+        got = sorted(((r.doc_id, r.text, r.n_lines, r.n_removed) for r in line_dedup.drop_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()), key=str)
+    finally:
+        line_dedup.CELL_CHARS = before
+    assert got == plain_lines(rows)
+
+
+def test_wide_and_short_shingles():
+    """Packed and named shingles give the same sets as slices do, within one call."""
+    for lines in (["abcdefgh", "abcdefg", "abc", "cba", "ab", "aaaaaaaaaa", "aaaaaaa", "ÿÿÿÿÿÿÿÿ"], ["жжжжжжжж", "abcdefgh", "abc", "\U0001f600" * 9, "abcdefgхx"]):
+        own = line_dedup.shingle_sets(lines)
+        plain = [{x[k : k + 7] for k in range(max(1, len(x) - 6))} for x in lines]
+        for i, j in combinations(range(len(lines)), 2):
+            assert len(own[i]) == len(plain[i]) and len(set(own[i].tolist()) & set(own[j].tolist())) == len(plain[i] & plain[j])
+
+
+def test_shared_bands_in_blocks(spark):
+    rng = random.Random(2)
+    rows = [([rng.randrange(-31, 31) << 58 | rng.randrange(300) for _ in range(line_dedup.BANDS)],) for _ in range(200)]
+    count = {}
+    for (r,) in rows:
+        for x in r:
+            count[x] = count.get(x, 0) + 1
+    before, line_dedup.BLOCK = line_dedup.BLOCK, 90
+    try:
+        got = sorted(r.key for r in line_dedup.shared_bands(spark.createDataFrame(rows, "keys array<long>").repartition(5)).collect())
+    finally:
+        line_dedup.BLOCK = before
+    assert got == sorted(x for x, n in count.items() if n > 1)
+
+
+def test_cells_choose_the_same_keys_in_any_order(spark):
+    """Of keys with the same members one is dealt, the same one in whatever order rows come."""
+    from citegrain.llm.common import cells
+
+    rows = [(k, m) for k in range(40) for m in (1, 2, 3)]
+    seen = set()
+    for n in range(6):
+        random.Random(n).shuffle(rows)
+        dealt = cells(spark.createDataFrame(rows, "key long, id long").repartition(n + 1), ["key"], "id", 10)
+        seen.add(tuple(sorted((r.key, r.id) for r in dealt.collect())))
+    assert seen == {((0, 1), (0, 2), (0, 3))}
+
+
+def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
+    from types import SimpleNamespace
+
+    from citegrain.llm import common
+
+    unset = SimpleNamespace(isDefined=lambda: False)
+    context = SimpleNamespace(master="spark://host:7077", _jsc=SimpleNamespace(sc=lambda: SimpleNamespace(getCheckpointDir=lambda: unset)))
+    with pytest.raises(RuntimeError, match="checkpoint"):
+        common.shared_dir(SimpleNamespace(sparkContext=context, conf=SimpleNamespace(get=lambda *_: None)))
+
+
 def test_many_near_lines_in_cells(spark):
     """A group that is larger than a cell comes out whole."""
     before, line_dedup.CELL = line_dedup.CELL, 10
@@ -235,7 +311,9 @@ def test_spotsigs_likeness(request, which):
         m = len(t) // 4
         edited = t[: len(t) - m] + nxt[:m]
         a, b, c = plain_signatures(t), plain_signatures(edited), plain_signatures(nxt)
-        want.append((d, len(t), sha256(edited.encode()).hexdigest(), round(like(a, b), 9), round(like(a, c), 9)))
+        # lengths too far apart count as unlike without a comparison
+        near = [0.0 if min(len(a), len(x)) < spotsigs.LEAST * max(len(a), len(x)) else round(like(a, x), 9) for x in (b, c)]
+        want.append((d, len(t), sha256(edited.encode()).hexdigest(), *near))
     from pyspark.sql import functions as F
 
     got = [(r.doc_id, r.n_chars, r.sha, round(r.near_edited, 9), round(r.near_next, 9)) for r in spotsigs.likeness(df).withColumn("sha", F.sha2("edited", 256)).collect()]
@@ -265,29 +343,35 @@ def test_similar_pairs_are_all_found(spark, docs):
 
 
 def test_pipeline_stages(spark, sf):
-    import corpus_pipeline as p
+    from citegrain.llm import stages as p
 
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     kept = p.quality(spark, docs, sf)
     assert kept.columns == docs.columns
     lines = p.lines(spark, kept, sf)
     assert lines.columns == docs.columns and 0 < lines.count() <= kept.count()
+    # line dedup leaves next to no pair of five-word similarity 0.8 that the radius of the next stage would miss
+    word5 = {r.doc_id: frozenset(zip(*[(r.text or "").lower().split()[k:] for k in range(5)])) for r in lines.collect()}
     near = p.near_copies(spark, lines, sf)
+    left = [word5[r.doc_id] for r in near.collect()]
+    assert sum(bool(a and b) and like(a, b) >= 0.8 for a, b in combinations(left, 2)) == 0
     groups = simhash.near_groups(lines).collect()
     assert sorted(r.doc_id for r in near.collect()) == sorted({r.component_id for r in groups})
     mixed = p.mixture(spark, near, sf)
     assert mixed.columns == docs.columns
-    assert p.encoded(spark, mixed, sf).count() == mixed.count() == p.run(spark, sf).count()
+    ids = p.encoded(spark, mixed, sf)
+    assert ids.where("size(ids) <> n_tokens").count() == 0
+    assert ids.count() == mixed.count() == p.run(spark, sf).count()
 
 
 def test_pipeline_on_odd_rows(spark, sf, odd, none):
-    import corpus_pipeline as p
+    from citegrain.llm import stages as p
 
     for rows in (odd, none):
         for _, stage in p.STAGES[:-1]:
             made = stage(spark, rows, sf)
             assert made.columns == rows.columns
             # other columns come through unchanged, whatever they are called
-            rest = [c for c in rows.columns if c not in ("text", "n_chars")]
+            rest = [f"`{c}`" for c in rows.columns if c not in ("text", "n_chars")]
             assert made.select(*rest).subtract(rows.select(*rest)).count() == 0
         p.encoded(spark, rows, sf).collect()

@@ -36,7 +36,7 @@ def tail(n, k, p):
 
 def test_cutoffs_hold_their_risk(spark):
     # 3000 good documents with a few symbols, 300 bad ones with many; a second stratum with too few labels
-    rows = [(i, "ab" * 50 + "#" * (i % 7 == 0) * (i % 23), "en") for i in range(3000)] + [(10_000 + i, "ab#" * 30, "en") for i in range(300)] + [(20_000 + i, "ab#" * 30, "xx") for i in range(20)]
+    rows = [(i, f"{i:06d}" + "ab" * 50 + "#" * (i % 7 == 0) * (i % 23), "en") for i in range(3000)] + [(10_000 + i, f"{i:06d}" + "ab#" * 30, "en") for i in range(300)] + [(20_000 + i, f"{i:06d}" + "ab#" * 30, "xx") for i in range(20)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     labels = spark.createDataFrame([(r[0], int(r[0] < 10_000)) for r in rows] + [(5, None)], "doc_id long, quality int")
     found = quality_rules.fit_cutoffs(docs, labels).collect()
@@ -57,6 +57,26 @@ def test_cutoffs_hold_their_risk(spark):
     assert sorted(map(str, judged)) == sorted(map(str, again))
 
 
+def test_copies_are_one_draw_and_null_is_no_empty_name(spark):
+    """Copies of one good text do not certify a cutoff; null and '' are strata of their own."""
+    good = [(i, "ab" * 50, "en") for i in range(3000)]
+    bad = [(10_000 + i, f"{i:06d}" + "ab#" * 30, "en") for i in range(300)]
+    many = [(20_000 + i, f"{i:06d}" + "ab" * 50, None) for i in range(3000)] + [(30_000 + i, f"{i:06d}" + "ab#" * 30, None) for i in range(300)]
+    few = [(40_000 + i, f"{i:06d}" + "ab#" * 30, "") for i in range(9)]
+    rows = good + bad + many + few
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(r[0], int("#" not in r[1])) for r in rows], "doc_id long, quality int")
+    found = quality_rules.fit_cutoffs(docs, labels)
+    assert [(r.stratum, r.rule, r.n_good) for r in found.collect()] == [(None, "symbols", 3000)]
+    for literals in (2_000, 0):
+        before, quality_rules.MOST_LITERALS = quality_rules.MOST_LITERALS, literals
+        try:
+            hit = {r.doc_id for r in quality_rules.judge(docs, found).collect() if r.rejected_by}
+        finally:
+            quality_rules.MOST_LITERALS = before
+        assert hit == set(range(30_000, 30_300))
+
+
 def test_exact_tail(spark):
     from pyspark.sql import functions as F
 
@@ -77,6 +97,24 @@ def test_rules_equal_their_sql(spark, sf):
     assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
 
 
+def test_columns_come_through_whatever_they_are_called(spark, odd, labels):
+    """Every operator that keeps the columns of its input keeps the values of all of them."""
+    from citegrain.llm import line_dedup, simhash
+
+    pages = odd.withColumnRenamed("text", "url").drop("host", "kept")
+    made = {
+        "judge": (odd, quality_rules.judge(odd, quality_rules.fit_cutoffs(odd, labels)), ("n_words", "kept")),
+        "drop_lines": (odd, line_dedup.drop_lines(odd), ("n_lines", "text")),
+        "keep_one": (odd, simhash.keep_one(odd), ()),
+        "taken": (odd, mixing.taken(odd), ()),
+        "urls": (pages, url_filter.judge(pages), ("host", "path", "rule", "score", "verdict")),
+    }
+    for name, (rows, out, new) in made.items():
+        own = [f"`{c}`" for c in rows.columns if c not in new]
+        assert set(rows.columns) <= set(out.columns) | set(new), name
+        assert out.select(*own).subtract(rows.select(*own)).count() == 0, name
+
+
 def test_rules_on_odd_rows(odd, none, labels):
     cutoffs = quality_rules.fit_cutoffs(odd, labels)
     assert quality_rules.judge(odd, cutoffs).count() == odd.count()
@@ -146,6 +184,28 @@ def test_slices_keep_the_order(spark, docs):
         mixing.SLICE = before
 
 
+def test_equal_sizes_are_taken_alike(spark):
+    """Documents that differ in their text only are picked by it, in whatever order they come."""
+    rows = [(7, f"{i} b c", "ab"[i % 5 == 0]) for i in range(80)]
+    seen = set()
+    for k in range(4):
+        some = spark.createDataFrame(rows[k * 20 :] + rows[: k * 20], "doc_id long, text string, source string").repartition(k + 1)
+        seen.add(tuple(sorted((r.key, r.times) for r in mixing.mix(some).collect())))
+    assert len(seen) == 1
+
+
+def test_fit_holds_few_sums():
+    """A very long text among thousands of lengths: memory stays far below a bit set for each part."""
+    import tracemalloc
+
+    lengths, counts = [*range(1, 3001), 1_000_000], [3] * 3000 + [1]
+    tracemalloc.start()
+    took = mixing.fit(lengths, counts, 7_000_003)
+    assert sum(a * b for a, b in zip(lengths, took)) == 7_000_003
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+
+
 def test_fit_is_best():
     import random
 
@@ -222,6 +282,43 @@ def test_models_add_up_and_tell_apart(spark):
     assert sum((r.verdict == "block") == ("casino" in r.url) for r in rest) >= 190
 
 
+def held_hosts(spark, pages):
+    from pyspark.sql import functions as F
+
+    return {r.page_id for r in pages.where(url_filter.held_out(url_filter.host_of(F.col("url")))).collect()}
+
+
+def test_verdicts_by_brute_force(spark):
+    """The query against plain models of the same urls and a threshold found by trying all."""
+    from citegrain.llm.queries import op8_url_filter
+
+    sf = "/root/testdata/sf0.01"
+    pages = spark.read.parquet(f"{sf}/pages.parquet").select("page_id", "url")
+    got = {r.page_id: r for r in op8_url_filter(spark, sf).collect()}
+    held, url = held_hosts(spark, pages), {r.page_id: r.url for r in pages.collect()}
+    assert set(got) == set(url)
+    counted = {"allow": Counter(), "block": Counter()}
+    for i, r in got.items():
+        if r.rule and i not in held:
+            raw = url_filter.grams_of(url[i])
+            counted[r.verdict].update(raw[at - k : at + 1] for at in range(url_filter.ORDER, len(raw)) for k in range(url_filter.ORDER + 1))
+    models = {v: url_filter.compiled(c) for v, c in counted.items()}
+
+    def score(u):
+        raw = url_filter.grams_of(u)
+        return (url_filter.likelihood(models["allow"], raw) - url_filter.likelihood(models["block"], raw)) / (len(raw) - url_filter.ORDER)
+
+    known = [(math.floor(score(url[i]) * url_filter.BINS), r.verdict) for i, r in got.items() if r.rule and i in held]
+    wrong = lambda at: sum(b < at for b, v in known if v == "allow") / sum(v == "allow" for _, v in known) + sum(b >= at for b, v in known if v == "block") / sum(v == "block" for _, v in known)
+    tried = {at: wrong(at) for at in range(min(known)[0], max(known)[0] + 2)}
+    best = [at for at, w in tried.items() if w <= min(tried.values()) + 1e-12]
+    threshold = (best[0] + best[-1]) / 2 / url_filter.BINS
+    for i, r in got.items():
+        if r.rule is None:
+            assert r.score == pytest.approx(score(url[i]), abs=1e-9)
+            assert r.verdict == ("block" if r.score < threshold else "allow")
+
+
 def test_scores_are_those_of_all_grams(spark):
     """More grams of a class than any number that is sent: scores and verdicts are those of the plain models of all counts."""
     import random
@@ -231,10 +328,12 @@ def test_scores_are_those_of_all_grams(spark):
     urls = [f"http://s{i}.example.net/en/{tail()}" for i in range(2500)] + [f"http://s{i}.net/{tail()}" for i in range(2500)] + [f"http://s{i}.example.org/{tail()}" for i in range(200)]
     urls += [u.replace("example.net/en", "example.org") for u in urls[:20]] + [u.replace(".net", ".org", 1) for u in urls[2500:2520]] + [None]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    held = held_hosts(spark, pages)
     counted = {"allow": Counter(), "block": Counter()}
     for i, u in enumerate(urls[:5000]):
-        raw = url_filter.grams_of(u)
-        counted["allow" if i < 2500 else "block"].update(raw[at - k : at + 1] for at in range(url_filter.ORDER, len(raw)) for k in range(url_filter.ORDER + 1))
+        if i not in held:
+            raw = url_filter.grams_of(u)
+            counted["allow" if i < 2500 else "block"].update(raw[at - k : at + 1] for at in range(url_filter.ORDER, len(raw)) for k in range(url_filter.ORDER + 1))
     assert min(map(len, counted.values())) > 200_000
     models = [url_filter.compiled(c) for c in counted.values()]
     runs = [{r.page_id: r for r in df.collect()} for df in (url_filter.judge(pages), url_filter.judge(pages, head=500))]
@@ -261,6 +360,26 @@ def test_importance_prefers_the_target(spark, docs, labels, odd, none):
     assert all(r.kept and r.log_weight == 0 for r in importance.resample(odd, labels.limit(0)).collect())
 
 
+def test_importance_weights_by_brute_force(docs, labels):
+    """Log weights and noise against counts in plain dictionaries, a document's own n-grams left out."""
+    from zlib import crc32
+
+    grams = {}
+    for r in docs.collect():
+        h = [crc32(w.lower()) for w in (r.text or "").encode().split()]
+        mix = lambda x: x * 0x9E3779B97F4A7C15 % (1 << 64)
+        grams[r.doc_id] = Counter([mix(x) >> 46 for x in h] + [((mix(x) ^ y) * 0xC2B2AE3D27D4EB4F % (1 << 64)) >> 46 for x, y in zip(h, h[1:])])
+    good = {r.doc_id for r in labels.collect() if r.quality == 1 and not r.toxic}
+    raw, target = sum(grams.values(), Counter()), sum((g for d, g in grams.items() if d in good), Counter())
+    n_raw, n_target = raw.total(), target.total()
+    for r in importance.resample(docs, labels).collect():
+        own, mine, n = grams[r.doc_id], r.doc_id in good, grams[r.doc_id].total()
+        share = (n_target - mine * n) / (n_raw - n)
+        want = sum(c * math.log((target[g] - mine * c + importance.PRIOR) / ((raw[g] - c) * share + importance.PRIOR)) for g, c in own.items())
+        assert r.log_weight == pytest.approx(want / n * importance.LENGTH if n else 0.0, abs=1e-6)
+        assert math.isfinite(r.gumbel_key)
+
+
 def test_importance_separates_held_out(spark):
     """Ranked by weight, junk of an unseen half goes below good text."""
     sf = "/root/testdata/sf0.01"
