@@ -1,63 +1,5 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing, encoding; each stage over all that the one before kept."""
+"""The corpus pipeline: STAGES, ORACLE_SQL and run(spark, sf_dir); its stages are part of the subpackage llm."""
 
-from __future__ import annotations
+from citegrain.llm.stages import ORACLE_SQL, STAGES, run
 
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from citegrain.llm import byte_bpe, line_dedup, mixing, quality_rules, simhash
-from citegrain.llm.common import shared_dir, table
-
-
-def _packed(docs: DataFrame, *own: str) -> DataFrame:
-    """The columns that an operator reads, and the others beside them in a struct, whatever they are called."""
-    rest = [F.col(c) for c in docs.columns if c not in own]
-    return docs.select(*own, F.struct(*rest, F.lit(0).alias("_")).alias("_row"))
-
-
-def _unpacked(made: DataFrame, docs: DataFrame, *own: str, **new) -> DataFrame:
-    """The columns of docs again, new ones in the place of old ones."""
-    return made.select(*[new.get(c, F.col(c if c in own else f"_row.`{c}`")).alias(c) for c in docs.columns])
-
-
-def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base rule or a certified cutoff rejects go."""
-    cutoffs = quality_rules.fit_cutoffs(docs, table(spark, sf_dir, "labels"))
-    return _unpacked(quality_rules.judge(_packed(docs, "text", "lang"), cutoffs).where("kept"), docs, "text", "lang")
-
-
-def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that another document or place keeps go; a document of which nothing is left goes too. n_chars follows the text."""
-    left = line_dedup.drop_lines(_packed(docs, "doc_id", "text"), least=1).where(r"n_removed = 0 or text rlike '[^\\x20\\x09-\\x0D]'")
-    return _unpacked(left, docs, "doc_id", "text", n_chars=F.length("text").cast("long"))
-
-
-def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, over five-word shingles."""
-    return simhash.keep_one(docs)
-
-
-def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it."""
-    return mixing.taken(docs)
-
-
-def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id and ids of each row, with the digests of the ids and of the bytes that they decode to."""
-    return byte_bpe.digests(docs)
-
-
-STAGES = [("quality rules", quality), ("line dedup", lines), ("near copies", near_copies), ("mixture", mixture), ("encoded", encoded)]
-ORACLE_SQL = None
-
-
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each is written as Parquet to the shared folder and read again as the next one's docs."""
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4()}"
-    docs = table(spark, sf_dir, "documents")
-    for k, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
-        docs = spark.read.parquet(f"{folder}/{k}")
-    return docs
+__all__ = ["ORACLE_SQL", "STAGES", "run"]
