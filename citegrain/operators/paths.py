@@ -1,10 +1,12 @@
 """Citation DAGs: traversal weights, main paths, key routes, cycle breaking.
 
-The work on a graph's order is sequential, so it is done per connected component in a grouped function, on exact integers
-of any size; components are found by joins. Weights and paths of one component don't depend on others: the heaviest path
-of all is the heaviest of the components' heaviest. Ties go to the least id unless stated.
+The work on a graph's order is sequential: a real network has hundreds of levels, and a job for each would cost more than
+the counting. So it is done in a grouped function, on exact integers of any size and arrays of places (some 200 bytes an
+edge). Up to TOGETHER edges are one group; beyond it connected components, found by joins, are dealt to tasks, and weights
+and paths of one component don't depend on others: the heaviest path of all is the heaviest of the components' heaviest.
+Ties go to the least id unless stated.
 
-edges: source (cited, older), target (citing, younger); graph is an optional column that keeps graphs apart.
+edges: source (cited, older), target (citing, younger).
 """
 
 from __future__ import annotations
@@ -13,6 +15,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+#: Edges that are worked on in one group.
+TOGETHER = 2_000_000
+
 
 def clean_edges(edges: DataFrame, generation: DataFrame | None = None) -> DataFrame:
     """Distinct edges without self loops; with generation (node, generation), those within one generation go."""
@@ -43,164 +48,202 @@ def with_component(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
 
 
 def _folder(df: DataFrame) -> None:
+    """Checkpoints go to spark.checkpoint.dir; only a local session may do with a temporary folder."""
     import tempfile
 
     sc = df.sparkSession.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if where is None and not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
 
 
 class Dag:
-    """One graph in memory. Nodes in ascending order; nodes on cycles have no place in the order and are left out."""
-
-    def __init__(self, edges):
-        edges = sorted(set(edges))
-        nodes = sorted({x for e in edges for x in e})
-        into = {n: [] for n in nodes}
-        out = {n: [] for n in nodes}
-        for u, v in edges:
-            out[u].append(v)
-            into[v].append(u)
-        left = {n: len(into[n]) for n in nodes}
-        order, ready = [], [n for n in nodes if not left[n]]
-        while ready:
-            order += ready
-            nxt = []
-            for u in ready:
-                for v in out[u]:
-                    left[v] -= 1
-                    if not left[v]:
-                        nxt.append(v)
-            ready = sorted(nxt)
-        kept = set(order)
-        self.order, self.cyclic = order, [n for n in nodes if n not in kept]
-        self.out = {n: [v for v in out[n] if v in kept] for n in order}
-        self.into = {n: [u for u in into[n] if u in kept] for n in order}
-        self.edges = [(u, v) for u, v in edges if u in kept and v in kept]
-        self.sources = [n for n in nodes if n in kept and not self.into[n] and self.out[n]]
-        self.sinks = [n for n in nodes if n in kept and not self.out[n] and self.into[n]]
-
-    def weigh(self, kind: str = "spc"):
-        """Edge weights n-(u) * n+(v), and n+ of each node. spc: paths from sources to sinks; splc: from any node to sinks; spnp: from any to any."""
+    """One graph in memory, by places: nodes in ascending order, edges (a[i], b[i]) in ascending order.
+
+    Nodes on cycles, or behind one, have no level and are left out. Weights are lists in the order of the edges.
+    """
+
+    def __init__(self, sources, targets):
+        import numpy as np
+
+        sources, targets = list(sources), list(targets)
+        names, at = np.unique(np.array([*sources, *targets], dtype=None if not sources or isinstance(sources[0], (int, np.integer)) else object), return_inverse=True)
+        n = len(names)
+        code = np.unique(at[: len(sources)].astype(np.int64) * max(1, n) + at[len(sources) :])
+        a, b = (code // n, code % n) if n else (code, code)
+        starts, left, level = np.searchsorted(a, np.arange(n + 1)), np.bincount(b, minlength=n), np.full(n, -1)
+        ready, depth = np.flatnonzero(left == 0), 0
+        while len(ready):
+            level[ready] = depth
+            sizes = starts[ready + 1] - starts[ready]
+            first = np.repeat(starts[ready] - np.cumsum(sizes) + sizes, sizes)
+            to = b[first + np.arange(len(first))]
+            np.subtract.at(left, to, 1)
+            ready, depth = np.unique(to[left[to] == 0]), depth + 1
+        kept = (level[a] >= 0) & (level[b] >= 0)
+        self.names, self.level = names.tolist(), level
+        self.cyclic = [self.names[k] for k in np.flatnonzero(level < 0)]
+        a, b = a[kept], b[kept]
+        #: Edges whose targets come level by level, and those whose sources come in the opposite order.
+        self.down, self.up = np.argsort(level[b], kind="stable").tolist(), np.argsort(-level[a], kind="stable").tolist()
+        self.n_in, self.n_out = np.bincount(b, minlength=n).tolist(), np.bincount(a, minlength=n).tolist()
+        self.out_at = np.searchsorted(a, np.arange(n + 1)).tolist()
+        order = np.argsort(b, kind="stable")
+        self.in_edges, self.in_at = order.tolist(), np.searchsorted(b[order], np.arange(n + 1)).tolist()
+        self.a, self.b = a.tolist(), b.tolist()
+        self.sources = [k for k in range(n) if level[k] >= 0 and not self.n_in[k] and self.n_out[k]]
+        self.sinks = [k for k in range(n) if level[k] >= 0 and not self.n_out[k] and self.n_in[k]]
+
+    def edges(self) -> list[tuple]:
+        return [(self.names[u], self.names[v]) for u, v in zip(self.a, self.b)]
+
+    def out(self, k: int):
+        return range(self.out_at[k], self.out_at[k + 1])
+
+    def into(self, k: int) -> list[int]:
+        return self.in_edges[self.in_at[k] : self.in_at[k + 1]]
+
+    def weigh(self, kind: str = "spc") -> tuple[list[int], list[int]]:
+        """Weight n-(u) * n+(v) of each edge, and n+ of each node. spc: paths from sources to sinks; splc: from any node to sinks; spnp: from any to any."""
         own_in, own_out = int(kind in ("splc", "spnp")), int(kind == "spnp")
-        n_in, n_out = {}, {}
-        for n in self.order:
-            n_in[n] = own_in + sum(n_in[u] for u in self.into[n]) if self.into[n] else 1
-        for n in reversed(self.order):
-            n_out[n] = own_out + sum(n_out[v] for v in self.out[n]) if self.out[n] else 1
-        return {(u, v): n_in[u] * n_out[v] for u, v in self.edges}, n_out
-
-    def forward(self, weights, n_out):
-        """From the source with most paths on, always the heaviest edge."""
-        if not self.sources:
-            return []
-        path = [min(self.sources, key=lambda s: (-n_out[s], s))]
-        while self.out[path[-1]]:
-            path.append(min(self.out[path[-1]], key=lambda v: (-weights[path[-1], v], v)))
+        before, after = [own_in if x else 1 for x in self.n_in], [own_out if x else 1 for x in self.n_out]
+        a, b = self.a, self.b
+        for e in self.down:
+            before[b[e]] += before[a[e]]
+        for e in self.up:
+            after[a[e]] += after[b[e]]
+        return [before[u] * after[v] for u, v in zip(a, b)], after
+
+    def _named(self, path: list[int]) -> list:
+        return [self.names[k] for k in path]
+
+    def _greedy_out(self, path: list[int], weights, last: bool) -> list[int]:
+        """The path prolonged by the heaviest next edge each time; ties to the least id, or the greatest (last)."""
+        while out := self.out(path[-1]):
+            path.append(self.b[max(out, key=lambda e: (weights[e], e if last else -e))])
         return path
 
-    def backward(self, weights):
-        """From the sink with the heaviest edge back, always the heaviest; ties to the greatest id."""
-        if not self.sinks:
-            return []
-        end = max(self.sinks, key=lambda t: max((weights[u, t], t) for u in self.into[t]))
-        path = [end]
-        while self.into[path[0]]:
-            path.insert(0, max(self.into[path[0]], key=lambda u: (weights[u, path[0]], u)))
-        return path
+    def _greedy_in(self, path: list[int], weights) -> list[int]:
+        """The path prolonged backwards by the heaviest edge each time; ties to the greatest id."""
+        path = path[::-1]
+        while into := self.into(path[-1]):
+            path.append(self.a[max(into, key=lambda e: (weights[e], e))])
+        return path[::-1]
 
-    def best(self, weights):
-        """The heaviest path into and out of each node: (sum, neighbour)."""
-        back, fore = {}, {}
-        for n in self.order:
-            back[n] = min(((back[u][0] + weights[u, n], u) for u in self.into[n]), key=lambda x: (-x[0], x[1]), default=(0, None))
-        for n in reversed(self.order):
-            fore[n] = min(((fore[v][0] + weights[n, v], v) for v in self.out[n]), key=lambda x: (-x[0], x[1]), default=(0, None))
-        return back, fore
-
-    def heaviest(self, weights):
-        """The path from a source to a sink with the greatest sum of weights, and the sum."""
+    def forward(self, weights, after) -> tuple[list, int]:
+        """From the source with most paths on, always the heaviest edge; and how many paths these are."""
+        if not self.sources:
+            return [], 0
+        start = min(self.sources, key=lambda s: (-after[s], s))
+        return self._named(self._greedy_out([start], weights, last=False)), after[start]
+
+    def backward(self, weights) -> tuple[list, int]:
+        """From the sink with the heaviest edge back, always the heaviest; ties to the greatest id. And that edge's weight."""
         if not self.sinks:
             return [], 0
-        back, _ = self.best(weights)
-        end = min(self.sinks, key=lambda t: (-back[t][0], t))
-        return self._trace(back, end)[::-1], back[end][0]
+        top, end = max((max(weights[e] for e in self.into(t)), t) for t in self.sinks)
+        return self._named(self._greedy_in([end], weights)), top
+
+    def best(self, weights):
+        """For each node the sum of the heaviest path into it and the node before it, and the same for paths out of it."""
+        n, a, b = len(self.names), self.a, self.b
+        back, prev, fore, nxt = [0] * n, [-1] * n, [0] * n, [-1] * n
+        for e in self.down:
+            u, v = a[e], b[e]
+            total = back[u] + weights[e]
+            if prev[v] < 0 or total > back[v]:
+                back[v], prev[v] = total, u
+        for e in self.up:
+            u, v = a[e], b[e]
+            total = fore[v] + weights[e]
+            if nxt[u] < 0 or total > fore[u]:
+                fore[u], nxt[u] = total, v
+        return back, prev, nxt
 
     @staticmethod
-    def _trace(steps, at):
+    def _trace(steps: list[int], at: int) -> list[int]:
         path = [at]
-        while steps[path[-1]][1] is not None:
-            path.append(steps[path[-1]][1])
+        while steps[path[-1]] >= 0:
+            path.append(steps[path[-1]])
         return path
 
-    def route(self, weights, edge, search: str, steps=None):
+    def heaviest(self, weights) -> tuple[list, int]:
+        """The path from a source to a sink with the greatest sum of weights, and the sum."""
+        if not self.sinks:
+            return [], 0
+        back, prev, _ = self.best(weights)
+        end = min(self.sinks, key=lambda t: (-back[t], t))
+        return self._named(self._trace(prev, end)[::-1]), back[end]
+
+    def route(self, weights, edge: int, search: str, steps=None) -> list:
         """The edge prolonged both ways: by the heaviest next edge each time (local, ties to the greatest id), or to the heaviest whole path (global)."""
-        u, v = edge
+        u, v = self.a[edge], self.b[edge]
         if search == "global":
-            back, fore = steps or self.best(weights)
-            return self._trace(back, u)[::-1] + self._trace(fore, v)
-        path = [u, v]
-        while self.into[path[0]]:
-            path.insert(0, max(self.into[path[0]], key=lambda x: (weights[x, path[0]], x)))
-        while self.out[path[-1]]:
-            path.append(max(self.out[path[-1]], key=lambda x: (weights[path[-1], x], x)))
-        return path
+            _, prev, nxt = steps or self.best(weights)
+            return self._named(self._trace(prev, u)[::-1] + self._trace(nxt, v))
+        return self._named(self._greedy_in([u], weights) + self._greedy_out([v], weights, last=True))
 
 
 def break_cycles(edges, dates) -> list[tuple]:
     """Edges to take out until no cycle is left: of each cycle the one that is most against the dates.
 
     That is an edge whose source is younger than its target (unknown dates count as last), of these the one with the
-    youngest source, then the greatest edge.
+    youngest source, then the greatest edge. Cycles come as a depth-first search in ascending order meets them; it goes on
+    from where the removed edge was left.
     """
-    edges, gone = set(edges), []
+    edges = set(edges)
+    dag = Dag([u for u, _ in edges], [v for _, v in edges])
+    cyclic = set(dag.cyclic)
     date = lambda n: dates.get(n) or "9999"
-    while True:
-        dag = Dag(edges)
-        if not dag.cyclic:
-            return gone
-        cyclic = set(dag.cyclic)
-        out: dict = {}
-        for u, v in sorted(edges):
-            if u in cyclic and v in cyclic:
-                out.setdefault(u, []).append(v)
-        cycle = _cycle(out)
-        worst = max(cycle, key=lambda e: (date(e[0]) > date(e[1]), date(e[0]), e))
-        edges.discard(worst)
-        gone.append(worst)
-
-
-def _cycle(out) -> list[tuple]:
-    """Edges of the first cycle that a depth-first search in ascending order meets."""
-    done = set()
+    out: dict = {}
+    for u, v in sorted(edges):
+        if u in cyclic and v in cyclic:
+            out.setdefault(u, []).append(v)
+    gone, done = set(), set()
     for start in sorted(out):
         if start in done:
             continue
-        path, place, stack = [start], {start: 0}, [iter(out.get(start, ()))]
-        while stack:
-            nxt = next(stack[-1], None)
-            if nxt is None:
-                stack.pop()
-                last = path.pop()
-                del place[last]
-                done.add(last)
-            elif nxt in place:
-                ring = path[place[nxt] :]
-                return list(zip(ring, [*ring[1:], nxt]))
-            elif nxt not in done:
+        path, place, at = [start], {start: 0}, [0]
+        while path:
+            here = path[-1]
+            following = out.get(here, ())
+            if at[-1] == len(following):
+                done.add(here)
+                del place[path.pop()]
+                at.pop()
+                continue
+            nxt = following[at[-1]]
+            if nxt in done or (here, nxt) in gone:
+                at[-1] += 1
+            elif nxt not in place:
                 place[nxt] = len(path)
                 path.append(nxt)
-                stack.append(iter(out.get(nxt, ())))
-    return []
+                at.append(0)
+            else:
+                ring = path[place[nxt] :]
+                worst = max(zip(ring, [*ring[1:], nxt]), key=lambda e: (date(e[0]) > date(e[1]), date(e[0]), e))
+                gone.add(worst)
+                # back to the node that the removed edge left; what hung on it is looked at again when it is met
+                for dropped in path[place[worst[0]] + 1 :]:
+                    del place[dropped]
+                del path[place[worst[0]] + 1 :], at[place[worst[0]] + 1 :]
+    return sorted(gone)
 
 
-def _per_component(edges: DataFrame, make, schema: str) -> DataFrame:
+def _grouped(edges: DataFrame) -> DataFrame:
+    """edges with component (string): empty for up to TOGETHER edges, else the name of their connected component."""
     import sys
 
     from pyspark import cloudpickle
 
     cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    return with_component(edges).groupBy("component").applyInPandas(make, schema)
+    _folder(edges)
+    edges = edges.checkpoint()
+    if edges.limit(TOGETHER + 1).count() <= TOGETHER:
+        return edges.withColumn("component", F.lit(""))
+    return with_component(edges).withColumn("component", F.col("component").cast("string"))
 
 
 def _type(edges: DataFrame) -> str:
@@ -208,24 +251,29 @@ def _type(edges: DataFrame) -> str:
 
 
 def _weighed(edges: DataFrame, kind: str) -> DataFrame:
+    """source, target, weight (an exact integer in digits), component."""
     t = _type(edges)
 
     def make(key, rows):
-        from decimal import Decimal
-
         import pandas as pd
 
-        found, _ = Dag(zip(rows["source"], rows["target"])).weigh(kind)
-        if max(found.values(), default=0) >= 10**38:
-            raise OverflowError("a traversal weight has more than 38 digits")
-        return pd.DataFrame([(u, v, Decimal(w), key[0]) for (u, v), w in found.items()], columns=["source", "target", "weight", "component"])
+        dag = Dag(rows["source"], rows["target"])
+        weights, _ = dag.weigh(kind)
+        return pd.DataFrame([(u, v, str(w), key[0]) for (u, v), w in zip(dag.edges(), weights)], columns=["source", "target", "weight", "component"])
+
+    return _grouped(edges.select("source", "target")).groupBy("component").applyInPandas(make, f"source {t}, target {t}, weight string, component string")
 
-    return _per_component(edges, make, f"source {t}, target {t}, weight decimal(38,0), component {t}")
 
+def traversal_weights(edges: DataFrame, kind: str = "spc", as_text: bool = False) -> DataFrame:
+    """source, target, weight of each edge of a DAG: decimal(38,0), or an exact integer of any size in digits (as_text).
 
-def traversal_weights(edges: DataFrame, kind: str = "spc") -> DataFrame:
-    """source, target, weight (decimal(38,0)) of each edge of a DAG. Counts above 38 digits raise an error, nothing wraps."""
-    return _weighed(edges, kind).drop("component")
+    Counts above 38 digits raise an error unless asked for as text; nothing wraps.
+    """
+    found = _weighed(edges, kind).drop("component")
+    if as_text:
+        return found
+    fits = F.when(F.length("weight") <= 38, F.col("weight").cast("decimal(38,0)")).otherwise(F.raise_error(F.lit("a traversal weight has more than 38 digits")).cast("decimal(38,0)"))
+    return found.withColumn("weight", fits)
 
 
 def _candidates(edges: DataFrame, kind: str, pick) -> DataFrame:
@@ -234,37 +282,31 @@ def _candidates(edges: DataFrame, kind: str, pick) -> DataFrame:
     def make(key, rows):
         import pandas as pd
 
-        rows_out = [(list(path), str(rank), tie) for path, rank, tie in pick(Dag(zip(rows["source"], rows["target"])), kind)]
+        rows_out = [(list(path), str(rank), tie) for path, rank, tie in pick(Dag(rows["source"], rows["target"]), kind)]
         return pd.DataFrame(rows_out, columns=["path", "rank", "tie"])
 
-    return _per_component(edges, make, f"path array<{t}>, rank string, tie {t}")
+    return _grouped(edges.select("source", "target")).groupBy("component").applyInPandas(make, f"path array<{t}>, rank string, tie {t}")
 
 
 def _unroll(one: DataFrame) -> DataFrame:
     return one.select(F.posexplode("path").alias("position", "node"))
 
 
-def _first(candidates: DataFrame, last_on_ties: bool = False) -> DataFrame:
-    """The candidate of the greatest rank (an integer of any size), ties by the least tie value, or the greatest."""
-    order = [F.length("rank").desc(), F.col("rank").desc(), F.col("tie").desc() if last_on_ties else F.col("tie").asc()]
-    return candidates.orderBy(*order).limit(1)
+def _heaviest_first(weight: str) -> list:
+    """An order by integers in digits, the greatest first."""
+    return [F.length(weight).desc(), F.col(weight).desc()]
 
 
 def main_path(edges: DataFrame, search: str = "global", kind: str = "spc") -> DataFrame:
     """position, node of the main path. search: global (heaviest sum), forward or backward (greedy)."""
 
     def pick(dag: Dag, kind: str):
-        weights, n_out = dag.weigh(kind)
-        if search == "global":
-            path, total = dag.heaviest(weights)
-            return [(path, total, path[-1])] if path else []
-        if search == "forward":
-            path = dag.forward(weights, n_out)
-            return [(path, n_out[path[0]], path[0])] if path else []
-        path = dag.backward(weights)
-        return [(path, weights[path[-2], path[-1]], path[-1])] if path else []
+        weights, after = dag.weigh(kind)
+        path, rank = dag.heaviest(weights) if search == "global" else dag.forward(weights, after) if search == "forward" else dag.backward(weights)
+        return [(path, rank, path[0] if search == "forward" else path[-1])] if path else []
 
-    return _unroll(_first(_candidates(edges, kind, pick), last_on_ties=search == "backward"))
+    tie = F.col("tie").desc() if search == "backward" else F.col("tie").asc()
+    return _unroll(_candidates(edges, kind, pick).orderBy(*_heaviest_first("rank"), tie).limit(1))
 
 
 def key_routes(edges: DataFrame, k: int = 10, search: str = "local", kind: str = "spc") -> DataFrame:
@@ -272,21 +314,25 @@ def key_routes(edges: DataFrame, k: int = 10, search: str = "local", kind: str =
 
     edges may bring their own weight; else it is the traversal weight of the given kind.
     """
-    weighted = with_component(edges) if "weight" in edges.columns else _weighed(edges, kind).checkpoint()
-    top = weighted.orderBy(F.desc("weight"), "source", "target").limit(k).select("source", "target", F.lit(True).alias("key"))
+    given = "weight" in edges.columns
+    weighted = _grouped(edges) if given else _weighed(edges, kind).checkpoint()
+    first = [F.desc("weight")] if given else _heaviest_first("weight")
+    top = weighted.orderBy(*first, "source", "target").limit(k).select("source", "target", F.lit(True).alias("key"))
     marked = weighted.join(F.broadcast(top), ["source", "target"], "left")
 
     def make(key, rows):
         import pandas as pd
 
-        keyed = [(u, v) for u, v, m in zip(rows["source"], rows["target"], rows["key"]) if m is True or m == True]  # noqa: E712
+        own = {(u, v): w if given else int(w) for u, v, w in zip(rows["source"], rows["target"], rows["weight"])}
+        keyed = {(u, v) for u, v, m in zip(rows["source"], rows["target"], rows["key"]) if m is True or m == True}  # noqa: E712
         if not keyed:
             return pd.DataFrame({"route": [], "n_key_edges": []}).astype({"route": str, "n_key_edges": "int64"})
-        dag = Dag(zip(rows["source"], rows["target"]))
-        weights = {(u, v): w for u, v, w in zip(rows["source"], rows["target"], rows["weight"])}
+        dag = Dag(rows["source"], rows["target"])
+        names = dag.edges()
+        weights = [own[e] for e in names]
         steps = dag.best(weights)
         found: dict[tuple, int] = {}
-        for e in sorted(keyed, key=lambda e: (-weights[e], e)):
+        for e in sorted((k for k, e in enumerate(names) if e in keyed), key=lambda k: (-weights[k], k)):
             path = tuple(dag.route(weights, e, search, steps))
             found[path] = found.get(path, 0) + 1
         return pd.DataFrame([(">".join(map(str, p)), n) for p, n in found.items()], columns=["route", "n_key_edges"])
@@ -296,8 +342,19 @@ def key_routes(edges: DataFrame, k: int = 10, search: str = "local", kind: str =
 
 def robustness(edges: DataFrame) -> DataFrame:
     """a, b, jaccard of the main paths under each two of the three weights, core (nodes on all three) and n_union."""
-    paths = {k: main_path(edges, "global", k).agg(F.sort_array(F.collect_list("node")).alias(k)) for k in ("spc", "splc", "spnp")}
-    one = paths["spc"].join(paths["splc"]).join(paths["spnp"])
+    t, kinds = _type(edges), ("spc", "splc", "spnp")
+
+    def make(key, rows):
+        import pandas as pd
+
+        dag = Dag(rows["source"], rows["target"])
+        found = [(kind, *dag.heaviest(dag.weigh(kind)[0])) for kind in kinds]
+        return pd.DataFrame([(kind, path, str(rank), path[-1]) for kind, path, rank in found if path], columns=["kind", "path", "rank", "tie"])
+
+    each = _grouped(edges.select("source", "target")).groupBy("component").applyInPandas(make, f"kind string, path array<{t}>, rank string, tie {t}")
+    each = each.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(*_heaviest_first("rank"), "tie"))).where("place = 1")
+    none = F.array().cast(f"array<{t}>")
+    one = each.agg(*[F.coalesce(F.first(F.when(F.col("kind") == k, F.col("path")), ignorenulls=True), none).alias(k) for k in kinds])
     like = lambda a, b: F.when(F.size(F.array_union(a, b)) == 0, F.lit(1.0)).otherwise(F.round(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)), 2))
     core, union = F.size(F.array_intersect(F.array_intersect("spc", "splc"), F.col("spnp"))), F.size(F.array_union(F.array_union("spc", "splc"), F.col("spnp")))
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), like(F.col(a), F.col(b)).alias("jaccard")) for a, b in (("spc", "splc"), ("spc", "spnp"), ("splc", "spnp"))])
@@ -305,17 +362,29 @@ def robustness(edges: DataFrame) -> DataFrame:
 
 
 def acyclic(edges: DataFrame, dates: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(edges without cycles, edges taken out); dates: node, date (ISO string)."""
+    """(edges without cycles, edges taken out); dates: node, date (ISO string).
+
+    Mutual citations are settled first, by a join: of u to v and v to u the one that is more against the dates goes, as
+    in break_cycles(). The cycles that are left are longer and are looked for in memory.
+    """
     t = _type(edges)
+    edges = edges.select("source", "target").distinct()
     dated = edges.join(dates.select(F.col("node").alias("source"), F.col("date").alias("d1")), "source", "left").join(dates.select(F.col("node").alias("target"), F.col("date").alias("d2")), "target", "left")
+    _folder(edges)
+    dated = dated.select("source", "target", *[F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("9999")).alias(c) for c in ("d1", "d2")]).checkpoint()
+    blame = lambda x: F.struct((F.col(f"{x}.d1") > F.col(f"{x}.d2")).alias("against"), F.col(f"{x}.d1").alias("d"), F.col(f"{x}.source").alias("s"), F.col(f"{x}.target").alias("t"))
+    mutual = dated.alias("a").join(dated.alias("b"), F.expr("a.source = b.target and a.target = b.source"))
+    mutual = mutual.where(blame("a") > blame("b")).select("a.source", "a.target")
+    rest = dated.join(mutual, ["source", "target"], "left_anti")
 
     def make(key, rows):
         import pandas as pd
 
-        known = {n: d for a, b in (("source", "d1"), ("target", "d2")) for n, d in zip(rows[a], rows[b]) if isinstance(d, str)}
+        known = {n: d for a, b in (("source", "d1"), ("target", "d2")) for n, d in zip(rows[a], rows[b])}
         return pd.DataFrame(break_cycles(zip(rows["source"], rows["target"]), known), columns=["source", "target"]).astype({"source": rows["source"].dtype, "target": rows["target"].dtype})
 
-    gone = _per_component(dated.select("source", "target", "d1", "d2"), make, f"source {t}, target {t}")
+    longer = _grouped(rest).groupBy("component").applyInPandas(make, f"source {t}, target {t}")
+    gone = mutual.unionByName(longer)
     return edges.join(gone, ["source", "target"], "left_anti"), gone
 
 

@@ -19,7 +19,7 @@ def frame(spark, edges):
 def test_known_weights(spark):
     got = {r.source + r.target: int(r.weight) for r in paths.traversal_weights(frame(spark, KNOWN)).collect()}
     assert got == KNOWN
-    dag = paths.Dag(tuple(e) for e in KNOWN)
+    dag = paths.Dag(*zip(*KNOWN))
     path, total = dag.heaviest(dag.weigh()[0])
     assert path == list("BDFIMN") and total == 15
 
@@ -29,31 +29,40 @@ def test_flow_is_conserved_and_equals_enumeration():
     for _ in range(40):
         n = rng.randint(3, 9)
         edges = [e for e in combinations(range(n), 2) if rng.random() < 0.45]
-        dag = paths.Dag(edges)
-        starts = {"spc": set(dag.sources), "splc": set(dag.order), "spnp": set(dag.order)}
-        ends = {"spc": set(dag.sinks), "splc": set(dag.sinks), "spnp": set(dag.order)}
+        dag = paths.Dag([u for u, _ in edges], [v for _, v in edges])
+        out = {x: [v for u, v in edges if u == x] for x in range(n)}
+        into = {x: [u for u, v in edges if v == x] for x in range(n)}
+        nodes = sorted({x for e in edges for x in e})
+        assert dag.edges() == edges and not dag.cyclic
+        starts = {"spc": {x for x in nodes if not into[x]}, "splc": set(nodes), "spnp": set(nodes)}
+        ends = {"spc": {x for x in nodes if not out[x]}, "splc": {x for x in nodes if not out[x]}, "spnp": set(nodes)}
         whole = []
 
         def walk(path):
             whole.append(path)
-            for v in dag.out[path[-1]]:
+            for v in out[path[-1]]:
                 walk([*path, v])
 
-        for s in dag.order:
+        for s in nodes:
             walk([s])
         for kind in starts:
-            want = dict.fromkeys(dag.edges, 0)
+            want = dict.fromkeys(edges, 0)
             for p in whole:
                 if p[0] in starts[kind] and p[-1] in ends[kind]:
                     for e in zip(p, p[1:]):
                         want[e] += 1
-            assert dag.weigh(kind)[0] == want
-        w = dag.weigh()[0]
-        for v in dag.order:
-            if dag.into[v] and dag.out[v]:
-                assert sum(w[u, v] for u in dag.into[v]) == sum(w[v, x] for x in dag.out[v])
-        best = max((sum(w[e] for e in zip(p, p[1:])) for p in whole if p[0] in starts["spc"] and p[-1] in ends["spc"]), default=0)
-        assert dag.heaviest(w)[1] == best
+            assert dict(zip(edges, dag.weigh(kind)[0])) == want
+        w = dict(zip(edges, dag.weigh()[0]))
+        for v in nodes:
+            if into[v] and out[v]:
+                assert sum(w[u, v] for u in into[v]) == sum(w[v, x] for x in out[v])
+        full = [p for p in whole if len(p) > 1 and p[0] in starts["spc"] and p[-1] in ends["spc"]]
+        total = lambda p: sum(w[e] for e in zip(p, p[1:]))
+        best = max(map(total, full), default=0)
+        path, found = dag.heaviest(dag.weigh()[0])
+        assert found == best and (not full or total(path) == best and path in full)
+        # of equally heavy paths the one whose end, then each node before it, is least
+        assert not full or path == min((p for p in full if total(p) == best), key=lambda p: p[::-1])
 
 
 def test_three_weights_on_a_diamond(spark):
@@ -68,14 +77,19 @@ def test_counts_beyond_64_bits(spark):
     edges = [(f"{i:03}", f"{i:03}{s}") for i in range(70) for s in "ab"] + [(f"{i:03}{s}", f"{i + 1:03}") for i in range(70) for s in "ab"]
     got = paths.traversal_weights(spark.createDataFrame(edges, "source string, target string"))
     assert {int(r.weight) for r in got.select("weight").distinct().collect()} == {2**69}
+    more = spark.createDataFrame([(f"{i:03}", f"{i:03}{s}") for i in range(140) for s in "ab"] + [(f"{i:03}{s}", f"{i + 1:03}") for i in range(140) for s in "ab"], "source string, target string")
+    assert {int(r.weight) for r in paths.traversal_weights(more, as_text=True).collect()} == {2**139}
+    with pytest.raises(Exception, match="38 digits"):
+        paths.traversal_weights(more).collect()
 
 
 def test_routes_local_and_global():
     edges = ["SX", "SY", "XK", "YK", "KT"]
-    dag = paths.Dag(tuple(e) for e in edges)
-    weights = dict(zip(map(tuple, edges), [1, 20, 9, 2, 3]))
-    assert dag.route(weights, ("K", "T"), "local") == list("SXKT")
-    assert dag.route(weights, ("K", "T"), "global") == list("SYKT")
+    dag = paths.Dag(*zip(*edges))
+    given = dict(zip(map(tuple, edges), [1, 20, 9, 2, 3]))
+    weights, key = [given[e] for e in dag.edges()], dag.edges().index(("K", "T"))
+    assert dag.route(weights, key, "local") == list("SXKT")
+    assert dag.route(weights, key, "global") == list("SYKT")
 
 
 def test_key_routes_merge(spark):
@@ -95,7 +109,25 @@ def test_cycle_goes_against_the_dates(spark):
     for _ in range(30):
         some = {(rng.randrange(8), rng.randrange(8)) for _ in range(20)}
         some = {e for e in some if e[0] != e[1]}
-        assert not paths.Dag(some - set(paths.break_cycles(some, {}))).cyclic
+        left = some - set(paths.break_cycles(some, {}))
+        assert not paths.Dag([u for u, _ in left], [v for _, v in left]).cyclic
+
+
+def test_components_give_what_one_group_gives(spark, monkeypatch):
+    """Beyond TOGETHER edges the work is dealt by component, with the same result."""
+    edges = frame(spark, [*KNOWN, "ab", "bc", "xy"])
+    made = lambda: [sorted(map(tuple, df.collect())) for df in (paths.traversal_weights(edges), paths.main_path(edges), paths.main_path(edges, "backward"), paths.key_routes(edges, 4), paths.robustness(edges))]
+    one = made()
+    monkeypatch.setattr(paths, "TOGETHER", 1)
+    assert made() == one
+
+
+def test_mutual_and_longer_cycles(spark):
+    edges = frame(spark, ["AB", "BA", "BC", "CD", "DB", "XY", "YX"])
+    dates = spark.createDataFrame([("A", "2001"), ("B", "2002"), ("C", "2003"), ("D", "2004"), ("X", None), ("Y", "")], "node string, date string")
+    left, gone = paths.acyclic(edges, dates)
+    assert sorted(r.source + r.target for r in gone.collect()) == ["BA", "DB", "YX"]
+    assert sorted(r.source + r.target for r in left.collect()) == ["AB", "BC", "CD", "XY"]
 
 
 def test_same_generation_edges_go(spark):
