@@ -76,40 +76,44 @@ def reference_counts_by_source(spark, d):
 _KINDS = {"1-URGENT": "retraction", "2-HIGH": "expression_of_concern", "3-MEDIUM": "correction"}
 
 
-@query("""WITH n AS (SELECT o_custkey AS c, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END AS w, o_orderkey AS k, o_orderdate AS d FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND o_orderstatus = 'P' AND o_orderkey % 3 = 0),
+@query("""WITH n AS (SELECT o_custkey AS c, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END AS w, o_orderkey AS k, o_orderdate AS d FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND o_orderstatus = 'P'),
 g AS (SELECT c, max(w) AS w, max(strftime(d, '%Y-%m-%d') || lpad(k::VARCHAR, 12, '0')) AS m FROM n GROUP BY c)
 SELECT c_custkey::VARCHAR AS doi, CASE WHEN c_custkey % 10 = 9 THEN 'unknown' WHEN w = 3 THEN 'retracted' WHEN w = 2 THEN 'concern' WHEN w = 1 THEN 'corrected' ELSE 'ok' END AS status, m AS latest FROM customer LEFT JOIN g ON c = c_custkey""")
 def retraction_status(spark, d):
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv]), F.col("o_orderpriority"))
     day = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
-    own = table(spark, d, "orders").where("o_orderstatus = 'P' and o_orderkey % 3 = 0").select(F.col("o_custkey").cast("string").alias("doi"), kind.alias("type"), day.alias("label"), day.alias("date")).where("type is not null")
+    own = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("doi"), kind.alias("type"), day.alias("label"), day.alias("date")).where("type is not null")
     checked = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("doi"), (F.col("c_custkey") % 10 != 9).alias("ok"))
     return audit.retraction_status(checked, own)
 
 
-@query("""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(left(text, 60)), '[^0-9a-z]+', ' ', 'g')) AS t FROM documents),
+@query("""WITH n AS (SELECT doc_id, trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')) AS t FROM documents),
 g AS (SELECT list_sort(list(DISTINCT doc_id)) AS ids FROM n WHERE t <> '' GROUP BY t HAVING count(DISTINCT doc_id) > 1) SELECT array_to_string(ids, ',') AS ids FROM g""")
 def possible_duplicates(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.lit(None).cast("string").alias("doi"), F.substring("text", 1, 60).alias("title"), F.lit(2000).alias("year"))
+    docs = table(spark, d, "documents").select(F.col("doc_id").alias("paper_id"), F.lit(None).cast("string").alias("doi"), F.col("text").alias("title"), F.lit(2000).alias("year"))
     return networks.duplicate_groups(docs).select(F.array_join("ids", ",").alias("ids"))
 
 
 def _citers(spark, d):
+    """Orders found by the returned parts they hold, by status and by priority; seeds are the largest parts, what can't be verified is the dearest."""
     lines, orders = table(spark, d, "lineitem"), table(spark, d, "orders")
-    refs = lines.select(F.col("l_orderkey").alias("citing_id"), F.col("l_partkey").alias("cited_id"))
-    seeds = spark.range(1, 41).select(F.col("id").alias("paper_id"))
-    one = lines.where("l_partkey between 1 and 60").select(F.lit("by reference").alias("strategy"), F.col("l_orderkey").alias("paper_id"))
-    two = orders.where("o_custkey % 20 = 0").select(F.lit("by phrase").alias("strategy"), F.col("o_orderkey").alias("paper_id"))
-    three = orders.where("o_orderpriority = '1-URGENT' and o_custkey % 3 = 0").select(F.lit("by venue").alias("strategy"), F.col("o_orderkey").alias("paper_id"))
-    failed = orders.where("o_orderkey % 97 = 0").select(F.col("o_orderkey").alias("paper_id"))
+    refs = lines.select(F.col("l_orderkey").alias("citing_id"), (F.lit(1_000_000_000_000) + F.col("l_partkey")).alias("cited_id"))
+    seeds = table(spark, d, "part").where("p_size = 50").select((F.lit(1_000_000_000_000) + F.col("p_partkey")).alias("paper_id"))
+    found = lambda rows, name, key: rows.select(F.lit(name).alias("strategy"), F.col(key).alias("paper_id"))
+    one = found(lines.where("l_returnflag = 'R'"), "by reference", "l_orderkey")
+    two = found(orders.where("o_orderstatus = 'P'"), "by phrase", "o_orderkey")
+    three = found(orders.where("o_orderpriority = '1-URGENT'"), "by venue", "o_orderkey")
+    failed = orders.where("o_totalprice > 400000").select(F.col("o_orderkey").alias("paper_id"))
     hits = one.unionByName(two).unionByName(three)
     return hits, audit.resolve_citers(hits, refs, seeds, failed)
 
 
-_CITERS = """WITH h AS (SELECT 'by reference' AS strategy, l_orderkey AS paper_id FROM lineitem WHERE l_partkey BETWEEN 1 AND 60 UNION ALL SELECT 'by phrase', o_orderkey FROM orders WHERE o_custkey % 20 = 0
-  UNION ALL SELECT 'by venue', o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT' AND o_custkey % 3 = 0),
-r AS (SELECT paper_id, array_to_string(list_sort(list(DISTINCT strategy)), '; ') AS strategies,
-  CASE WHEN paper_id % 97 = 0 THEN 'verification_failed' WHEN paper_id IN (SELECT l_orderkey FROM lineitem WHERE l_partkey BETWEEN 1 AND 40) THEN 'confirmed' ELSE 'unconfirmed' END AS status FROM h WHERE paper_id NOT BETWEEN 1 AND 40 GROUP BY paper_id) """
+_CITERS = """WITH h AS (SELECT 'by reference' AS strategy, l_orderkey AS paper_id FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT 'by phrase', o_orderkey FROM orders WHERE o_orderstatus = 'P'
+  UNION ALL SELECT 'by venue', o_orderkey FROM orders WHERE o_orderpriority = '1-URGENT'),
+c AS (SELECT DISTINCT l_orderkey AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_size = 50),
+r AS (SELECT h.paper_id, array_to_string(list_sort(list(DISTINCT strategy)), '; ') AS strategies,
+  CASE WHEN bool_or(o_totalprice > 400000) THEN 'verification_failed' WHEN bool_or(k IS NOT NULL) THEN 'confirmed' ELSE 'unconfirmed' END AS status
+  FROM h JOIN orders ON h.paper_id = o_orderkey LEFT JOIN c ON k = h.paper_id GROUP BY h.paper_id) """
 
 
 @query(_CITERS + "SELECT * FROM r")

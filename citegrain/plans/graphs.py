@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import fronts, history, networks, paths
 from ..sources import sinks
-from .star import ALL_CITES, CITES, citations, table
+from .star import CITES, citations, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -51,9 +51,9 @@ def network_report(spark, d):
     return coupling(spark, d).orderBy(F.desc("weight"), "source", "target").limit(10)
 
 
-@query(f"SELECT source AS cited_id, count(DISTINCT target) AS lcs FROM ({ALL_CITES}) GROUP BY source")
+@query(f"SELECT source AS cited_id, count(DISTINCT target) AS lcs FROM ({CITES}) GROUP BY source")
 def local_citation_score(spark, d):
-    return networks.local_citations(citations(spark, d, None).select(F.col("source").alias("cited_id"), F.col("target").alias("citing_id")))
+    return networks.local_citations(citations(spark, d).select(F.col("source").alias("cited_id"), F.col("target").alias("citing_id")))
 
 
 def _historiograph(spark, d):
@@ -80,36 +80,74 @@ def historiograph_edges(spark, d):
     return _historiograph(spark, d)[1]
 
 
+# The whole graph has far more paths than can be enumerated, and their numbers have some 60 digits. The SQL counts paths by
+# their length, all paths of one length into a node at once, in four limbs of 18 digits each (n0 the lowest).
+_LIMB = 10**18
+
+
+def _carried(sums: str, rest: str) -> str:
+    """rest and the limbs n0 to n3 of a query with rest and the limbs' sums s0 to s3."""
+    q = f"SELECT *, s1 + s0 // {_LIMB} AS c1 FROM ({sums})"
+    q = f"SELECT *, s2 + c1 // {_LIMB} AS c2 FROM ({q})"
+    q = f"SELECT *, s3 + c2 // {_LIMB} AS c3 FROM ({q})"
+    return f"SELECT {rest}, s0 % {_LIMB} AS n0, c1 % {_LIMB} AS n1, c2 % {_LIMB} AS n2, c3 AS n3 FROM ({q})"
+
+
+_SUMS = ", ".join(f"sum(n{i})::HUGEINT AS s{i}" for i in range(4))
+_DIGITS = " || ".join(f"lpad(n{i}::VARCHAR, 18, '0')" for i in (3, 2, 1, 0))
+
+
+def _product(i: int) -> str:
+    return " + ".join(f"np.n{j} * ns.n{i - j}" for j in range(i + 1))
+
+
 def _counts(kind: str) -> str:
-    """CTEs e, np (paths that end in a node), ns (paths that start from it) by enumeration."""
-    start = "SELECT DISTINCT source FROM e WHERE source NOT IN (SELECT target FROM e)" if kind == "spc" else "SELECT source FROM e UNION SELECT target FROM e"
-    end = "SELECT source FROM e UNION SELECT target FROM e" if kind == "spnp" else "SELECT DISTINCT target FROM e WHERE target NOT IN (SELECT source FROM e)"
+    """CTEs e, np (paths that end in a node), ns (paths that start from it), w (source, target, weight in digits, rank: 72 digits)."""
+    start = "SELECT DISTINCT source AS node FROM e WHERE source NOT IN (SELECT target FROM e)" if kind == "spc" else "SELECT source AS node FROM e UNION SELECT target FROM e"
+    end = "SELECT source AS node FROM e UNION SELECT target FROM e" if kind == "spnp" else "SELECT DISTINCT target AS node FROM e WHERE target NOT IN (SELECT source FROM e)"
+    first = "SELECT node, 0 AS k, 1::HUGEINT AS n0, 0::HUGEINT AS n1, 0::HUGEINT AS n2, 0::HUGEINT AS n3"
+    step = lambda f, x, y: _carried(f"SELECT {y} AS node, k + 1 AS k, {_SUMS} FROM {f} JOIN e ON node = {x} GROUP BY {y}, k", "node, k")
+    whole = lambda f: _carried(f"SELECT node, {_SUMS} FROM {f} GROUP BY node", "node")
+    product = ", ".join(f"{_product(i)} AS s{i}" for i in range(4))
     return f"""WITH RECURSIVE e AS MATERIALIZED ({CITES}),
-f(node) AS ({start} UNION ALL SELECT target FROM f JOIN e ON node = source),
-b(node) AS ({end} UNION ALL SELECT source FROM b JOIN e ON node = target),
-np AS (SELECT node, count(*) AS n FROM f GROUP BY node), ns AS (SELECT node, count(*) AS n FROM b GROUP BY node),
-w AS (SELECT source, target, (np.n * ns.n)::BIGINT AS weight FROM e JOIN np ON np.node = source JOIN ns ON ns.node = target) """
+f AS ({first} FROM ({start}) UNION ALL {step("f", "source", "target")}),
+b AS ({first} FROM ({end}) UNION ALL {step("b", "target", "source")}),
+np AS MATERIALIZED ({whole("f")}), ns AS MATERIALIZED ({whole("b")}),
+w AS MATERIALIZED (SELECT source, target, ltrim(rank, '0') AS weight, rank FROM (SELECT source, target, {_DIGITS} AS rank FROM (
+  {_carried(f"SELECT source, target, {product} FROM e JOIN np ON np.node = source JOIN ns ON ns.node = target", "source, target")}))) """
 
 
 def _weights(kind):
     def run(spark, d):
-        return paths.traversal_weights(citations(spark, d), kind).select("source", "target", F.col("weight").cast("long").alias("weight"))
+        return paths.traversal_weights(citations(spark, d), kind, as_text=True).select("source", "target", "weight")
 
     return run
 
 
 for _k in ("spc", "splc", "spnp"):
     QUERIES[f"{_k}_weights"] = _weights(_k)
-    ORACLE_SQL[f"{_k}_weights"] = _counts(_k) + "SELECT * FROM w"
+    ORACLE_SQL[f"{_k}_weights"] = _counts(_k) + "SELECT source, target, weight FROM w"
+
+
+def _best(name: str, into: bool) -> str:
+    """CTEs name (node, r): the greatest sum of weights of a path into a node (or out of it), in 72 digits, and name_step (node,
+    near): its neighbour on that path, the least of equals."""
+    x, y = ("source", "target") if into else ("target", "source")
+    limb = lambda r, i: f"substr({r}, {55 - 18 * i}, 18)::HUGEINT"
+    sums = ", ".join(f"{limb('p.r', i)} + {limb('w.rank', i)} AS s{i}" for i in range(4))
+    added = lambda p, rest: f"SELECT {rest}, {_DIGITS} AS r FROM ({_carried(f'SELECT {rest}, {sums} FROM {p} p JOIN w ON p.node = w.{x}', rest)})"
+    return f""", {name}_k AS (SELECT DISTINCT {x} AS node, 0 AS k, repeat('0', 72) AS r FROM w WHERE {x} NOT IN (SELECT {y} FROM w)
+  UNION ALL SELECT {y} AS node, k + 1 AS k, max(r) AS r FROM ({added(f"{name}_k", f"{y}, k")}) GROUP BY {y}, k),
+{name} AS MATERIALIZED (SELECT node, max(r) AS r FROM {name}_k GROUP BY node),
+{name}_step AS MATERIALIZED (SELECT s.{y} AS node, min(s.{x}) AS near FROM ({added(name, "source, target")}) s JOIN {name} t ON t.node = s.{y} AND t.r = s.r GROUP BY s.{y}) """
 
 
 def _global(kind: str) -> str:
-    """CTEs with m: the heaviest path as a list; ties by the reversed list."""
-    return _counts(kind) + """,
-p(node, path, total) AS (
-  SELECT DISTINCT source, [source], 0::BIGINT FROM w WHERE source NOT IN (SELECT target FROM w)
-  UNION ALL SELECT target, list_prepend(target, path), total + weight FROM p JOIN w ON p.node = w.source),
-m AS (SELECT list_reverse(path) AS path FROM p WHERE node NOT IN (SELECT source FROM w) ORDER BY total DESC, path LIMIT 1) """
+    """CTEs with m: the heaviest path as a list, ties to the least end and then the least node before."""
+    return _counts(kind) + _best("h", True) + """, q(node, path) AS (
+  SELECT node, [node] FROM (SELECT node FROM h WHERE node NOT IN (SELECT source FROM w) ORDER BY r DESC, node LIMIT 1)
+  UNION ALL SELECT near, list_prepend(near, path) FROM q JOIN h_step USING (node)),
+m AS (SELECT path FROM q ORDER BY len(path) DESC LIMIT 1) """
 
 
 _UNROLL = "SELECT (i - 1)::INT AS position, path[i] AS node FROM (SELECT path, unnest(range(1, len(path) + 1)) AS i FROM m)"
@@ -120,25 +158,25 @@ def global_main_path(spark, d):
     return paths.main_path(citations(spark, d), "global")
 
 
-@query(_counts("spc") + f""", s AS (SELECT node FROM ns WHERE node NOT IN (SELECT target FROM e) ORDER BY n DESC, node LIMIT 1),
-best AS (SELECT source, target FROM w QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight DESC, target) = 1),
+@query(_counts("spc") + f""", s AS (SELECT node FROM ns WHERE node NOT IN (SELECT target FROM e) ORDER BY n3 DESC, n2 DESC, n1 DESC, n0 DESC, node LIMIT 1),
+best AS (SELECT source, target FROM w QUALIFY row_number() OVER (PARTITION BY source ORDER BY rank DESC, target) = 1),
 q(node, path) AS (SELECT node, [node] FROM s UNION ALL SELECT target, list_append(path, target) FROM q JOIN best ON node = source),
 m AS (SELECT path FROM q ORDER BY len(path) DESC LIMIT 1) {_UNROLL}""")
 def local_forward_path(spark, d):
     return paths.main_path(citations(spark, d), "forward")
 
 
-@query(_counts("spc") + f""", s AS (SELECT target AS node FROM w WHERE target NOT IN (SELECT source FROM e) ORDER BY weight DESC, target DESC LIMIT 1),
-best AS (SELECT source, target FROM w QUALIFY row_number() OVER (PARTITION BY target ORDER BY weight DESC, source DESC) = 1),
+@query(_counts("spc") + f""", s AS (SELECT target AS node FROM w WHERE target NOT IN (SELECT source FROM e) ORDER BY rank DESC, target DESC LIMIT 1),
+best AS (SELECT source, target FROM w QUALIFY row_number() OVER (PARTITION BY target ORDER BY rank DESC, source DESC) = 1),
 q(node, path) AS (SELECT node, [node] FROM s UNION ALL SELECT source, list_prepend(source, path) FROM q JOIN best ON node = target),
 m AS (SELECT path FROM q ORDER BY len(path) DESC LIMIT 1) {_UNROLL}""")
 def local_backward_path(spark, d):
     return paths.main_path(citations(spark, d), "backward")
 
 
-@query(_counts("spc") + """, k AS (SELECT source, target, row_number() OVER (ORDER BY weight DESC, source, target) AS r FROM w QUALIFY r <= 10),
-out_best AS (SELECT source, target FROM w QUALIFY row_number() OVER (PARTITION BY source ORDER BY weight DESC, target DESC) = 1),
-in_best AS (SELECT source, target FROM w QUALIFY row_number() OVER (PARTITION BY target ORDER BY weight DESC, source DESC) = 1),
+@query(_counts("spc") + """, k AS (SELECT source, target, row_number() OVER (ORDER BY rank DESC, source, target) AS r FROM w QUALIFY r <= 10),
+out_best AS (SELECT source, target FROM w QUALIFY row_number() OVER (PARTITION BY source ORDER BY rank DESC, target DESC) = 1),
+in_best AS (SELECT source, target FROM w QUALIFY row_number() OVER (PARTITION BY target ORDER BY rank DESC, source DESC) = 1),
 fw(r, node, path) AS (SELECT r, target, [target] FROM k UNION ALL SELECT r, o.target, list_append(path, o.target) FROM fw JOIN out_best o ON node = o.source),
 bw(r, node, path) AS (SELECT r, source, [source] FROM k UNION ALL SELECT r, i.source, list_prepend(i.source, path) FROM bw JOIN in_best i ON node = i.target),
 whole AS (SELECT r, list_concat(arg_max(bw.path, len(bw.path)), arg_max(fw.path, len(fw.path))) AS path FROM fw JOIN bw USING (r) GROUP BY r)
@@ -147,12 +185,10 @@ def key_routes_local(spark, d):
     return paths.key_routes(citations(spark, d), 10, "local")
 
 
-@query(_counts("spc") + """, k AS (SELECT source, target, row_number() OVER (ORDER BY weight DESC, source, target) AS r FROM w QUALIFY r <= 10),
-fw(r, node, path, total) AS (SELECT r, target, [target], 0::BIGINT FROM k UNION ALL SELECT r, w.target, list_append(path, w.target), total + weight FROM fw JOIN w ON node = w.source),
-bw(r, node, path, total) AS (SELECT r, source, [source], 0::BIGINT FROM k UNION ALL SELECT r, w.source, list_append(path, w.source), total + weight FROM bw JOIN w ON node = w.target),
-f1 AS (SELECT r, path FROM fw WHERE node NOT IN (SELECT source FROM w) QUALIFY row_number() OVER (PARTITION BY r ORDER BY total DESC, path) = 1),
-b1 AS (SELECT r, list_reverse(path) AS path FROM bw WHERE node NOT IN (SELECT target FROM w) QUALIFY row_number() OVER (PARTITION BY r ORDER BY total DESC, path) = 1),
-whole AS (SELECT r, list_concat(b1.path, f1.path) AS path FROM f1 JOIN b1 USING (r))
+@query(_counts("spc") + _best("h", True) + _best("o", False) + """, k AS (SELECT source, target, row_number() OVER (ORDER BY rank DESC, source, target) AS r FROM w QUALIFY r <= 10),
+fw(r, node, path) AS (SELECT r, target, [target] FROM k UNION ALL SELECT r, near, list_append(path, near) FROM fw JOIN o_step USING (node)),
+bw(r, node, path) AS (SELECT r, source, [source] FROM k UNION ALL SELECT r, near, list_prepend(near, path) FROM bw JOIN h_step USING (node)),
+whole AS (SELECT r, list_concat(arg_max(bw.path, len(bw.path)), arg_max(fw.path, len(fw.path))) AS path FROM fw JOIN bw USING (r) GROUP BY r)
 SELECT array_to_string(path, '>') AS route, count(*) AS n_key_edges FROM whole GROUP BY path""")
 def key_routes_global(spark, d):
     return paths.key_routes(citations(spark, d), 10, "global")
@@ -163,18 +199,21 @@ def main_path_robustness(spark, d):
     return paths.robustness(citations(spark, d))
 
 
-@query()
+@query(f"SELECT target AS source, source AS target FROM ({CITES}) JOIN orders ON o_orderkey = target WHERE o_orderpriority = '1-URGENT'")
 def cycle_breaking(spark, d):
-    """The citations and the reverse of every fifth: cycles that the dates of orders settle."""
-    edges = citations(spark, d)
-    both = edges.union(edges.where("(source + target) % 5 = 0").select("target", "source"))
-    dates = table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date"))
-    return paths.acyclic(both, dates)[1]
+    """The citations and the reverse of those by urgent orders: cycles that the dates of orders settle, against the reverse."""
+    edges, orders = citations(spark, d), table(spark, d, "orders")
+    urgent = orders.where("o_orderpriority = '1-URGENT'").select(F.col("o_orderkey").alias("target"))
+    both = edges.union(edges.join(urgent, "target", "left_semi").select("target", "source"))
+    return paths.acyclic(both, orders.select(F.col("o_orderkey").alias("node"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("date")))[1]
+
+
+_SEEDS = "o_orderpriority = '1-URGENT' AND o_orderstatus = 'P'"
 
 
 def _lineage_sql(a: str, b: str) -> str:
     near = f"(SELECT {a} AS a, {b} AS x FROM e QUALIFY row_number() OVER (PARTITION BY {a} ORDER BY {b}) <= 200)"
-    return f"""WITH e AS ({CITES}), near AS {near}, s AS (SELECT source AS node FROM e WHERE source % 50 = 0 UNION SELECT target FROM e WHERE target % 50 = 0),
+    return f"""WITH e AS ({CITES}), near AS {near}, s AS (SELECT o_orderkey AS node FROM orders WHERE {_SEEDS} AND o_orderkey IN (SELECT source FROM e UNION SELECT target FROM e)),
 g1 AS (SELECT DISTINCT x AS node, a AS parent FROM near JOIN s ON a = node WHERE x NOT IN (SELECT node FROM s)),
 g2 AS (SELECT DISTINCT x AS node, a AS parent FROM near JOIN (SELECT DISTINCT node FROM g1) ON a = node WHERE x NOT IN (SELECT node FROM s UNION ALL SELECT node FROM g1)),
 g3 AS (SELECT DISTINCT x AS node, a AS parent FROM near JOIN (SELECT DISTINCT node FROM g2) ON a = node WHERE x NOT IN (SELECT node FROM s UNION ALL SELECT node FROM g1 UNION ALL SELECT node FROM g2))
@@ -185,7 +224,8 @@ def _lineage(forward):
     def run(spark, d):
         edges = citations(spark, d)
         nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
-        return paths.lineage(edges, nodes.where("node % 50 = 0"), 3, 200, forward)
+        seeds = table(spark, d, "orders").where(_SEEDS).select(F.col("o_orderkey").alias("node"))
+        return paths.lineage(edges, seeds.join(nodes, "node", "left_semi"), 3, 200, forward)
 
     return run
 
@@ -252,7 +292,7 @@ def _pajek(spark, d):
     edges = citations(spark, d)
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     label = table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"')).alias("label"))
-    return sinks.vertices(nodes.join(label, "node")), paths.traversal_weights(edges)
+    return sinks.vertices(nodes.join(label, "node")), edges.withColumn("weight", F.lit(None).cast("string"))
 
 
 _VERTICES = f"""WITH e AS ({CITES}), v AS (SELECT row_number() OVER (ORDER BY node)::INT AS index, node, '''' || o_orderpriority || '''' AS label

@@ -75,11 +75,11 @@ def term_frequency(spark, d):
 
 _VOCAB = f"""WITH t AS ({TERMS}), n AS (SELECT period, count(DISTINCT doc_id) AS n FROM t GROUP BY period),
 v AS (SELECT period, term, count(DISTINCT doc_id) AS freq FROM t JOIN n USING (period) GROUP BY period, term, n HAVING freq >= 2 AND (n < 10 OR freq <= 0.5 * n)
-  QUALIFY row_number() OVER (PARTITION BY period ORDER BY freq DESC, term) <= 40) """
+  QUALIFY row_number() OVER (PARTITION BY period ORDER BY freq DESC, term) <= 150) """
 
 
 def _vocabulary(spark, d):
-    return themes.vocabulary(order_terms(spark, d), top=40)
+    return themes.vocabulary(order_terms(spark, d))
 
 
 @query(_VOCAB + "SELECT * FROM v")

@@ -6,34 +6,23 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-BRAND = "Brand#11"
-
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def citations(spark: SparkSession, sf_dir: str, brand: str | None = BRAND) -> DataFrame:
+def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target: for each part the orders that hold it, one after the other by date and key; acyclic by construction."""
-    part = table(spark, sf_dir, "part").select("p_partkey", "p_brand")
-    if brand:
-        part = part.where(F.col("p_brand") == brand)
-    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")
-    held = lines.join(part, lines.l_partkey == part.p_partkey).select("l_partkey", "l_orderkey").distinct()
+    held = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct()
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     dated = held.join(orders, held.l_orderkey == orders.o_orderkey)
     before = F.lag("o_orderkey").over(W.partitionBy("l_partkey").orderBy("o_orderdate", "o_orderkey"))
     return dated.select(before.alias("source"), F.col("o_orderkey").alias("target")).where("source is not null").distinct()
 
 
-def _cites(brand: str | None) -> str:
-    return f"""SELECT DISTINCT source, target FROM (
+CITES = """SELECT DISTINCT source, target FROM (
   SELECT lag(o) OVER (PARTITION BY p ORDER BY d, o) AS source, o AS target FROM (
-    SELECT DISTINCT l_partkey AS p, o_orderkey AS o, o_orderdate AS d FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey
-    {f"WHERE p_brand = '{brand}'" if brand else ""})) WHERE source IS NOT NULL"""
-
-
-CITES, ALL_CITES = _cites(BRAND), _cites(None)
+    SELECT DISTINCT l_partkey AS p, o_orderkey AS o, o_orderdate AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)) WHERE source IS NOT NULL"""
 
 
 def order_terms(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -30,13 +30,13 @@ def normalize_title(spark, d):
 _STEMS = "|".join(s[:-1] for s in terms.ISE_STEMS)
 
 
-@query(rf"""WITH w AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(left(text, 200)), '-/', '  '), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\b({_STEMS})s(e|ed|es|ing|ation|ations)\b', '\1z\2', 'g'), '\s+', ' ', 'g')) AS t FROM documents),
+@query(rf"""WITH w AS (SELECT doc_id, trim(regexp_replace(regexp_replace(regexp_replace(translate(lower(text), '-/', '  '), '[^\p{{L}}\p{{M}}\p{{N}}_\s]', ' ', 'g'), '\b({_STEMS})s(e|ed|es|ing|ation|ations)\b', '\1z\2', 'g'), '\s+', ' ', 'g')) AS t FROM documents),
 l AS (SELECT doc_id, t, string_split(t, ' ') AS x, string_split(t, ' ')[-1] AS y FROM w)
 SELECT doc_id, CASE WHEN t = '' THEN '' ELSE array_to_string(list_append(x[:len(x) - 1], CASE WHEN length(y) > 4 AND ends_with(y, 'ies') THEN left(y, length(y) - 3) || 'y'
   WHEN length(y) > 4 AND ends_with(y, 's') AND NOT regexp_matches(y, '(ss|is|us|ics|sis)$') THEN left(y, length(y) - 1) ELSE y END), ' ') END AS term FROM l""")
 def normalize_term(spark, d):
-    """Of each document's first 200 characters, as one long term."""
-    return table(spark, d, "documents").select("doc_id", terms.normal_term(F.substring("text", 1, 200)).alias("term"))
+    """Each text as one long term."""
+    return table(spark, d, "documents").select("doc_id", terms.normal_term(F.col("text")).alias("term"))
 
 
 @query()
@@ -91,11 +91,12 @@ def tags_stripped(spark, d):
     return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace("html", "<[^>]+>", "")).alias("text"))
 
 
-@query("""WITH w AS (SELECT item_id AS wanted_id, trim(regexp_replace(lower(left(text, 40)), '[^0-9a-z]+', ' ', 'g')) AS t, 2000 + (item_id % 3) AS y FROM benchmark),
-x AS (SELECT doc_id AS work_id, trim(regexp_replace(lower(left(text, 40)), '[^0-9a-z]+', ' ', 'g')) AS t, 2000 + (doc_id % 3) AS y, n_chars AS n FROM documents UNION ALL SELECT 1000000000 + item_id, trim(regexp_replace(lower(left(text, 40)), '[^0-9a-z]+', ' ', 'g')), 2001, 5 FROM benchmark)
+@query("""WITH w AS (SELECT item_id AS wanted_id, trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')) AS t, 2000 + (item_id % 3) AS y FROM benchmark),
+x AS (SELECT doc_id AS work_id, trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')) AS t, 2000 + (doc_id % 3) AS y, n_chars AS n FROM documents UNION ALL SELECT 1000000000 + item_id, trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')), 2001, 5 FROM benchmark)
 SELECT wanted_id, work_id FROM w JOIN x ON w.t = x.t AND abs(w.y - x.y) <= 1 WHERE w.t <> '' QUALIFY row_number() OVER (PARTITION BY wanted_id ORDER BY n DESC, work_id) = 1""")
 def title_lookup(spark, d):
-    head = F.substring("text", 1, 40).alias("title")
+    """Whole texts as titles: the items of the benchmark among documents and the items themselves."""
+    head = F.col("text").alias("title")
     bench = table(spark, d, "benchmark")
     wanted = bench.select(F.col("item_id").alias("wanted_id"), head, (2000 + F.col("item_id") % 3).alias("year"))
     works = table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), head, (2000 + F.col("doc_id") % 3).alias("year"), F.col("n_chars").alias("n_refs"))
