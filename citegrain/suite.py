@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import audits, graphs, series, texts
+from .plans import audits, graphs, landing, series, texts
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _family in (graphs, series, audits, texts):
+for _family in (graphs, series, audits, texts, landing):
     QUERIES |= _family.QUERIES
     ORACLE_SQL |= _family.ORACLE_SQL
 
