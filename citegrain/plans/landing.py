@@ -36,9 +36,11 @@ def _text(key: str, width: int = 10) -> Column:
     return F.lpad(F.col(key).cast("string"), width, "0")
 
 
-def _answers(rows: DataFrame, group: str, key: str, entry: Column, wrap) -> DataFrame:
+def _answers(rows: DataFrame, group: str, key: str | Column, entry: Column, wrap) -> DataFrame:
     """One response for each group, its entries in the order of the key."""
-    listed = F.transform(F.sort_array(F.collect_list(F.struct(F.col(key).alias("k"), entry.alias("e")))), lambda x: x["e"])
+    key = F.col(key) if isinstance(key, str) else key
+    by_key = lambda x, y: F.when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0)
+    listed = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), entry.alias("e"))), by_key), lambda x: x["e"])
     return rows.groupBy(group).agg(listed.alias("es")).select(group, F.parse_json(F.to_json(wrap(F.col("es")))).alias("json"))
 
 
@@ -71,7 +73,7 @@ def _reference_lists(spark, d):
         F.concat((1950 + F.col("p_size")).cast("string"), F.lit("-01-01")).alias("prism:coverDate"), F.struct(F.array(author(0), author(1), author(0)).alias("author")).alias("author-list"),
     )
     wrap = lambda es: _named("abstracts-retrieval-response", _named("references", _named("reference", es)))
-    return _answers(rows, "l_orderkey", "l_linenumber", entry, wrap)
+    return _answers(rows, "l_orderkey", F.struct("l_linenumber", _text("l_partkey", 8)), entry, wrap)
 
 
 @query("""SELECT l_orderkey, (row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, lpad(l_partkey::VARCHAR, 8, '0')) - 1)::INT AS pos, lpad(l_partkey::VARCHAR, 8, '0') AS ref_scopus_id, '10.2000/p' || l_partkey AS ref_doi, p_name AS title,

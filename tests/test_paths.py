@@ -234,3 +234,18 @@ def test_empty_graphs(spark):
 def test_main_paths_run_from_source_to_sink(spark, search):
     got = [r.node for r in sorted(paths.main_path(frame(spark, KNOWN), search).collect())] if search != "x" else []
     assert got[0] in "AB" and got[-1] in "KLN"
+
+
+def test_path_transmission(spark):
+    """Steps of a path with their weights and labels; too short a path is refused."""
+    from citegrain.operators import reports
+
+    edges = frame(spark, ["AB", "BC"])
+    papers = spark.createDataFrame([(n, ["Cole"], 2007) for n in "ABC"], "node string, surnames array<string>, year int")
+    contexts = spark.createDataFrame([("B", "A", ["A dance language (Cole, 2007) is shown."], ["result"], False)], "citing_id string, cited_id string, contexts array<string>, intents array<string>, is_influential boolean")
+    got = sorted(reports.path_transmission(paths.main_path(edges), papers, contexts, paths.traversal_weights(edges), ["dance language"]).collect())
+    assert [(r.cited_id, r.citing_id, int(r.weight), r.label) for r in got] == [("A", "B", 1, "substantive"), ("B", "C", 1, "unresolved")]
+    with pytest.raises(ValueError):
+        reports.path_transmission(paths.main_path(edges).limit(1), papers, contexts, paths.traversal_weights(edges), [])
+    heavy = reports.heaviest_contexts(spark.createDataFrame([("A", "B", 1), ("B", "C", 5)], "source string, target string, weight int"), contexts.select("citing_id", "cited_id", "contexts"), contexts.select("citing_id", "cited_id", "contexts").limit(0), 1)
+    assert [(r.place, r.cited_id, r.status) for r in heavy.collect()] == [(1, "B", "edge_absent")]
