@@ -46,7 +46,9 @@ def resolve_categories(categories: DataFrame, wanted: list[str]) -> list[str]:
 
     categories: code, description; a dimension of a few hundred rows.
     """
-    rows = categories.select("code", "description").limit(20_000).collect()
+    rows = categories.select("code", "description").distinct().limit(20_001).collect()
+    if len(rows) > 20_000:
+        raise ValueError("more than 20,000 categories; this is a look-up in a small dimension")
     out = []
     for w in wanted:
         low = w.strip().lower()

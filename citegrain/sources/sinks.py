@@ -118,8 +118,10 @@ def coding_sheet(edges: DataFrame) -> DataFrame:
 
 
 def html_page(nodes: DataFrame, edges: DataFrame, title: str, most: int = 2_000) -> str:
-    """A page that lists a layered network, its data as inline JSON; at most so many nodes and edges."""
-    rows = [[r.asDict() for r in df.limit(most).collect()] for df in (nodes, edges)]
+    """A page that lists a layered network, its data as inline JSON; more than ``most`` nodes or edges: ValueError."""
+    rows = [[r.asDict() for r in df.limit(most + 1).collect()] for df in (nodes, edges)]
+    if any(len(x) > most for x in rows):
+        raise ValueError(f"more than {most} nodes or edges; write tables instead")
     data = json.dumps({"nodes": rows[0], "edges": rows[1]}, default=str).replace("</", "<\\/")
     script = "const d=JSON.parse(document.getElementById('data').textContent);const u=document.getElementById('list');for(const e of d.edges){const li=document.createElement('li');li.textContent=e.source+' → '+e.target;u.append(li)}"
     return f'<!doctype html><meta charset="utf-8"><title>{escape(title)}</title><h1>{escape(title)}</h1><ul id="list"></ul><script type="application/json" id="data">{data}</script><script>{script}</script>'
