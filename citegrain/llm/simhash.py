@@ -21,7 +21,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Union, bounded_array, by_cell, cells, components, cut, discard, packed, ships_by_value, unpacked
+from .common import Union, bounded_array, by_cell, cells, components, cut, ships_by_value
 
 ships_by_value(__name__)
 
@@ -31,26 +31,41 @@ SHARD = 2048
 SENT, SPLIT = 500_000, 4
 
 
-def fingerprint(text: str | None, width: int) -> int:
-    """The fingerprint of one text as an unsigned integer. Fewer words than the width: the whole sequence is the one shingle."""
+def shingle_hashes(text: str | None, width: int, step: int = 65_536):
+    """Arrays of the XXH64 hashes of a text's word shingles, in order. Fewer words than the width: the whole sequence is the one shingle."""
     import numpy as np
     import xxhash
 
     words = (text or "").encode().lower().split()
     if not words:
-        return 0
+        return
     joined = b" ".join(words)
     sizes = np.fromiter(map(len, words), np.int64, len(words))
     ends = np.cumsum(sizes + 1) - 1
     starts = ends - sizes
     n = max(1, len(words) - width + 1)
     h, ends = xxhash.xxh64_intdigest, ends[min(width, len(words)) - 1 :]
-    counts, step = np.zeros(64, np.int64), 65_536
     starts, ends = starts.tolist(), ends.tolist()
     for k in range(0, n, step):
-        hashes = np.array([h(joined[s:e], 42) for s, e in zip(starts[k : min(n, k + step)], ends[k : k + step])], np.uint64)
-        bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += np.add.reduce(bits, axis=0, dtype=np.uint32)
+        yield np.array([h(joined[s:e], 42) for s, e in zip(starts[k : min(n, k + step)], ends[k : k + step])], np.uint64)
+
+
+def bit_counts(hashes):
+    """How many of the hashes have each of the 64 bits."""
+    import numpy as np
+
+    bits = np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+    return np.add.reduce(bits, axis=0, dtype=np.uint32).astype(np.int64)
+
+
+def fingerprint(text: str | None, width: int) -> int:
+    """The fingerprint of one text as an unsigned integer."""
+    import numpy as np
+
+    n, counts = 0, np.zeros(64, np.int64)
+    for hashes in shingle_hashes(text, width):
+        n += len(hashes)
+        counts += bit_counts(hashes)
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
@@ -86,6 +101,8 @@ class BKTree:
         self.children: list[dict[int, int]] = [{} for _ in values]
         #: Whether a node's subtree may hold more than one component.
         self.mixed = [False] * len(values)
+        #: Pairs within the radius that connect the components.
+        self.edges: list[tuple[int, int]] = []
         for k in range(1, len(values)):
             self._link(k)
             self._insert(k)
@@ -95,8 +112,9 @@ class BKTree:
         while stack:
             x = stack.pop()
             d = (value ^ self.values[x]).bit_count()
-            if d <= radius:
+            if d <= radius and sets.find(x) != sets.find(k):
                 sets.join(x, k)
+                self.edges.append((x, k))
             below = self.children[x]
             if below:
                 for e in range(max(1, d - radius), d + radius + 1):
@@ -215,25 +233,3 @@ def near_groups(docs: DataFrame, width: int = 5, radius: int = 4, most_sent: int
 
 def hex_of(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
-
-
-def keep_one(docs: DataFrame, width: int = 5, radius: int = 4) -> DataFrame:
-    """The rows of docs but those that another document of their group stands for; of repeated rows one stays.
-
-    The document of the group's smallest doc_id stays. Rows with a null doc_id stay, too, and rows of one doc_id with
-    different texts are documents of their own. Other columns are kept whatever their names.
-
-    The documents to drop are looked up, not those to keep: they are few where copies are few.
-    """
-    groups = cut(near_groups(docs, width, radius))
-    key = [F.col("doc_id").alias("d"), F.col("key").alias("k")]
-    drop = cut(groups.where("doc_id <> component_id").select(*key).distinct())
-    own = packed(docs, "doc_id", "text")
-    same = (F.col("doc_id") == F.col("d")) & (F.xxhash64("text") == F.col("k"))
-    kept = own.join(drop, same, "left_anti")
-    repeated = cut(groups.where("doc_id = component_id").groupBy(*key).count().where("count > 1").select("d", "k"))
-    discard(groups)
-    if not repeated.isEmpty():
-        once = kept.join(repeated, same).dropDuplicates(["d", "k"]).select(*kept.columns)
-        kept = kept.join(repeated, same, "left_anti").unionByName(once)
-    return kept.select(*unpacked(kept, docs, "doc_id", "text"))

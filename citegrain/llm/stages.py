@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, line_dedup, mixing, quality_rules, simhash
+from . import byte_bpe, line_dedup, mixing, near_texts, quality_rules
 from .common import own_folder, packed, table, unpacked
 
 
@@ -29,8 +29,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays, over five-word shingles; rows without doc_id stay."""
-    return simhash.keep_one(docs)
+    """One document of each group of near copies stays, of Jaccard similarity 0.8 over five-word shingles; rows without doc_id stay."""
+    return near_texts.keep_one(docs)
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ from itertools import combinations
 import pytest
 import xxhash
 
-from citegrain.llm import line_dedup, simhash, spotsigs
+from citegrain.llm import line_dedup, near_texts, simhash, spotsigs
 from citegrain.llm.common import components
 from citegrain.llm.queries import op2_simhash, op9_spotsigs
 
@@ -97,16 +97,6 @@ def test_components(spark):
     assert components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-def test_one_of_each_group_stays(docs, odd, none):
-    left = simhash.keep_one(odd)
-    assert left.columns == odd.columns
-    ids = [r.doc_id for r in left.collect()]
-    assert ids.count(1) == 1 and ids.count(None) == 2 and 8 not in ids
-    groups = simhash.near_groups(docs).collect()
-    assert sorted(r.doc_id for r in simhash.keep_one(docs).collect()) == sorted({r.component_id for r in groups})
-    assert simhash.keep_one(none).collect() == []
-
-
 def plain_lines(rows):
     """Texts after dedup by all pairs of lines."""
     at = []
@@ -350,12 +340,12 @@ def test_pipeline_stages(spark, sf):
     assert kept.columns == docs.columns
     lines = p.lines(spark, kept, sf)
     assert lines.columns == docs.columns and 0 < lines.count() <= kept.count()
-    # line dedup leaves next to no pair of five-word similarity 0.8 that the radius of the next stage would miss
+    # no pair of five-word similarity 0.8 is left behind line dedup and near copies
     word5 = {r.doc_id: frozenset(zip(*[(r.text or "").lower().split()[k:] for k in range(5)])) for r in lines.collect()}
     near = p.near_copies(spark, lines, sf)
     left = [word5[r.doc_id] for r in near.collect()]
     assert sum(bool(a and b) and like(a, b) >= 0.8 for a, b in combinations(left, 2)) == 0
-    groups = simhash.near_groups(lines).collect()
+    groups = near_texts.similar_groups(lines).collect()
     assert sorted(r.doc_id for r in near.collect()) == sorted({r.component_id for r in groups})
     mixed = p.mixture(spark, near, sf)
     assert mixed.columns == docs.columns
