@@ -140,10 +140,12 @@ def venue_abbreviation(venue: Column) -> Column:
     return F.coalesce(F.element_at(known, normal_title(venue)), F.when(initials != "", initials).otherwise("?"))
 
 
-def corpus(papers: DataFrame, ids: list[str] | None = None, where: Column | None = None, most: int = 300) -> DataFrame:
-    """The papers of the ids, in their order, or the most cited of a condition; exactly one of both."""
-    if (ids is None) == (where is None):
-        raise ValueError("either ids or a condition")
+def corpus(papers: DataFrame, ids: list[str] | None = None, where: Column | None = None, most: int = 300, wanted: DataFrame | None = None) -> DataFrame:
+    """The papers of the ids, in their order, of a table of ids (wanted: paper_id, see sources.sinks), or the most cited of a condition; exactly one of these."""
+    if sum(x is not None for x in (ids, where, wanted)) != 1:
+        raise ValueError("either ids, a table of ids or a condition")
+    if wanted is not None:
+        return papers.join(wanted.select("paper_id"), "paper_id", "left_semi")
     if ids is None:
         return papers.where(where).orderBy(F.desc("cited_by_count"), "paper_id").limit(most)
     order = papers.sparkSession.createDataFrame([(x, k) for k, x in enumerate(dict.fromkeys(ids))], "paper_id string, pos long")

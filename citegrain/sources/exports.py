@@ -156,14 +156,19 @@ def read_exports(spark: SparkSession, *paths: str) -> DataFrame:
         if length > MAX_BYTES:
             raise ValueError(f"{name} is larger than {MAX_BYTES // 2**20} MB")
 
+    return records(files.select(F.element_at(F.split("path", "/"), -1).alias("file"), "content"))
+
+
+def records(files: DataFrame) -> DataFrame:
+    """Records of export files that are landed as rows: file (its name), content (binary); with file and pos."""
+
     def run(batches):
         import pandas as pd
 
         names = [x.split()[0] for x in re.split(r", (?=\w+ )", RAW)]
         for pdf in batches:
-            for path, content in zip(pdf["path"], pdf["content"]):
-                name = path.rsplit("/", 1)[-1]
+            for name, content in zip(pdf["file"], pdf["content"]):
                 rows = parse(decode(bytes(content)), "." + name.lower().rsplit(".", 1)[-1])
                 yield pd.DataFrame(rows, columns=names).assign(file=name, pos=range(len(rows)))
 
-    return normalised(files.select("path", "content").mapInPandas(run, f"{RAW}, file string, pos long"))
+    return normalised(files.select("file", "content").mapInPandas(run, f"{RAW}, file string, pos long"))

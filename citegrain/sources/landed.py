@@ -128,12 +128,14 @@ def by_title(wanted: DataFrame, works: DataFrame) -> DataFrame:
 def ranked_copies(locations: DataFrame, least: int = 5_000, tries: int = 6) -> DataFrame:
     """The best open copy of each doi: other kinds before HTML, published before accepted before unknown before preprint.
 
-    locations: doi, url, kind, version, title, text. Distinct urls, the first ``tries`` of a doi; a text needs ``least``
+    locations: doi, url, kind, version, title, text. Urls that differ in case or a last slash are one; the first ``tries`` of a doi; a text needs ``least``
     characters and, but for JATS, its title near its beginning.
     """
     version = F.array_position(F.array(*[F.lit(x) for x in ("published", "accepted", "unknown", "preprint")]), F.coalesce("version", F.lit("unknown")))
     order = [(F.col("kind") == "html").cast("int"), version, "url"]
-    own = locations.dropDuplicates(["doi", "url"]).withColumn("_r", F.row_number().over(W.partitionBy("doi").orderBy(*order))).where(F.col("_r") <= tries)
+    same = F.lower(F.rtrim(F.col("url"), F.lit("/")))
+    own = locations.withColumn("_s", F.row_number().over(W.partitionBy("doi", same).orderBy(*order))).where("_s = 1").drop("_s")
+    own = own.withColumn("_r", F.row_number().over(W.partitionBy("doi").orderBy(*order))).where(F.col("_r") <= tries)
     squash = lambda c: F.regexp_replace(F.lower(c), r"(?U)[^\w]+|_", "")
     fits = (F.length("text") >= least) & ((F.col("kind") == "jats") | F.substring(squash(F.col("text")), 1, 6000).contains(squash(F.col("title"))))
     return own.where(fits).withColumn("_p", F.row_number().over(W.partitionBy("doi").orderBy("_r"))).where("_p = 1").drop("_r", "_p")

@@ -6,7 +6,8 @@ import json
 from html import escape
 from itertools import islice
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -79,6 +80,17 @@ def write_pajek(nodes: DataFrame, edges: DataFrame, path: str) -> None:
     index.unpersist()
 
 
+def pajek_lines(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """The lines of a .net file as rows: block and place give their order; to be written by Spark where a driver's file is too small."""
+    index = vertices(nodes)
+    number = lambda c: F.coalesce(F.concat(F.lit(" "), F.col(c).cast("string")), F.lit(""))
+    block = lambda k, place, line: (F.lit(k).alias("block"), place.cast("long").alias("place"), line.alias("line"))
+    out = nodes.agg(F.count(F.lit(1)).alias("n")).select(*block(0, F.lit(0), F.concat(F.lit("*Vertices "), F.col("n").cast("string"))))
+    out = out.unionByName(index.select(*block(1, F.col("index"), F.concat(F.col("index").cast("string"), F.lit(' "'), F.col("label"), F.lit('"')))))
+    out = out.unionByName(nodes.sparkSession.range(1).select(*block(2, F.lit(0), F.lit("*Arcs"))))
+    return out.unionByName(arcs(index, edges).select(*block(3, F.col("a"), F.concat(F.col("a").cast("string"), number("b"), number("weight")))))
+
+
 def write_partition(nodes: DataFrame, path: str) -> None:
     """A .clu file: the class (part) of each node, by id."""
     with open(path, "w", encoding="utf-8") as f:
@@ -125,3 +137,43 @@ def html_page(nodes: DataFrame, edges: DataFrame, title: str, most: int = 2_000)
     data = json.dumps({"nodes": rows[0], "edges": rows[1]}, default=str).replace("</", "<\\/")
     script = "const d=JSON.parse(document.getElementById('data').textContent);const u=document.getElementById('list');for(const e of d.edges){const li=document.createElement('li');li.textContent=e.source+' → '+e.target;u.append(li)}"
     return f'<!doctype html><meta charset="utf-8"><title>{escape(title)}</title><h1>{escape(title)}</h1><ul id="list"></ul><script type="application/json" id="data">{data}</script><script>{script}</script>'
+
+
+def write_texts(texts: DataFrame, path: str) -> None:
+    """Full texts (paper_id, text) as text files in a folder for each paper; papers without text have none."""
+    texts.where("text is not null").select("paper_id", "text").write.partitionBy("paper_id").text(path)
+
+
+def write_bibtex(entries: DataFrame, path: str) -> None:
+    """Entries (pos, entry) as BibTeX files in the order of pos, a blank line after each."""
+    entries.orderBy("pos").select(F.concat("entry", F.lit("\n")).alias("value")).write.text(path)
+
+
+def write_sheet(edges: DataFrame, path: str) -> None:
+    """A coding sheet as CSV files, each with the mark at its beginning by which spreadsheets know UTF-8."""
+    sheet = coding_sheet(edges)
+    sheet.withColumnRenamed(sheet.columns[0], "\ufeff" + sheet.columns[0]).write.option("header", True).option("escape", '"').csv(path)
+
+
+#: What the manifest of a corpus says that it is.
+CORPUS_KIND = "citegrain corpus"
+
+
+def write_corpus(records: DataFrame, path: str) -> None:
+    """Imported records (scopus_id, doi and more) as a corpus: a table, and a manifest with its kind."""
+    records.write.parquet(f"{path}/records")
+    records.sparkSession.range(1).select(F.lit(CORPUS_KIND).alias("kind")).coalesce(1).write.json(f"{path}/manifest")
+
+
+def corpus_ids(spark: SparkSession, path: str, by: str = "scopus_id") -> DataFrame:
+    """paper_id: the ids (by scopus_id or doi) of a corpus, distinct. Something else at the path, or no ids: ValueError."""
+    try:
+        kinds = [r.kind for r in spark.read.schema("kind string").json(f"{path}/manifest").collect()]
+    except AnalysisException:
+        kinds = []
+    if kinds != [CORPUS_KIND]:
+        raise ValueError(f"{path} is no corpus")
+    ids = spark.read.parquet(f"{path}/records").select(F.col(by).alias("paper_id")).where("paper_id is not null").distinct()
+    if ids.isEmpty():
+        raise ValueError(f"the corpus has no {by}")
+    return ids

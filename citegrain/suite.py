@@ -6,11 +6,11 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import audits, graphs, landing, series, texts, wholes
+from .plans import audits, exporting, graphs, landing, series, texts, wholes
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _family in (graphs, series, audits, texts, landing, wholes):
+for _family in (graphs, series, audits, texts, landing, wholes, exporting):
     QUERIES |= _family.QUERIES
     ORACLE_SQL |= _family.ORACLE_SQL
 

@@ -4,8 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from citegrain.functions import identity, terms
-from citegrain.operators import audit, biblio, mentions, themes
-from citegrain.sources import exports, landed, markup, sinks
+from citegrain.operators import audit, biblio, mentions, scopes, themes
+from citegrain.sources import copies, exports, landed, markup, sinks
 
 
 def one(spark, column, *values, kind="string"):
@@ -313,8 +313,6 @@ def test_streams(spark, sf, tmp_path):
 
 
 def test_scopes(spark):
-    from citegrain.operators import scopes
-
     assert len(scopes.scope_issns("AIS8")) == 16 and scopes.scope_issns("0276-7783, 0960085x; 02767783") == ["0276-7783", "0960-085X"]
     assert scopes.scope_issns(None) is None
     with pytest.raises(ValueError):
@@ -361,3 +359,57 @@ def test_more_responses(spark, tmp_path):
     assert (landed.article_hits(read(hits)).first().creator, landed.article_hits(read(hits)).first().open_access) == ("N", True)
     assert (landed.index_sources(read(hits)).first().h_index, landed.index_sources(read(hits)).first().two_year_mean_citedness) == (4, 1.5)
     assert landed.index_authors(read(hits)).first().topics == ["a", "b", "c"]
+
+
+def test_corpus_files(spark, tmp_path):
+    records = spark.createDataFrame([("1", "10.1/a"), ("2", None), ("1", "10.1/b")], "scopus_id string, doi string")
+    sinks.write_corpus(records, str(tmp_path / "c"))
+    wanted = sinks.corpus_ids(spark, str(tmp_path / "c"))
+    assert sorted(r[0] for r in wanted.collect()) == ["1", "2"]
+    assert sorted(r[0] for r in sinks.corpus_ids(spark, str(tmp_path / "c"), "doi").collect()) == ["10.1/a", "10.1/b"]
+    papers = spark.createDataFrame([("1", 3), ("3", 5)], "paper_id string, cited_by_count int")
+    assert [r.paper_id for r in scopes.corpus(papers, wanted=wanted).collect()] == ["1"]
+    with pytest.raises(ValueError, match="either"):
+        scopes.corpus(papers, ["1"], wanted=wanted)
+    with pytest.raises(ValueError, match="no corpus"):
+        sinks.corpus_ids(spark, str(tmp_path))
+    sinks.write_corpus(records.where("doi is null"), str(tmp_path / "d"))
+    with pytest.raises(ValueError, match="no doi"):
+        sinks.corpus_ids(spark, str(tmp_path / "d"), "doi")
+
+
+def test_text_files(spark, tmp_path):
+    sinks.write_texts(spark.createDataFrame([("p1", "one\ntwo"), ("p2", None)], "paper_id string, text string"), str(tmp_path / "t"))
+    assert [r.value for r in spark.read.text(str(tmp_path / "t")).collect()] == ["one", "two"]
+    sinks.write_bibtex(spark.createDataFrame([(2, "@b{y}"), (1, "@a{x}")], "pos int, entry string"), str(tmp_path / "b"))
+    parts = sorted((tmp_path / "b").glob("part-*"))
+    assert "".join(p.read_text() for p in parts) == "@a{x}\n\n@b{y}\n\n"
+    edges = spark.createDataFrame([("a", "b", ['said "so", é'])], "source string, target string, contexts array<string>")
+    sinks.write_sheet(edges, str(tmp_path / "s"))
+    assert next((tmp_path / "s").glob("part-*")).read_bytes().startswith(b"\xef\xbb\xbfsource,")
+    back = landed.read_sheet(spark, str(tmp_path / "s"))
+    assert back.columns == ["source", "target", "contexts", "coder_1_label", "coder_2_label"]
+    assert back.first().contexts == 'said "so", é'
+
+
+def test_pajek_lines(spark):
+    nodes = spark.createDataFrame([("b", 'B "x"'), ("a", None)], "node string, label string")
+    edges = spark.createDataFrame([("a", "b", 2), ("a", "z", 1), ("b", "a", None)], "source string, target string, weight int")
+    rows = sinks.pajek_lines(nodes, edges).orderBy("block", "place").collect()
+    assert [r.line for r in rows] == ["*Vertices 2", '1 "a"', "2 \"B 'x'\"", "*Arcs", "1 2 2", "2 1"]
+
+
+def test_copies_of_odd_answers(spark):
+    for reader in (copies.from_index, copies.from_graph, copies.from_articles, copies.from_registry, copies.from_aggregator):
+        for answer in ("{}", "[]", "null", '{"locations": null, "oa_locations": [], "results": [{}], "openAccessPdf": {"url": " "}}'):
+            docs = spark.createDataFrame([("10.1/a", answer)], "doi string, t string").select("doi", F.parse_json("t").alias("json"))
+            assert reader(docs).collect() == []
+    feeds = spark.createDataFrame([("10.1/a", "T", "<feed/>"), ("10.1/b", "T", "no feed"), ("10.1/c", "T", None)], "doi string, title string, xml string")
+    assert copies.from_preprints(feeds).collect() == []
+
+
+def test_ranked_copies_of_one_url(spark):
+    long = "Some Title " + "x" * 6000
+    rows = [("d", "http://a/x", "html", "published", "some title", long), ("d", "HTTP://A/X/", "pdf", "preprint", "some title", long), ("d", "http://b", "pdf", "accepted", "some title", "short")]
+    got = landed.ranked_copies(spark.createDataFrame(rows, "doi string, url string, kind string, version string, title string, text string")).collect()
+    assert [(r.url, r.kind) for r in got] == [("HTTP://A/X/", "pdf")]
