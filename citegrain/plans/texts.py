@@ -39,7 +39,22 @@ def normalize_term(spark, d):
     return table(spark, d, "documents").select("doc_id", terms.normal_term(F.col("text")).alias("term"))
 
 
-@query()
+_STOPS = ", ".join(f"'{w}'" for w in terms.STOPWORDS)
+_SHORT = ", ".join(f"'{w}'" for w in terms.ACRONYMS)
+
+
+@query(rf"""WITH c AS (SELECT doc_id, unnest(string_split_regex(lower(regexp_replace(regexp_replace(coalesce(text, ''), '(?im)(©|\(c\)|copyright).*$|all rights reserved.*$', ' ', 'g'), '\b({"|".join(w.upper() for w in terms.ACRONYMS)})\b', '\1_', 'g')), '[.;:!?()\[\]]')) AS t FROM documents),
+w AS (SELECT doc_id, regexp_extract_all(t, '[a-z][a-z_\-'']+') AS x FROM c),
+i AS (SELECT doc_id, x, unnest(range(1, len(x))) AS k FROM w),
+s AS (SELECT doc_id, x[k] AS a, x[k + 1] AS b, x[k + 2] AS z FROM i),
+f AS (SELECT *, a NOT IN ({_STOPS}) AND (length(rtrim(a, '_')) >= 3 OR rtrim(a, '_') IN ({_SHORT})) AS ea, b NOT IN ({_STOPS}) AND (length(rtrim(b, '_')) >= 3 OR rtrim(b, '_') IN ({_SHORT})) AS eb,
+  z NOT IN ({_STOPS}) AND (length(rtrim(z, '_')) >= 3 OR rtrim(z, '_') IN ({_SHORT})) AS ez, b NOT IN ({_STOPS}) OR b IN ('of', 'and', 'for') AS mb FROM s),
+g AS (SELECT DISTINCT doc_id, a || ' ' || b AS g FROM f WHERE ea AND eb UNION SELECT doc_id, a || ' ' || b || ' ' || z FROM f WHERE ea AND ez AND mb AND z IS NOT NULL),
+n AS (SELECT g, trim(regexp_replace(regexp_replace(regexp_replace(translate(g, '-/', '  '), '[^a-z0-9_\s]', ' ', 'g'), '\b({_STEMS})s(e|ed|es|ing|ation|ations)\b', '\1z\2', 'g'), '\s+', ' ', 'g')) AS t FROM (SELECT DISTINCT g FROM g)),
+l AS (SELECT g, string_split(t, ' ') AS x, string_split(t, ' ')[-1] AS y FROM n),
+r AS (SELECT g, replace(array_to_string(list_append(x[:len(x) - 1], CASE WHEN length(y) > 4 AND ends_with(y, 'ies') THEN left(y, length(y) - 3) || 'y'
+  WHEN length(y) > 4 AND ends_with(y, 's') AND NOT regexp_matches(y, '(ss|is|us|ics|sis)$') THEN left(y, length(y) - 1) ELSE y END), ' '), '_', '') AS phrase FROM l)
+SELECT phrase, count(DISTINCT doc_id) AS n_docs FROM g JOIN r USING (g) WHERE phrase <> '' GROUP BY phrase""")
 def phrases_ngrams(spark, d):
     found = table(spark, d, "documents").select("doc_id", F.explode(terms.phrases(F.col("text"))).alias("phrase"))
     return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_docs"))
@@ -81,7 +96,11 @@ def draft_labels(spark, d):
     return mentions.judged(found, ["said"]).select("conv_id", "turn", "construct_mentions", "list_citations", "label")
 
 
-@query()
+_SKIPPED = "|".join(rf"<{x}\b[^>]*>.*?</{x}\s*>" for x in markup.SKIPPED)
+
+
+@query(rf"""WITH c AS (SELECT page_id, string_split_regex(regexp_replace(html, '(?is){_SKIPPED}|<!--.*?-->', '<>', 'g'), '<[^>]*>') AS c FROM pages)
+SELECT page_id, replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(c, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' '), '&quot;', '"'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM c""")
 def html_text(spark, d):
     return table(spark, d, "pages").select("page_id", markup.html_text(F.col("html")).alias("text"))
 
