@@ -64,28 +64,46 @@ def normal_term(c: Column) -> Column:
 
 
 def phrases(text: Column, least: int = 2, most: int = 3) -> Column:
-    """Sorted distinct 2- and 3-word phrases within clauses, as an array; single words tell themes apart too badly."""
+    """Sorted distinct 2- and 3-word phrases within clauses, as an array; single words tell themes apart too badly.
+
+    A phrase is a normal term (normal_term) whose words are made normal one by one, once for all phrases that they are in:
+    as words within a phrase, and as the last one, which is singular.
+    """
     stop = [*dict.fromkeys(STOPWORDS)]
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"(?im)(©|\(c\)|copyright).*$|all rights reserved.*$", " ")
-    t = F.regexp_replace(t, r"\b(IT|AI|AR|VR|ML|HR|UX|UI|BI)\b", "$1_")
+    t = F.regexp_replace(t, rf"\b({'|'.join(ACRONYMS).upper()})\b", "$1_")
     clauses = F.split(F.lower(t), r"[.;:!?()\[\]]")
+    stems = "|".join(x[:-1] for x in ISE_STEMS)
     short = lambda w: (F.length(w) < 3) & ~w.isin(ACRONYMS)
-    # each word with whether it may begin or end a phrase, and whether it may be within one; told once for all phrases
-    rated = lambda w: F.struct(w.alias("w"), (~w.isin(stop) & ~short(F.rtrim(w, F.lit("_")))).alias("e"), (~w.isin(stop) | w.isin("of", "and", "for")).alias("m"))
+
+    def plain(w: Column) -> Column:
+        """A word of letters, underscores, hyphens and apostrophes; all stems end in what is asked for first, regexes being slow."""
+        spaced = F.when(w.contains("-") | w.contains("'"), F.trim(F.regexp_replace(w, "[-']+", " "))).otherwise(w)
+        return F.when(w.contains("is"), F.regexp_replace(spaced, rf"\b({stems})s(e|ed|es|ing|ation|ations)\b", "$1z$2")).otherwise(spaced)
+
+    def last(w: Column) -> Column:
+        end = F.substring_index(w, " ", -1)
+        one = F.when(w.contains(" "), F.concat(F.substring(w, F.lit(1), F.length(w) - F.length(end)), singular(end))).otherwise(singular(w))
+        return F.when(w.contains("s"), one).otherwise(w)
+
+    def rated(w: Column) -> Column:
+        """The word, whether it may begin or end a phrase, and whether it may be within one."""
+        return _let(w.isin(stop), lambda x: F.struct(plain(w).alias("w"), (~x & ~short(F.rtrim(w, F.lit("_")))).alias("e"), (~x | w.isin("of", "and", "for")).alias("m")))
+
+    clear = lambda w: F.when(w.contains("_"), F.replace(w, F.lit("_"), F.lit(""))).otherwise(w)
+    made = lambda x: F.struct(clear(x["w"]).alias("w"), F.when(x["e"], clear(last(x["w"]))).alias("l"), x["e"].alias("e"), x["m"].alias("m"))
 
     def grams(tokens: Column, n: int) -> Column:
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n)).otherwise(F.array().cast("array<int>"))
         inner = lambda i: F.get(tokens, i + 1)["m"] if n == 3 else F.lit(True)
         good = F.filter(starts, lambda i: F.get(tokens, i)["e"] & F.get(tokens, i + (n - 1))["e"] & inner(i))
-        return F.transform(good, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k)["w"] for k in range(n)]))
+        return F.transform(good, lambda i: F.concat_ws(" ", *[F.get(tokens, i + k)["w"] for k in range(n - 1)], F.get(tokens, i + (n - 1))["l"]))
 
     def of_clause(clause: Column) -> Column:
-        tokens = F.transform(F.regexp_extract_all(clause, F.lit(r"[a-z][a-z_\-']+"), F.lit(0)), rated)
-        return _let(tokens, lambda t: F.concat(*[grams(t, n) for n in range(least, most + 1)]))
+        words = F.regexp_extract_all(clause, F.lit(r"[a-z][a-z_\-']+"), F.lit(0))
+        return _let(F.transform(F.transform(words, rated), made), lambda t: F.concat(*[grams(t, n) for n in range(least, most + 1)]))
 
-    raw = F.array_distinct(F.flatten(F.transform(clauses, of_clause)))
-    found = F.transform(raw, lambda g: F.replace(normal_term(g), F.lit("_"), F.lit("")))
-    return F.sort_array(F.array_distinct(F.filter(found, lambda x: x != "")))
+    return F.sort_array(F.array_distinct(F.flatten(F.transform(clauses, of_clause))))
 
 
 def normal_label(c: Column) -> Column:

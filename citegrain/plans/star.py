@@ -11,6 +11,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """The rows over all cores, for costly work on each: a small file is one row group, so one task, however it is split.
+
+    A scan of more splits than two for each core is left as it is; what is dealt out here is at most two splits a core.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df._jdf.queryExecution().toRdd().getNumPartitions() <= 2 * cores else df
+
+
 def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """source, target: for each part the orders that hold it, one after the other by date and key; acyclic by construction."""
     held = table(spark, sf_dir, "lineitem").select("l_partkey", "l_orderkey").distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import terms
 from ..operators import mentions
 from ..sources import landed, markup
-from .star import table
+from .star import spread, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -36,7 +36,7 @@ SELECT doc_id, CASE WHEN t = '' THEN '' ELSE array_to_string(list_append(x[:len(
   WHEN length(y) > 4 AND ends_with(y, 's') AND NOT regexp_matches(y, '(ss|is|us|ics|sis)$') THEN left(y, length(y) - 1) ELSE y END), ' ') END AS term FROM l""")
 def normalize_term(spark, d):
     """Each text as one long term."""
-    return table(spark, d, "documents").select("doc_id", terms.normal_term(F.col("text")).alias("term"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", terms.normal_term(F.col("text")).alias("term"))
 
 
 _STOPS = ", ".join(f"'{w}'" for w in terms.STOPWORDS)
@@ -56,7 +56,7 @@ r AS (SELECT g, replace(array_to_string(list_append(x[:len(x) - 1], CASE WHEN le
   WHEN length(y) > 4 AND ends_with(y, 's') AND NOT regexp_matches(y, '(ss|is|us|ics|sis)$') THEN left(y, length(y) - 1) ELSE y END), ' '), '_', '') AS phrase FROM l)
 SELECT phrase, count(DISTINCT doc_id) AS n_docs FROM g JOIN r USING (g) WHERE phrase <> '' GROUP BY phrase""")
 def phrases_ngrams(spark, d):
-    found = table(spark, d, "documents").select("doc_id", F.explode(terms.phrases(F.col("text"))).alias("phrase"))
+    found = spread(table(spark, d, "documents").select("doc_id", "text")).select("doc_id", F.explode(terms.phrases(F.col("text"))).alias("phrase"))
     return found.groupBy("phrase").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
@@ -69,12 +69,12 @@ def mention_counts(spark, d):
 
 @query()
 def mention_details(spark, d):
-    return mentions.analyze(table(spark, d, "documents"), "that with").select("doc_id", "body_mentions", "reference_list_mentions", "positions", "snippets")
+    return mentions.analyze(spread(table(spark, d, "documents")), "that with").select("doc_id", "body_mentions", "reference_list_mentions", "positions", "snippets")
 
 
 def _pairs(spark, d):
     """Conversations with citations put in: a turn's first word as the author of a cited work."""
-    own = table(spark, d, "conversations")
+    own = spread(table(spark, d, "conversations"))
     name = F.initcap(F.concat(F.regexp_extract(F.lower("text"), "[a-z]{3,}", 0), F.lit("son")))
     year = (F.col("conv_id") % 40 + 1975).cast("int")
     cite = F.concat(F.lit(" As said ("), name, F.lit(", "), year.cast("string"), F.when(F.col("turn") % 2 == 0, F.lit("; Other, 1999; Third, 2001")).otherwise(F.lit("")), F.lit("), this holds. "))
@@ -102,7 +102,7 @@ _SKIPPED = "|".join(rf"<{x}\b[^>]*>.*?</{x}\s*>" for x in markup.SKIPPED)
 @query(rf"""WITH c AS (SELECT page_id, string_split_regex(regexp_replace(html, '(?is){_SKIPPED}|<!--.*?-->', '<>', 'g'), '<[^>]*>') AS c FROM pages)
 SELECT page_id, replace(replace(replace(replace(replace(array_to_string(list_filter(list_transform(c, lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> ''), ' '), '&quot;', '"'), '&copy;', '©'), '&lt;', '<'), '&gt;', '>'), '&amp;', '&') AS text FROM c""")
 def html_text(spark, d):
-    return table(spark, d, "pages").select("page_id", markup.html_text(F.col("html")).alias("text"))
+    return spread(table(spark, d, "pages").select("page_id", "html")).select("page_id", markup.html_text(F.col("html")).alias("text"))
 
 
 @query("SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS text FROM pages")
