@@ -28,6 +28,23 @@ def test_phrases(spark):
     assert found(None) == [] and found("a. b! c") == []
 
 
+def test_phrases_are_normal_terms(spark):
+    words = ["user-oriented", "organisation's", "theory--based", "kettles-", "organising", "realised-visions", "trends_", "AI", "cross-glasses", "boats'", "standardisations"]
+    raw = [" ".join(words[i : i + n]) for n in (2, 3) for i in range(len(words) - n + 1)]
+    rows = spark.createDataFrame([(x.lower(),) for x in raw], "g string")
+    want = {r[0].replace("_", "") for r in rows.select(terms.normal_term(F.col("g"))).collect()}
+    assert one(spark, terms.phrases, " ".join(words)) == sorted(want)
+
+
+def test_spread(spark):
+    from citegrain.plans.star import spread
+
+    rows = spark.range(0, 50, 1, 1)
+    dealt = spread(rows)
+    assert dealt.rdd.getNumPartitions() > 1 and sorted(r.id for r in dealt.collect()) == list(range(50))
+    assert spread(spark.range(0, 50, 1, 40)).rdd.getNumPartitions() == 40
+
+
 def test_identity(spark):
     assert one(spark, identity.bare_doi, " https://dx.doi.org/10.1/AbC") == "10.1/abc"
     assert one(spark, identity.compact_issn, "0960-085x") == "0960085X" and one(spark, identity.compact_issn, "12-3") is None
