@@ -1,4 +1,4 @@
-"""The queries op1 to op10 and the pipeline, and the SQL of those that SQL can express."""
+"""The queries op1 to op13 and the pipeline, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, importance, line_dedup, mixing, quality_rules, secret_scan, simhash, spotsigs, token_counts, url_filter
+from . import byte_bpe, conversations, importance, licenses, line_dedup, mixing, quality_rules, secret_scan, simhash, spelling, spotsigs, token_counts, url_filter
 from .common import table
 
 
@@ -61,6 +61,21 @@ def op10_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return importance.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"), every=31)
+
+
+def op12_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.scan_docs(table(spark, sf_dir, "documents"))
+    places = [F.size("places").cast("long").alias("n_base"), F.array_min("places").alias("first_word"), F.array_max("places").alias("last_word")]
+    return found.select("doc_id", "n_words", *places, *[F.array_join(c, ",").alias(c) for c in ("base_labels", "labels")], "score", F.array_join("expressions", "; ").alias("expressions"), "openness")
+
+
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return conversations.report(conversations.damaged(rows), rows)
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -69,7 +84,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_quality_rules, op2_simhash, op3_mixing, op4_line_dedup, op5_byte_bpe, op6_secret_scan, op7_token_counts, op8_url_filter, op9_spotsigs, op10_importance, pipeline)
+    for f in (op1_quality_rules, op2_simhash, op3_mixing, op4_line_dedup, op5_byte_bpe, op6_secret_scan, op7_token_counts, op8_url_filter, op9_spotsigs, op10_importance, op11_spelling, op12_licenses, op13_conversations, pipeline)
 }
 
 _RULES = quality_rules
