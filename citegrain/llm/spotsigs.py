@@ -62,22 +62,11 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(every == 0, F.lit(1.0)).otherwise(both / (every - both))
 
 
-#: Likeness is worked out where partitions of set lengths allow at least so much of it.
-LEAST = 0.1
-
-
 def partition(size: Column, threshold: float) -> Column:
     """The partition of a set's length: sets of Jaccard ``threshold`` or more are in the same or in neighbouring ones."""
     return F.floor(F.log(size.cast("double")) / math.log(1 / threshold) + 1e-9)
 
 
-def pruned(a: Column, b: Column, least: float = LEAST) -> Column:
-    """The Jaccard similarity of two sets, or 0 without a comparison where their lengths keep it below ``least``."""
-    m, n = F.size(a), F.size(b)
-    far = F.coalesce(F.abs(partition(m, least) - partition(n, least)) > 1, F.lit(False))
-    return F.when(far | (F.least(m, n) < least * F.greatest(m, n)), F.lit(0.0)).otherwise(jaccard(a, b))
-
-
 def fingerprints(docs: DataFrame) -> DataFrame:
     """docs with sigs (array<long>) and fingerprint (string); columns of these names are replaced. Null text: like an empty one."""
     return docs.drop("sigs", "fingerprint").withColumn("sigs", signatures(text_of())).withColumn("fingerprint", written(F.col("sigs")))
@@ -116,8 +105,8 @@ def likeness(docs: DataFrame, share: int = 4) -> DataFrame:
     """Each document against an edited self and against its successor in ascending doc_id (the last one's is the first).
 
     Edited: the last floor(n_chars / share) code points replaced by the first as many (or all) of the successor. Returns
-    doc_id, n_chars, edited (the text), fingerprint, edited_fingerprint, near_edited, near_next; a likeness below LEAST that
-    the sets' lengths alone show is 0. Null text: like an empty one. Null doc_ids come first; equal ones are ordered by a hash of the text. Empty docs: empty result.
+    doc_id, n_chars, edited (the text), fingerprint, edited_fingerprint, near_edited, near_next, the exact
+    Jaccard similarity of the signature sets. Null text: like an empty one. Null doc_ids come first; equal ones are ordered by a hash of the text. Empty docs: empty result.
 
     Texts are shuffled once, by range of doc_id; the first document of a range is also sent to the range before, where
     it is the last one's successor. The bounds are quantiles, as many as there are ranges.
@@ -145,4 +134,4 @@ def likeness(docs: DataFrame, share: int = 4) -> DataFrame:
     edited = F.concat(F.substring(F.col("text"), F.lit(1), (F.col("n_chars") - cut_off).cast("int")), F.substring(F.col("_next.text"), F.lit(1), cut_off))
     led = led.withColumn("edited", edited)
     led = led.withColumn("_e", signatures(F.col("edited")))
-    return led.select("doc_id", "n_chars", "edited", written(F.col("sigs")).alias("fingerprint"), written(F.col("_e")).alias("edited_fingerprint"), pruned(F.col("sigs"), F.col("_e")).alias("near_edited"), pruned(F.col("sigs"), F.col("_next.sigs")).alias("near_next"))
+    return led.select("doc_id", "n_chars", "edited", written(F.col("sigs")).alias("fingerprint"), written(F.col("_e")).alias("edited_fingerprint"), jaccard(F.col("sigs"), F.col("_e")).alias("near_edited"), jaccard(F.col("sigs"), F.col("_next.sigs")).alias("near_next"))
