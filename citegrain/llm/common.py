@@ -192,6 +192,16 @@ def unpacked(made: DataFrame, docs: DataFrame, *own: str, **new: Column) -> list
     return [new.get(c, F.col(f"`{c}`" if c in own else f"_row.`{c}`")).alias(c) for c in docs.columns]
 
 
+def one_of_each(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Of packed rows with the same keys (not null) the one whose other columns, written as JSON, have the least hash.
+
+    So a task that is run again takes the same one; rows that are equal in all columns can't be told apart.
+    """
+    told = rows.withColumn("_told", F.xxhash64(F.to_json("_row", {"ignoreNullFields": "false"})))
+    least = told.groupBy(*keys).agg(F.min("_told").alias("_told"))
+    return told.join(least, [*keys, "_told"]).dropDuplicates(keys).select(*rows.columns)
+
+
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     """Connected components of links (a, b: any comparable type): node, root, the root being the smallest of its component.
 

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .common import cut, packed, ships_by_value, unpacked
+from .common import cut, one_of_each, packed, ships_by_value, unpacked
 
 ships_by_value(__name__)
 
@@ -161,12 +161,15 @@ def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) ->
 def taken(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs as the mix takes them: each as often as mix() says, the others left out.
 
-    All columns stay, whatever their names. Rows with the same doc_id and text can't be told apart: one of them stands
-    for all, as often as they are taken together. Null doc_ids and texts are like any other; empty docs: empty result.
+    All columns stay, whatever their names. Of rows with the same doc_id, text and source the one that common.one_of_each()
+    takes stands for all, as often as they are taken together. Null doc_ids, texts and sources are like any other; empty
+    docs: empty result.
     """
-    plan = mix(docs, **options).groupBy("doc_id", "key").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
-    plan = cut(plan.where("times > 0").select(F.col("doc_id").alias("d"), F.col("key").alias("k"), "times", "rows"))
-    both = packed(docs, "doc_id", "text").join(plan, F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k")))
+    plan = mix(docs, **options).groupBy("doc_id", "key", "source").agg(F.sum("times").alias("times"), F.count(F.lit(1)).alias("rows"))
+    plan = plan.where("times > 0").select(F.struct("doc_id", "key", "source").alias("_s"), "doc_id", "key", "source", "times", "rows")
+    plan = cut(plan.select(F.col("doc_id").alias("d"), F.col("key").alias("k"), F.col("source").alias("s"), F.xxhash64(F.to_json("_s", {"ignoreNullFields": "false"})).alias("i"), "times", "rows"))
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.xxhash64("text") == F.col("k")) & F.col("source").eqNullSafe(F.col("s"))
+    both = packed(docs, "doc_id", "text", "source").join(plan, same)
     if not plan.where("rows > 1").isEmpty():
-        both = both.where("rows = 1").unionByName(both.where("rows > 1").dropDuplicates(["d", "k"]))
-    return both.withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*unpacked(both, docs, "doc_id", "text"))
+        both = both.where("rows = 1").unionByName(one_of_each(both.where("rows > 1"), ["i", "k"]))
+    return both.withColumn("each", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times")))).select(*unpacked(both, docs, "doc_id", "text", "source"))

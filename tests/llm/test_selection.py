@@ -99,13 +99,13 @@ def test_rules_equal_their_sql(spark, sf):
 
 def test_columns_come_through_whatever_they_are_called(spark, odd, labels):
     """Every operator that keeps the columns of its input keeps the values of all of them."""
-    from citegrain.llm import line_dedup, simhash
+    from citegrain.llm import line_dedup, near_texts
 
     pages = odd.withColumnRenamed("text", "url").drop("host", "kept")
     made = {
         "judge": (odd, quality_rules.judge(odd, quality_rules.fit_cutoffs(odd, labels)), ("n_words", "kept")),
         "drop_lines": (odd, line_dedup.drop_lines(odd), ("n_lines", "text")),
-        "keep_one": (odd, simhash.keep_one(odd), ()),
+        "keep_one": (odd, near_texts.keep_one(odd), ()),
         "taken": (odd, mixing.taken(odd), ()),
         "urls": (pages, url_filter.judge(pages), ("host", "path", "rule", "score", "verdict")),
     }
@@ -398,3 +398,20 @@ def test_top_k_with_ties(spark):
         got = importance.top_k(rows, "key", k).collect()
         assert len(got) == 5000 and sum(r.kept for r in got) == min(k, 5000)
         assert min((r.key for r in got if r.kept), default=9) >= max((r.key for r in got if not r.kept), default=-1)
+
+
+def test_rows_of_one_text_in_two_sources(spark):
+    """taken() takes from each source what mix() says, whatever the order of the rows, and the same rows each time."""
+    from collections import Counter
+
+    rows = [(1, "one two three", s, f"{s}{k}") for s in ("x", "y", None) for k in range(5)] + [(k, "other words here", "x", "z") for k in range(40)] + [(None, None, "y", "n")] * 2
+    made = []
+    for order in (rows, rows[::-1]):
+        df = spark.createDataFrame(order, "doc_id long, text string, source string, own string").repartition(3)
+        want = Counter()
+        for r in mixing.mix(df).collect():
+            want[r.doc_id, r.source] += r.times
+        out = mixing.taken(df).collect()
+        assert Counter((r.doc_id, r.source) for r in out) == +want
+        made.append(sorted(map(repr, out)))
+    assert made[0] == made[1]
