@@ -7,9 +7,14 @@ acos(2s / (1 + s)) / pi, 0.152 at 0.8, and the radius is the expected distance a
 Such a radius has no pigeonhole shards. A shard is what agrees in some bits that are drawn once for each table: about as many
 bits as the number of fingerprints has, so that shards stay small, and as many tables as bring a pair of similarity s
 together with probability FOUND. Their number grows with the power 0.24 of the number of fingerprints. Each shard has a
-BK-tree, broadcast or shuffled, as in the module simhash. A tree hands out a spanning forest of its shard; every link of it
-is checked on both whole texts, and only links of similarity s or more make groups. So no document goes without a partner of
-that similarity, and a pair exactly at s is found with probability 0.9 at least, more similar ones with more.
+BK-tree, broadcast or shuffled, as in the module simhash. A tree hands out a spanning forest of its shard, and each link of it
+is checked on both whole texts.
+
+What the forests connect are candidate groups. Where the links that hold connect a candidate group as well, nothing is left to
+be found in it. In the others a link that was turned down may have stood for one that holds. Their members meet again, in cells
+of bounded size, every two of them in one, and a BK-tree there checks each pair within a wider radius, whose ends no link that
+holds connects yet, on the whole texts before it links them. So groups are made by checked links only, and no link between
+members of a candidate group is lost but one beyond the wider radius.
 """
 
 from __future__ import annotations
@@ -20,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import by_cell, cells, components, cut, discard, packed, ships_by_value, unpacked
+from .common import Union, by_cell, cells, components, cut, discard, one_of_each, packed, ships_by_value, unpacked
 
 ships_by_value(__name__)
 
@@ -30,6 +35,8 @@ BITS = 64 * WORDS
 FOUND = 0.96
 #: Distinct fingerprints that are broadcast (72 bytes each), and the tasks for each table then.
 SENT, SPLIT = 200_000, 4
+#: Members of a cell's part where pairs are checked in the tree, and the characters of its texts; standard deviations of its radius.
+PART, CHARACTERS, WIDER = 512, 1 << 23, 2.5
 
 
 def differing(similar: float) -> float:
@@ -37,9 +44,9 @@ def differing(similar: float) -> float:
     return math.acos(2 * similar / (1 + similar)) / math.pi
 
 
-def radius_of(similar: float) -> int:
+def radius_of(similar: float, deviations: float = 1.6) -> int:
     p = differing(similar)
-    return int(BITS * p + 1.6 * math.sqrt(BITS * p * (1 - p)))
+    return int(BITS * p + deviations * math.sqrt(BITS * p * (1 - p)))
 
 
 def tables_of(n: int, similar: float):
@@ -203,6 +210,22 @@ def candidates(firsts: DataFrame, similar: float, most_sent: int = SENT) -> Data
     return _sent(firsts.sparkSession, nodes[order], fps[order], radius_of(similar), tables)
 
 
+def alike(own, other, similar: float) -> bool:
+    """Whether two sorted arrays of distinct hashes have this Jaccard similarity or more."""
+    m, n = len(own), len(other)
+    if min(m, n) < similar * max(m, n) - 1e-9:
+        return False
+    at = own.searchsorted(other)
+    both = int((own.take(at, mode="clip") == other).sum()) if m else 0
+    return both >= similar * (m + n - both) - 1e-9
+
+
+def texts_of(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """node, text of the texts whose hashes are among the nodes, once each."""
+    texts = docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text"))
+    return texts.join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.first("text").alias("text"))
+
+
 def checked(found: DataFrame, docs: DataFrame, width: int, similar: float) -> DataFrame:
     """The links a, b (hashes of texts) whose texts have this Jaccard similarity or more."""
 
@@ -216,20 +239,94 @@ def checked(found: DataFrame, docs: DataFrame, width: int, similar: float) -> Da
             for k, node in enumerate(a):
                 if node != hub:
                     hub, own = node, shingles(batch.column(2)[k].as_py(), width)
-                other = shingles(batch.column(3)[k].as_py(), width)
-                at = own.searchsorted(other)
-                both = int((own.take(at, mode="clip") == other).sum()) if len(own) else 0
-                good.append(both >= similar * (len(own) + len(other) - both) - 1e-9)
+                good.append(alike(own, shingles(batch.column(3)[k].as_py(), width), similar))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
-    ends = found.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = docs.select(F.xxhash64("text").alias("node"), F.col("text").cast("string").alias("text"))
-    texts = cut(texts.join(ends, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")))
+    texts = cut(texts_of(docs, found.select(F.explode(F.array("a", "b")).alias("node"))))
     pairs = found.join(texts.select(F.col("node").alias("b"), F.col("text").alias("text_b")), "b")
     pairs = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("text_a")), "a")
     return pairs.select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
 
 
+class CheckedTree(simhash.BKTree):
+    """A BK-tree that links a value to an earlier one within the radius only if accept(k, x) holds; some are linked at first."""
+
+    def __init__(self, values: list[int], radius: int, sets: Union, accept):
+        self.values, self.radius, self.sets, self.accept = values, radius, sets, accept
+        self.children: list[dict[int, int]] = [{} for _ in values]
+        self.mixed = [False] * len(values)
+        self.edges: list[tuple[int, int]] = []
+        for k in range(1, len(values)):
+            self._link(k)
+            self._insert(k)
+
+    def _link(self, k: int) -> None:
+        value, radius, sets, stack = self.values[k], self.radius, self.sets, [0]
+        while stack:
+            x = stack.pop()
+            d = (value ^ self.values[x]).bit_count()
+            if d <= radius and sets.find(x) != sets.find(k) and self.accept(k, x):
+                sets.join(x, k)
+                self.edges.append((x, k))
+            below = self.children[x]
+            if below:
+                for e in range(max(1, d - radius), d + radius + 1):
+                    y = below.get(e)
+                    if y is not None and (self.mixed[y] or sets.find(y) != sets.find(k)):
+                        stack.append(y)
+
+
+def within(members: DataFrame, docs: DataFrame, width: int, similar: float) -> DataFrame:
+    """Links a, b of this similarity or more that connect what such links connect within a group.
+
+    members: group, node, own (what is linked already has the same), fp. Each two members of a group meet in a cell; a cell
+    holds 2 * PART texts at the most, and 2 * CHARACTERS characters or two texts.
+    """
+    radius = radius_of(similar, WIDER)
+
+    def run(batches):
+        out: tuple[list[int], list[int]] = ([], [])
+        for rows in by_cell(batches, 5):
+            rows = sorted({x[1]: x for x in rows}.values(), key=lambda x: x[1])
+            sets, first, arrays = Union(len(rows)), {}, {}
+            for k, x in enumerate(rows):
+                sets.join(first.setdefault(x[2], k), k)
+
+            def array(k):
+                if k not in arrays:
+                    arrays[k] = shingles(rows[k][4], width)
+                return arrays[k]
+
+            tree = CheckedTree([int.from_bytes(x[3], "little") for x in rows], radius, sets, lambda k, x: alike(array(k), array(x), similar))
+            for a, b in tree.edges:
+                out[0].append(rows[a][1])
+                out[1].append(rows[b][1])
+            if len(out[0]) > 50_000:
+                yield simhash._batch(out)
+                out = ([], [])
+        yield simhash._batch(out)
+
+    texts = cut(texts_of(docs, members.select("node")))
+    sized = members.select("group", "node").join(texts.select("node", F.length("text").cast("long").alias("size")), "node")
+    dealt = cells(sized, ["group"], "node", PART, "size", CHARACTERS).select("cell", "node")
+    rows = dealt.join(members.select("node", "own", "fp"), "node").join(texts, "node").select("cell", "node", "own", "fp", "text")
+    return rows.repartition("cell").sortWithinPartitions("cell").mapInArrow(run, "a long, b long")
+
+
+def linked(firsts: DataFrame, docs: DataFrame, width: int, similar: float, most_sent: int = SENT) -> DataFrame:
+    """node, root of the groups of firsts (node, fp) that links of this similarity or more connect; nodes without one may be left out."""
+    found = cut(candidates(firsts, similar, most_sent).distinct())
+    good = cut(checked(found, docs, width, similar))
+    groups, own = components(found), components(good)
+    named = groups.join(own.select(F.col("node").alias("_n"), F.col("root").alias("_r")), F.col("node") == F.col("_n"), "left")
+    named = named.select("node", F.col("root").alias("group"), F.coalesce("_r", "node").alias("own"))
+    unsettled = named.groupBy("group").agg(F.min("own").alias("low"), F.max("own").alias("high")).where("low <> high").select("group")
+    members = cut(named.join(unsettled, "group", "left_semi").join(firsts, "node").select("group", "node", "own", "fp"))
+    if members.isEmpty():
+        return own
+    return components(cut(good.unionByName(within(members, docs, width, similar))))
+
+
 def similar_groups(docs: DataFrame, width: int = 5, similar: float = 0.8, most_sent: int = SENT) -> DataFrame:
     """doc_id, key (a hash of the text), component_id of each row of docs: the smallest doc_id of its group of near copies (nulls don't count; null if it has only such).
 
@@ -238,8 +335,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similar: float = 0.8, most_s
     """
     own = cut(fingerprints(docs, width))
     firsts = cut(own.groupBy("fp").agg(F.min("doc_id").alias("first"), F.min("key").alias("node")))
-    found = cut(candidates(firsts.select("node", "fp"), similar, most_sent).distinct())
-    roots = components(checked(found, docs, width, similar))
+    roots = linked(firsts.select("node", "fp"), docs, width, similar, most_sent)
     grouped = firsts.join(roots, "node", "left").select("fp", "first", F.coalesce("root", "node").alias("root"))
     least = grouped.groupBy("root").agg(F.min("first").alias("component_id"))
     named = grouped.join(least, "root").select("fp", "component_id")
@@ -249,7 +345,7 @@ def similar_groups(docs: DataFrame, width: int = 5, similar: float = 0.8, most_s
 def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8, most_sent: int = SENT) -> DataFrame:
     """The rows of docs but those that another document of their group stands for; of repeated rows one stays.
 
-    The document of the group's smallest doc_id stays. Rows with a null doc_id stay, too, and rows of one doc_id with
+    The document of the group's smallest doc_id stays; of its repeated rows the one that common.one_of_each() takes. Rows with a null doc_id stay, too, and rows of one doc_id with
     different texts are documents of their own. Other columns are kept whatever their names. Empty docs: empty result.
 
     The documents to drop are looked up, not those to keep: they are few where copies are few.
@@ -263,6 +359,6 @@ def keep_one(docs: DataFrame, width: int = 5, similar: float = 0.8, most_sent: i
     repeated = cut(groups.where("doc_id = component_id").groupBy(*key).count().where("count > 1").select("d", "k"))
     discard(groups)
     if not repeated.isEmpty():
-        once = kept.join(repeated, same).dropDuplicates(["d", "k"]).select(*kept.columns)
+        once = one_of_each(kept.join(repeated, same), ["d", "k"]).select(*kept.columns)
         kept = kept.join(repeated, same, "left_anti").unionByName(once)
     return kept.select(*unpacked(kept, docs, "doc_id", "text"))

@@ -56,6 +56,21 @@ def test_recall_and_exactness(spark, sent):
     assert {(c, d) for d, c in got.items() if c != d} <= set(near)
 
 
+@pytest.mark.parametrize("sent", [near_texts.SENT, 0])
+@pytest.mark.parametrize("size, groups, edits", [(40, 2, 2), (100, 1, 2), (300, 1, 3)])
+def test_dense_groups_around_the_similarity(spark, sent, size, groups, edits):
+    """Groups in which few of very many pairs within the radius are similar enough: nine of ten of those are found."""
+    rng = random.Random(size)
+    base = [[f"w{rng.randrange(3000)}" for _ in range(200)] for _ in range(groups)]
+    texts = [wrapped(rng, edited(rng, b, rng.randint(edits, 6))) for b in base for _ in range(size)] + [" ".join(f"w{rng.randrange(3000)}" for _ in range(150)) for _ in range(60)]
+    rows = list(enumerate(texts))
+    got = {r.doc_id: r.component_id for r in near_texts.similar_groups(spark.createDataFrame(rows, "doc_id long, text string").repartition(4), most_sent=sent).collect()}
+    near = pairs_of(rows, 0.8)
+    assert len(near) > 20 and sum(got[a] == got[b] for a, b in near) >= 0.97 * len(near)
+    partners = {x for pair in near for x in pair}
+    assert all(d in partners and c in partners for d, c in got.items() if c != d)
+
+
 def test_both_ways_agree_on_cut_shards(spark):
     """Dense groups in shards of a few parts, broadcast and shuffled, find the same groups."""
     rng = random.Random(8)
