@@ -1,22 +1,29 @@
-"""Citation DAGs: traversal weights, main paths, key routes, cycle breaking.
+"""Citation DAGs: traversal weights, main paths, key routes, cycle breaking, lineages.
 
-The work on a graph's order is sequential: a real network has hundreds of levels, and a job for each would cost more than
-the counting. So it is done in a grouped function, on exact integers of any size and arrays of places (some 200 bytes an
-edge). Up to TOGETHER edges are one group; beyond it connected components, found by joins, are dealt to tasks, and weights
-and paths of one component don't depend on others: the heaviest path of all is the heaviest of the components' heaviest.
-Ties go to the least id unless stated.
+Weights and heaviest paths come from sweeps over bands of the graph (module sweeps), so no task holds all of it; the next steps
+of greedy searches are grouped maxima; a path is read off its pointers by doubling. Numbers are exact integers, in digits. Ties
+go to the least id unless stated.
 
-edges: source (cited, older), target (citing, younger).
+edges: source (cited, older), target (citing, younger). order, where it is asked for: node, place (a number, such as the day of
+publication), older first: it saves rounds, and changes no result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import sys
+
+from pyspark import cloudpickle
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-#: Edges that are worked on in one group.
-TOGETHER = 2_000_000
+from ..tables import cut
+from . import sweeps
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+#: Edges within one span of dates that cycles are looked for in together; beyond it strong components are found by joins first.
+TOGETHER = 200_000
 
 
 def clean_edges(edges: DataFrame, generation: DataFrame | None = None) -> DataFrame:
@@ -28,164 +35,6 @@ def clean_edges(edges: DataFrame, generation: DataFrame | None = None) -> DataFr
     return own.join(a, "source").join(b, "target").where("g1 is null or g2 is null or g1 <> g2").select("source", "target")
 
 
-def with_component(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
-    """edges with component: the least node that is connected with them, whatever the direction."""
-    _folder(edges)
-    both = edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).distinct().checkpoint()
-    state = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node").checkpoint()
-    for _ in range(most_rounds):
-        around = both.join(state, both.b == state.node).groupBy("a").agg(F.min("root").alias("near"))
-        seen = state.join(around, state.node == around.a).select("node", "root", F.least("near", "root").alias("new"))
-        # the old root follows too, then every node takes its root's root
-        hooks = seen.where("new < root").groupBy(F.col("root").alias("h")).agg(F.min("new").alias("hn"))
-        hooked = seen.join(hooks, seen.node == hooks.h, "left").select("node", "root", F.least("new", F.coalesce("hn", "new")).alias("new"))
-        up = hooked.select(F.col("node").alias("u"), F.col("new").alias("ur"))
-        moved = hooked.join(up, hooked.new == F.col("u"), "left").select("node", F.coalesce("ur", "new").alias("root"), (F.coalesce("ur", "new") != F.col("root")).alias("changed")).checkpoint()
-        state = moved.select("node", "root")
-        if moved.where("changed").isEmpty():
-            return edges.join(state, edges.source == state.node).select(*edges.columns, F.col("root").alias("component"))
-    raise RuntimeError("components are not settled")
-
-
-def _folder(df: DataFrame) -> None:
-    """Checkpoints go to spark.checkpoint.dir; only a local session may do with a temporary folder."""
-    import tempfile
-
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        where = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-        if where is None and not sc.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        sc.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
-
-
-class Dag:
-    """One graph in memory, by places: nodes in ascending order, edges (a[i], b[i]) in ascending order.
-
-    Nodes on cycles, or behind one, have no level and are left out. Weights are lists in the order of the edges.
-    """
-
-    def __init__(self, sources, targets):
-        import numpy as np
-
-        sources, targets = list(sources), list(targets)
-        names, at = np.unique(np.array([*sources, *targets], dtype=None if not sources or isinstance(sources[0], (int, np.integer)) else object), return_inverse=True)
-        n = len(names)
-        code = np.unique(at[: len(sources)].astype(np.int64) * max(1, n) + at[len(sources) :])
-        a, b = (code // n, code % n) if n else (code, code)
-        starts, left, level = np.searchsorted(a, np.arange(n + 1)), np.bincount(b, minlength=n), np.full(n, -1)
-        ready, depth = np.flatnonzero(left == 0), 0
-        while len(ready):
-            level[ready] = depth
-            sizes = starts[ready + 1] - starts[ready]
-            first = np.repeat(starts[ready] - np.cumsum(sizes) + sizes, sizes)
-            to = b[first + np.arange(len(first))]
-            np.subtract.at(left, to, 1)
-            ready, depth = np.unique(to[left[to] == 0]), depth + 1
-        kept = (level[a] >= 0) & (level[b] >= 0)
-        self.names, self.level = names.tolist(), level
-        self.cyclic = [self.names[k] for k in np.flatnonzero(level < 0)]
-        a, b = a[kept], b[kept]
-        #: Edges whose targets come level by level, and those whose sources come in the opposite order.
-        self.down, self.up = np.argsort(level[b], kind="stable").tolist(), np.argsort(-level[a], kind="stable").tolist()
-        self.n_in, self.n_out = np.bincount(b, minlength=n).tolist(), np.bincount(a, minlength=n).tolist()
-        self.out_at = np.searchsorted(a, np.arange(n + 1)).tolist()
-        order = np.argsort(b, kind="stable")
-        self.in_edges, self.in_at = order.tolist(), np.searchsorted(b[order], np.arange(n + 1)).tolist()
-        self.a, self.b = a.tolist(), b.tolist()
-        self.sources = [k for k in range(n) if level[k] >= 0 and not self.n_in[k] and self.n_out[k]]
-        self.sinks = [k for k in range(n) if level[k] >= 0 and not self.n_out[k] and self.n_in[k]]
-
-    def edges(self) -> list[tuple]:
-        return [(self.names[u], self.names[v]) for u, v in zip(self.a, self.b)]
-
-    def out(self, k: int):
-        return range(self.out_at[k], self.out_at[k + 1])
-
-    def into(self, k: int) -> list[int]:
-        return self.in_edges[self.in_at[k] : self.in_at[k + 1]]
-
-    def weigh(self, kind: str = "spc") -> tuple[list[int], list[int]]:
-        """Weight n-(u) * n+(v) of each edge, and n+ of each node. spc: paths from sources to sinks; splc: from any node to sinks; spnp: from any to any."""
-        own_in, own_out = int(kind in ("splc", "spnp")), int(kind == "spnp")
-        before, after = [own_in if x else 1 for x in self.n_in], [own_out if x else 1 for x in self.n_out]
-        a, b = self.a, self.b
-        for e in self.down:
-            before[b[e]] += before[a[e]]
-        for e in self.up:
-            after[a[e]] += after[b[e]]
-        return [before[u] * after[v] for u, v in zip(a, b)], after
-
-    def _named(self, path: list[int]) -> list:
-        return [self.names[k] for k in path]
-
-    def _greedy_out(self, path: list[int], weights, last: bool) -> list[int]:
-        """The path prolonged by the heaviest next edge each time; ties to the least id, or the greatest (last)."""
-        while out := self.out(path[-1]):
-            path.append(self.b[max(out, key=lambda e: (weights[e], e if last else -e))])
-        return path
-
-    def _greedy_in(self, path: list[int], weights) -> list[int]:
-        """The path prolonged backwards by the heaviest edge each time; ties to the greatest id."""
-        path = path[::-1]
-        while into := self.into(path[-1]):
-            path.append(self.a[max(into, key=lambda e: (weights[e], e))])
-        return path[::-1]
-
-    def forward(self, weights, after) -> tuple[list, int]:
-        """From the source with most paths on, always the heaviest edge; and how many paths these are."""
-        if not self.sources:
-            return [], 0
-        start = min(self.sources, key=lambda s: (-after[s], s))
-        return self._named(self._greedy_out([start], weights, last=False)), after[start]
-
-    def backward(self, weights) -> tuple[list, int]:
-        """From the sink with the heaviest edge back, always the heaviest; ties to the greatest id. And that edge's weight."""
-        if not self.sinks:
-            return [], 0
-        top, end = max((max(weights[e] for e in self.into(t)), t) for t in self.sinks)
-        return self._named(self._greedy_in([end], weights)), top
-
-    def best(self, weights):
-        """For each node the sum of the heaviest path into it and the node before it, and the same for paths out of it."""
-        n, a, b = len(self.names), self.a, self.b
-        back, prev, fore, nxt = [0] * n, [-1] * n, [0] * n, [-1] * n
-        for e in self.down:
-            u, v = a[e], b[e]
-            total = back[u] + weights[e]
-            if prev[v] < 0 or total > back[v]:
-                back[v], prev[v] = total, u
-        for e in self.up:
-            u, v = a[e], b[e]
-            total = fore[v] + weights[e]
-            if nxt[u] < 0 or total > fore[u]:
-                fore[u], nxt[u] = total, v
-        return back, prev, nxt
-
-    @staticmethod
-    def _trace(steps: list[int], at: int) -> list[int]:
-        path = [at]
-        while steps[path[-1]] >= 0:
-            path.append(steps[path[-1]])
-        return path
-
-    def heaviest(self, weights) -> tuple[list, int]:
-        """The path from a source to a sink with the greatest sum of weights, and the sum."""
-        if not self.sinks:
-            return [], 0
-        back, prev, _ = self.best(weights)
-        end = min(self.sinks, key=lambda t: (-back[t], t))
-        return self._named(self._trace(prev, end)[::-1]), back[end]
-
-    def route(self, weights, edge: int, search: str, steps=None) -> list:
-        """The edge prolonged both ways: by the heaviest next edge each time (local, ties to the greatest id), or to the heaviest whole path (global)."""
-        u, v = self.a[edge], self.b[edge]
-        if search == "global":
-            _, prev, nxt = steps or self.best(weights)
-            return self._named(self._trace(prev, u)[::-1] + self._trace(nxt, v))
-        return self._named(self._greedy_in([u], weights) + self._greedy_out([v], weights, last=True))
-
-
 def break_cycles(edges, dates) -> list[tuple]:
     """Edges to take out until no cycle is left: of each cycle the one that is most against the dates.
 
@@ -193,14 +42,19 @@ def break_cycles(edges, dates) -> list[tuple]:
     youngest source, then the greatest edge. Cycles come as a depth-first search in ascending order meets them; it goes on
     from where the removed edge was left.
     """
-    edges = set(edges)
-    dag = Dag([u for u, _ in edges], [v for _, v in edges])
-    cyclic = set(dag.cyclic)
     date = lambda n: dates.get(n) or "9999"
     out: dict = {}
-    for u, v in sorted(edges):
-        if u in cyclic and v in cyclic:
-            out.setdefault(u, []).append(v)
+    waits: dict = {}
+    for u, v in sorted(set(edges)):
+        out.setdefault(u, []).append(v)
+        waits[v] = waits.get(v, 0) + 1
+    # what no cycle leads to is passed over
+    free = [u for u in out if u not in waits]
+    for u in free:
+        for v in out.pop(u, ()):
+            waits[v] -= 1
+            if not waits[v]:
+                free.append(v)
     gone, done = set(), set()
     for start in sorted(out):
         if start in done:
@@ -232,150 +86,207 @@ def break_cycles(edges, dates) -> list[tuple]:
     return sorted(gone)
 
 
-def _grouped(edges: DataFrame) -> DataFrame:
-    """edges with component (string): empty for up to TOGETHER edges, else the name of their connected component."""
-    import sys
-
-    from pyspark import cloudpickle
-
-    cloudpickle.register_pickle_by_value(sys.modules[__name__])
-    _folder(edges)
-    edges = edges.checkpoint()
-    if edges.limit(TOGETHER + 1).count() <= TOGETHER:
-        return edges.withColumn("component", F.lit(""))
-    return with_component(edges).withColumn("component", F.col("component").cast("string"))
-
+#: Whether paths are counted from any node (else from those that nothing leads to), and to any node.
+KINDS = {"spc": (0, 0), "splc": (1, 0), "spnp": (1, 1)}
 
-def _type(edges: DataFrame) -> str:
-    return dict(edges.dtypes)["source"]
 
+def _weighed(edges: DataFrame, kinds: tuple[str, ...], order: DataFrame | None) -> tuple[sweeps.Bands, DataFrame, DataFrame]:
+    """(the graph in bands; source, target, cs, ct, w: the weights by each kind, in digits; node, v: the paths from a node on)."""
+    bands = sweeps.Bands(clean_edges(edges), order)
+    before_of, after_of = (sorted({KINDS[k][i] for k in kinds}) for i in (0, 1))
+    before, after = sweeps.counts(bands, before_of), sweeps.counts(bands, after_of, back=True)
+    pick = lambda own, i: F.array(*[F.col("v")[own.index(KINDS[k][i])] for k in kinds])
+    a, b = before.select(F.col("node").alias("source"), pick(before_of, 0).alias("a")), after.select(F.col("node").alias("target"), pick(after_of, 1).alias("b"))
+    both = bands.edges.join(a, "source").join(b, "target")
+    return bands, cut(sweeps.multiplied(both, bands.kind)), after.select("node", pick(after_of, 1).alias("v"))
 
-def _weighed(edges: DataFrame, kind: str) -> DataFrame:
-    """source, target, weight (an exact integer in digits), component."""
-    t = _type(edges)
 
-    def make(key, rows):
-        import pandas as pd
-
-        dag = Dag(rows["source"], rows["target"])
-        weights, _ = dag.weigh(kind)
-        return pd.DataFrame([(u, v, str(w), key[0]) for (u, v), w in zip(dag.edges(), weights)], columns=["source", "target", "weight", "component"])
-
-    return _grouped(edges.select("source", "target")).groupBy("component").applyInPandas(make, f"source {t}, target {t}, weight string, component string")
-
-
-def traversal_weights(edges: DataFrame, kind: str = "spc", as_text: bool = False) -> DataFrame:
+def traversal_weights(edges: DataFrame, kind: str = "spc", as_text: bool = False, order: DataFrame | None = None) -> DataFrame:
     """source, target, weight of each edge of a DAG: decimal(38,0), or an exact integer of any size in digits (as_text).
 
-    Counts above 38 digits raise an error unless asked for as text; nothing wraps.
+    spc: paths from sources to sinks through the edge; splc: from any node to sinks; spnp: from any to any. Edges on or
+    behind cycles are left out. Counts above 38 digits raise an error unless asked for as text; nothing wraps.
     """
-    found = _weighed(edges, kind).drop("component")
+    found = _weighed(edges, (kind,), order)[1].select("source", "target", F.col("w")[0].alias("weight"))
     if as_text:
         return found
     fits = F.when(F.length("weight") <= 38, F.col("weight").cast("decimal(38,0)")).otherwise(F.raise_error(F.lit("a traversal weight has more than 38 digits")).cast("decimal(38,0)"))
     return found.withColumn("weight", fits)
 
 
-def _candidates(edges: DataFrame, kind: str, pick) -> DataFrame:
-    t = _type(edges)
-
-    def make(key, rows):
-        import pandas as pd
-
-        rows_out = [(list(path), str(rank), tie) for path, rank, tie in pick(Dag(rows["source"], rows["target"]), kind)]
-        return pd.DataFrame(rows_out, columns=["path", "rank", "tie"])
+def rank_of(weight: str | Column) -> Column:
+    """What integers in digits are ordered by: their length, then the digits."""
+    weight = F.col(weight) if isinstance(weight, str) else weight
+    return F.struct(F.length(weight).alias("length"), weight.alias("digits"))
 
-    return _grouped(edges.select("source", "target")).groupBy("component").applyInPandas(make, f"path array<{t}>, rank string, tie {t}")
 
+def digits_of(weight: str, kind: str) -> Column:
+    """A given weight as an integer in digits that orders and adds up alike: digits are left as they are, fractions taken to 18 places."""
+    if kind == "string":
+        return F.regexp_replace(weight, "^0+(?=.)", "")
+    whole = F.col(weight).cast("decimal(38,0)") if kind in ("tinyint", "smallint", "int", "bigint") or kind.endswith(",0)") else (F.col(weight).cast("decimal(38,18)") * F.lit(10**18)).cast("decimal(38,0)")
+    return F.when(whole >= 0, whole.cast("string")).otherwise(F.raise_error(F.lit("weights must be numbers of 0 or more")).cast("string"))
 
-def _unroll(one: DataFrame) -> DataFrame:
-    return one.select(F.posexplode("path").alias("position", "node"))
 
+def _steps(weighed: DataFrame, at: str, to: str, greatest: bool, i: int = 0) -> DataFrame:
+    """node, next: the other end of each node's heaviest edge; of equals the greatest or the least."""
+    each = weighed.select(F.col(at).alias("node"), F.col(to).alias("next"), rank_of(F.col("w")[i]).alias("r"))
+    if greatest:
+        return each.groupBy("node").agg(F.max(F.struct("r", "next")).alias("m")).select("node", "m.next")
+    top = each.groupBy("node").agg(F.max("r").alias("m"))
+    return each.join(top, "node").where("r = m").groupBy("node").agg(F.min("next").alias("next"))
 
-def _heaviest_first(weight: str) -> list:
-    """An order by integers in digits, the greatest first."""
-    return [F.length(weight).desc(), F.col(weight).desc()]
 
+def _one(steps: DataFrame, start: DataFrame) -> DataFrame:
+    """place, node of the path of a single start (node)."""
+    return sweeps.follow(steps, start.select(F.lit("").alias("k"), "node"))
 
-def main_path(edges: DataFrame, search: str = "global", kind: str = "spc") -> DataFrame:
-    """position, node of the main path. search: global (heaviest sum), forward or backward (greedy)."""
 
-    def pick(dag: Dag, kind: str):
-        weights, after = dag.weigh(kind)
-        path, rank = dag.heaviest(weights) if search == "global" else dag.forward(weights, after) if search == "forward" else dag.backward(weights)
-        return [(path, rank, path[0] if search == "forward" else path[-1])] if path else []
+def _turned(path: DataFrame) -> DataFrame:
+    """k, place, node with each path's order turned round."""
+    last = path.groupBy("k").agg(F.max("place").alias("_last"))
+    return path.join(last, "k").select("k", (F.col("_last") - F.col("place")).alias("place"), "node")
 
-    tie = F.col("tie").desc() if search == "backward" else F.col("tie").asc()
-    return _unroll(_candidates(edges, kind, pick).orderBy(*_heaviest_first("rank"), tie).limit(1))
 
+def main_path(edges: DataFrame, search: str = "global", kind: str = "spc", order: DataFrame | None = None) -> DataFrame:
+    """position, node of the main path. search: global (heaviest sum), forward or backward (greedy).
 
-def key_routes(edges: DataFrame, k: int = 10, search: str = "local", kind: str = "spc") -> DataFrame:
+    Global: from a source to a sink, ties to the least end and the least node before. Forward: from the source with most
+    paths on, always the heaviest edge. Backward: from the sink with the heaviest edge back, ties to the greatest id.
+    """
+    bands, weighed, after = _weighed(edges, (kind,), order)
+    if search == "global":
+        best = sweeps.heaviest(bands, weighed)
+        ends = best.where(F.col("via")[0].isNotNull()).join(weighed.select(F.col("source").alias("node")), "node", "left_anti")
+        end = ends.orderBy(rank_of(F.col("v")[0]).desc(), "node").limit(1)
+        path = _turned(_one(best.select("node", F.col("via")[0].alias("next")), end))
+    elif search == "forward":
+        starts = weighed.select(F.col("source").alias("node")).distinct().join(weighed.select(F.col("target").alias("node")), "node", "left_anti")
+        start = starts.join(after, "node").orderBy(rank_of(F.col("v")[0]).desc(), "node").limit(1)
+        path = _one(_steps(weighed, "source", "target", greatest=False), start)
+    else:
+        last = weighed.join(weighed.select(F.col("source").alias("_s")).distinct(), F.col("target") == F.col("_s"), "left_anti")
+        end = last.orderBy(rank_of(F.col("w")[0]).desc(), F.desc("target")).limit(1).select(F.col("target").alias("node"))
+        path = _turned(_one(_steps(weighed, "target", "source", greatest=True), end))
+    return path.select(F.col("place").cast("int").alias("position"), "node")
+
+
+def key_routes(edges: DataFrame, k: int = 10, search: str = "local", kind: str = "spc", order: DataFrame | None = None) -> DataFrame:
     """route (nodes joined by >), n_key_edges: the k heaviest edges, each prolonged to a route, equal routes merged.
 
-    edges may bring their own weight; else it is the traversal weight of the given kind.
+    local: by the heaviest next edge each time, ties to the greatest id; global: to the heaviest whole path. edges may bring
+    their own weight, a number of 0 or more or an integer in digits; else it is the traversal weight of the given kind.
     """
-    given = "weight" in edges.columns
-    weighted = _grouped(edges) if given else _weighed(edges, kind).checkpoint()
-    first = [F.desc("weight")] if given else _heaviest_first("weight")
-    top = weighted.orderBy(*first, "source", "target").limit(k).select("source", "target", F.lit(True).alias("key"))
-    marked = weighted.join(F.broadcast(top), ["source", "target"], "left")
-
-    def make(key, rows):
-        import pandas as pd
-
-        own = {(u, v): w if given else int(w) for u, v, w in zip(rows["source"], rows["target"], rows["weight"])}
-        keyed = {(u, v) for u, v, m in zip(rows["source"], rows["target"], rows["key"]) if m is True or m == True}  # noqa: E712
-        if not keyed:
-            return pd.DataFrame({"route": [], "n_key_edges": []}).astype({"route": str, "n_key_edges": "int64"})
-        dag = Dag(rows["source"], rows["target"])
-        names = dag.edges()
-        weights = [own[e] for e in names]
-        steps = dag.best(weights)
-        found: dict[tuple, int] = {}
-        for e in sorted((k for k, e in enumerate(names) if e in keyed), key=lambda k: (-weights[k], k)):
-            path = tuple(dag.route(weights, e, search, steps))
-            found[path] = found.get(path, 0) + 1
-        return pd.DataFrame([(">".join(map(str, p)), n) for p, n in found.items()], columns=["route", "n_key_edges"])
-
-    return marked.groupBy("component").applyInPandas(make, "route string, n_key_edges long")
-
-
-def robustness(edges: DataFrame) -> DataFrame:
+    if "weight" in edges.columns:
+        given = edges.where("source is not null and target is not null and source <> target").select("source", "target", digits_of("weight", dict(edges.dtypes)["weight"]).alias("weight"))
+        given = cut(given.groupBy("source", "target").agg(F.max(rank_of("weight")).alias("m")).select("source", "target", F.array("m.digits").alias("w")))
+        bands = sweeps.Bands(given, order)
+        weighed = cut(bands.edges.join(given, ["source", "target"]))
+    else:
+        bands, weighed, _ = _weighed(edges, (kind,), order)
+    place = F.row_number().over(W.orderBy(rank_of(F.col("w")[0]).desc(), "source", "target"))
+    top = weighed.select("source", "target", "w").orderBy(rank_of(F.col("w")[0]).desc(), "source", "target").limit(k)
+    top = cut(top.select(place.cast("string").alias("k"), "source", "target"))
+    if search == "global":
+        on, back = ((sweeps.heaviest(bands, weighed, back=x).select("node", F.col("via")[0].alias("next"))) for x in (True, False))
+    else:
+        on, back = _steps(weighed, "source", "target", greatest=True), _steps(weighed, "target", "source", greatest=True)
+    after = sweeps.follow(on, top.select("k", F.col("target").alias("node")))
+    before = sweeps.follow(back, top.select("k", F.col("source").alias("node")))
+    whole = before.withColumn("place", -F.col("place") - 1).unionByName(after).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("place", "node"))).alias("p"))
+    return whole.select(F.array_join(F.transform("p", lambda x: x["node"].cast("string")), ">").alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n_key_edges"))
+
+
+def robustness(edges: DataFrame, order: DataFrame | None = None) -> DataFrame:
     """a, b, jaccard of the main paths under each two of the three weights, core (nodes on all three) and n_union."""
-    t, kinds = _type(edges), ("spc", "splc", "spnp")
-
-    def make(key, rows):
-        import pandas as pd
-
-        dag = Dag(rows["source"], rows["target"])
-        found = [(kind, *dag.heaviest(dag.weigh(kind)[0])) for kind in kinds]
-        return pd.DataFrame([(kind, path, str(rank), path[-1]) for kind, path, rank in found if path], columns=["kind", "path", "rank", "tie"])
-
-    each = _grouped(edges.select("source", "target")).groupBy("component").applyInPandas(make, f"kind string, path array<{t}>, rank string, tie {t}")
-    each = each.withColumn("place", F.row_number().over(W.partitionBy("kind").orderBy(*_heaviest_first("rank"), "tie"))).where("place = 1")
-    none = F.array().cast(f"array<{t}>")
-    one = each.agg(*[F.coalesce(F.first(F.when(F.col("kind") == k, F.col("path")), ignorenulls=True), none).alias(k) for k in kinds])
+    kinds = tuple(KINDS)
+    bands, weighed, _ = _weighed(edges, kinds, order)
+    best = sweeps.heaviest(bands, weighed)
+    each = best.select("node", F.posexplode(F.arrays_zip("v", "via")).alias("i", "x")).select(F.element_at(F.array(*map(F.lit, kinds)), F.col("i") + 1).alias("k"), "node", F.col("x.via").alias("next"), "x.v")
+    each = cut(each)
+    sinks = each.where("next is not null").join(weighed.select(F.col("source").alias("node")), "node", "left_anti")
+    most = sinks.groupBy("k").agg(F.max(rank_of("v")).alias("m"))
+    ends = sinks.join(most, "k").where(rank_of("v") == F.col("m")).groupBy("k").agg(F.min("node").alias("node"))
+    paths = sweeps.follow(each.select("k", "node", "next"), ends)
+    one = paths.agg(*[F.collect_list(F.when(F.col("k") == k, F.col("node"))).alias(k) for k in kinds])
     like = lambda a, b: F.when(F.size(F.array_union(a, b)) == 0, F.lit(1.0)).otherwise(F.round(F.size(F.array_intersect(a, b)) / F.size(F.array_union(a, b)), 2))
     core, union = F.size(F.array_intersect(F.array_intersect("spc", "splc"), F.col("spnp"))), F.size(F.array_union(F.array_union("spc", "splc"), F.col("spnp")))
     pairs = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), like(F.col(a), F.col(b)).alias("jaccard")) for a, b in (("spc", "splc"), ("spc", "spnp"), ("splc", "spnp"))])
     return one.select(F.explode(pairs).alias("p"), core.alias("core"), union.alias("n_union")).select("p.a", "p.b", "p.jaccard", "core", "n_union")
 
 
+def strong_components(edges: DataFrame) -> DataFrame:
+    """source, target, component of the edges that lie on a cycle: the least node of those that reach each other.
+
+    Nodes that nothing leads to, or that lead to nothing, are trimmed. Then each node takes the least node that reaches it;
+    the nodes of such a colour that reach its node are that node's component. Edges between colours lie on no cycle; what is
+    left of a colour goes round again. Each step is a join; a round settles a component at least.
+    """
+    left, found = cut(edges.select("source", "target").distinct()), []
+    while True:
+        while True:  # trim
+            kept = cut(left.join(left.select(F.col("target").alias("_t")).distinct(), F.col("source") == F.col("_t"), "left_semi").join(left.select(F.col("source").alias("_s")).distinct(), F.col("target") == F.col("_s"), "left_semi"))
+            same = kept.count() == left.count()
+            left = kept
+            if same:
+                break
+        if left.isEmpty():
+            break
+        colour = cut(sweeps.ends_of(left).withColumn("c", F.col("node")))
+        while True:  # forward: the least node that reaches one
+            on = left.join(colour, left.source == colour.node).groupBy("target").agg(F.min("c").alias("n"))
+            after = cut(colour.join(on, colour.node == on.target, "left").select("node", F.least("c", F.coalesce("n", "c")).alias("c"), (F.col("n") < F.col("c")).alias("moved")))
+            colour = after.select("node", "c")
+            if after.where("moved").isEmpty():
+                break
+        a, b = colour.select(F.col("node").alias("source"), F.col("c")), colour.select(F.col("node").alias("target"), F.col("c").alias("d"))
+        inner = cut(left.join(a, "source").join(b, "target").where("c = d").select("source", "target", "c"))
+        reach = cut(colour.where("node = c").select("node"))
+        front = reach
+        while not front.isEmpty():  # backward within a colour, from the node that gave it
+            front = cut(inner.join(front, inner.target == front.node).select(F.col("source").alias("node")).distinct().join(reach, "node", "left_anti"))
+            reach = cut(reach.unionByName(front))
+        s, t = reach.select(F.col("node").alias("source")), reach.select(F.col("node").alias("target"))
+        found.append(cut(inner.join(s, "source", "left_semi").join(t, "target", "left_semi").select("source", "target", F.col("c").alias("component"))))
+        left = cut(inner.join(s, "source", "left_anti").join(t, "target", "left_anti").select("source", "target"))
+    made = left.withColumn("component", F.col("source"))
+    for part in found:
+        made = made.unionByName(part)
+    return made
+
+
 def acyclic(edges: DataFrame, dates: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges without cycles, edges taken out); dates: node, date (ISO string).
 
     Mutual citations are settled first, by a join: of u to v and v to u the one that is more against the dates goes, as
-    in break_cycles(). The cycles that are left are longer and are looked for in memory.
+    in break_cycles(). Of the rest, each cycle holds an edge whose source is not older than its target, and lies within the
+    span of dates of such edges, where spans that overlap count as one. Only edges within a span are looked at: those of a
+    span of up to TOGETHER edges in one task, those of larger spans by strong component.
     """
-    t = _type(edges)
+    t = dict(edges.dtypes)["source"]
     edges = edges.select("source", "target").distinct()
     dated = edges.join(dates.select(F.col("node").alias("source"), F.col("date").alias("d1")), "source", "left").join(dates.select(F.col("node").alias("target"), F.col("date").alias("d2")), "target", "left")
-    _folder(edges)
-    dated = dated.select("source", "target", *[F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("9999")).alias(c) for c in ("d1", "d2")]).checkpoint()
+    dated = cut(dated.select("source", "target", *[F.coalesce(F.when(F.col(c) != "", F.col(c)), F.lit("9999")).alias(c) for c in ("d1", "d2")]))
     blame = lambda x: F.struct((F.col(f"{x}.d1") > F.col(f"{x}.d2")).alias("against"), F.col(f"{x}.d1").alias("d"), F.col(f"{x}.source").alias("s"), F.col(f"{x}.target").alias("t"))
     mutual = dated.alias("a").join(dated.alias("b"), F.expr("a.source = b.target and a.target = b.source"))
-    mutual = mutual.where(blame("a") > blame("b")).select("a.source", "a.target")
-    rest = dated.join(mutual, ["source", "target"], "left_anti")
+    mutual = cut(mutual.where(blame("a") > blame("b")).select("a.source", "a.target"))
+    rest = cut(dated.join(mutual, ["source", "target"], "left_anti"))
+    # a row for each date at the most: the last date that an edge against the dates comes from
+    spans = rest.where("d1 >= d2").groupBy(F.col("d2").alias("low")).agg(F.max("d1").alias("high"))
+    before = F.max("high").over(W.orderBy("low").rowsBetween(W.unboundedPreceding, -1))
+    spans = spans.withColumn("new", F.coalesce((F.col("low") > before).cast("int"), F.lit(1))).withColumn("span", F.sum("new").over(W.orderBy("low")))
+    spans = cut(spans.groupBy("span").agg(F.min("low").alias("low"), F.max("high").alias("high")))
+    inside = lambda c: (F.col(c) >= F.col("low")) & (F.col(c) <= F.col("high"))
+    days = rest.select(F.col("d1").alias("day")).union(rest.select("d2")).distinct().join(F.broadcast(spans), inside("day")).select("day", "span")
+    days = cut(days)
+    within = rest.join(days.select(F.col("day").alias("d1"), F.col("span")), "d1").join(days.select(F.col("day").alias("d2"), F.col("span").alias("_s")), "d2").where("span = _s")
+    within = cut(within.select("source", "target", "d1", "d2", F.col("span").cast("string").alias("part")))
+    large = within.groupBy("part").count().where(F.col("count") > TOGETHER).select("part")
+    if not large.isEmpty():
+        many = cut(within.join(large, "part", "left_semi"))
+        strong = strong_components(many).withColumnRenamed("component", "_c")
+        named = many.join(strong, ["source", "target"]).select("source", "target", "d1", "d2", F.concat_ws(" ", "part", F.col("_c").cast("string")).alias("part"))
+        within = within.join(large, "part", "left_anti").unionByName(named)
 
     def make(key, rows):
         import pandas as pd
@@ -383,9 +294,13 @@ def acyclic(edges: DataFrame, dates: DataFrame) -> tuple[DataFrame, DataFrame]:
         known = {n: d for a, b in (("source", "d1"), ("target", "d2")) for n, d in zip(rows[a], rows[b])}
         return pd.DataFrame(break_cycles(zip(rows["source"], rows["target"]), known), columns=["source", "target"]).astype({"source": rows["source"].dtype, "target": rows["target"].dtype})
 
-    longer = _grouped(rest).groupBy("component").applyInPandas(make, f"source {t}, target {t}")
-    gone = mutual.unionByName(longer)
-    return edges.join(gone, ["source", "target"], "left_anti"), gone
+    gone = cut(mutual.unionByName(within.groupBy("part").applyInPandas(make, f"source {t}, target {t}")))
+    return cut(edges.join(gone, ["source", "target"], "left_anti")), gone
+
+
+def by_date(dates: DataFrame) -> DataFrame:
+    """node, place of node, date (ISO string, or a bare year): an order of nodes; without a place where there is no date."""
+    return dates.select("node", F.rpad(F.regexp_replace("date", "-", ""), 8, "0").try_cast("double").alias("place"))
 
 
 def earliest_date(*cols: str):
@@ -402,13 +317,13 @@ def lineage(edges: DataFrame, seeds: DataFrame, generations: int = 3, most_per_n
     """
     near = edges.select(F.col("source").alias("at"), F.col("target").alias("to")) if forward else edges.select(F.col("target").alias("at"), F.col("source").alias("to"))
     rank = F.row_number().over(W.partitionBy("at").orderBy("to"))
-    near = near.distinct().withColumn("_r", rank).where(F.col("_r") <= most_per_node).drop("_r")
-    _folder(edges)
+    near = cut(near.distinct().withColumn("_r", rank).where(F.col("_r") <= most_per_node).drop("_r"))
     front = seeds.select("node").distinct()
     out = front.select("node", F.lit(0).alias("generation"), F.lit(None).cast(dict(front.dtypes)["node"]).alias("parent"))
     seen = front
     for g in range(1, generations + 1):
-        step = near.join(front, near["at"] == front.node).select(F.col("to").alias("node"), F.col("at").alias("parent")).join(seen, "node", "left_anti").distinct().checkpoint()
+        step = near.join(front, near["at"] == front.node).select(F.col("to").alias("node"), F.col("at").alias("parent")).join(seen, "node", "left_anti").distinct()
+        step = cut(step)
         out = out.unionByName(step.select("node", F.lit(g).alias("generation"), "parent"))
         front = step.select("node").distinct()
         seen = seen.union(front)

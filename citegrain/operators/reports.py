@@ -2,45 +2,94 @@
 
 from __future__ import annotations
 
+from functools import cached_property
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions import identity
+from ..tables import cut
 from . import audit, mentions, networks, paths
 
 
-def citation_network(papers: DataFrame, refs: DataFrame, notices: DataFrame, known: DataFrame, order: tuple[str, ...] = ()) -> dict[str, DataFrame]:
-    """The citation network within a set of papers, as tables.
+class CitationNetwork:
+    """The citation network within a set of papers; each table is worked out when it is first asked for, by attribute or key.
 
     papers: paper_id, doi, title, year, date; refs: citing_id, ref_id, ref_doi; notices as for retraction_status; known:
-    doi, source, n_refs, the lengths of reference lists elsewhere, looked up in the given order of sources.
+    doi, source, n_refs, the lengths of reference lists elsewhere, looked up in the order of the given sources.
 
     nodes: paper_id, title, year, lcs, retrieved, n_external, completeness, retraction, isolated; provisional: whether any
     list is short or of unknown completeness; edges: source (cited), target, weight (in digits), on a graph without
-    cycles; removed: the edges taken out for that; main_path, key_routes, duplicates as by their operators.
+    cycles; removed: the edges taken out for that; main_path, key_routes, duplicates as by their operators; totals: papers,
+    linked, isolated, links, removed, short, unknown, retracted, in one row.
     """
-    linked = networks.link_within(refs, papers)
-    edges, removed = paths.acyclic(linked.select(F.col("cited_id").alias("source"), F.col("citing_id").alias("target")), papers.select(F.col("paper_id").alias("node"), "date"))
-    got = refs.groupBy("citing_id").agg(F.count(F.lit(1)).alias("retrieved"))
-    own = papers.join(got, papers.paper_id == got.citing_id, "left").drop("citing_id")
-    own = audit.completeness(audit.external_counts(own, known, order), "retrieved", "n_external").withColumnRenamed("status", "completeness")
-    status = audit.retraction_status(papers.where("doi is not null").select("doi", F.lit(True).alias("ok")).distinct(), notices)
-    own = own.join(status.select(F.lower("doi").alias("_d"), F.col("status").alias("retraction")), F.lower("doi") == F.col("_d"), "left")
-    lcs = networks.local_citations(linked)
-    own = own.join(lcs, F.col("paper_id") == F.col("cited_id"), "left").withColumn("lcs", F.coalesce("lcs", F.lit(0).cast("long")))
-    linked_ids = linked.select(F.col("cited_id").alias("paper_id")).union(linked.select("citing_id")).distinct().withColumn("_in", F.lit(True))
-    own = own.join(linked_ids, "paper_id", "left")
-    nodes = own.select("paper_id", "title", "year", "lcs", F.coalesce("retrieved", F.lit(0).cast("long")).alias("retrieved"), "n_external", "completeness", F.coalesce("retraction", F.lit("unknown")).alias("retraction"), F.col("_in").isNull().alias("isolated"))
-    return {
-        "nodes": nodes,
-        "provisional": nodes.agg(F.coalesce(F.max(F.col("completeness") != "ok"), F.lit(False)).alias("provisional")),
-        "edges": paths.traversal_weights(edges, as_text=True),
-        "removed": removed,
-        "main_path": paths.main_path(edges),
-        "key_routes": paths.key_routes(edges),
-        "duplicates": networks.duplicate_groups(papers),
-    }
+
+    def __init__(self, papers: DataFrame, refs: DataFrame, notices: DataFrame, known: DataFrame, sources: tuple[str, ...] = ()):
+        self.papers, self.refs, self.notices, self.known, self.sources = papers, refs, notices, known, sources
+
+    def __getitem__(self, name: str) -> DataFrame:
+        return getattr(self, name)
+
+    @cached_property
+    def links(self) -> DataFrame:
+        return cut(networks.link_within(self.refs, self.papers))
+
+    @cached_property
+    def _acyclic(self) -> tuple[DataFrame, DataFrame]:
+        return paths.acyclic(self.links.select(F.col("cited_id").alias("source"), F.col("citing_id").alias("target")), self.papers.select(F.col("paper_id").alias("node"), "date"))
+
+    @cached_property
+    def _order(self) -> DataFrame:
+        return paths.by_date(self.papers.select(F.col("paper_id").alias("node"), "date"))
+
+    @cached_property
+    def edges(self) -> DataFrame:
+        return cut(paths.traversal_weights(self._acyclic[0], as_text=True, order=self._order))
+
+    @property
+    def removed(self) -> DataFrame:
+        return self._acyclic[1]
+
+    @cached_property
+    def main_path(self) -> DataFrame:
+        return paths.main_path(self.edges, order=self._order)
+
+    @cached_property
+    def key_routes(self) -> DataFrame:
+        return paths.key_routes(self.edges, order=self._order)
+
+    @property
+    def duplicates(self) -> DataFrame:
+        return networks.duplicate_groups(self.papers)
+
+    @property
+    def provisional(self) -> DataFrame:
+        return self.nodes.agg(F.coalesce(F.max(F.col("completeness") != "ok"), F.lit(False)).alias("provisional"))
+
+    @property
+    def nodes(self) -> DataFrame:
+        papers = self.papers
+        got = self.refs.groupBy("citing_id").agg(F.count(F.lit(1)).alias("retrieved"))
+        own = papers.join(got, papers.paper_id == got.citing_id, "left").drop("citing_id")
+        own = audit.completeness(audit.external_counts(own, self.known, self.sources), "retrieved", "n_external").withColumnRenamed("status", "completeness")
+        status = audit.retraction_status(papers.where("doi is not null").select("doi", F.lit(True).alias("ok")).distinct(), self.notices)
+        own = own.join(status.select(F.lower("doi").alias("_d"), F.col("status").alias("retraction")), F.lower("doi") == F.col("_d"), "left")
+        lcs = networks.local_citations(self.links)
+        own = own.join(lcs, F.col("paper_id") == F.col("cited_id"), "left").withColumn("lcs", F.coalesce("lcs", F.lit(0).cast("long")))
+        linked = self.links.select(F.col("cited_id").alias("paper_id")).union(self.links.select("citing_id")).distinct().withColumn("_in", F.lit(True))
+        own = own.join(linked, "paper_id", "left")
+        return own.select("paper_id", "title", "year", "lcs", F.coalesce("retrieved", F.lit(0).cast("long")).alias("retrieved"), "n_external", "completeness", F.coalesce("retraction", F.lit("unknown")).alias("retraction"), F.col("_in").isNull().alias("isolated"))
+
+    @property
+    def totals(self) -> DataFrame:
+        count = lambda c, name: F.count(F.when(c, 1)).alias(name)
+        per = self.nodes.agg(F.count(F.lit(1)).alias("papers"), count(~F.col("isolated"), "linked"), count(F.col("isolated"), "isolated"), *[count(F.col("completeness") == x, x) for x in ("short", "unknown")], count(F.col("retraction") == "retracted", "retracted"))
+        links, removed = (df.agg(F.count(F.lit(1)).alias(name)) for df, name in ((self.links, "links"), (self.removed, "removed")))
+        return per.crossJoin(links).crossJoin(removed).select("papers", "linked", "isolated", "links", "removed", "short", "unknown", "retracted")
+
+    def heaviest_contexts(self, contexts: DataFrame, back: DataFrame, top: int = 40) -> DataFrame:
+        return heaviest_contexts(self.edges, contexts, back, top)
 
 
 def reference_report(refs: DataFrame, papers: DataFrame, count: int = 25) -> tuple[DataFrame, DataFrame]:
@@ -94,9 +143,14 @@ def path_transmission(path: DataFrame, papers: DataFrame, contexts: DataFrame, w
 
 
 def heaviest_contexts(edges: DataFrame, contexts: DataFrame, back: DataFrame, top: int = 40) -> DataFrame:
-    """place, citing_id, cited_id, weight, contexts, status of the heaviest edges (source, target, weight: a number)."""
-    ranked = edges.orderBy(F.desc("weight"), "source", "target").limit(top)
-    ranked = ranked.select(F.col("target").alias("citing_id"), F.col("source").alias("cited_id"), "weight", F.row_number().over(W.orderBy(F.desc("weight"), "source", "target")).alias("place"))
+    """place, citing_id, cited_id, weight, contexts, status of the heaviest edges.
+
+    edges: source, target, weight (a number of 0 or more, or an integer in digits, as citation_network() gives them); ties
+    go to the least source, then target.
+    """
+    heavy = paths.rank_of(paths.digits_of("weight", dict(edges.dtypes)["weight"])).desc()
+    ranked = edges.orderBy(heavy, "source", "target").limit(top)
+    ranked = ranked.select(F.col("target").alias("citing_id"), F.col("source").alias("cited_id"), "weight", F.row_number().over(W.orderBy(heavy, "source", "target")).alias("place"))
     return mentions.edge_contexts(ranked, contexts, back).select("place", "citing_id", "cited_id", "weight", "contexts", "status")
 
 

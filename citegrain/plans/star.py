@@ -29,6 +29,11 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dated.select(before.alias("source"), F.col("o_orderkey").alias("target")).where("source is not null").distinct()
 
 
+def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """node, place: orders by day, the order in which they can cite each other."""
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.unix_date("o_orderdate").alias("place"))
+
+
 CITES = """SELECT DISTINCT source, target FROM (
   SELECT lag(o) OVER (PARTITION BY p ORDER BY d, o) AS source, o AS target FROM (
     SELECT DISTINCT l_partkey AS p, o_orderkey AS o, o_orderdate AS d FROM lineitem JOIN orders ON l_orderkey = o_orderkey)) WHERE source IS NOT NULL"""

@@ -5,7 +5,8 @@ from itertools import combinations
 
 import pytest
 
-from citegrain.operators import fronts, history, louvain, networks, paths
+from citegrain.operators import fronts, history, louvain, networks, paths, reports, sweeps
+from plain_graphs import Dag
 
 #: A published example of 17 edges with its path counts.
 KNOWN = {"AC": 2, "BC": 2, "BD": 5, "BJ": 1, "CE": 2, "CH": 2, "EG": 2, "GH": 2, "DF": 3, "DI": 2, "FH": 1, "FI": 2, "IL": 2, "IM": 2, "JM": 1, "MN": 3, "HK": 5}
@@ -19,7 +20,7 @@ def frame(spark, edges):
 def test_known_weights(spark):
     got = {r.source + r.target: int(r.weight) for r in paths.traversal_weights(frame(spark, KNOWN)).collect()}
     assert got == KNOWN
-    dag = paths.Dag(*zip(*KNOWN))
+    dag = Dag(*zip(*KNOWN))
     path, total = dag.heaviest(dag.weigh()[0])
     assert path == list("BDFIMN") and total == 15
 
@@ -29,7 +30,7 @@ def test_flow_is_conserved_and_equals_enumeration():
     for _ in range(40):
         n = rng.randint(3, 9)
         edges = [e for e in combinations(range(n), 2) if rng.random() < 0.45]
-        dag = paths.Dag([u for u, _ in edges], [v for _, v in edges])
+        dag = Dag([u for u, _ in edges], [v for _, v in edges])
         out = {x: [v for u, v in edges if u == x] for x in range(n)}
         into = {x: [u for u, v in edges if v == x] for x in range(n)}
         nodes = sorted({x for e in edges for x in e})
@@ -85,7 +86,7 @@ def test_counts_beyond_64_bits(spark):
 
 def test_routes_local_and_global():
     edges = ["SX", "SY", "XK", "YK", "KT"]
-    dag = paths.Dag(*zip(*edges))
+    dag = Dag(*zip(*edges))
     given = dict(zip(map(tuple, edges), [1, 20, 9, 2, 3]))
     weights, key = [given[e] for e in dag.edges()], dag.edges().index(("K", "T"))
     assert dag.route(weights, key, "local") == list("SXKT")
@@ -110,16 +111,125 @@ def test_cycle_goes_against_the_dates(spark):
         some = {(rng.randrange(8), rng.randrange(8)) for _ in range(20)}
         some = {e for e in some if e[0] != e[1]}
         left = some - set(paths.break_cycles(some, {}))
-        assert not paths.Dag([u for u, _ in left], [v for _, v in left]).cyclic
-
-
-def test_components_give_what_one_group_gives(spark, monkeypatch):
-    """Beyond TOGETHER edges the work is dealt by component, with the same result."""
-    edges = frame(spark, [*KNOWN, "ab", "bc", "xy"])
-    made = lambda: [sorted(map(tuple, df.collect())) for df in (paths.traversal_weights(edges), paths.main_path(edges), paths.main_path(edges, "backward"), paths.key_routes(edges, 4), paths.robustness(edges))]
-    one = made()
-    monkeypatch.setattr(paths, "TOGETHER", 1)
-    assert made() == one
+        assert not Dag([u for u, _ in left], [v for _, v in left]).cyclic
+
+
+def drawn(seed, n=40, chance=0.12):
+    """A random graph without cycles whose nodes are not in order."""
+    rng = random.Random(seed)
+    names = rng.sample(range(1000), n)
+    return names, [(names[i], names[j]) for i, j in combinations(range(n), 2) if rng.random() < chance]
+
+
+@pytest.mark.parametrize("band, ordered", [(10**6, None), (9, None), (30, "right"), (30, "wrong"), (1, None)])
+def test_bands_give_what_one_graph_gives(spark, monkeypatch, band, ordered):
+    """One band, bands of levels, wide levels, bands by an order and by one with errors: the same counts and heaviest paths."""
+    names, edges = drawn(4)
+    order = None
+    if ordered:
+        place = {x: k for k, x in enumerate(names)}
+        if ordered == "wrong":
+            place[names[3]], place[names[30]], place[names[8]] = 25, 4, None
+        order = spark.createDataFrame(list(place.items()), "node long, place long")
+    monkeypatch.setattr(sweeps, "BAND", band)
+    dag = Dag(*zip(*edges))
+    bands, weighed, after = paths._weighed(spark.createDataFrame(edges, "source long, target long"), tuple(paths.KINDS), order)
+    assert len(bands.sizes) > 1 or band == 10**6
+    got = {(r.source, r.target): [int(x) for x in r.w] for r in weighed.collect()}
+    by_kind = [dict(zip(dag.edges(), dag.weigh(kind)[0])) for kind in paths.KINDS]
+    assert got == {e: [w[e] for w in by_kind] for e in dag.edges()}
+    assert {r.node: int(r.v[0]) for r in after.collect()} == dict(zip(dag.names, dag.weigh("spc")[1]))
+    for back in (False, True):
+        best = {r.node: (int(r.v[1]), r.via[1]) for r in sweeps.heaviest(bands, weighed, back).collect()}
+        into, prev, on = dag.best(dag.weigh("splc")[0])
+        want = [dag.names[k] if k >= 0 else None for k in (on if back else prev)]
+        assert {n: v[1] for n, v in best.items()} == dict(zip(dag.names, want))
+        if not back:
+            assert {n: v[0] for n, v in best.items()} == dict(zip(dag.names, into))
+
+
+def test_paths_over_bands(spark, monkeypatch):
+    names, edges = drawn(9)
+    monkeypatch.setattr(sweeps, "BAND", 30)
+    df = spark.createDataFrame(edges, "source long, target long")
+    order = spark.createDataFrame([(x, k) for k, x in enumerate(names)], "node long, place long")
+    dag = Dag(*zip(*edges))
+    weights, after = dag.weigh()
+    walk = lambda **k: [r.node for r in sorted(paths.main_path(df, order=order, **k).collect())]
+    assert walk(search="global") == dag.heaviest(weights)[0]
+    assert walk(search="forward") == dag.forward(weights, after)[0]
+    assert walk(search="backward") == dag.backward(weights)[0]
+    given = spark.createDataFrame([(*e, str(w)) for e, w in zip(dag.edges(), weights)], "source long, target long, weight string")
+    top = sorted(range(len(weights)), key=lambda e: (-weights[e], dag.edges()[e]))[:5]
+    for search in ("local", "global"):
+        want = {}
+        for e in top:
+            route = ">".join(map(str, dag.route(weights, e, search)))
+            want[route] = want.get(route, 0) + 1
+        for edges_of in (df, given):  # weights of its own, and those of the network's table, in digits
+            assert {r.route: r.n_key_edges for r in paths.key_routes(edges_of, 5, search, order=order).collect()} == want
+    found = {k: set(dag.heaviest(dag.weigh(k)[0])[0]) for k in paths.KINDS}
+    rows = paths.robustness(df, order).collect()
+    assert [(r.a, r.b, r.jaccard) for r in rows] == [(a, b, round(len(found[a] & found[b]) / len(found[a] | found[b]), 2)) for a, b in combinations(found, 2)]
+    assert (rows[0].core, rows[0].n_union) == (len(set.intersection(*found.values())), len(set.union(*found.values())))
+
+
+def test_limbs(spark):
+    rng = random.Random(1)
+    numbers = [[rng.randrange(10 ** rng.choice([1, 17, 18, 19, 40, 90])) for _ in range(4)] for _ in range(30)]
+    df = spark.createDataFrame([(k, str(x)) for k, xs in enumerate(numbers) for x in xs], "k int, d string")
+    own = [f"l{j}" for j in range(sweeps.LIMBS)]
+    from pyspark.sql import functions as F
+
+    sums = df.select("k", *[c.alias(n) for n, c in zip(own, sweeps.limbs(F.col("d")))]).groupBy("k").agg(*[F.sum(c).cast("decimal(38,0)").alias(c) for c in own])
+    assert {r.k: int(r.s) for r in sweeps.carried(sums, own, "s").collect()} == {k: sum(xs) for k, xs in enumerate(numbers)}
+    most = spark.createDataFrame([(0, "9" * sweeps.DIGITS)] * 2, "k int, d string")
+    sums = most.select("k", *[c.alias(n) for n, c in zip(own, sweeps.limbs(F.col("d")))]).groupBy("k").agg(*[F.sum(c).cast("decimal(38,0)").alias(c) for c in own])
+    with pytest.raises(Exception, match="digits"):
+        sweeps.carried(sums, own, "s").collect()
+
+
+def test_strong_components(spark, monkeypatch):
+    """Cycles of three and more, by the plain search and by component, within spans of dates and across them."""
+    rng = random.Random(12)
+    edges = sorted({(rng.randrange(40), rng.randrange(40)) for _ in range(70)})
+    edges = [e for e in edges if e[0] != e[1] and e[::-1] not in edges]
+    reach = {}
+    for s in range(40):
+        seen, todo = set(), [s]
+        while todo:
+            x = todo.pop()
+            for a, b in edges:
+                if a == x and b not in seen:
+                    seen.add(b)
+                    todo.append(b)
+        reach[s] = seen
+    want = {(u, v): min(x for x in range(40) if x == u or x in reach[u] and u in reach[x]) for u, v in edges if u in reach[v]}
+    df = spark.createDataFrame(edges, "source long, target long")
+    assert len(set(want.values())) > 0 and {(r.source, r.target): r.component for r in paths.strong_components(df).collect()} == want
+    days = [(k, f"20{rng.randrange(10, 30)}-01-01") for k in range(40)]
+    dates = spark.createDataFrame(days, "node long, date string")
+    for together in (10**6, 1):
+        monkeypatch.setattr(paths, "TOGETHER", together)
+        left, gone = paths.acyclic(df, dates)
+        left = [(r.source, r.target) for r in left.collect()]
+        assert not Dag(*zip(*left)).cyclic and len(left) + gone.count() == len(edges)
+
+
+def test_network_of_digit_weights(spark):
+    """Edges of a network go from its table into contexts and routes, the heaviest first by value and not by their digits."""
+    rungs = [(f"{i}a", f"{i}{s}") for i in range(5) for s in "bc"] + [(f"{i}{s}", f"{i + 1}a") for i in range(5) for s in "bc"] + [("z", "2a")]
+    papers = spark.createDataFrame([(n, f"10.1/{n}", n, 2000 + int(n[0] if n[0] != "z" else 0), f"{2000 + int(n[0] if n[0] != 'z' else 0)}-0{'abc'.find(n[1:]) + 1 or 9}-01") for n in sorted({x for e in rungs for x in e})], "paper_id string, doi string, title string, year int, date string")
+    refs = spark.createDataFrame([(v, u, None) for u, v in rungs], "citing_id string, ref_id string, ref_doi string")
+    none = spark.createDataFrame([], "doi string, type string, label string, date string")
+    net = reports.CitationNetwork(papers, refs, none, spark.createDataFrame([], "doi string, source string, n_refs int"))
+    dag = Dag(*zip(*rungs))
+    want = sorted(((-w, *e) for e, w in zip(dag.edges(), dag.weigh()[0])))
+    back = spark.createDataFrame([], "citing_id string, cited_id string, contexts array<string>")
+    got = sorted(net.heaviest_contexts(back, back, 9).collect())
+    assert [(-int(r.weight), r.cited_id, r.citing_id) for r in got] == want[:9] and len({len(r.weight) for r in net.edges.collect()}) == 2
+    assert net.key_routes.count() > 0 and [r.node for r in sorted(net.main_path.collect())][-1] == "5a"
+    assert tuple(net.totals.first()) == (len(papers.collect()), len(papers.collect()), 0, len(rungs), 0, 0, len(papers.collect()), 0)
 
 
 def test_mutual_and_longer_cycles(spark):
