@@ -31,7 +31,7 @@ def citations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def order_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     """node, place: orders by day, the order in which they can cite each other."""
-    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.unix_date("o_orderdate").alias("place"))
+    return table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("node"), F.unix_date(F.col("o_orderdate").cast("date")).alias("place"))
 
 
 CITES = """SELECT DISTINCT source, target FROM (
