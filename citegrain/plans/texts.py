@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import terms
-from ..operators import mentions
+from ..operators import fulltext, mentions, titles
+from ..tables import cut
 from ..sources import landed, markup
 from .star import spread, table
 
@@ -121,3 +122,24 @@ def title_lookup(spark, d):
     works = table(spark, d, "documents").select(F.col("doc_id").alias("work_id"), head, (2000 + F.col("doc_id") % 3).alias("year"), F.col("n_chars").alias("n_refs"))
     works = works.unionByName(bench.select((F.col("item_id") + 1_000_000_000).alias("work_id"), head, F.lit(2001).cast("long").alias("year"), F.lit(5).cast("long").alias("n_refs")))
     return landed.by_title(wanted, works)
+
+
+@query(r"""WITH n AS (SELECT doc_id, len(regexp_extract_all(lower(text), 'the\s+of'))::BIGINT AS hits FROM documents)
+SELECT row_number() OVER (ORDER BY hits DESC, doc_id)::INT AS place, doc_id, hits, hits AS body_mentions, (SELECT count(*) FROM n WHERE hits > 0) AS total FROM n WHERE hits > 0 QUALIFY place <= 20""".replace("\\\\", "\\"))
+def fulltext_search(spark, d):
+    """The texts with most occurrences of a phrase, by the index; the mentions are read off their texts."""
+    docs = spread(table(spark, d, "documents").select("doc_id", "text"))
+    shown, total = fulltext.search(docs, cut(fulltext.index(docs)), '"the of"', 20)
+    return shown.select("place", "doc_id", "hits", "body_mentions").crossJoin(total)
+
+
+@query()
+def similar_titles(spark, d):
+    """The benchmark's items as titles against those of another spelling: a word is put in, or a letter left out, by the key."""
+    items = table(spark, d, "benchmark").select("item_id", F.col("text").alias("title"))
+    k, words = F.col("item_id"), F.split("title", " ")
+    at = (k % F.size(words) + 1).cast("int")
+    put = F.array_join(F.concat(F.slice(words, F.lit(1), at), F.array(F.lit("inserted")), F.slice(words, at + 1, F.size(words))), " ")
+    other = F.when(k % 3 == 0, put).when(k % 3 == 1, F.concat(F.substring("title", 1, 9), F.substring(F.col("title"), F.lit(11), F.length("title")))).otherwise(F.concat("title", F.lit("1")))
+    found = titles.similar_titles(items.select(k.alias("a"), "title"), items.select(k.alias("b"), other.alias("title")))
+    return found.withColumn("ratio", F.round("ratio", 6))
