@@ -1,4 +1,9 @@
-"""Deterministic Louvain communities of weighted graphs, one grouped task per graph."""
+"""Deterministic Louvain communities of weighted graphs.
+
+Many small graphs are a grouped task each. One large graph is worked on by joins: in each round the nodes of one class, by a
+hash, move at once to the community of greatest gain; then communities become nodes and their links are summed up, until the
+graph that is left has few enough links for one task.
+"""
 
 from __future__ import annotations
 
@@ -6,10 +11,17 @@ import sys
 
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from ..tables import cut, discard
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 
+#: Links that are left to one task; classes that move in turn, rounds through them, and the share of nodes that has to move in one.
+LOCAL, CLASSES, SWEEPS, LEAST = 20_000, 3, 6, 0.01
+
+
 def louvain(edges, resolution: float = 1.0) -> list[set]:
     """Communities of a graph given by (a, b, weight), each a set of nodes.
 
@@ -83,6 +95,62 @@ def communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
     return edges.groupBy("graph").applyInPandas(make, f"graph {kinds['graph']}, node {kinds['a']}, community {kinds['a']}")
 
 
+def _moved(links: DataFrame, nodes: DataFrame, home: DataFrame, total: float, resolution: float, sweep: int, turn: int) -> DataFrame:
+    """home (node, c) after the nodes of one class have moved; moved: whether a node did. nodes: node, degree."""
+    own = home.join(nodes, "node")
+    size = own.groupBy("c").agg(F.sum("degree").alias("size"))
+    movers = own.where(F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(CLASSES)) == turn)
+    near = links.join(home.select(F.col("node").alias("b"), "c"), "b").groupBy(F.col("a").alias("node"), F.col("c").alias("to")).agg(F.sum("w").alias("w"))
+    alone = size.join(home.groupBy("c").agg(F.count(F.lit(1)).alias("n")), "c")
+    at = movers.join(alone.select("c", F.col("size").alias("here"), F.col("n").alias("n_here")), "c")
+    options = near.join(at, "node").join(alone.select(F.col("c").alias("to"), F.col("size").alias("there"), F.col("n").alias("n_there")), "to")
+    stays = F.col("to") == F.col("c")
+    # two nodes alone would change places for ever: the greater joins the less
+    swaps = ~stays & (F.col("n_here") == 1) & (F.col("n_there") == 1) & (F.col("to") > F.col("c"))
+    gain = F.col("w") - resolution * F.col("degree") * (F.col("there") - F.when(stays, F.col("degree")).otherwise(0.0)) / total
+    scored = options.where(~swaps).select("node", "to", "c", stays.alias("stays"), F.round(gain, 9).alias("gain"), "degree", "here")
+    kept = F.coalesce(F.max(F.when(F.col("stays"), F.col("gain"))), F.round(-resolution * F.first("degree") * (F.first("here") - F.first("degree")) / total, 9))
+    top = scored.groupBy("node").agg(F.max("gain").alias("best"), kept.alias("kept")).where("best > kept")
+    goal = scored.join(top, "node").where("gain = best").groupBy("node").agg(F.min("to").alias("to"))
+    return cut(home.join(goal, "node", "left").select("node", F.coalesce("to", "c").alias("c"), F.col("to").isNotNull().alias("moved")))
+
+
+def large_communities(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """node, community (its least node) of one graph of any size; edges: a, b, weight, each pair once, a = b being a loop."""
+    links = cut(edges.select("a", "b", F.col("weight").cast("double").alias("w")))
+    homes = None
+    while links.limit(LOCAL + 1).count() > LOCAL:
+        both = cut(links.where("a <> b").select(F.inline(F.array(F.struct("a", "b", "w"), F.struct(F.col("b").alias("a"), F.col("a").alias("b"), "w")))))
+        loops = links.where("a = b").select(F.col("a").alias("node"), (2 * F.col("w")).alias("d"))
+        nodes = cut(both.select(F.col("a").alias("node"), F.col("w").alias("d")).unionByName(loops).groupBy("node").agg(F.sum("d").alias("degree")))
+        total, n = nodes.agg(F.sum("degree"), F.count(F.lit(1))).first()
+        home, any_moved = cut(nodes.select("node", F.col("node").alias("c"))), False
+        for sweep in range(SWEEPS):
+            moved = 0
+            for turn in range(CLASSES):
+                after = _moved(both, nodes, home, total, resolution, sweep, turn)
+                moved += after.where("moved").count()
+                home = after.select("node", "c")
+            any_moved = any_moved or moved > 0
+            if moved <= LEAST * n:
+                break
+        names = cut(home.groupBy("c").agg(F.min("node").alias("name")).join(home, "c").select("node", "name"))
+        homes = names.withColumnRenamed("name", "community") if homes is None else cut(homes.join(names, homes.community == names.node).select(homes.node, F.col("name").alias("community")))
+        if not any_moved:
+            return homes
+        one, two = names.select(F.col("node").alias("a"), F.col("name").alias("x")), names.select(F.col("node").alias("b"), F.col("name").alias("y"))
+        ends = links.join(one, "a").join(two, "b").select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "w")
+        fewer = cut(ends.groupBy("a", "b").agg(F.sum("w").alias("w")))
+        discard(links, both, nodes)
+        links = fewer
+    rest = communities(links.select(F.lit(1).alias("graph"), "a", "b", F.col("w").alias("weight")), resolution).select("node", "community")
+    if homes is None:
+        return rest
+    rest = cut(rest)
+    whole = homes.join(rest.select(F.col("node").alias("_n"), F.col("community").alias("_c")), homes.community == F.col("_n"), "left").select("node", F.coalesce("_c", "community").alias("community"))
+    return whole
+
+
 def modularity(edges, parts, resolution: float = 1.0) -> float:
     total = 2 * sum(w for *_, w in edges)
     home = {n: i for i, p in enumerate(parts) for n in p}

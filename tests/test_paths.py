@@ -294,6 +294,27 @@ def test_louvain_is_deterministic_and_beats_trivial_parts():
             assert louvain.modularity(edges, parts) >= louvain.modularity(edges, other) - 1e-9
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_a_large_graph_in_rounds(spark, monkeypatch, seed):
+    """Moving by classes and contraction come within a hundredth of the modularity of the search in one task, the same each time."""
+    rng = random.Random(seed)
+    n, parts = 120, 8
+    edges = sorted({(a, b) for a, b in combinations(range(n), 2) if rng.random() < (0.45 if a % parts == b % parts else 0.02)})
+    df = spark.createDataFrame([(a, b, 1.0) for a, b in edges], "a long, b long, weight double")
+    monkeypatch.setattr(louvain, "LOCAL", 60)
+    runs = []
+    for rows in (df, df.orderBy("b").repartition(3)):
+        runs.append({r.node: r.community for r in louvain.large_communities(rows).collect()})
+    assert runs[0] == runs[1]
+    found = {}
+    for node, c in runs[0].items():
+        found.setdefault(c, set()).add(node)
+    assert all(c == min(p) for c, p in found.items()) and set(runs[0]) == {x for e in edges for x in e}
+    weighted = [(a, b, 1.0) for a, b in edges]
+    best = louvain.modularity(weighted, louvain.louvain(weighted))
+    assert louvain.modularity(weighted, list(found.values())) >= best - 0.01 * abs(best)
+
+
 def test_overlap(spark):
     rows = [("s1", x) for x in "abcd"] + [("s2", x) for x in "bcd"] + [("s3", x) for x in "d"] + [("s2", "b"), ("s4", None)]
     members = spark.createDataFrame(rows, "seed string, item string")
