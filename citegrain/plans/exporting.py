@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources import copies, exports, landed, sinks
+from ..sources import copies, export_source, exports, landed, sinks
+from ..tables import new_path
 from .star import CITES, citations, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -61,16 +62,32 @@ def export_csv(spark, d):
     return _read(_parts(spark, d), "p_partkey", ".csv", F.concat_ws(",", *[quoted(x) for x in fields]), "﻿" + head)
 
 
-@query(f"""SELECT CASE WHEN p_size > 25 THEN p_partkey::VARCHAR END AS scopus_id, NULL::VARCHAR AS wos_id, '10.1/p' || p_partkey AS doi, {_COMMON}, 'One, A.;' || p_brand AS authors, p_type AS source, p_brand || ';' || p_type AS author_keywords,
-'' AS index_keywords, p_comment AS abstract, 'ris' AS format FROM (SELECT *, p_name || '!' AS p_comment FROM part)""")
-def export_ris(spark, d):
-    """Parts as tagged records; some have their id in a link, and the first of two titles counts."""
+_RIS = f"""SELECT CASE WHEN p_size > 25 THEN p_partkey::VARCHAR END AS scopus_id, NULL::VARCHAR AS wos_id, '10.1/p' || p_partkey AS doi, {_COMMON}, 'One, A.;' || p_brand AS authors, p_type AS source, p_brand || ';' || p_type AS author_keywords,
+'' AS index_keywords, p_comment AS abstract, 'ris' AS format FROM (SELECT *, p_name || '!' AS p_comment FROM part)"""
+
+
+def _ris() -> Column:
     link = F.concat(F.when(F.col("p_size") > 25, F.lit("https://x/?eid=2-s2.0-")).otherwise(F.lit("https://x/")), _s("p_partkey"))
-    entry = _tagged(
+    return _tagged(
         ("TY", F.lit("JOUR")), ("TI", F.col("p_name")), ("TI", F.lit("no title")), ("AU", F.lit("One, A.")), ("A1", F.col("maker")), ("PY", F.concat(F.col("year"), F.lit("/05/06"))), ("JO", F.col("p_type")),
         ("DO", F.concat(F.lit("10.1/P"), _s("p_partkey"))), ("KW", F.col("p_brand")), ("KW", F.col("p_type")), ("N2", F.concat("p_name", F.lit("!"))), ("UR", link), ("ER", F.lit("")), joint="  - ",
     )
-    return _read(_parts(spark, d), "p_partkey", ".txt", entry)
+
+
+@query(_RIS)
+def export_ris(spark, d):
+    """Parts as tagged records; some have their id in a link, and the first of two titles counts."""
+    return _read(_parts(spark, d), "p_partkey", ".txt", _ris())
+
+
+@query(_RIS)
+def export_split(spark, d):
+    """The same records, written as files and read by the data source, each file in ranges of 16 KB."""
+    path = new_path(spark)
+    _parts(spark, d).select(_ris().alias("value")).write.text(path)
+    found = export_source.read(spark, path, 16_384)
+    listed = lambda c: F.array_join(c, ";").alias(c)
+    return found.select("scopus_id", "wos_id", "doi", "title", "year", listed("authors"), "source", listed("author_keywords"), listed("index_keywords"), "abstract", "format")
 
 
 @query(f"""SELECT NULL::VARCHAR AS scopus_id, NULL::VARCHAR AS wos_id, CASE WHEN p_size > 25 THEN '10.1/p' || p_partkey END AS doi, {_COMMON}, 'One, A.;' || p_brand AS authors, p_type AS source, p_brand || ';' || p_type AS author_keywords,

@@ -24,12 +24,13 @@ RAW = "format string, ids array<string>, wos string, doi string, title string, y
 
 
 def decode(raw: bytes) -> str:
-    for name in ("utf-8-sig", "utf-16", "latin-1"):
+    """The text in UTF-16 if it has that mark, else in UTF-8, else in Latin-1."""
+    for name in ("utf-16",) if raw[:2] in (b"\xff\xfe", b"\xfe\xff") else ("utf-8-sig", "latin-1"):
         try:
             return raw.decode(name)
         except UnicodeDecodeError:
             continue
-    raise AssertionError("latin-1 reads anything")
+    return raw.decode("latin-1")
 
 
 def sniff(text: str, suffix: str) -> str:
@@ -54,15 +55,16 @@ def _row(fmt: str, **fields) -> tuple:
     return tuple({"format": fmt, **fields}.get(n) for n in names)
 
 
-def _table(text: str, **options):
+def _table(text, **options):
+    """Rows of a text, or of a stream of one."""
     import csv
     import io
 
-    for row in csv.DictReader(io.StringIO(text.lstrip("﻿")), **options):
+    for row in csv.DictReader(io.StringIO(text.lstrip("﻿")) if isinstance(text, str) else text, **options):
         yield {(k or "").strip(): v for k, v in row.items() if k is not None}
 
 
-def from_csv(text: str):
+def from_csv(text):
     for r in _table(text):
         names = re.split(r";|,(?= [A-Z])", r.get("Authors") or "")
         yield _row("scopus_csv", ids=[r.get("EID"), r.get("Link")], doi=r.get("DOI"), title=r.get("Title"), year=r.get("Year"), authors=names, source=r.get("Source title"), author_keywords=r.get("Author Keywords"), index_keywords=r.get("Index Keywords"), abstract=r.get("Abstract"))
