@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.terms import agreement_words, normal_label
+from ..sources import sinks
 
 
 def _coded(sheet: DataFrame, a: str, b: str) -> DataFrame:
@@ -122,6 +123,37 @@ def cross_check(external: DataFrame, confirmed: DataFrame, seeds: DataFrame, ind
     return out.select("key", status.alias("status"))
 
 
+#: The groups of a cross-check in the order of a report, with their titles; those of which a few are shown.
+GROUPS = (
+    ("cites_seed_but_missed", "In the index and citing a seed there, but not found"),
+    ("not_returned_by_search", "In the index, not found, no seed among its references there"),
+    ("found_but_seed_not_in_refs", "Found, no seed among its references in the index"),
+    ("found_but_unconfirmed", "Found and citing a seed, not confirmed"),
+    ("not_in_index", "Not in the index"),
+)
+BRIEF, SHOWN = ("not_in_index",), 6
+
+
+def grouped_report(checked: DataFrame, groups: tuple = GROUPS, brief: tuple = BRIEF, shown: int = SHOWN) -> DataFrame:
+    """place (of the group, from 1), status, title, n, item (from 1, by key), key, more: the rows of a report group by group.
+
+    checked: key, status. Groups come in the given order, empty ones not at all; of brief groups the first few are shown, and
+    more says how many are not. Other statuses are left out.
+    """
+    names = checked.sparkSession.createDataFrame([(i + 1, s, t, s in brief) for i, (s, t) in enumerate(groups)], "place int, status string, title string, brief boolean")
+    own = checked.join(F.broadcast(names), "status")
+    sizes = own.groupBy("status").agg(F.count(F.lit(1)).alias("n"))
+    item = F.row_number().over(W.partitionBy("status").orderBy("key"))
+    short = own.where("brief").withColumn("item", item).where(F.col("item") <= shown)
+    # the others are listed whole: an item's number is its place among those of its group, sorted by range
+    whole = sinks.numbered(own.where("not brief"), ["place", "key"])
+    starts = whole.groupBy("status").agg(F.min("index").alias("_first"))
+    whole = whole.join(F.broadcast(starts), "status").withColumn("item", F.col("index") - F.col("_first") + 1).drop("index", "_first")
+    listed = short.withColumn("item", F.col("item").cast("long")).unionByName(whole)
+    more = F.when(F.col("brief"), F.greatest(F.lit(0), F.col("n") - shown)).otherwise(0).cast("long")
+    return listed.join(F.broadcast(sizes), "status").select("place", "status", "title", "n", "item", "key", more.alias("more"))
+
+
 def deduplicated(records: DataFrame) -> DataFrame:
     """Records of which none shares an identifier or a title and year with another, merged over chains of shared keys.
 

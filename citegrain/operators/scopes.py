@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -114,11 +116,8 @@ def matching_references(refs: DataFrame, ids: list[str]) -> DataFrame:
         if v:
             tail = v.rsplit("/", 1)[-1] if "openalex.org" in v.lower() else v
             keys.add(v.lower() if v.startswith("10.") else re.sub(r"(?i)^(scopus_id:|2-s2\.0-)", "", tail).lower())
-    wanted = refs.sparkSession.createDataFrame([(k,) for k in sorted(keys)], "k string")
-    hit = (F.lower("ref_scopus_id") == F.col("k")) | (F.lower("ref_doi") == F.col("k"))
-    if "ref_openalex_id" in refs.columns:
-        hit = hit | (F.lower("ref_openalex_id") == F.col("k"))
-    return refs.join(F.broadcast(wanted), hit, "left_semi")
+    names = ["ref_scopus_id", "ref_doi", *(["ref_openalex_id"] if "ref_openalex_id" in refs.columns else [])]
+    return refs.where(reduce(or_, [F.coalesce(F.lower(c).isin(sorted(keys)), F.lit(False)) for c in names]))
 
 
 def request(hits: DataFrame, journal: str | None = None, first: int = 1823, last: int = 2100, open_only: bool = False, offset: int = 0, show: int = 25, order: str = "date") -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..tables import cut
 from .louvain import communities
 
 
@@ -56,7 +57,7 @@ def themes(docs: DataFrame, vocab: DataFrame, pairs: DataFrame, member: DataFram
     at or above the upper median of the period.
     """
     m1, m2 = member.select("period", F.col("term").alias("a"), F.col("cluster").alias("ca")), member.select("period", F.col("term").alias("b"), F.col("cluster").alias("cb"))
-    tied = pairs.join(m1, ["period", "a"]).join(m2, ["period", "b"])
+    tied = cut(pairs.join(m1, ["period", "a"]).join(m2, ["period", "b"]))
     within = tied.where("ca = cb").groupBy("period", F.col("ca").alias("cluster")).agg(F.avg("weight").alias("mean"))
     ends = F.explode(F.array("ca", "cb")).alias("cluster")
     across = tied.where("ca <> cb").select("period", "weight", ends).groupBy("period", "cluster").agg(F.sum("weight").alias("out"))

@@ -76,13 +76,13 @@ def reference_counts_by_source(spark, d):
 _KINDS = {"1-URGENT": "retraction", "2-HIGH": "expression_of_concern", "3-MEDIUM": "correction"}
 
 
-@query("""WITH n AS (SELECT o_custkey AS c, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END AS w, o_orderkey AS k, o_orderdate AS d FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM') AND o_orderstatus = 'P'),
+@query("""WITH n AS (SELECT o_custkey AS c, CASE o_orderpriority WHEN '1-URGENT' THEN 3 WHEN '2-HIGH' THEN 2 ELSE 1 END AS w, o_orderkey AS k, o_orderdate AS d FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '3-MEDIUM')),
 g AS (SELECT c, max(w) AS w, max(strftime(d, '%Y-%m-%d') || lpad(k::VARCHAR, 12, '0')) AS m FROM n GROUP BY c)
 SELECT c_custkey::VARCHAR AS doi, CASE WHEN c_custkey % 10 = 9 THEN 'unknown' WHEN w = 3 THEN 'retracted' WHEN w = 2 THEN 'concern' WHEN w = 1 THEN 'corrected' ELSE 'ok' END AS status, m AS latest FROM customer LEFT JOIN g ON c = c_custkey""")
 def retraction_status(spark, d):
     kind = F.element_at(F.create_map(*[F.lit(x) for kv in _KINDS.items() for x in kv]), F.col("o_orderpriority"))
     day = F.concat(F.date_format("o_orderdate", "yyyy-MM-dd"), F.lpad(F.col("o_orderkey").cast("string"), 12, "0"))
-    own = table(spark, d, "orders").where("o_orderstatus = 'P'").select(F.col("o_custkey").cast("string").alias("doi"), kind.alias("type"), day.alias("label"), day.alias("date")).where("type is not null")
+    own = table(spark, d, "orders").select(F.col("o_custkey").cast("string").alias("doi"), kind.alias("type"), day.alias("label"), day.alias("date")).where("type is not null")
     checked = table(spark, d, "customer").select(F.col("c_custkey").cast("string").alias("doi"), (F.col("c_custkey") % 10 != 9).alias("ok"))
     return audit.retraction_status(checked, own)
 
@@ -128,22 +128,37 @@ def strategy_table(spark, d):
     return audit.strategy_table(*_citers(spark, d))
 
 
-@query("""WITH h AS (SELECT DISTINCT CASE p_brand WHEN 'Brand#1' THEN 'one' WHEN 'Brand#2' THEN 'two' ELSE 'three' END AS i, l_orderkey AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_brand IN ('Brand#1', 'Brand#2', 'Brand#3')),
+@query(r"""WITH h AS (SELECT DISTINCT 'index ' || (regexp_extract(p_brand, '\d+')::INT % 3) AS i, l_orderkey AS k FROM lineitem JOIN part ON l_partkey = p_partkey),
 r AS (SELECT k, array_to_string(list_sort(list(i)), '+') AS region FROM h GROUP BY k) SELECT region, count(*) AS n FROM r GROUP BY region""")
 def index_overlap_regions(spark, d):
+    """Orders as works: a third of the brands is covered by each of three indexes."""
     lines, part = table(spark, d, "lineitem"), table(spark, d, "part")
-    name = F.when(F.col("p_brand") == "Brand#1", "one").when(F.col("p_brand") == "Brand#2", "two").otherwise("three")
-    hits = lines.join(part.where(F.col("p_brand").isin("Brand#1", "Brand#2", "Brand#3")), lines.l_partkey == part.p_partkey)
+    name = F.concat(F.lit("index "), (F.regexp_extract("p_brand", r"\d+", 0).cast("int") % 3).cast("string"))
+    hits = lines.join(part, lines.l_partkey == part.p_partkey)
     return networks.regions(hits.select(name.alias("index_name"), F.col("l_orderkey").alias("key")))
 
 
-@query("""WITH e AS (SELECT o_orderkey AS k FROM orders WHERE o_custkey % 4 = 0 AND o_orderkey % 5 <> 0 AND o_orderkey > 100)
-SELECT k AS key, CASE WHEN k % 3 = 0 THEN 'not_in_index' WHEN k IN (SELECT l_orderkey FROM lineitem WHERE l_partkey <= 200) AND k % 2 = 1 THEN 'cites_seed_but_missed'
-WHEN k IN (SELECT l_orderkey FROM lineitem WHERE l_partkey <= 200) THEN 'found_but_unconfirmed' WHEN k % 2 = 0 THEN 'found_but_seed_not_in_refs' ELSE 'not_returned_by_search' END AS status FROM e""")
+_CHECKED = """WITH c AS (SELECT DISTINCT l_orderkey AS k FROM lineitem JOIN part ON l_partkey = p_partkey WHERE p_type = 'ECONOMY'),
+x AS (SELECT o_orderkey AS key, CASE WHEN o_orderpriority = '5-LOW' THEN 'not_in_index' WHEN o_orderkey IN (SELECT k FROM c) AND o_orderstatus <> 'F' THEN 'cites_seed_but_missed'
+WHEN o_orderkey IN (SELECT k FROM c) THEN 'found_but_unconfirmed' WHEN o_orderstatus = 'F' THEN 'found_but_seed_not_in_refs' ELSE 'not_returned_by_search' END AS status FROM orders WHERE o_orderpriority <> '1-URGENT' AND o_orderstatus <> 'P') """
+
+
+@query(_CHECKED + "SELECT * FROM x")
 def cross_check(spark, d):
-    keys = table(spark, d, "orders").select(F.col("o_orderkey").alias("key"), "o_custkey")
-    citing = table(spark, d, "lineitem").where("l_partkey <= 200").select(F.col("l_orderkey").alias("key"))
-    return audit.cross_check(keys.where("o_custkey % 4 = 0"), keys.where("key % 5 = 0"), keys.where("key <= 100"), keys.where("key % 3 <> 0"), citing, keys.where("key % 2 = 0"))
+    """All orders as citers elsewhere; urgent ones are confirmed, part-shipped ones are seeds, low ones not indexed, finished ones found."""
+    orders, part = table(spark, d, "orders").withColumn("key", F.col("o_orderkey")), table(spark, d, "part").where("p_type = 'ECONOMY'")
+    citing = table(spark, d, "lineitem").join(part, F.col("l_partkey") == F.col("p_partkey")).select(F.col("l_orderkey").alias("key"))
+    of = lambda c: orders.where(c).select("key")
+    return audit.cross_check(orders, of("o_orderpriority = '1-URGENT'"), of("o_orderstatus = 'P'"), of("o_orderpriority <> '5-LOW'"), citing, of("o_orderstatus = 'F'"))
+
+
+_GROUPS = ", ".join(f"({i + 1}, '{s}', '{t}', {str(s in audit.BRIEF).lower()})" for i, (s, t) in enumerate(audit.GROUPS))
+
+
+@query(_CHECKED + f""", g(place, status, title, brief) AS (VALUES {_GROUPS}), r AS (SELECT g.*, key, row_number() OVER (PARTITION BY status ORDER BY key) AS item, count(*) OVER (PARTITION BY status) AS n FROM x JOIN g USING (status))
+SELECT place, status, title, n, item, key, CASE WHEN brief THEN greatest(0, n - {audit.SHOWN}) ELSE 0 END::BIGINT AS more FROM r WHERE NOT brief OR item <= {audit.SHOWN}""")
+def cross_check_report(spark, d):
+    return audit.grouped_report(cross_check(spark, d))
 
 
 def _ranks(spark, d):

@@ -194,7 +194,12 @@ def key_routes_global(spark, d):
     return paths.key_routes(citations(spark, d), 10, "global", order=order_days(spark, d))
 
 
-@query()
+_THREE = " UNION ALL ".join(f"SELECT '{k}' AS k, path FROM ({_global(k)} SELECT path FROM m)" for k in ("spc", "splc", "spnp"))
+
+
+@query(f"""WITH p AS MATERIALIZED ({_THREE}), x AS (SELECT a.k AS a, b.k AS b, a.path AS x, b.path AS y FROM p a JOIN p b ON (a.k, b.k) IN (('spc', 'splc'), ('spc', 'spnp'), ('splc', 'spnp'))),
+n AS (SELECT node, count(*) AS n FROM (SELECT k, unnest(path) AS node FROM p) GROUP BY node)
+SELECT a, b, round(len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y))), 2) AS jaccard, (SELECT count(*) FROM n WHERE n = 3)::INT AS core, (SELECT count(*) FROM n)::INT AS n_union FROM x""")
 def main_path_robustness(spark, d):
     return paths.robustness(citations(spark, d), order_days(spark, d))
 
@@ -292,7 +297,7 @@ def _pajek(spark, d):
     edges = citations(spark, d)
     nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
     label = table(spark, d, "orders").select(F.col("o_orderkey").alias("node"), F.concat(F.lit('"'), F.col("o_orderpriority"), F.lit('"')).alias("label"))
-    return sinks.vertices(nodes.join(label, "node")), edges.withColumn("weight", F.lit(None).cast("string"))
+    return sinks.vertices(nodes.join(label, "node")).withColumn("index", F.col("index").cast("int")), edges.withColumn("weight", F.lit(None).cast("string"))
 
 
 _VERTICES = f"""WITH e AS ({CITES}), v AS (SELECT row_number() OVER (ORDER BY node)::INT AS index, node, '''' || o_orderpriority || '''' AS label

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions import identity
 from ..operators import networks, paths, scopes
-from ..sources import landed
+from ..sources import landed, sinks
 from .star import CITES, citations, table
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -121,10 +122,10 @@ def journal_metrics(spark, d):
     return found.select("source_id", "title", "issn", F.col("sjr.year").alias("sjr_year"), F.col("sjr.value").alias("sjr"), F.col("snip.year").alias("snip_year"), F.col("snip.value").alias("snip"))
 
 
-@query("""SELECT '10.3000/c' || o_custkey AS doi, CASE WHEN o_orderstatus = 'F' THEN 'retraction' ELSE 'correction' END AS type, o_orderpriority AS label, year(o_orderdate) || '-' || month(o_orderdate) AS date, '10.4000/n' || o_orderkey AS notice_doi FROM orders WHERE o_orderstatus <> 'O'""")
+@query("""SELECT '10.3000/c' || o_custkey AS doi, CASE WHEN o_orderstatus = 'F' THEN 'retraction' ELSE 'correction' END AS type, o_orderpriority AS label, year(o_orderdate) || '-' || month(o_orderdate) AS date, '10.4000/n' || o_orderkey AS notice_doi FROM orders""")
 def update_notices(spark, d):
     """Orders as notices on their customers, dates in parts."""
-    orders = table(spark, d, "orders").where("o_orderstatus <> 'O'")
+    orders = table(spark, d, "orders")
     parts = F.array(F.array(F.year("o_orderdate"), F.month("o_orderdate")))
     update = F.struct(F.concat(F.lit("10.3000/C"), F.col("o_custkey").cast("string")).alias("DOI"), F.when(F.col("o_orderstatus") == "F", "Retraction").otherwise("Correction").alias("type"), F.col("o_orderpriority").alias("label"), _named("date-parts", parts).alias("updated"))
     entry = F.struct(F.concat(F.lit("10.4000/N"), F.col("o_orderkey").cast("string")).alias("DOI"), F.array(update).alias("update-to"))
@@ -232,3 +233,49 @@ def journals_in_scope(spark, d):
     """Customers by ISSN, the scope given as a string of ISSNs of either form."""
     c = table(spark, d, "customer").withColumn("issn", F.concat(F.lpad((F.col("c_custkey") * 7919 % 10_000_000).cast("string"), 7, "0"), F.lit("5")))
     return scopes.in_scope(c, "0007-9195, 00158385;0023-7575", "issn").select("c_custkey", "c_name")
+
+
+#: Entries of a page, and those that are asked for.
+_SIZE, _MOST = 25, 100
+
+
+@query(f"""WITH e AS (SELECT l_suppkey AS query, (row_number() OVER w - 1) // {_SIZE} AS page, row_number() OVER w AS pos, l_partkey AS key FROM lineitem WINDOW w AS (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_partkey)),
+f AS (SELECT *, row_number() OVER (PARTITION BY query, key ORDER BY page, pos) = 1 AS new FROM e),
+p AS (SELECT query, page, count(*) AS n, count(*) FILTER (new) AS added FROM f GROUP BY ALL),
+b AS (SELECT *, coalesce(sum(added) OVER (PARTITION BY query ORDER BY page ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(n) OVER (PARTITION BY query) AS total FROM p),
+w AS (SELECT *, CASE WHEN before + added >= {_MOST} THEN 'enough' WHEN n < {_SIZE} THEN 'short' WHEN added = 0 THEN 'nothing new' WHEN query % 5 = 0 AND page = 3 THEN 'stuck' END AS why FROM b),
+s AS (SELECT query AS q, coalesce(min(page) FILTER (why IS NOT NULL), max(page)) AS last FROM w GROUP BY query)
+SELECT query, count(*) AS pages, least(sum(added), {_MOST})::BIGINT AS fetched, coalesce(max(why), 'end') AS stopped, max(total)::BIGINT AS total, max(total) > least(sum(added), {_MOST}) AS truncated FROM w JOIN s ON q = query WHERE page <= last GROUP BY query""")
+def paged_results(spark, d):
+    """Suppliers as queries, their lines as entries on pages; parts come up again, and some cursors stay where they are."""
+    number = F.row_number().over(W.partitionBy("l_suppkey").orderBy("l_orderkey", "l_linenumber", "l_partkey")) - 1
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("query"), number.alias("pos"), F.col("l_partkey").alias("key"))
+    entries = lines.withColumn("page", F.floor(F.col("pos") / _SIZE).cast("long"))
+    sizes = entries.groupBy("query").agg(F.count(F.lit(1)).alias("total"), F.max("page").alias("_l"))
+    pages = sizes.select("query", "total", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_l"))).alias("page"))
+    cursor = lambda c: F.concat(F.lit("c"), c.cast("string"))
+    stays = (F.col("query") % 5 == 0) & (F.col("page") == 3)
+    pages = pages.withColumns({"cursor": cursor(F.col("page")), "next": cursor(F.when(stays, F.col("page")).otherwise(F.col("page") + 1))})
+    return landed.paged(pages, entries, _SIZE, _MOST)[1]
+
+
+@query("""SELECT l_orderkey AS order_key, (count(*) + l_orderkey % 3)::INT AS reported, count(*)::INT AS retrieved, (l_orderkey % 3)::INT AS unservable, l_orderkey % 3 = 1 AS phantom FROM lineitem GROUP BY l_orderkey""")
+def reference_totals(spark, d):
+    """Orders as papers whose lists are stated to be up to two references longer than they are."""
+    lines = table(spark, d, "lineitem").withColumn("order_key", F.col("l_orderkey"))
+    entry = F.struct(F.col("l_partkey").cast("string").alias("scopus-id"))
+    extra = F.col("order_key") % 3
+    wrap = lambda es: _named("abstracts-retrieval-response", _named("references", F.struct((F.size(es) + extra).cast("string").alias("@total-references"), es.alias("reference"))))
+    return landed.reference_totals(_answers(lines, "order_key", "l_linenumber", entry, wrap), "order_key")
+
+
+@query("""SELECT row_number() OVER (ORDER BY c_custkey) AS place, '{"scopus_id":"' || lpad(c_custkey::VARCHAR, 12, '0') || '"' || CASE WHEN c_custkey % 3 = 0 THEN '' ELSE ',"doi":"10.1/c' || c_custkey || '"' END || ',"year":"' || (1950 + c_custkey % 70) || '"'
+|| CASE WHEN c_custkey % 2 = 0 THEN '' ELSE ',"creator":"' || c_mktsegment || '"' END || ',"title":"' || c_name || '","cited_by_count":' || (c_custkey % 50) || '}' AS line FROM customer""")
+def compact_results(spark, d):
+    """Customers as records in the short form, by id."""
+    k = F.col("c_custkey")
+    records = table(spark, d, "customer").select(
+        _text("c_custkey", 12).alias("scopus_id"), F.when(k % 3 != 0, F.concat(F.lit("10.1/c"), k.cast("string"))).alias("doi"), F.concat((1950 + k % 70).cast("string"), F.lit("-05-06")).alias("cover_date"),
+        F.when(k % 2 == 0, " ").otherwise(F.col("c_mktsegment")).alias("creator"), F.col("c_name").alias("title"), (k % 50).alias("cited_by_count"), F.lit("not shown").alias("publisher"),
+    )
+    return sinks.result_lines(records, ["scopus_id"], "compact")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.identity import bare_doi, blank_to_null, compact_issn, short_id, to_provider_id, year_of
-from ..functions.terms import normal_title, quartile, venue_type
+from ..functions.terms import normal_title, venue_type
 
 
 def responses(spark: SparkSession, path: str) -> DataFrame:
@@ -52,12 +52,44 @@ def search_results(docs: DataFrame, v: str = "json") -> DataFrame:
     return e.select("pos", to_provider_id(get("dc:identifier")).alias("scopus_id"), get("eid").alias("eid"), bare_doi(get("prism:doi")).alias("doi"), get("dc:title").alias("title"), get("dc:creator").alias("creator"), get("prism:publicationName").alias("venue"), issn.alias("issn"), get("source-id").alias("source_id"), get("prism:coverDate").alias("cover_date"), year_of(get("prism:coverDate")).alias("year"), venue_type(get("prism:aggregationType")).alias("venue_type"), F.coalesce(get("citedby-count").try_cast("long"), F.lit(0)).alias("cited_by_count"))
 
 
-def paged(results: DataFrame, key: str, order: list, most: int) -> tuple[DataFrame, DataFrame]:
-    """(the first ``most`` distinct rows in the order, a row with total_available, total_fetched, truncated)."""
-    own = results.where(F.col(key).isNotNull()).dropDuplicates([key])
-    kept = own.orderBy(*order, key).limit(most)
-    n = own.agg(F.count(F.lit(1)).alias("total_available")).withColumn("total_fetched", F.least("total_available", F.lit(most)))
-    return kept, n.withColumn("truncated", F.col("total_available") > F.col("total_fetched"))
+def paged(pages: DataFrame, entries: DataFrame, size: int, most: int) -> tuple[DataFrame, DataFrame]:
+    """(the entries that paging takes, with place; query, pages, fetched, stopped: how far each query was read and why).
+
+    pages: query, page (from 0), cursor, next, total; entries: query, page, pos, key and more. Pages are read in order, up to
+    the first that is empty, holds fewer than ``size`` entries, brings no new key or has a next cursor that is null or its
+    own (empty, short, nothing new, stuck), until ``most`` entries are there (enough), or to the last one landed (end). An
+    entry counts at its first place; null keys are one key.
+    """
+    of, at = ["query", "page"], F.struct("page", "pos")
+    first = entries.groupBy("query", "key").agg(F.min(at).alias("_f"))
+    same = F.col("x.query").eqNullSafe(F.col("y.query")) & F.col("x.key").eqNullSafe(F.col("y.key"))
+    marked = entries.alias("x").join(first.alias("y"), same).select("x.*", (F.struct("x.page", "x.pos") == F.col("y._f")).alias("_new"))
+    per = marked.groupBy(*of).agg(F.count(F.lit(1)).alias("_n"), F.count(F.when(F.col("_new"), 1)).alias("_added"))
+    read = pages.join(per, of, "left").withColumns({c: F.coalesce(c, F.lit(0)) for c in ("_n", "_added")})
+    before = F.coalesce(F.sum("_added").over(W.partitionBy("query").orderBy("page").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    read = read.withColumn("_before", before)
+    stuck = F.col("next").isNull() | F.col("next").eqNullSafe(F.col("cursor"))
+    why = F.when(F.col("_n") == 0, "empty").when(F.col("_before") + F.col("_added") >= most, "enough").when(F.col("_n") < size, "short").when(F.col("_added") == 0, "nothing new").when(stuck, "stuck")
+    read = read.withColumn("_why", why)
+    stop = read.groupBy("query").agg(F.min(F.when(F.col("_why").isNotNull(), F.struct("page", "_why"))).alias("_s"), F.max("page").alias("_l"))
+    stop = stop.select("query", F.coalesce("_s.page", "_l").alias("_last"), F.coalesce("_s._why", F.lit("end")).alias("stopped"))
+    kept = read.join(stop, "query").where(F.col("page") <= F.col("_last"))
+    report = kept.groupBy("query", "stopped").agg(F.count(F.lit(1)).alias("pages"), F.least(F.sum("_added"), F.lit(most)).alias("fetched"), F.max("total").alias("total"))
+    report = report.select("query", "pages", "fetched", "stopped", "total", (F.col("total") > F.col("fetched")).alias("truncated"))
+    within = F.row_number().over(W.partitionBy(*of).orderBy("pos"))
+    taken = marked.where("_new").join(kept.select(*of, "_before"), of).withColumn("place", F.col("_before") + within).where(F.col("place") <= most)
+    return taken.drop("_new", "_before"), report
+
+
+def reference_totals(docs: DataFrame, citing: str, v: str = "json") -> DataFrame:
+    """citing, reported (the length that the response states), retrieved, unservable: how many are stated and not there.
+
+    A list that is one short is whole but for its last entry, which this view never gives: phantom.
+    """
+    block = "['abstracts-retrieval-response'].references"
+    got = F.size(_list_of(v, f"{block}.reference"))
+    own = docs.select(citing, scalar(v, f"{block}['@total-references']").try_cast("int").alias("reported"), got.alias("retrieved"))
+    return own.withColumns({"unservable": F.greatest(F.lit(0), F.coalesce(F.col("reported"), F.lit(0)) - F.col("retrieved")), "phantom": F.coalesce(F.col("reported") - F.col("retrieved") == 1, F.lit(False))})
 
 
 def references(docs: DataFrame, citing: str, v: str = "json", limit: int | None = None) -> DataFrame:
@@ -152,10 +184,6 @@ def read_sheet(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.option("header", True).option("sep", sep).option("multiLine", True).option("escape", '"').csv(path)
 
 
-def best_quartile(ranks: Column) -> Column:
-    return quartile(F.array_max(ranks))
-
-
 def _list_of(v: str, path: str) -> Column:
     """The elements of a list as variants, or the one object."""
     one, many = (F.try_variant_get(F.col(v), _path(path), kind) for kind in ("variant", "array<variant>"))

@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from ..tables import cut
+
 #: Columns of the CSV of records.
 COLUMNS = ("scopus_id", "doi", "title", "creator", "venue", "issn", "cover_date", "year", "venue_type", "cited_by_count", "source_id")
 INLINE = 50
@@ -52,13 +54,46 @@ def page(df: DataFrame, order: list, number: int, size: int = 50) -> DataFrame:
     return df.orderBy(*order).offset((min(max(1, number), pages) - 1) * size).limit(size)
 
 
-def edge_table(edges: DataFrame) -> DataFrame:
-    return edges.select("source", "target", "weight", "cosine")
+#: The fields of a record's short form.
+SHORT = ("scopus_id", "openalex_id", "doi", "year", "creator", "title", "publication_name", "issn", "cited_by_count")
+
+
+def result_lines(records: DataFrame, order: list, inline: str = "sample", most: int = 10) -> DataFrame:
+    """place, line: records as JSON in the order, as they are shown beside a table that goes to a file (goes_to_file).
+
+    inline: sample (all fields of the first ``most``), compact (the short form of all, the year from cover_date where it is
+    missing) or full (all fields of all); anything else: ValueError. Nulls and blanks are left out.
+    """
+    if inline not in ("sample", "compact", "full"):
+        raise ValueError("inline must be sample, compact or full")
+    if inline == "compact":
+        has = set(records.columns)
+        if "cover_date" in has:
+            dated = F.substring(F.col("cover_date").cast("string"), 1, 4)
+            year = F.coalesce(F.col("year").cast("string"), dated) if "year" in has else dated
+            records, has = records.withColumn("year", year), has | {"year"}
+        shown = [c for c in SHORT if c in has]
+    else:
+        shown = records.columns
+        records = records.orderBy(*order).limit(most) if inline == "sample" else records
+    numbered_rows = numbered(records, order).withColumnRenamed("index", "_place")
+    kinds = dict(numbered_rows.dtypes)
+    fields = [F.when(F.trim(F.col(c)) != "", F.col(c)).alias(c) if kinds[c] == "string" else F.col(c) for c in shown]
+    return numbered_rows.select(F.col("_place").alias("place"), F.to_json(F.struct(*fields), {"ignoreNullFields": "true"}).alias("line"))
+
+
+def numbered(rows: DataFrame, order: list) -> DataFrame:
+    """rows with index, from 1 in the order: rows are sorted by range, and a row's index is its place within its range after the sizes of those before."""
+    part, place = F.spark_partition_id(), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    sorted_rows = cut(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumns({"_part": part, "_place": place}))
+    sizes = sorted_rows.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # a row for each partition
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    return sorted_rows.join(F.broadcast(before), "_part").withColumn("index", F.col("_before") + F.col("_place") + 1).drop("_part", "_place", "_before")
 
 
 def vertices(nodes: DataFrame) -> DataFrame:
     """index (from 1, by id), node, label with double quotes made single."""
-    return nodes.select(F.row_number().over(W.orderBy("node")).alias("index"), "node", F.replace(F.coalesce("label", F.col("node").cast("string")), F.lit('"'), F.lit("'")).alias("label"))
+    return numbered(nodes, ["node"]).select("index", "node", F.replace(F.coalesce("label", F.col("node").cast("string")), F.lit('"'), F.lit("'")).alias("label"))
 
 
 def arcs(index: DataFrame, edges: DataFrame) -> DataFrame:

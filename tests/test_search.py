@@ -7,7 +7,8 @@ from itertools import product
 import pytest
 from pyspark.sql import functions as F
 
-from citegrain.operators import fulltext, mentions, titles
+from citegrain.operators import audit, fulltext, mentions, titles
+from citegrain.sources import landed, sinks
 
 
 def made_titles(seed=7):
@@ -81,3 +82,55 @@ def test_search_orders_and_cuts(spark):
     shown, total = fulltext.search(docs, fulltext.index(docs), '"dance language"', 2)
     assert [(r.place, r.doc_id, r.hits) for r in sorted(shown.collect())] == [(1, 1, 3), (2, 3, 2)] and total.first().total == 4
     assert fulltext.search(docs.where("false"), fulltext.index(docs.where("false")), "dance")[0].collect() == []
+
+
+def test_pages_stop(spark):
+    """A page that is empty, short, without anything new or with a stuck cursor ends a query; keys count where they are first."""
+    full = {
+        "enough": [["a", "b"], ["c", "d"], ["e", "f"], ["g", "h"]],
+        "short": [["a", "b"], ["c"], ["x", "y"]],
+        "empty": [["a", "b"], [], ["x", "y"]],
+        "nothing new": [["a", "b"], ["b", "a"], ["x", "y"]],
+        "stuck": [["a", "b"], ["b", "c"], ["x", "y"]],
+        "end": [["a", "a"], ["b", None]],
+    }
+    entries = [(q, p, k, key) for q, ps in full.items() for p, keys in enumerate(ps) for k, key in enumerate(keys)]
+    pages = [(q, p, f"c{p}", f"c{p if q == 'stuck' and p == 1 else p + 1}", 8) for q, ps in full.items() for p in range(len(ps))]
+    dfs = [spark.createDataFrame(rows, schema).repartition(3) for rows, schema in ((pages, "query string, page int, cursor string, next string, total int"), (entries, "query string, page int, pos int, key string"))]
+    taken, report = landed.paged(*dfs, 2, 5)
+    assert {r.query: (r.pages, r.fetched, r.stopped, r.truncated) for r in report.collect()} == {
+        "enough": (3, 5, "enough", True), "short": (2, 3, "short", True), "empty": (2, 2, "empty", True), "nothing new": (2, 2, "nothing new", True), "stuck": (2, 3, "stuck", True), "end": (2, 3, "end", True),
+    }
+    got = {}
+    for r in sorted(taken.collect(), key=lambda r: (r.query, r.place)):
+        got.setdefault(r.query, []).append(r.key)
+    assert got == {"enough": list("abcde"), "short": list("abc"), "empty": list("ab"), "nothing new": list("ab"), "stuck": list("abc"), "end": ["a", "b", None]}
+
+
+def test_numbers_without_one_task(spark):
+    rows = spark.createDataFrame([(k * 7919 % 1009,) for k in range(1009)], "k long").repartition(7)
+    assert {r.k: r["index"] for r in sinks.numbered(rows, ["k"]).collect()} == {k: k + 1 for k in range(1009)}
+    assert sinks.numbered(rows.where("false"), ["k"]).collect() == []
+
+
+def test_result_lines(spark):
+    rows = spark.createDataFrame([("2", None, "2001-05-06", "x", 3), ("1", " ", "1999-01-01", "y", None)], "scopus_id string, doi string, cover_date string, publisher string, cited_by_count int")
+    lines = lambda form: [r.line for r in sorted(sinks.result_lines(rows, ["scopus_id"], form, 1).collect())]
+    assert lines("compact") == ['{"scopus_id":"1","year":"1999"}', '{"scopus_id":"2","year":"2001","cited_by_count":3}']
+    assert lines("sample") == ['{"scopus_id":"1","cover_date":"1999-01-01","publisher":"y"}'] and len(lines("full")) == 2
+    with pytest.raises(ValueError):
+        lines("all")
+
+
+def test_groups_of_a_report(spark):
+    keys = [(f"k{k:02}", "not_in_index") for k in range(9)] + [("b", "cites_seed_but_missed"), ("a", "cites_seed_but_missed"), ("z", "found_but_unconfirmed"), ("q", "something else")]
+    rows = sorted(audit.grouped_report(spark.createDataFrame(keys, "key string, status string")).collect(), key=lambda r: (r.place, r.item))
+    assert [(r.place, r.n, r.item, r.key, r.more) for r in rows] == [(1, 2, 1, "a", 0), (1, 2, 2, "b", 0), (4, 1, 1, "z", 0), *[(5, 9, k + 1, f"k{k:02}", 3) for k in range(6)]]
+
+
+def test_reference_totals(spark):
+    from pyspark.sql import functions as F
+
+    body = lambda total, refs: '{"abstracts-retrieval-response":{"references":{%s"reference":%s}}}' % (f'"@total-references":"{total}",' if total else "", refs)
+    docs = spark.createDataFrame([("a", body(3, "[{},{}]")), ("b", body(5, "[{}]")), ("c", body(0, "{}")), ("d", body(2, "[{},{}]"))], "id string, j string").select("id", F.parse_json("j").alias("json"))
+    assert {r.id: tuple(r)[1:] for r in landed.reference_totals(docs, "id").collect()} == {"a": (3, 2, 1, True), "b": (5, 1, 4, False), "c": (None, 1, 0, False), "d": (2, 2, 0, False)}
