@@ -309,15 +309,31 @@ def earliest_date(*cols: str):
     return F.coalesce(F.least(*full) if len(full) > 1 else full[0], F.lit(""))
 
 
-def lineage(edges: DataFrame, seeds: DataFrame, generations: int = 3, most_per_node: int = 200, forward: bool = True) -> DataFrame:
+#: How a node's neighbours are ranked before they are capped: by a column of papers, the greatest first, then by id; None: by id.
+SORTS = {"citedby": "cited_by", "date": "date", None: None}
+
+
+def lineage(edges: DataFrame, seeds: DataFrame, generations: int = 3, most_per_node: int = 200, forward: bool = True, papers: DataFrame | None = None, sort: str | None = None, min_citing: int = 0, scope: list[str] | None = None) -> DataFrame:
     """node, generation, parent of a bounded breadth-first walk from the seeds (node); parents of the generation before only.
 
-    The first discovery fixes a node's generation. Each node's neighbours are capped, least id first. Generations are few,
-    each is one join against the edges and one against what was seen.
+    The first discovery fixes a node's generation. Each node's neighbours are capped in the order of sort; papers (node,
+    cited_by, date, issn) has what they are ranked by. Neighbours that are cited fewer than min_citing times, or, forward,
+    that are in none of the scope's journals (ISSNs), are passed over; neighbours that papers doesn't have are cited 0 times.
+    Generations are few, each is one join against the edges and one against what was seen.
     """
+    if sort not in SORTS or papers is None and (sort or min_citing or scope):
+        raise ValueError("sort is citedby or date, and it, min_citing and scope need papers")
+    if scope is not None and not forward:
+        raise ValueError("a scope is for walks forward: references have no ISSN")
     near = edges.select(F.col("source").alias("at"), F.col("target").alias("to")) if forward else edges.select(F.col("target").alias("at"), F.col("source").alias("to"))
-    rank = F.row_number().over(W.partitionBy("at").orderBy("to"))
-    near = cut(near.distinct().withColumn("_r", rank).where(F.col("_r") <= most_per_node).drop("_r"))
+    near, order = near.distinct(), ["to"]
+    if papers is not None:
+        near = near.join(papers.select(F.col("node").alias("to"), *[F.col(c).alias(f"_{c}") for c in ("cited_by", "date", "issn") if c in papers.columns]), "to", "left")
+        near = near.where(F.coalesce("_cited_by", F.lit(0)) >= min_citing) if min_citing else near
+        near = near.where(F.col("_issn").isin(*scope)) if scope is not None else near
+        order = [F.col(f"_{SORTS[sort]}").desc_nulls_last(), "to"] if sort else order
+    near = near.withColumn("_r", F.row_number().over(W.partitionBy("at").orderBy(*order))).where(F.col("_r") <= most_per_node).select("at", "to")
+    near = cut(near)
     front = seeds.select("node").distinct()
     out = front.select("node", F.lit(0).alias("generation"), F.lit(None).cast(dict(front.dtypes)["node"]).alias("parent"))
     seen = front

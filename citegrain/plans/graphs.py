@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import fronts, history, networks, paths
+from ..functions import sql
+from ..operators import fronts, history, layout, networks, paths
 from ..sources import sinks
 from .star import CITES, citations, order_days, table
 
@@ -313,3 +314,47 @@ def pajek_vertices(spark, d):
 def pajek_arcs(spark, d):
     index, edges = _pajek(spark, d)
     return sinks.arcs(index, edges).select("a", "b")
+
+
+def _ranked_step(k: int) -> str:
+    before = " UNION ALL ".join(["SELECT node FROM s", *[f"SELECT node FROM g{i}" for i in range(1, k)]])
+    return f"g{k} AS (SELECT DISTINCT x AS node, a AS parent FROM near JOIN (SELECT DISTINCT node FROM {'s' if k == 1 else f'g{k - 1}'}) ON a = node WHERE x NOT IN ({before}))"
+
+
+@query(f"""WITH e AS ({CITES}), c AS (SELECT source AS node, count(DISTINCT target) AS n FROM e GROUP BY source),
+near AS (SELECT source AS a, target AS x FROM e JOIN c ON node = target WHERE n >= 2 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n DESC, target) <= 2),
+s AS (SELECT o_orderkey AS node FROM orders WHERE {_SEEDS} AND o_orderkey IN (SELECT source FROM e UNION SELECT target FROM e)), {", ".join(map(_ranked_step, (1, 2, 3)))}
+SELECT node, 0 AS generation, NULL::BIGINT AS parent FROM s UNION ALL SELECT node, 1, parent FROM g1 UNION ALL SELECT node, 2, parent FROM g2 UNION ALL SELECT node, 3, parent FROM g3""")
+def lineage_ranked(spark, d):
+    """The two most cited orders that cite an order, of those cited twice at least."""
+    edges = citations(spark, d)
+    nodes = edges.select(F.col("source").alias("node")).union(edges.select("target")).distinct()
+    lcs = networks.local_citations(edges.select(F.col("source").alias("cited_id"), F.col("target").alias("citing_id")))
+    seeds = table(spark, d, "orders").where(_SEEDS).select(F.col("o_orderkey").alias("node")).join(nodes, "node", "left_semi")
+    return paths.lineage(edges, seeds, 3, 2, papers=lcs.select(F.col("cited_id").alias("node"), F.col("lcs").alias("cited_by")), sort="citedby", min_citing=2)
+
+
+@query(f"""WITH g AS ({_lineage_sql("source", "target")}), e AS ({CITES}), n AS (SELECT node, min(generation) AS layer FROM g GROUP BY node), w AS (SELECT source, count(DISTINCT target) AS lcs FROM e GROUP BY source),
+r AS (SELECT node, layer::INT AS layer, row_number() OVER (PARTITION BY layer ORDER BY coalesce(lcs, 0) DESC, node) - 1 AS place, count(*) OVER (PARTITION BY layer) AS size FROM n LEFT JOIN w ON source = node)
+SELECT node, layer, place, round({layout.LEFT} + ({layout.WIDTH} - 2 * {layout.LEFT}) * CASE WHEN size > 1 THEN place / (size - 1) ELSE 0.5 END, 3) AS x, ({layout.TOP} + {layout.GAP} * layer)::INT AS y FROM r""")
+def lineage_layout(spark, d):
+    """The coordinates of a lineage: a layer for each generation, the most cited first."""
+    found = QUERIES["lineage_forward"](spark, d).groupBy("node").agg(F.min("generation").alias("layer"))
+    lcs = networks.local_citations(citations(spark, d).select(F.col("source").alias("cited_id"), F.col("target").alias("citing_id")))
+    return layout.layered(found.join(lcs, F.col("node") == F.col("cited_id"), "left").select("node", "layer", F.col("lcs").alias("weight")))
+
+
+_BY_BRAND = """SELECT DISTINCT g AS graph, source, target FROM (SELECT p_brand AS g, lag(o) OVER (PARTITION BY p_brand, s ORDER BY d, o) AS source, o AS target FROM (
+  SELECT DISTINCT p_brand, l_suppkey AS s, l_orderkey AS o, o_orderdate AS d FROM lineitem JOIN part ON l_partkey = p_partkey JOIN orders ON l_orderkey = o_orderkey)) WHERE source IS NOT NULL"""
+
+
+@query(f"WITH e AS ({_BY_BRAND}) SELECT graph, count(*) AS n_edges, count(DISTINCT source) AS n_sources, true AS whole FROM e GROUP BY graph")
+def graphs_in_sql(spark, d):
+    """Weights of a graph for each brand by the table function; whole: each weight is what flows in and out of its inner ends."""
+    sql.register(spark)
+    for name in ("lineitem", "part", "orders"):
+        table(spark, d, name).createOrReplaceTempView(name)
+    return spark.sql(f"""WITH w AS (SELECT * FROM traversal_weights(TABLE({_BY_BRAND}), 'spc')),
+i AS (SELECT graph, target AS node, sum(weight::DECIMAL(38, 0)) AS n FROM w GROUP BY ALL), o AS (SELECT graph, source AS node, sum(weight::DECIMAL(38, 0)) AS n FROM w GROUP BY ALL),
+c AS (SELECT graph, bool_and(i.n = o.n) AS whole FROM i JOIN o USING (graph, node) GROUP BY graph)
+SELECT w.graph, count(*) AS n_edges, count(DISTINCT source) AS n_sources, coalesce(any_value(whole), true) AS whole FROM w LEFT JOIN c ON c.graph = w.graph GROUP BY w.graph""")

@@ -279,3 +279,16 @@ def compact_results(spark, d):
         F.when(k % 2 == 0, " ").otherwise(F.col("c_mktsegment")).alias("creator"), F.col("c_name").alias("title"), (k % 50).alias("cited_by_count"), F.lit("not shown").alias("publisher"),
     )
     return sinks.result_lines(records, ["scopus_id"], "compact")
+
+
+@query("""SELECT c_custkey AS id, CASE WHEN c_custkey % 4 = 0 THEN c_name WHEN c_custkey % 4 IN (1, 2) AND c_nationkey > 12 THEN 'index ' || c_custkey WHEN c_custkey % 4 = 1 THEN 'registry ' || c_custkey END AS description,
+CASE WHEN c_custkey % 4 = 0 THEN 'scopus' WHEN c_custkey % 4 IN (1, 2) AND c_nationkey > 12 THEN 'openalex' WHEN c_custkey % 4 = 1 THEN 'crossref' ELSE 'none' END AS abstract_source FROM customer""")
+def abstract_sources(spark, d):
+    """Customers whose abstract is their own, an index's (as an inverted list) or a registry's."""
+    c, k = table(spark, d, "customer"), F.col("c_custkey")
+    doi = lambda p: F.concat(F.lit(p), k.cast("string"))
+    details = c.select(k.alias("id"), doi("10.1/c").alias("doi"), F.when(k % 4 == 0, F.col("c_name")).otherwise(" ").alias("description"))
+    words = F.create_map(F.lit("index"), F.array(F.lit(0)), k.cast("string"), F.array(F.lit(1)))
+    index = c.where("c_custkey % 4 < 3 and c_nationkey > 12").select(doi("10.1/C").alias("doi"), landed.inverted_abstract(words).alias("abstract"))
+    registry = c.where("c_custkey % 4 = 1").select(doi("10.1/c").alias("doi"), F.concat(F.lit("registry "), k.cast("string")).alias("abstract"))
+    return landed.with_abstract(details, [("openalex", index), ("crossref", registry)]).select("id", "description", "abstract_source")

@@ -207,6 +207,29 @@ def abstract_details(docs: DataFrame, v: str = "json") -> DataFrame:
     return docs.select(to_provider_id(get("dc:identifier")).alias("scopus_id"), get("prism:doi").alias("doi"), get("dc:title").alias("title"), text.alias("description"), F.when(text.isNotNull(), "scopus").otherwise("none").alias("abstract_source"), get("prism:publicationName").alias("venue"), get("prism:coverDate").alias("cover_date"), get("citedby-count").try_cast("long").alias("cited_by_count"), authors.alias("authors"), scalar(v, f"{r}.item.bibrecord.tail.bibliography['@refcount']").try_cast("int").alias("refs_reported"))
 
 
+def best_view(answers: DataFrame, order: tuple[str, ...] = ("FULL", "META_ABS", "META", "REF")) -> DataFrame:
+    """key, view, json: of each key's answers (key, view, json, null where the view was refused) the first in the order of views."""
+    place = F.array_position(F.array(*[F.lit(x) for x in order]), F.col("view"))
+    own = answers.where(F.col("json").isNotNull()).withColumn("_p", place).where("_p > 0")
+    least = own.groupBy("key").agg(F.min("_p").alias("_p"))
+    return own.join(least, ["key", "_p"]).select("key", "view", "json").dropDuplicates(["key"])
+
+
+def with_abstract(details: DataFrame, others: list[tuple[str, DataFrame]], own: str = "scopus") -> DataFrame:
+    """details (doi, description and more) with description and abstract_source of the first that has a text: the record itself (own), then the others by DOI, else none.
+
+    others: (name, a table of doi, abstract); of several abstracts of a DOI the least counts. Records without a DOI keep what
+    they have.
+    """
+    out = details.drop("abstract_source").withColumn("_0", blank_to_null(F.col("description")))
+    for k, (_, df) in enumerate(others, 1):
+        each = df.where(blank_to_null(F.col("abstract")).isNotNull()).groupBy(F.lower("doi").alias("_d")).agg(F.min("abstract").alias(f"_{k}"))
+        out = out.join(each, F.lower("doi") == F.col("_d"), "left").drop("_d")
+    names = [own, *[name for name, _ in others]]
+    source = F.coalesce(*[F.when(F.col(f"_{k}").isNotNull(), F.lit(name)) for k, name in enumerate(names)], F.lit("none"))
+    return out.withColumns({"description": F.coalesce(*[F.col(f"_{k}") for k in range(len(names))]), "abstract_source": source}).drop(*[f"_{k}" for k in range(len(names))])
+
+
 def identifiers(docs: DataFrame, v: str = "json") -> DataFrame:
     """scopus_id, eid, doi, pii, pubmed_id of abstract responses."""
     get = lambda n: scalar(v, f"['abstracts-retrieval-response'].coredata['{n}']")

@@ -165,13 +165,29 @@ def coding_sheet(edges: DataFrame) -> DataFrame:
 
 
 def html_page(nodes: DataFrame, edges: DataFrame, title: str, most: int = 2_000) -> str:
-    """A page that lists a layered network, its data as inline JSON; more than ``most`` nodes or edges: ValueError."""
+    """A page that draws a layered network (node, x, y and more; source, target), its data as inline JSON; more than ``most`` nodes or edges: ValueError.
+
+    Without x and y the edges are listed.
+    """
     rows = [[r.asDict() for r in df.limit(most + 1).collect()] for df in (nodes, edges)]
     if any(len(x) > most for x in rows):
         raise ValueError(f"more than {most} nodes or edges; write tables instead")
     data = json.dumps({"nodes": rows[0], "edges": rows[1]}, default=str).replace("</", "<\\/")
-    script = "const d=JSON.parse(document.getElementById('data').textContent);const u=document.getElementById('list');for(const e of d.edges){const li=document.createElement('li');li.textContent=e.source+' → '+e.target;u.append(li)}"
-    return f'<!doctype html><meta charset="utf-8"><title>{escape(title)}</title><h1>{escape(title)}</h1><ul id="list"></ul><script type="application/json" id="data">{data}</script><script>{script}</script>'
+    head = f'<!doctype html><meta charset="utf-8"><title>{escape(title)}</title><h1>{escape(title)}</h1>'
+    read = "const d=JSON.parse(document.getElementById('data').textContent);"
+    if "x" in nodes.columns and "y" in nodes.columns:
+        body = '<svg id="net" xmlns="http://www.w3.org/2000/svg"></svg>'
+        script = read + (
+            "const s=document.getElementById('net'),at=new Map(d.nodes.map(n=>[String(n.node),n]));"
+            "const put=(k,a,t)=>{const e=document.createElementNS(s.namespaceURI,k);for(const x in a)e.setAttribute(x,a[x]);if(t!==undefined)e.textContent=t;s.append(e)};"
+            "s.setAttribute('width',Math.max(0,...d.nodes.map(n=>n.x))+80);s.setAttribute('height',Math.max(0,...d.nodes.map(n=>n.y))+80);"
+            "for(const e of d.edges){const a=at.get(String(e.source)),b=at.get(String(e.target));if(a&&b)put('line',{x1:a.x,y1:a.y,x2:b.x,y2:b.y,stroke:'#999'})}"
+            "for(const n of d.nodes){put('circle',{cx:n.x,cy:n.y,r:6});put('text',{x:n.x,y:n.y+20,'text-anchor':'middle','font-size':10},n.label||n.node)}"
+        )
+    else:
+        body = '<ul id="list"></ul>'
+        script = read + "const u=document.getElementById('list');for(const e of d.edges){const li=document.createElement('li');li.textContent=e.source+' → '+e.target;u.append(li)}"
+    return f'{head}{body}<script type="application/json" id="data">{data}</script><script>{script}</script>'
 
 
 def write_texts(texts: DataFrame, path: str) -> None:

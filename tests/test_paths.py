@@ -380,3 +380,18 @@ def test_path_transmission(spark):
         reports.path_transmission(paths.main_path(edges).limit(1), papers, contexts, paths.traversal_weights(edges), [])
     heavy = reports.heaviest_contexts(spark.createDataFrame([("A", "B", 1), ("B", "C", 5)], "source string, target string, weight int"), contexts.select("citing_id", "cited_id", "contexts"), contexts.select("citing_id", "cited_id", "contexts").limit(0), 1)
     assert [(r.place, r.cited_id, r.status) for r in heavy.collect()] == [(1, "B", "edge_absent")]
+
+
+def test_lineage_ranks_and_limits(spark):
+    edges = frame(spark, ["AB", "AC", "AD", "BE", "CE", "DF"])
+    seeds = spark.createDataFrame([("A",)], "node string")
+    papers = spark.createDataFrame([("B", 5, "2001", "x"), ("C", 9, "2003", "y"), ("D", 9, "2002", "x"), ("E", 1, "2004", "x")], "node string, cited_by int, date string, issn string")
+    walk = lambda **k: sorted((r.node, r.generation) for r in paths.lineage(edges, seeds, 2, papers=papers, **k).collect() if r.generation)
+    assert walk(most_per_node=1, sort="citedby") == [("C", 1), ("E", 2)] and walk(most_per_node=2, sort="citedby") == [("C", 1), ("D", 1), ("E", 2), ("F", 2)]
+    assert walk(most_per_node=1, sort="date") == [("C", 1), ("E", 2)] and walk(min_citing=6) == [("C", 1), ("D", 1)]
+    assert walk(scope=["x"]) == [("B", 1), ("D", 1), ("E", 2)]
+    for wrong in ({"sort": "other"}, {"scope": ["x"], "forward": False}):
+        with pytest.raises(ValueError):
+            walk(**wrong)
+    with pytest.raises(ValueError):
+        paths.lineage(edges, seeds, sort="date")

@@ -134,3 +134,13 @@ def test_reference_totals(spark):
     body = lambda total, refs: '{"abstracts-retrieval-response":{"references":{%s"reference":%s}}}' % (f'"@total-references":"{total}",' if total else "", refs)
     docs = spark.createDataFrame([("a", body(3, "[{},{}]")), ("b", body(5, "[{}]")), ("c", body(0, "{}")), ("d", body(2, "[{},{}]"))], "id string, j string").select("id", F.parse_json("j").alias("json"))
     assert {r.id: tuple(r)[1:] for r in landed.reference_totals(docs, "id").collect()} == {"a": (3, 2, 1, True), "b": (5, 1, 4, False), "c": (None, 1, 0, False), "d": (2, 2, 0, False)}
+
+
+def test_views_and_abstracts_fall_back(spark):
+    answers = spark.createDataFrame([("a", "META_ABS", "1"), ("a", "FULL", None), ("b", "META_ABS", "2"), ("b", "FULL", "3"), ("c", "FULL", None), ("d", "OTHER", "4")], "key string, view string, json string")
+    assert {r.key: (r.view, r.json) for r in landed.best_view(answers).collect()} == {"a": ("META_ABS", "1"), "b": ("FULL", "3")}
+    details = spark.createDataFrame([(1, "10.1/A", "own"), (2, "10.1/b", ""), (3, "10.1/c", None), (4, None, None), (5, None, "kept")], "id int, doi string, description string")
+    one = spark.createDataFrame([("10.1/a", "x"), ("10.1/B", "of one"), ("10.1/c", " ")], "doi string, abstract string")
+    two = spark.createDataFrame([("10.1/b", "of two"), ("10.1/C", "z"), ("10.1/C", "y")], "doi string, abstract string")
+    got = {r.id: (r.description, r.abstract_source) for r in landed.with_abstract(details, [("one", one), ("two", two)]).collect()}
+    assert got == {1: ("own", "scopus"), 2: ("of one", "one"), 3: ("y", "two"), 4: (None, "none"), 5: ("kept", "scopus")}
