@@ -2,7 +2,7 @@
 
 register(spark) defines them for a session:
 
-    SELECT normal_title(title), issn_of(issn), quartile_of(percentile) FROM journals
+    SELECT normal_title(title), compact_issn(issn), quartile(percentile), bare_doi_of(doi) FROM journals
     SELECT * FROM traversal_weights(TABLE(edges), 'splc')
     SELECT * FROM main_path(TABLE(edges))
     SELECT * FROM communities(TABLE(edges), 1.5)
@@ -28,12 +28,8 @@ from . import terms
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-STEMS = "|".join(x[:-1] for x in terms.ISE_STEMS)
-#: Name, arguments, type and body of the scalar functions.
+#: Name, arguments, type and body of further scalar functions.
 SCALARS = (
-    ("normal_title", "title STRING", "STRING", "trim(regexp_replace(lower(coalesce(title, '')), '[^0-9a-z]+', ' '))"),
-    ("issn_of", "issn STRING", "STRING", r"CASE WHEN upper(regexp_replace(issn, '[\\s-]', '')) RLIKE '^\\d{7}[\\dX]$' THEN upper(regexp_replace(issn, '[\\s-]', '')) END"),
-    ("quartile_of", "percentile DOUBLE", "STRING", "CASE WHEN percentile >= 75 THEN 'Q1' WHEN percentile >= 50 THEN 'Q2' WHEN percentile >= 25 THEN 'Q3' WHEN percentile IS NOT NULL THEN 'Q4' END"),
     ("bare_doi_of", "doi STRING", "STRING", r"nullif(lower(regexp_replace(trim(doi), '(?i)^https?://(dx\\.)?doi\\.org/', '')), '')"),
 )
 
@@ -146,6 +142,7 @@ def register(spark: SparkSession) -> None:
     """Define the functions for this session."""
     from pyspark.sql.functions import udtf
 
+    terms.register(spark)
     for name, arguments, kind, body in SCALARS:
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({arguments}) RETURNS {kind} RETURN {body}")
     for name, cls in (("traversal_weights", TraversalWeights), ("main_path", MainPath), ("communities", Communities)):

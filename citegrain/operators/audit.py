@@ -57,6 +57,16 @@ def disagreements(sheet: DataFrame, a: str, b: str) -> DataFrame:
     return sheet.where((x != "") & (y != "") & (x != y))
 
 
+def agreement(sheet: DataFrame, columns: list[str]) -> dict[str, DataFrame]:
+    """The agreement of two coders as tables: overall, labels, confusion, disagreements. Other than two columns, or nothing coded by both: ValueError."""
+    if len(columns) != 2 or columns[0] == columns[1] or set(columns) - set(sheet.columns):
+        raise ValueError("two different columns of the sheet are needed")
+    a, b = columns
+    if _coded(sheet, a, b).isEmpty():
+        raise ValueError(f"no row is coded in both {a} and {b}")
+    return {"overall": cohen_kappa(sheet, a, b), "labels": per_label(sheet, a, b), "confusion": confusion(sheet, a, b), "disagreements": disagreements(sheet, a, b)}
+
+
 def completeness(papers: DataFrame, retrieved: str, external: str) -> DataFrame:
     """Adds status: unknown if either count is missing or zero, short if five or more and over a tenth are missing, else ok."""
     r, e = F.col(retrieved), F.col(external)
@@ -87,12 +97,15 @@ def retraction_status(checked: DataFrame, notices: DataFrame) -> DataFrame:
     return out.select("doi", status.alias("status"), "latest")
 
 
-def resolve_citers(hits: DataFrame, refs: DataFrame, seeds: DataFrame, failed: DataFrame) -> DataFrame:
-    """paper_id, strategies, status of each hit but the seeds: confirmed, unconfirmed or verification_failed.
+def resolve_citers(hits: DataFrame, refs: DataFrame | None, seeds: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """paper_id, strategies, status of each hit but the seeds: confirmed, unconfirmed, verification_failed; unverified without refs.
 
     hits: strategy, paper_id; refs: citing_id, cited_id; seeds, failed: paper_id. Confirmed: its references hold a seed.
     """
     found = hits.join(seeds, "paper_id", "left_anti").groupBy("paper_id").agg(F.array_join(F.sort_array(F.collect_set("strategy")), "; ").alias("strategies"))
+    if refs is None:
+        return found.select("paper_id", "strategies", F.lit("unverified").alias("status"))
+    failed = seeds.limit(0) if failed is None else failed
     citing = refs.join(seeds, refs.cited_id == seeds.paper_id, "left_semi").select(F.col("citing_id").alias("paper_id")).distinct().withColumn("c", F.lit(True))
     bad = failed.select("paper_id").distinct().withColumn("f", F.lit(True))
     out = found.join(citing, "paper_id", "left").join(bad, "paper_id", "left")
@@ -166,8 +179,8 @@ def deduplicated(records: DataFrame) -> DataFrame:
     keys = F.array_compact(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{p}:"), F.col(c))) for p, c in (("s", "provider_id"), ("w", "wos_id"), ("d", "doi"))], F.when(F.col("norm_title") != "", F.concat_ws(":", F.lit("t"), "norm_title", F.coalesce(F.col("year").cast("string"), F.lit("None"))))))
     keyed = records.select("pos", F.explode(keys).alias("key"))
     # a record and the first one with the same key
-    first = W.partitionBy("key")
-    links = keyed.withColumn("f", F.min("pos").over(first)).where("f <> pos").select(F.col("f").alias("source"), F.col("pos").alias("target")).distinct()
+    first = keyed.groupBy("key").agg(F.min("pos").alias("f"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    links = keyed.join(first, "key").where("f <> pos").select(F.col("f").alias("source"), F.col("pos").alias("target")).distinct()
     linked = with_component(links).select(F.explode(F.array("source", "target")).alias("pos"), "component").distinct()
     grouped = records.join(linked, "pos", "left").withColumn("component", F.coalesce("component", "pos"))
     fill = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("pos"))).alias(c)

@@ -57,15 +57,37 @@ def historiograph(papers: DataFrame, lcs: DataFrame, edges: DataFrame, top: int
     return nodes, among.select("cited_id", "citing_id").distinct()
 
 
-def yearly_counts(rows: DataFrame, first: int | None = None, last: int | None = None) -> DataFrame:
-    """year, n, is_peak (first of the highest), total for every year from first to last (defaults: as observed); rows: year."""
+def yearly_counts(rows: DataFrame, first: int | None = None, last: int | None = None, this_year: int | None = None) -> DataFrame:
+    """year, n, is_peak (first of the highest), total for every year from first to last (defaults: as observed); rows: year.
+
+    With this_year, which is not over, also incomplete: whether a year is that one or a later one.
+    """
     counts = rows.where("year is not null").groupBy("year").agg(F.count(F.lit(1)).alias("n"))
     span = counts.agg(F.coalesce(F.lit(first).cast("int"), F.min("year")).alias("a"), F.coalesce(F.lit(last).cast("int"), F.max("year")).alias("b"))
     axis = span.where("a is not null").select(F.explode(F.sequence("a", "b")).alias("year"))
     dense = axis.join(counts, "year", "left").select("year", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
     every = W.partitionBy(F.lit(1))
     peak = F.max_by("year", F.struct("n", -F.col("year"))).over(every)
-    return dense.select("year", "n", (F.col("year") == peak).alias("is_peak"), F.sum("n").over(every).alias("total"))
+    out = dense.select("year", "n", (F.col("year") == peak).alias("is_peak"), F.sum("n").over(every).alias("total"))
+    return out if this_year is None else out.withColumn("incomplete", F.col("year") >= this_year)
+
+
+def cited_references(refs: DataFrame, bibliographies: DataFrame) -> DataFrame:
+    """Every cited reference of a set: of a paper that has a bibliography all of its entries, since these are dated; else its list.
+
+    refs, bibliographies: citing_id and the same further columns; adds dated_by: bibliography or references.
+    """
+    whole = bibliographies.select("citing_id").distinct()
+    rest = refs.join(whole, "citing_id", "left_anti").withColumn("dated_by", F.lit("references"))
+    return bibliographies.withColumn("dated_by", F.lit("bibliography")).unionByName(rest)
+
+
+def spectroscopy(refs: DataFrame, bibliographies: DataFrame, first: int, last: int, top: int = 10) -> dict[str, DataFrame]:
+    """Reference years of a set as tables: series, peaks, works (of the peaks), undated; refs, bibliographies: citing_id, year, work."""
+    cited = cited_references(refs, bibliographies)
+    series = spectrogram(cited, first, last)
+    found = peaks(series, top)
+    return {"series": series, "peaks": found, "works": peak_works(cited, found), "undated": undated(cited)}
 
 
 def period_bounds(years: DataFrame, cuts: list[int] | None = None, n_periods: int = 3) -> DataFrame:

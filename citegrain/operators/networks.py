@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from ..functions.terms import normal_title
+from ..tables import cut
 
 
 def pairwise_overlap(members: DataFrame, least: int = 2) -> DataFrame:
@@ -61,13 +62,32 @@ def duplicate_groups(papers: DataFrame) -> DataFrame:
     return by_doi.select("ids").unionByName(by_title.select("ids")).where(F.size("ids") > 1).distinct()
 
 
-def jaccard_of(a, b):
-    """Of two arrays as Columns, two places; 1 if both are empty."""
-    every = F.size(F.array_union(a, b))
-    return F.when(every == 0, F.lit(1.0)).otherwise(F.round(F.size(F.array_intersect(a, b)) / every, 2))
-
-
 def regions(hits: DataFrame) -> DataFrame:
     """region (index names joined by +), n: how many works each combination of indexes has; hits: index_name, key."""
     per = hits.where("key is not null").groupBy("key").agg(F.array_join(F.sort_array(F.collect_set("index_name")), "+").alias("region"))
     return per.groupBy("region").agg(F.count(F.lit(1)).alias("n"))
+
+
+def region_totals(hits: DataFrame) -> DataFrame:
+    """index_name, n, alone of each index, and of all together (any): how many works it has, and that no other has; hits: index_name, key."""
+    own = hits.where("key is not null and index_name is not null").select("index_name", "key").distinct()
+    per = own.groupBy("key").agg(F.count(F.lit(1)).alias("_n"))
+    each = own.join(per, "key").groupBy("index_name").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_n") == 1, 1)).alias("alone"))
+    every = per.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("_n") == 1, 1)).alias("alone")).select(F.lit("any").alias("index_name"), "n", "alone")
+    return each.unionByName(every)
+
+
+def report(members: DataFrame, seeds: DataFrame | None = None, least: int = 2, top: int = 10) -> dict[str, DataFrame]:
+    """A network of seeds as tables. nodes: seed, n_items, degree, strength; edges: the heaviest; counts: seeds, with_items, connected, edges, weight in one row.
+
+    members: seed, item; seeds: seed, those that are asked for (default: those with items).
+    """
+    edges = cut(pairwise_overlap(members, least))
+    ends = edges.select(F.explode(F.array("source", "target")).alias("seed"), "weight").groupBy("seed").agg(F.count(F.lit(1)).alias("degree"), F.sum("weight").alias("strength"))
+    sizes = members.where("seed is not null and item is not null").groupBy("seed").agg(F.countDistinct("item").alias("n_items"))
+    asked = (seeds if seeds is not None else members.where("seed is not null")).select("seed").distinct()
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    nodes = asked.join(sizes, "seed", "left").join(ends, "seed", "left").select("seed", zero("n_items"), zero("degree"), zero("strength"))
+    per = nodes.agg(F.count(F.lit(1)).alias("seeds"), F.count(F.when(F.col("n_items") > 0, 1)).alias("with_items"), F.count(F.when(F.col("degree") > 0, 1)).alias("connected"))
+    counts = per.crossJoin(edges.agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum("weight"), F.lit(0)).cast("long").alias("weight")))
+    return {"nodes": nodes, "edges": edges.orderBy(F.desc("weight"), "source", "target").limit(top), "counts": counts}

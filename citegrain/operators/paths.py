@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..tables import cut
+from ..tables import cut, discard
 from . import sweeps
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -35,6 +35,30 @@ def clean_edges(edges: DataFrame, generation: DataFrame | None = None) -> DataFr
     return own.join(a, "source").join(b, "target").where("g1 is null or g2 is null or g1 <> g2").select("source", "target")
 
 
+def with_component(edges: DataFrame, most_rounds: int = 100) -> DataFrame:
+    """edges with component: the least node that is connected with them, whatever the direction.
+
+    Labels pass along edges, and each label takes its own label's; a round is a few joins, and their number follows the
+    logarithm of a component's width. Running out of rounds is an error.
+    """
+    both = cut(edges.select(F.col("source").alias("a"), F.col("target").alias("b")).union(edges.select("target", "source")).distinct())
+    state = cut(both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("root")).withColumnRenamed("a", "node"))
+    for _ in range(most_rounds):
+        around = both.join(state, both.b == state.node).groupBy("a").agg(F.min("root").alias("near"))
+        seen = state.join(around, state.node == around.a).select("node", "root", F.least("near", "root").alias("new"))
+        # the old root follows too, then every node takes its root's root
+        hooks = seen.where("new < root").groupBy(F.col("root").alias("h")).agg(F.min("new").alias("hn"))
+        hooked = cut(seen.join(hooks, seen.node == hooks.h, "left").select("node", "root", F.least("new", F.coalesce("hn", "new")).alias("new")))
+        up = hooked.select(F.col("node").alias("u"), F.col("new").alias("ur"))
+        moved = cut(hooked.join(up, hooked.new == F.col("u"), "left").select("node", F.coalesce("ur", "new").alias("root"), (F.coalesce("ur", "new") != F.col("root")).alias("changed")))
+        discard(hooked, state)
+        state = moved
+        if moved.where("changed").isEmpty():
+            discard(both)
+            return edges.join(state.select("node", "root"), edges.source == state.node).select(*edges.columns, F.col("root").alias("component"))
+    raise RuntimeError("components are not settled")
+
+
 def break_cycles(edges, dates) -> list[tuple]:
     """Edges to take out until no cycle is left: of each cycle the one that is most against the dates.
 

@@ -123,3 +123,23 @@ def track(docs: DataFrame, words: list[str], top: int = 6) -> DataFrame:
     met = met.withColumn("r", F.row_number().over(W.partitionBy("period").orderBy(F.desc("n"), "term"))).where(F.col("r") <= top)
     met = met.groupBy("period").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "term"))), lambda x: x["term"]), "; ").alias("company"))
     return per.join(met, "period", "left").select("period", "doc_mentions", "keywords", F.coalesce("company", F.lit("")).alias("company"))
+
+
+def thematic_evolution(docs: DataFrame, bounds: DataFrame | None = None, **options) -> dict[str, DataFrame]:
+    """Themes of periods and what becomes of them, as tables: periods, themes, members, evolution, fates.
+
+    docs: doc_id, year, term, distinct; bounds: period, first_year, last_year (default: three periods of like sizes); options
+    are those of vocabulary().
+    """
+    from .history import period_bounds
+
+    bounds = cut(bounds if bounds is not None else period_bounds(docs.select("doc_id", "year").distinct()))
+    dated = cut(docs.join(F.broadcast(bounds), F.col("year").between(F.col("first_year"), F.col("last_year"))).select("doc_id", "year", "period", "term"))
+    vocab = cut(vocabulary(dated, **options))
+    pairs = cut(cooccurrence(dated, vocab))
+    member = cut(clusters(pairs))
+    found = themes(dated, vocab, pairs, member)
+    found = cut(found)
+    named = cut(member.join(found.select("period", "cluster", "theme"), ["period", "cluster"]).select("period", "theme", "term"))
+    links = cut(evolution(named))
+    return {"periods": bounds, "themes": found, "members": named, "evolution": links, "fates": fates(found, links)}

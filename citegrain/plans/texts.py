@@ -108,7 +108,7 @@ def html_text(spark, d):
 
 @query("SELECT page_id, trim(regexp_replace(html, '<[^>]+>', '', 'g')) AS text FROM pages")
 def tags_stripped(spark, d):
-    return table(spark, d, "pages").select("page_id", F.trim(F.regexp_replace("html", "<[^>]+>", "")).alias("text"))
+    return table(spark, d, "pages").select("page_id", terms.tagless(F.col("html")).alias("text"))
 
 
 @query("""WITH w AS (SELECT item_id AS wanted_id, trim(regexp_replace(lower(text), '[^0-9a-z]+', ' ', 'g')) AS t, 2000 + (item_id % 3) AS y FROM benchmark),

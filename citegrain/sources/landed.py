@@ -8,6 +8,7 @@ from pyspark.sql import Window as W
 
 from ..functions.identity import bare_doi, blank_to_null, compact_issn, short_id, to_provider_id, year_of
 from ..functions.terms import normal_title, venue_type
+from ..operators.titles import SIMILAR, bare_title, ratio
 
 
 def responses(spark: SparkSession, path: str) -> DataFrame:
@@ -287,7 +288,11 @@ def resolved(wanted: DataFrame, by_doi: DataFrame, by_other: DataFrame, by_name:
     """wanted_id, work_id, route of the first way that finds a work: DOI, another id, exact title within a year.
 
     wanted: wanted_id, doi, other; by_doi: doi, work_id; by_other: other, work_id; by_name: wanted_id, work_id (see by_title).
+    Where wanted and by_other have titles, a work found by the other id counts only if its title is nearly the same.
     """
+    if "title" in wanted.columns and "title" in by_other.columns:
+        met = wanted.select("other", bare_title(F.col("title")).alias("_t")).join(by_other, "other").withColumn("_u", bare_title(F.col("title")))
+        by_other = met.where("_t <> '' and _u <> ''").where(ratio(F.col("_t"), F.col("_u")) >= SIMILAR).select("other", "work_id").distinct()
     a, b, c = by_doi.select(F.lower("doi").alias("_d"), F.col("work_id").alias("_a")), by_other.select(F.col("other").alias("_o"), F.col("work_id").alias("_b")), by_name.select("wanted_id", F.col("work_id").alias("_c"))
     own = wanted.join(a, F.lower("doi") == F.col("_d"), "left").join(b, F.col("other") == F.col("_o"), "left").join(c, "wanted_id", "left")
     route = F.when(F.col("_a").isNotNull(), "doi").when(F.col("_b").isNotNull(), "other id").when(F.col("_c").isNotNull(), "title").otherwise("none")

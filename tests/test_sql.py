@@ -60,7 +60,7 @@ def test_scalars_are_the_library_s(spark):
 
     sql.register(spark)
     rows = spark.createDataFrame([("One  Title: é!", "0028-083x", 74.9, "https://doi.org/10.1/AB"), (None, None, None, None), ("", "123", 75.0, " doi:10.2/x "), ("x", "1234 5678", 10.0, "10.3/Y")], "t string, i string, p double, d string")
-    got = rows.selectExpr("normal_title(t) AS t", "issn_of(i) AS i", "quartile_of(p) AS q", "bare_doi_of(d) AS d").collect()
+    got = rows.selectExpr("normal_title(t) AS t", "compact_issn(i) AS i", "quartile(p) AS q", "bare_doi_of(d) AS d").collect()
     want = rows.select(terms.normal_title(F.col("t")).alias("t"), identity.compact_issn(F.col("i")).alias("i"), terms.quartile(F.col("p")).alias("q"), identity.bare_doi(F.col("d")).alias("d")).collect()
     assert got == want
 
