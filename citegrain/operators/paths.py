@@ -215,9 +215,11 @@ def key_routes(edges: DataFrame, k: int = 10, search: str = "local", kind: str =
         on, back = ((sweeps.heaviest(bands, weighed, back=x).select("node", F.col("via")[0].alias("next"))) for x in (True, False))
     else:
         on, back = _steps(weighed, "source", "target", greatest=True), _steps(weighed, "target", "source", greatest=True)
-    after = sweeps.follow(on, top.select("k", F.col("target").alias("node")))
-    before = sweeps.follow(back, top.select("k", F.col("source").alias("node")))
-    whole = before.withColumn("place", -F.col("place") - 1).unionByName(after).groupBy("k").agg(F.sort_array(F.collect_list(F.struct("place", "node"))).alias("p"))
+    way = lambda df, k: df.withColumn("way", F.lit(k))
+    starts = way(top.select("k", F.col("target").alias("node")), 1).unionByName(way(top.select("k", F.col("source").alias("node")), -1))
+    led = sweeps.follow(way(on, 1).unionByName(way(back, -1)), starts)
+    place = F.when(F.col("way") > 0, F.col("place")).otherwise(-F.col("place") - 1)
+    whole = led.groupBy("k").agg(F.sort_array(F.collect_list(F.struct(place.alias("place"), "node"))).alias("p"))
     return whole.select(F.array_join(F.transform("p", lambda x: x["node"].cast("string")), ">").alias("route")).groupBy("route").agg(F.count(F.lit(1)).alias("n_key_edges"))
 
 

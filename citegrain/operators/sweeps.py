@@ -313,21 +313,22 @@ def multiplied(rows: DataFrame, kind: str) -> DataFrame:
 
 
 def follow(pointers: DataFrame, starts: DataFrame) -> DataFrame:
-    """k, place, node: where the pointers (node, next) lead from the starts (k, node: one for each k), place 0 being the start.
+    """The columns of starts, and place: where the pointers (node, next) lead from the starts (k, node), place 0 being the start.
 
-    Pointers may have a k of their own. Pointer doubling: after r rounds the first 2^r nodes of each path are known, and
-    pointers lead 2^r nodes on.
+    Pointers may have further columns, which starts have too: several sets of pointers followed together. Pointer doubling:
+    after r rounds the first 2^r nodes of each path are known, and pointers lead 2^r nodes on.
     """
-    own = ["k", "node"] if "k" in pointers.columns else ["node"]
+    sets = [c for c in pointers.columns if c not in ("node", "next")]
+    own, rest = [*sets, "node"], [c for c in starts.columns if c != "node"]
     jump = cut(pointers.where("next is not null").select(*own, "next"))
-    seen = cut(starts.select("k", "node", F.lit(0).cast("long").alias("place")))
+    seen = cut(starts.select(*rest, "node", F.lit(0).cast("long").alias("place")))
     step = 1
     while True:
-        more = cut(seen.join(jump, own).select("k", F.col("next").alias("node"), (F.col("place") + step).alias("place")))
+        more = cut(seen.join(jump, own).select(*rest, F.col("next").alias("node"), (F.col("place") + step).alias("place")))
         if more.isEmpty():
             return seen
         seen = seen.unionByName(more)
-        on = jump.select(*own[:-1], F.col("node").alias("next"), F.col("next").alias("_on"))
-        twice = cut(jump.join(on, [*own[:-1], "next"]).select(*own, F.col("_on").alias("next")))
+        on = jump.select(*sets, F.col("node").alias("next"), F.col("next").alias("_on"))
+        twice = cut(jump.join(on, [*sets, "next"]).select(*own, F.col("_on").alias("next")))
         discard(jump)
         jump, step = twice, 2 * step
