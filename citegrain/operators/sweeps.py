@@ -1,8 +1,8 @@
 """Sweeps over an acyclic graph in topological order, without the graph in one place.
 
 Nodes are put into bands: an edge leads to its own band or a later one. A sweep goes from band to band. What a band needs of
-earlier ones is joined to its edges; a band of up to 2 * BAND edges, which may hold many levels, is then worked off in one task
-of bounded size, with exact integers. A level of more edges than that is a band of its own and is worked off by a grouped sum,
+earlier ones is joined to its edges; a band of up to 2 * BAND edges (2 * LARGEST by a given order), which may hold many levels,
+is then worked off in one task of bounded size, with exact integers. A level of more edges than that is a band of its own and is worked off by a grouped sum,
 its integers in limbs of 18 digits with carries. So a narrow, deep graph takes a job for each BAND edges and not one for each
 level, and a wide one takes a distributed job for each level.
 
@@ -26,8 +26,11 @@ from ..tables import cut, discard, new_path, remove
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
-#: Edges that are worked on in one task, about; bands by a given order at the most, and rounds in which it is mended.
-BAND, MOST_BANDS, ROUNDS = 50_000, 64, 20
+#: Edges that are worked on in one task, about, and those in a band by a given order, which grows with the graph up to that;
+#: bands by a given order at the most, and rounds in which it is mended.
+BAND, LARGEST, MOST_BANDS, ROUNDS = 50_000, 200_000, 64, 20
+#: Bands from which a sweep lays the edges out by band.
+FEW = 8
 #: Limbs of 18 digits of the integers of a wide level.
 LIMBS = 12
 DIGITS, BASE = 18 * LIMBS, 10**18
@@ -94,17 +97,31 @@ class Bands:
 
     def __init__(self, edges: DataFrame, order: DataFrame | None = None):
         edges = cut(edges.select("source", "target"))
-        n = edges.limit(BAND + 1).count()
+        n = edges.count()
+        step = max(BAND, min(LARGEST, n // 4))
+        #: Edges of a band above which it is worked off by a grouped sum.
+        self.wide = 2 * step
+        placed = None
         if n <= BAND:
-            self.edges = cut(edges.withColumns({"cs": F.lit(0), "ct": F.lit(0)}))
-        else:
-            n = edges.count()
-            placed = self._by_order(edges, order, -(-n // BAND)) if order is not None and n <= BAND * MOST_BANDS else None
-            self.edges = placed or self._by_level(edges)
+            placed = cut(edges.withColumns({"cs": F.lit(0), "ct": F.lit(0)}))
+        elif order is not None and n <= step * MOST_BANDS:
+            placed = self._by_order(edges, order, -(-n // step))
+        if placed is not None:
+            self._measure(placed)
+            if max([0, *self.sizes.values(), *self.back.values()]) > self.wide:
+                placed = None
+        if placed is None:
+            self.wide = 2 * BAND
+            self._measure(self._by_level(edges))
         self.kind = dict(edges.dtypes)["source"]
-        self.sizes = {r.ct: r["count"] for r in self.edges.groupBy("ct").count().collect()}
-        self.back = {r.cs: r["count"] for r in self.edges.groupBy("cs").count().collect()}
-        self._laid: dict[str, DataFrame] = {}
+
+    def _measure(self, edges: DataFrame) -> None:
+        self.edges = edges
+        each = edges.groupBy("cs", "ct").count().collect()  # a row for each two bands at the most
+        self.sizes, self.back = {}, {}
+        for r in each:
+            self.sizes[r.ct] = self.sizes.get(r.ct, 0) + r["count"]
+            self.back[r.cs] = self.back.get(r.cs, 0) + r["count"]
 
     @staticmethod
     def _in(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -120,8 +137,7 @@ class Bands:
             both = self._in(edges, nodes)
             wrong = both.where("cs > ct").groupBy(F.col("target").alias("_n")).agg(F.max("cs").alias("_b"))
             if wrong.isEmpty():
-                most = both.groupBy("ct").count().union(both.groupBy("cs").count()).agg(F.max("count")).first()[0]
-                return both if most <= 2 * BAND else None
+                return both
             nodes = cut(nodes.join(wrong, nodes.node == wrong._n, "left").select("node", F.greatest("band", F.coalesce("_b", "band")).alias("band")))
             discard(both)
         return None
@@ -145,16 +161,15 @@ class Bands:
     def sweep(self, edges: DataFrame, start: DataFrame, back: bool, grouped, small) -> DataFrame:
         """start, and what follows from it band by band; start: node, v, via; edges: source, target, cs, ct and w if weights count.
 
-        back: against the edges. small(rows) gets (from, to, v of from or None, w) of a band, grouped(rows) such rows as a
-        DataFrame of a wide level; both give node, v, via.
+        back: against the edges. small(tails, heads, weights, known) gets the edges of a band and the v of the tails that are
+        settled already, grouped(rows) the edges of a wide level (tail, head, v of tail, w); both give node, v, via.
         """
         spark, base = edges.sparkSession, new_path(edges.sparkSession)
         band, tail, head = ("cs", "target", "source") if back else ("ct", "source", "target")
-        laid = cut(edges, band)
-        schema = start.schema
-        start.write.parquet(f"{base}/band=-1")
         sizes = self.back if back else self.sizes
-        t = self.kind
+        laid = cut(edges, band) if len(sizes) > FEW else edges
+        schema, t = start.schema, self.kind
+        start.write.parquet(f"{base}/band=-1")
 
         from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -163,17 +178,33 @@ class Bands:
         def run(batches):
             import pyarrow as pa
 
-            rows = [x for batch in batches for x in zip(*[c.to_pylist() for c in batch.columns])]
-            done = small(rows)
+            tails, heads, weights, known = [], [], [], {}
+            for batch in batches:
+                columns = [c.to_pylist() for c in batch.columns]
+                if batch.column(1).null_count:
+                    known |= {x[0]: x[3].split(",") for x in zip(*columns) if x[1] is None}
+                    rows = [x for x in zip(*columns) if x[1] is not None]
+                    columns = list(zip(*rows)) if rows else [(), (), ()]
+                tails += columns[0]
+                heads += columns[1]
+                weights += columns[2]
+            done = small(tails, heads, weights, known)
             yield pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*done), arrow)] if done else [pa.array([], f.type) for f in arrow], schema=arrow)
 
         for c in sorted(sizes, reverse=back):
-            so_far = spark.read.schema(schema).parquet(base).select(F.col("node").alias("_n"), "v")
-            rows = laid.where(F.col(band) == c).select(F.col(tail).alias("tail"), F.col(head).alias("head"), *(["w"] if "w" in edges.columns else [F.lit(None).alias("w")]))
-            rows = rows.join(so_far, F.col("tail") == F.col("_n"), "left").select("tail", "head", "v", "w")
-            made = grouped(rows.where("v is not null")) if sizes[c] > 2 * BAND else rows.repartition(1).mapInArrow(run, f"node {t}, v array<string>, via array<{t}>")
+            so_far = spark.read.schema(schema).parquet(base).select(F.col("node").alias("tail"), "v")
+            weighed, nothing = "w" in edges.columns, F.lit(None).cast("string")
+            rows = laid.where(F.col(band) == c).select(F.col(tail).alias("tail"), F.col(head).alias("head"), *(["w"] if weighed else []))
+            if sizes[c] > self.wide:
+                made = grouped(rows.join(so_far, "tail"))
+            else:  # the edges, and a row for each of their tails that is settled; as strings, which Arrow takes far faster than arrays
+                written = rows.select("tail", "head", F.concat_ws(",", "w").alias("w") if weighed else nothing.alias("w"), nothing.alias("v"))
+                settled_tails = so_far.join(rows.select("tail"), "tail", "left_semi").select("tail", F.lit(None).cast(t).alias("head"), nothing.alias("w"), F.concat_ws(",", "v").alias("v"))
+                both = written.unionByName(settled_tails)
+                made = both.repartition(1).mapInArrow(run, f"node {t}, v array<string>, via array<{t}>")
             made.write.parquet(f"{base}/band={c}")
-        discard(laid)
+        if laid is not edges:
+            discard(laid)
         made = cut(spark.read.schema(schema).parquet(base))
         remove(spark, base)
         return made
@@ -238,20 +269,32 @@ def counts(bands: Bands, owns: list[int], back: bool = False) -> DataFrame:
     none = F.lit(None).cast(f"array<{bands.kind}>")
     start = first.select("node", F.array(*[F.lit("1")] * k).alias("v"), none.alias("via"))
 
-    def small(rows):
-        numbers: dict = {}
-
-        def of(tails):
-            sums = owns[:]
-            for tail, v, _ in tails:
-                x = numbers.get(tail)
-                if x is None:
-                    x = numbers[tail] = [int(d) for d in v]
-                for i in range(k):
-                    sums[i] += x[i]
-            return [str(x) for x in sums], None
-
-        return settled(rows, of)
+    def small(tails, heads, weights, known):
+        known = {n: [int(x) for x in v] for n, v in known.items()}
+        places, sums, waits, out = range(k), {}, {}, {}
+        for tail, head in zip(tails, heads):
+            own = sums.get(head)
+            if own is None:
+                own = sums[head] = owns[:]
+                waits[head] = 0
+            v = known.get(tail)
+            if v is None:
+                out.setdefault(tail, []).append(head)
+                waits[head] += 1
+            else:
+                for i in places:
+                    own[i] += v[i]
+        ready = [n for n, w in waits.items() if not w]
+        for node in ready:
+            v = sums[node]
+            for head in out.get(node, ()):
+                own = sums[head]
+                for i in places:
+                    own[i] += v[i]
+                waits[head] -= 1
+                if not waits[head]:
+                    ready.append(head)
+        return [(n, [str(x) for x in sums[n]], None) for n in ready]
 
     def grouped(rows):
         each = rows.select("head", *[x.alias(f"l{i}_{j}") for i in range(k) for j, x in enumerate(limbs(F.col("v")[i]))])
@@ -273,17 +316,37 @@ def heaviest(bands: Bands, weighed: DataFrame, back: bool = False) -> DataFrame:
     first = weighed.select(F.col(tail).alias("node")).distinct().join(weighed.select(F.col(head).alias("node")), "node", "left_anti")
     start = first.select("node", F.array(*[F.lit("0")] * k).alias("v"), F.array(*[F.lit(None).cast(bands.kind)] * k).alias("via"))
 
-    def small(rows):
-        def of(tails):
-            best, via = [-1] * k, [None] * k
-            for tail, v, w in sorted(tails, key=lambda x: x[0]):
-                for i in range(k):
-                    total = int(v[i]) + int(w[i])
-                    if total > best[i]:
-                        best[i], via[i] = total, tail
-            return [str(x) for x in best], via
-
-        return settled(rows, of)
+    def small(tails, heads, weights, known):
+        known = {n: [int(x) for x in v] for n, v in known.items()}
+        places, best, waits, out = range(k), {}, {}, {}
+
+        def offered(tail, v, w, own):
+            sums, via = own
+            for i in places:
+                total = v[i] + w[i]
+                if total > sums[i] or total == sums[i] and tail < via[i]:
+                    sums[i], via[i] = total, tail
+
+        for tail, head, w in zip(tails, heads, ([int(x) for x in w.split(",")] for w in weights)):
+            own = best.get(head)
+            if own is None:
+                own = best[head] = ([-1] * k, [None] * k)
+                waits[head] = 0
+            v = known.get(tail)
+            if v is None:
+                out.setdefault(tail, []).append((head, w))
+                waits[head] += 1
+            else:
+                offered(tail, v, w, own)
+        ready = [n for n, w in waits.items() if not w]
+        for node in ready:
+            v = best[node][0]
+            for head, w in out.get(node, ()):
+                offered(node, v, w, best[head])
+                waits[head] -= 1
+                if not waits[head]:
+                    ready.append(head)
+        return [(n, [str(x) for x in best[n][0]], best[n][1]) for n in ready]
 
     def grouped(rows):
         own = [f"l{j}" for j in range(LIMBS)]
@@ -306,10 +369,12 @@ def multiplied(rows: DataFrame, kind: str) -> DataFrame:
         import pyarrow as pa
 
         for batch in batches:
-            w = [[str(int(x) * int(y)) for x, y in zip(a, b)] for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(w, pa.list_(pa.string()))], names=["source", "target", "cs", "ct", "w"])
+            w = [",".join([str(int(x) * int(y)) for x, y in zip(a.split(","), b.split(","))]) for a, b in zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(w, pa.string())], names=["source", "target", "cs", "ct", "w"])
 
-    return rows.select("source", "target", "cs", "ct", "a", "b").mapInArrow(run, f"source {kind}, target {kind}, cs int, ct int, w array<string>")
+    written = rows.select("source", "target", "cs", "ct", F.concat_ws(",", "a"), F.concat_ws(",", "b"))
+    made = written.mapInArrow(run, f"source {kind}, target {kind}, cs int, ct int, w string")
+    return made.withColumn("w", F.split("w", ","))
 
 
 def follow(pointers: DataFrame, starts: DataFrame) -> DataFrame:
