@@ -22,7 +22,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..tables import cut, discard, new_path, remove
+from ..tables import cut, discard, new_path
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
@@ -205,9 +205,7 @@ class Bands:
             made.write.parquet(f"{base}/band={c}")
         if laid is not edges:
             discard(laid)
-        made = cut(spark.read.schema(schema).parquet(base))
-        remove(spark, base)
-        return made
+        return spark.read.schema(schema).parquet(base).select(*schema.names)
 
 
 def settled(rows, of):

