@@ -124,12 +124,12 @@ def drawn(seed, n=40, chance=0.12):
 @pytest.mark.parametrize("band, ordered", [(10**6, None), (30, "wrong"), (4, None)])
 def test_bands_give_what_one_graph_gives(spark, monkeypatch, band, ordered):
     """One band, bands of levels, wide levels, bands by an order and by one with errors: the same counts and heaviest paths."""
-    names, edges = drawn(4)
+    names, edges = drawn(4, 22, 0.25)
     order = None
     if ordered:
         place = {x: k for k, x in enumerate(names)}
         if ordered == "wrong":
-            place[names[3]], place[names[30]], place[names[8]] = 25, 4, None
+            place[names[3]], place[names[18]], place[names[8]] = 15, 4, None
         order = spark.createDataFrame(list(place.items()), "node long, place long")
     monkeypatch.setattr(sweeps, "BAND", band)
     dag = Dag(*zip(*edges))
