@@ -37,12 +37,26 @@ def _text(key: str, width: int = 10) -> Column:
     return F.lpad(F.col(key).cast("string"), width, "0")
 
 
+#: Entries of a page of a group's answers, about.
+PAGE = 1_000
+
+
 def _answers(rows: DataFrame, group: str, key: str | Column, entry: Column, wrap) -> DataFrame:
     """One response for each group, its entries in the order of the key."""
+    return _listed(rows, [group], key, entry, wrap)
+
+
+def _pages(rows: DataFrame, group: str, key: str, entry: Column, wrap) -> DataFrame:
+    """As many responses of about PAGE entries, or fewer, for each group as its size asks for, an entry's page by its key."""
+    number = F.greatest(F.lit(1), F.ceil(F.lit(rows.count()) / PAGE))
+    return _listed(rows.withColumn("_page", F.pmod(F.xxhash64(key), number)), [group, "_page"], key, entry, wrap)
+
+
+def _listed(rows: DataFrame, by: list[str], key: str | Column, entry: Column, wrap) -> DataFrame:
     key = F.col(key) if isinstance(key, str) else key
     by_key = lambda x, y: F.when(x["k"] < y["k"], -1).when(x["k"] > y["k"], 1).otherwise(0)
     listed = F.transform(F.array_sort(F.collect_list(F.struct(key.alias("k"), entry.alias("e"))), by_key), lambda x: x["e"])
-    return rows.groupBy(group).agg(listed.alias("es")).select(group, F.parse_json(F.to_json(wrap(F.col("es")))).alias("json"))
+    return rows.groupBy(*by).agg(listed.alias("es")).select(by[0], F.parse_json(F.to_json(wrap(F.col("es")))).alias("json"))
 
 
 _ID = "lpad(c_custkey::VARCHAR, 10, '0')"
@@ -59,7 +73,7 @@ def search_results(spark, d):
         prism__coverDate=F.concat((1950 + k % 70).cast("string"), F.lit("-05-06")), prism__aggregationType="Journal", **{"citedby_-count": (k % 50).cast("string")},
     )
     wrap = lambda es: _named("search-results", F.struct(F.size(es).cast("string").alias("opensearch:totalResults"), es.alias("entry")))
-    found = landed.search_results(_answers(table(spark, d, "customer"), "c_nationkey", "c_custkey", entry, wrap))
+    found = landed.search_results(_pages(table(spark, d, "customer"), "c_nationkey", "c_custkey", entry, wrap))
     return found.select("scopus_id", "eid", "doi", "title", "creator", "issn", "year", "cited_by_count")
 
 
@@ -105,7 +119,7 @@ def index_works(spark, d):
     person = lambda c: _named("author", _named("display_name", F.col(c)))
     entry = _object(id=url(p), doi=F.concat(F.lit("https://doi.org/10.2000/W"), p.cast("string")), title=F.col("p_name"), authorships=F.array(person("p_brand"), person("p_type")), publication_year=1950 + F.col("p_size"),
         primary_location=_named("source", _named("display_name", F.col("p_type"))), cited_by_count=p % 90, abstract_inverted_index=words, referenced_works=F.array(url(p + 1)))
-    found = landed.works(_answers(table(spark, d, "part"), "p_brand", "p_partkey", entry, lambda es: _named("results", es)))
+    found = landed.works(_pages(table(spark, d, "part"), "p_brand", "p_partkey", entry, lambda es: _named("results", es)))
     return found.select("openalex_id", "doi", "title", F.array_join("authors", "; ").alias("authors"), "year", "venue", "cited_by_count", "abstract", F.array_join("references", ";").alias("refs"))
 
 
@@ -118,7 +132,7 @@ def journal_metrics(spark, d):
         s.cast("string").alias("source-id"), F.col("s_name").alias("dc:title"), F.concat(F.lpad((s * 7919 % 10_000_000).cast("string"), 7, "0"), F.lit("5")).alias("prism:issn"),
         _named("SJR", F.array(year(F.lit(2019), s), year(F.lit(2021), s / 4), year(F.lit(2022), F.lit("n/a")))).alias("SJRList"), _named("SNIP", year(2015 + F.col("s_nationkey"), s / 8)).alias("SNIPList"),
     )
-    found = landed.journal_metrics(_answers(table(spark, d, "supplier"), "s_nationkey", "s_suppkey", entry, lambda es: _named("serial-metadata-response", _named("entry", es))))
+    found = landed.journal_metrics(_pages(table(spark, d, "supplier"), "s_nationkey", "s_suppkey", entry, lambda es: _named("serial-metadata-response", _named("entry", es))))
     return found.select("source_id", "title", "issn", F.col("sjr.year").alias("sjr_year"), F.col("sjr.value").alias("sjr"), F.col("snip.year").alias("snip_year"), F.col("snip.value").alias("snip"))
 
 
@@ -129,7 +143,7 @@ def update_notices(spark, d):
     parts = F.array(F.array(F.year("o_orderdate"), F.month("o_orderdate")))
     update = F.struct(F.concat(F.lit("10.3000/C"), F.col("o_custkey").cast("string")).alias("DOI"), F.when(F.col("o_orderstatus") == "F", "Retraction").otherwise("Correction").alias("type"), F.col("o_orderpriority").alias("label"), _named("date-parts", parts).alias("updated"))
     entry = F.struct(F.concat(F.lit("10.4000/N"), F.col("o_orderkey").cast("string")).alias("DOI"), F.array(update).alias("update-to"))
-    found = landed.notices(_answers(orders, "o_orderpriority", "o_orderkey", entry, lambda es: _named("message", _named("items", es))))
+    found = landed.notices(_pages(orders, "o_orderpriority", "o_orderkey", entry, lambda es: _named("message", _named("items", es))))
     return found.select("doi", "type", "label", "date", "notice_doi")
 
 
@@ -173,7 +187,7 @@ def found_authors(spark, d):
     k, variant = F.col("c_custkey"), F.struct(F.col("c_name").alias("surname"), F.lit("X").alias("given-name"))
     entry = F.struct(F.concat(F.lit("AUTHOR_ID:"), k.cast("string")).alias("dc:identifier"), F.struct(F.col("c_mktsegment").alias("surname"), F.col("c_name").alias("given-name")).alias("preferred-name"), F.array(variant, variant).alias("name-variant"),
         F.array(_named("$", F.col("c_mktsegment")), _named("$", F.col("c_mktsegment"))).alias("subject-area"), (k % 9).cast("string").alias("document-count"))
-    found = landed.found_authors(_answers(table(spark, d, "customer"), "c_nationkey", "c_custkey", entry, lambda es: _named("search-results", _named("entry", es))))
+    found = landed.found_authors(_pages(table(spark, d, "customer"), "c_nationkey", "c_custkey", entry, lambda es: _named("search-results", _named("entry", es))))
     return found.select("author_id", "name", F.array_join("variants", ";").alias("variants"), F.array_join("subjects", ";").alias("subjects"), "document_count")
 
 
@@ -182,14 +196,14 @@ def index_sources(spark, d):
     s = F.col("s_suppkey")
     rows = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
     entry = _object(id=F.concat(F.lit("https://openalex.org/S"), s.cast("string")), display_name=F.col("s_name"), host_organization_name=F.col("n_name"), issn_l=F.concat(F.lpad(s.cast("string"), 7, "0"), F.lit("X")), summary_stats=F.struct((s / 8).alias("2yr_mean_citedness"), F.col("s_nationkey").alias("h_index")))
-    found = landed.index_sources(_answers(rows, "s_nationkey", "s_suppkey", entry, lambda es: _named("results", es)))
+    found = landed.index_sources(_pages(rows, "s_nationkey", "s_suppkey", entry, lambda es: _named("results", es)))
     return found.select("openalex_id", "title", "publisher", "issn", "two_year_mean_citedness", "h_index")
 
 
 @query("SELECT p_name AS title, p_brand AS creator, p_type AS venue, '10.5000/a' || p_partkey AS doi, p_size > 25 AS open_access FROM part")
 def article_hits(spark, d):
     entry = _object(title=F.col("p_name"), authors=F.array(_named("name", F.col("p_brand")), _named("name", F.col("p_type"))), sourceTitle=F.col("p_type"), doi=F.concat(F.lit("10.5000/A"), F.col("p_partkey").cast("string")), openAccess=F.when(F.col("p_size") > 25, True))
-    found = landed.article_hits(_answers(table(spark, d, "part"), "p_brand", "p_partkey", entry, lambda es: _named("results", es)))
+    found = landed.article_hits(_pages(table(spark, d, "part"), "p_brand", "p_partkey", entry, lambda es: _named("results", es)))
     return found.select("title", "creator", "venue", "doi", "open_access")
 
 

@@ -436,3 +436,12 @@ def test_ranked_copies_of_one_url(spark):
     rows = [("d", "http://a/x", "html", "published", "some title", long), ("d", "HTTP://A/X/", "pdf", "preprint", "some title", long), ("d", "http://b", "pdf", "accepted", "some title", "short")]
     got = landed.ranked_copies(spark.createDataFrame(rows, "doi string, url string, kind string, version string, title string, text string")).collect()
     assert [(r.url, r.kind) for r in got] == [("HTTP://A/X/", "pdf")]
+
+
+def test_large_answers_come_in_pages(spark):
+    from citegrain.plans import landing
+
+    rows = spark.range(5000).select("id", F.lit("g").alias("g"))
+    pages = landing._pages(rows, "g", "id", F.struct("id"), lambda es: F.struct(es.alias("items")))
+    sizes = [r.n for r in pages.select(F.size(F.try_variant_get("json", "$.items", "array<variant>")).alias("n")).collect()]
+    assert sum(sizes) == 5000 and max(sizes) < 2 * landing.PAGE
