@@ -148,6 +148,28 @@ def test_bands_give_what_one_graph_gives(spark, monkeypatch, band, ordered):
             assert {n: v[0] for n, v in best.items()} == dict(zip(dag.names, into))
 
 
+def test_parts_of_a_band_are_worked_off_by_many_tasks(spark, monkeypatch):
+    """Several graphs side by side: few wide bands whose parts go to tasks of their own; a part too large for a task: narrow bands."""
+    from pyspark.sql import functions as F
+
+    for name, value in (("BAND", 10), ("LARGEST", 20), ("TOGETHER", 4)):
+        monkeypatch.setattr(sweeps, name, value)
+    names, edges = drawn(5, 14, 0.35)
+    edges = [(u + 1000 * i, v + 1000 * i) for i in range(6) for u, v in edges]
+    order = spark.createDataFrame([(x + 1000 * i, k) for i in range(6) for k, x in enumerate(names)], "node long, place long")
+    dag = Dag(*zip(*edges))
+    bands, weighed, _ = paths._weighed(spark.createDataFrame(edges, "source long, target long"), ("splc",), order)
+    assert bands.in_parts and 1 < len(bands.sizes) < len(edges) / 20 and bands.edges.groupBy("ct").agg(F.countDistinct("pt").alias("n")).where("n > 5").count() > 0
+    weights = dag.weigh("splc")[0]
+    assert {(r.source, r.target): int(r.w[0]) for r in weighed.collect()} == dict(zip(dag.edges(), weights))
+    best = {r.node: r.via[0] for r in sweeps.heaviest(bands, weighed).collect()}
+    assert best == {n: dag.names[k] if k >= 0 else None for n, k in zip(dag.names, dag.best(weights)[1])}
+    names, edges = drawn(5, 30, 0.4)
+    order = spark.createDataFrame([(x, k) for k, x in enumerate(names)], "node long, place long")
+    bands = sweeps.Bands(spark.createDataFrame(edges, "source long, target long"), order)
+    assert not bands.in_parts and bands.edges.count() == len(edges)
+
+
 def test_paths_over_bands(spark, monkeypatch):
     names, edges = drawn(9)
     monkeypatch.setattr(sweeps, "BAND", 30)
