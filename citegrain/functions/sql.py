@@ -15,6 +15,7 @@ operators.louvain are for.
 from __future__ import annotations
 
 import sys
+from array import array
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
@@ -63,20 +64,58 @@ class _OnGraph:
             self.edges.append((row["source"], row["target"], 1.0 if weight is None else float(weight)))
 
 
+class _Numbered:
+    """The edges of a graph as numbers of its nodes, 8 bytes an edge; equal edges that follow each other are one."""
+
+    def __init__(self, edges=()):
+        self.at: dict = {}
+        self.sources, self.targets = array("i"), array("i")
+        for source, target in edges:
+            self.add(source, target)
+
+    def add(self, source, target) -> None:
+        u, v = self.at.setdefault(source, len(self.at)), self.at.setdefault(target, len(self.at))
+        if not self.sources or (self.sources[-1], self.targets[-1]) != (u, v):
+            self.sources.append(u)
+            self.targets.append(v)
+
+    def counts(self, own: int, back: bool) -> list:
+        """For each node the paths that end in it (back: start from it), None on or behind cycles; own 1: from any node."""
+        import numpy as np
+
+        tails, heads = (np.frombuffer(x, dtype=np.intc) for x in ((self.targets, self.sources) if back else (self.sources, self.targets)))
+        n = len(self.at)
+        waits = np.bincount(heads, minlength=n).tolist()
+        first = np.concatenate([[0], np.cumsum(np.bincount(tails, minlength=n))])
+        after = heads[np.argsort(tails, kind="stable")]
+        ready = array("i", [i for i in range(n) if not waits[i]])
+        sums = [own if w else 1 for w in waits]
+        for u in ready:
+            value = sums[u]
+            for v in after[first[u] : first[u + 1]].tolist():
+                sums[v] += value
+                waits[v] -= 1
+                if not waits[v]:
+                    ready.append(v)
+        return [None if w else x for w, x in zip(waits, sums)]
+
+    def weights(self, kind: str):
+        """source, target, traversal weight of each edge; edges on or behind cycles are left out."""
+        if not self.sources:
+            return
+        own_in, own_out = _paths.KINDS[kind]
+        before, after, names = self.counts(own_in, False), self.counts(own_out, True), list(self.at)
+        for u, v in zip(self.sources, self.targets):
+            if None not in (before[u], before[v], after[u], after[v]):
+                yield names[u], names[v], before[u] * after[v]
+
+
 def weights_of(edges: list[tuple], kind: str) -> dict[tuple, int]:
     """The traversal weight of each edge (source, target) of a graph in memory; edges on or behind cycles are left out."""
-    own_in, own_out = _paths.KINDS[kind]
-    values = []
-    for pairs, own in ((edges, own_in), ([(v, u) for u, v in edges], own_out)):
-        heads = {v for _, v in pairs}
-        known = {u: 1 for u, _ in pairs if u not in heads}
-        add = lambda tails, own=own: (own + sum(v for _, v, _ in tails), None)
-        known |= {n: v for n, v, _ in _sweeps.settled([(u, v, known.get(u), None) for u, v in pairs], add)}
-        values.append(known)
-    return {(u, v): values[0][u] * values[1][v] for u, v in edges if u in values[0] and v in values[0] and u in values[1] and v in values[1]}
-
-
-class TraversalWeights(_OnGraph):
+    return {(u, v): w for u, v, w in _Numbered(edges).weights(kind)}
+
+
+class TraversalWeights:
     """graph, source, target, weight (in digits) of the edges of each graph, by spc, splc or spnp."""
 
     @staticmethod
@@ -86,9 +125,16 @@ class TraversalWeights(_OnGraph):
         schema = T.StructType().add("graph", graph).add("source", source).add("target", target).add("weight", T.StringType())
         return AnalyzeResult(schema, partitionBy=[PartitioningColumn("graph")], orderBy=[OrderingColumn("source"), OrderingColumn("target")])
 
+    def __init__(self):
+        self.graph, self.numbered, self.more = None, _Numbered(), ()
+
+    def eval(self, row, *more):
+        self.graph, self.more = row["graph"], more
+        if row["source"] is not None and row["target"] is not None and row["source"] != row["target"]:
+            self.numbered.add(row["source"], row["target"])
+
     def terminate(self):
-        edges = sorted({e[:2] for e in self.edges})
-        for (u, v), w in weights_of(edges, self.more[0] if self.more else "spc").items():
+        for u, v, w in self.numbered.weights(self.more[0] if self.more else "spc"):
             yield self.graph, u, v, str(w)
 
 
