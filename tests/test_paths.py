@@ -411,3 +411,11 @@ def test_lineage_ranks_and_limits(spark):
             walk(**wrong)
     with pytest.raises(ValueError):
         paths.lineage(edges, seeds, sort="date")
+
+
+def test_lineage_works_the_citations_out_once(spark, sf):
+    """The result's plan reads written tables only, not the line items again for each generation."""
+    from citegrain.plans import graphs
+
+    found = graphs.QUERIES["lineage_backward"](spark, sf)
+    assert not [f for f in found.inputFiles() if "lineitem" in f]
