@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from citegrain.operators import parts, paths, sweeps
+from citegrain.operators import fronts, louvain, parts, paths, sweeps
 
 
 @pytest.fixture
@@ -48,8 +48,59 @@ def test_parts_stay_whole(spark, graph):
     assert parts.blocks(spark.createDataFrame(one, "source long, target long")) is None
 
 
-@pytest.mark.parametrize("kind", ["spc", "splc", "spnp"])
+@pytest.mark.parametrize("kind", ["spc", "spnp"])
 def test_global_path_by_parts(spark, monkeypatch, graph, kind):
     edges = spark.createDataFrame(graph, "source long, target long")
     got, want = both_ways(monkeypatch, lambda: paths.main_path(edges, "global", kind))
     assert got == want and len(got) > 5
+
+
+@pytest.mark.parametrize("search", ["forward", "backward"])
+def test_greedy_paths_by_parts(spark, monkeypatch, graph, search):
+    edges = spark.createDataFrame([(f"n{u:04}", f"n{v:04}") for u, v in graph], "source string, target string")
+    got, want = both_ways(monkeypatch, lambda: paths.main_path(edges, search))
+    assert got == want and len(got) > 3
+
+
+def test_key_routes_by_parts(spark, monkeypatch, graph):
+    edges = spark.createDataFrame(graph, "source long, target long")
+    got, want = both_ways(monkeypatch, lambda: paths.key_routes(edges, 10))
+    assert got == want and sum(n for _, n in got) == 10
+
+
+def test_fronts_by_parts(spark, monkeypatch):
+    """Communities of a large graph in parts come without rounds of joins, within 1 % of the modularity of the search on all of it."""
+    rng = random.Random(8)
+    links = set()
+    for base in (0, 300, 600):
+        for _ in range(1_300):
+            u = rng.randrange(300)
+            v = u // 30 * 30 + rng.randrange(30) if rng.random() < 0.8 else rng.randrange(300)
+            if u != v:
+                links.add((base + min(u, v), base + max(u, v)))
+    rows = spark.createDataFrame([(a, b, 1.0) for a, b in sorted(links)], "a long, b long, weight double")
+    monkeypatch.setattr(parts, "MOST", 1_400)
+    monkeypatch.setattr(parts, "RANGE", 700)
+    monkeypatch.setattr(louvain, "LOCAL", 100)
+    monkeypatch.setattr(louvain, "_moved", None)
+    each = [{r.node: r.community for r in f.collect()} for f in louvain.at_resolutions(rows, [0.5, 1.0])]
+    own = [(a, b, 1.0) for a, b in links]
+    for resolution, found in zip((0.5, 1.0), each):
+        groups = {}
+        for node, c in found.items():
+            groups.setdefault(c, set()).add(node)
+        assert set(found) == {x for e in links for x in e} and all(min(g) == c for c, g in groups.items())
+        assert all(len({x // 300 for x in g}) == 1 for g in groups.values())
+        whole = louvain.modularity(own, louvain.louvain(own, resolution), resolution)
+        assert louvain.modularity(own, list(groups.values()), resolution) > 0.99 * whole
+
+
+def test_hops_by_parts(spark, monkeypatch):
+    """A hop between two dense groups of one part is separated at all resolutions, one within a group at none."""
+    edges = [(base + g + u, base + g + v) for base in (0, 100, 200) for g in (0, 20) for u in range(8) for v in range(u)] + [(0, 20), (100, 120), (200, 220)]
+    monkeypatch.setattr(parts, "MOST", 60)
+    monkeypatch.setattr(louvain, "_moved", None)
+    monkeypatch.setattr(louvain, "LOCAL", 20)
+    df = spark.createDataFrame(edges, "source long, target long")
+    got = fronts.hop_robustness(df, spark.createDataFrame([(100, 120), (101, 102)], "source long, target long")).collect()
+    assert {(r.source, r.target): r.separated for r in got} == {(100, 120): 3, (101, 102): 0}
