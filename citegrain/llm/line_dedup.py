@@ -42,18 +42,25 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
+def tidy(text: str) -> bool:
+    """Whether the white space of all lines is single spaces within them, so that lower case is all that their normal form takes."""
+    return "  " not in text and "\n " not in text and " \n" not in text and text[:1] != " " and text[-1:] != " " and text.replace("\n", "").isprintable()
+
+
 def line_table(texts: list[str], least: int = 1):
     """The lines of some texts that take part: place in texts, line number, two 64-bit hashes (arrays), normalised forms."""
     import numpy as np
     import xxhash
 
     docs, lines, own = [], [], []
+    shortest = max(1, least)
     for d, text in enumerate(texts):
-        for k, line in enumerate(text.split("\n")):
-            if len(line) >= least and len(form := normal(line)) >= max(1, least):
-                docs.append(d)
-                lines.append(k)
-                own.append(form)
+        own_lines = text.split("\n")
+        forms = text.lower().split("\n") if tidy(text) else map(normal, own_lines)
+        places = [(k, form) for k, (line, form) in enumerate(zip(own_lines, forms)) if len(line) >= least and len(form) >= shortest]
+        docs += [d] * len(places)
+        lines += [k for k, _ in places]
+        own += [form for _, form in places]
     raw = [x.encode("utf-8", "surrogatepass") for x in own]
     h = xxhash.xxh64_intdigest
     ids, ids2 = (np.fromiter((h(x, seed) for x in raw), np.uint64, len(raw)).view(np.int64) for seed in (42, 7))

@@ -364,3 +364,17 @@ def test_pipeline_on_odd_rows(spark, sf, odd, none):
             rest = [f"`{c}`" for c in rows.columns if c not in ("text", "n_chars")]
             assert made.select(*rest).subtract(rows.select(*rest)).count() == 0
         p.encoded(spark, rows, sf).collect()
+
+
+def test_tidy_texts_need_no_splitting_into_words(monkeypatch):
+    """Lines of a tidy text get the forms that normal gives, without it; any other white space goes through it."""
+    from citegrain.llm import line_dedup
+
+    texts = ["Ein Satz.\n\nΟΔΟΣ\nΑΒΓ İstanbul STRASSE", "", "\n", "one", "x\n" * 3]
+    untidy = ["a  b", " a", "a ", "a\n b", "a \nb", "a\tb", "a b", "a\rb\nc", "a b", "­ soft", "a\x1cb\n"]
+    want = [[f for line in t.split("\n") if (f := line_dedup.normal(line))] for t in texts + untidy]
+    assert [line_dedup.line_table([t])[4] for t in texts + untidy] == want
+    assert not any(map(line_dedup.tidy, untidy))
+    monkeypatch.setattr(line_dedup, "normal", None)
+    at, line, _, _, own = line_dedup.line_table(texts)
+    assert own == [f for forms in want[: len(texts)] for f in forms] and line.tolist() == [0, 2, 3, 0, 0, 1, 2] and at.tolist() == [0, 0, 0, 3, 4, 4, 4]
