@@ -104,3 +104,50 @@ def test_hops_by_parts(spark, monkeypatch):
     df = spark.createDataFrame(edges, "source long, target long")
     got = fronts.hop_robustness(df, spark.createDataFrame([(100, 120), (101, 102)], "source long, target long")).collect()
     assert {(r.source, r.target): r.separated for r in got} == {(100, 120): 3, (101, 102): 0}
+
+
+@pytest.mark.parametrize("owns", [(0, 0), (1, 0), (1, 1)])
+def test_greedy_walks_count_one_direction(graph, owns):
+    """Walks forward count the paths ahead only, walks backward those behind only; edges that come twice count once."""
+    import numpy as np
+
+    twice = np.array(graph + graph[::3])
+    make = lambda: parts.Ways(twice[:, 0], twice[:, 1], owns)
+    ahead, behind, both = make(), make(), make()
+    weight = {(int(both.names[a]), int(both.names[b])): w for a, b, w in zip(both.a, both.b, both.w)}
+    assert sorted(weight) == sorted(graph)
+    [(_, start, _, path)] = ahead.forward()
+    assert path[0] == start and "before" not in vars(ahead) and "w" not in vars(ahead)
+    for u, v in zip(path, path[1:]):
+        assert v == min(t for s, t in graph if s == u and weight[s, t] == max(w for (x, _), w in weight.items() if x == u))
+    [(most, end, _, path)] = behind.backward()
+    assert path[-1] == end and "after" not in vars(behind) and "w" not in vars(behind)
+    sinks = {t for _, t in graph} - {s for s, _ in graph}
+    assert (most, end) == max((w, t) for (_, t), w in weight.items() if t in sinks)
+    for u, v in zip(path, path[1:]):
+        assert u == max(s for s, t in graph if t == v and weight[s, t] == max(w for (_, y), w in weight.items() if y == v))
+
+
+@pytest.mark.parametrize("search, most", [("global", 150), ("forward", 10**9), ("backward", 150)])
+def test_edges_that_come_twice_count_once(spark, monkeypatch, graph, search, most):
+    monkeypatch.setattr(parts, "MOST", most)
+    once, twice = (spark.createDataFrame(rows, "source long, target long") for rows in (graph, graph + graph[::3]))
+    got, want = (sorted(map(tuple, paths.main_path(edges, search).collect())) for edges in (twice, once))
+    assert got == want and len(got) > 3
+
+
+def test_stand_in_citations(spark, tmp_path):
+    """An order that holds a part twice does not follow itself, one that follows another for two parts does so once; no edges are made distinct for what does so itself."""
+    from datetime import datetime
+
+    from citegrain.plans.star import citations
+
+    day = lambda n: datetime(2020, 1, n)
+    held = [(1, 7), (1, 7), (2, 7), (3, 7), (3, 7), (1, 8), (2, 8), (4, 8), (4, 9), (4, 9), (5, 9), (6, 10)]
+    spark.createDataFrame(held, "l_orderkey long, l_partkey long").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, day(3)), (2, day(5)), (3, day(5)), (4, day(1)), (5, day(1))], "o_orderkey long, o_orderdate timestamp").write.parquet(f"{tmp_path}/orders.parquet")
+    want = [(1, 2), (2, 3), (4, 1), (4, 5)]
+    assert sorted(map(tuple, citations(spark, str(tmp_path)).collect())) == want
+    repeated = citations(spark, str(tmp_path), repeated=True)
+    assert sorted(map(tuple, repeated.collect())) == [(1, 2), *want]
+    assert "Aggregate" not in repeated._jdf.queryExecution().optimizedPlan().toString()
