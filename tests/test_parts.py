@@ -151,3 +151,48 @@ def test_stand_in_citations(spark, tmp_path):
     repeated = citations(spark, str(tmp_path), repeated=True)
     assert sorted(map(tuple, repeated.collect())) == [(1, 2), *want]
     assert "Aggregate" not in repeated._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_hops_ask_for_their_own_parts(spark, monkeypatch):
+    """Only the parts that hold a hop get communities, each resolution in a task of its own; ends in fronts under the least size, and without links, are not told apart."""
+    edges = [(base + g + u, base + g + v) for base in (0, 100, 200) for g in (0, 20) for u in range(8) for v in range(u)] + [(0, 20), (100, 120), (200, 220)]
+    edges += [(300, 301), (302, 303)]
+    monkeypatch.setattr(parts, "MOST", 60)
+    monkeypatch.setattr(louvain, "_moved", None)
+    monkeypatch.setattr(louvain, "LOCAL", 20)
+    made, seen = louvain.by_parts, []
+
+    def by_parts(blocked, *rest):
+        seen.extend(blocked.collect())
+        return made(blocked, *rest)
+
+    monkeypatch.setattr(louvain, "by_parts", by_parts)
+    df = spark.createDataFrame(edges, "source long, target long")
+    hops = [(100, 120), (101, 102), (300, 302), (300, 999), (121, 302)]
+    got = fronts.hop_robustness(df, spark.createDataFrame(hops, "source long, target long")).collect()
+    assert {(r.source, r.target): r.separated for r in got} == {(100, 120): 3, (101, 102): 0, (300, 302): 0, (300, 999): 0, (121, 302): 3}
+    assert {r.source // 100 for r in seen} <= {1, 3} and len({r.block for r in seen if r.source < 200}) == 3
+
+
+def test_communities_where_tasks_lack_the_library(tmp_path):
+    """Tasks whose Python can't import this package, as on executors of a cluster, find communities by parts."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+from citegrain.operators import louvain, parts
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+parts.MOST = 5
+rows = [(b + u, b + v, 1.0) for b in (0, 10, 20) for v in range(3) for u in range(v)]
+found = louvain.at_resolutions(spark.createDataFrame(rows, "a long, b long, weight double"), [1.0])[0]
+print("found", sorted(map(tuple, found.collect())))
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    want = [(b + u, b) for b in (0, 10, 20) for u in range(3)]
+    assert f"found {want}" in out.stdout, out.stderr[-2000:]
