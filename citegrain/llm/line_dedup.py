@@ -42,29 +42,65 @@ def normal(line: str) -> str:
     return " ".join(line.lower().split())
 
 
-def tidy(text: str) -> bool:
-    """Whether the white space of all lines is single spaces within them, so that lower case is all that their normal form takes."""
-    return "  " not in text and "\n " not in text and " \n" not in text and text[:1] != " " and text[-1:] != " " and text.replace("\n", "").isprintable()
+#: White space but spaces and line ends (and the soft hyphen): what str.split cuts at.
+_OTHER_BLANKS = ("\t", "\r", "\x0b", "\x0c", "\x1c", "\x1d", "\x1e", "\x1f", "\x85", "\xa0", "\xad", "\u1680", *map(chr, range(0x2000, 0x200B)), "\u2028", "\u2029", "\u202f", "\u205f", "\u3000")
 
 
-def line_table(texts: list[str], least: int = 1):
-    """The lines of some texts that take part: place in texts, line number, two 64-bit hashes (arrays), normalised forms."""
+def tidy(text: str, coded: bytes | None = None) -> bool:
+    """Whether the white space of all lines is single spaces within them, so that lower case is all that their normal form takes.
+
+    coded: the text or its lower case in UTF-8, if it is at hand.
+    """
+    import numpy as np
+
+    code = np.frombuffer(text.encode("utf-8", "surrogatepass") if coded is None else coded, np.uint8)
+    space = code == 32
+    edge = space | (code == 10)
+    if text[:1] == " " or text[-1:] == " " or (space[1:] & edge[:-1]).any() or (space[:-1] & edge[1:]).any():
+        return False
+    for c in _OTHER_BLANKS[:8] if text.isascii() else _OTHER_BLANKS:
+        if c in text:
+            return False
+    return True
+
+
+def line_table(texts: list[str], least: int = 1, known=None):
+    """The lines of some texts that take part: place in texts, line number, two 64-bit hashes (arrays), normalised forms.
+
+    Of lines whose first hash is not in ``known`` (a sorted array; None: all), nothing more is worked out, and they are left out.
+    """
     import numpy as np
     import xxhash
 
-    docs, lines, own = [], [], []
+    counts, lines, own, raw = [], [], [], []
     shortest = max(1, least)
-    for d, text in enumerate(texts):
-        own_lines = text.split("\n")
-        forms = text.lower().split("\n") if tidy(text) else map(normal, own_lines)
-        places = [(k, form) for k, (line, form) in enumerate(zip(own_lines, forms)) if len(line) >= least and len(form) >= shortest]
-        docs += [d] * len(places)
-        lines += [k for k, _ in places]
-        own += [form for _, form in places]
-    raw = [x.encode("utf-8", "surrogatepass") for x in own]
+    for text in texts:
+        low = text.lower()
+        whole = low.encode("utf-8", "surrogatepass")
+        if tidy(text, whole):
+            forms, coded = low.split("\n"), whole.split(b"\n")
+        else:
+            forms = [normal(line) for line in text.split("\n")]
+            coded = [x.encode("utf-8", "surrogatepass") for x in forms]
+        if least > 1:
+            places = [k for k, (line, form) in enumerate(zip(text.split("\n"), forms)) if len(line) >= least and len(form) >= shortest]
+        else:
+            places = [k for k, form in enumerate(forms) if form]
+        if len(places) < len(forms):
+            forms, coded = [forms[k] for k in places], [coded[k] for k in places]
+        counts.append(len(places))
+        lines += places
+        own += forms
+        raw += coded
     h = xxhash.xxh64_intdigest
-    ids, ids2 = (np.fromiter((h(x, seed) for x in raw), np.uint64, len(raw)).view(np.int64) for seed in (42, 7))
-    return np.array(docs, np.int64), np.array(lines, np.int32), ids, ids2, own
+    docs, line = np.repeat(np.arange(len(texts)), counts), np.array(lines, np.int32)
+    ids = np.fromiter((h(x, 42) for x in raw), np.uint64, len(raw)).view(np.int64)
+    if known is not None:
+        hit = np.flatnonzero(_among(ids, known)[1])
+        docs, line, ids = docs[hit], line[hit], ids[hit]
+        own, raw = [own[k] for k in hit.tolist()], [raw[k] for k in hit.tolist()]
+    ids2 = np.fromiter((h(x, 7) for x in raw), np.uint64, len(raw)).view(np.int64)
+    return docs, line, ids, ids2, own
 
 
 def doc_key(text: str) -> int:
@@ -82,29 +118,33 @@ def _donors():
     return np.array([rng.permutation([k for k in range(n) if k != own]) for own in range(n)]).T.copy()
 
 
-def signatures(lines: list[str]):
+def signatures(lines: list[str], donors=None):
     """A row of BANDS signed 64-bit keys for each line; one under SHINGLE code points is filled up with zeros.
 
+    donors: _donors(), for a caller with many lists of lines.
+
     One-permutation MinHash: a shingle's hash falls into one of BANDS * ROWS ranges, and a range's value is the least hash
     in it. A range without any borrows from another one, the first that has one in a fixed random order of its own.
     """
     import numpy as np
 
-    lines = [x.ljust(SHINGLE, "\0") for x in lines]
-    n, none, donors = BANDS * ROWS, np.uint32(0xFFFFFFFF), _donors()
+    n, none = BANDS * ROWS, np.uint32(0xFFFFFFFF)
+    donors = _donors() if donors is None else donors
+    all_sizes = np.fromiter(map(len, lines), np.int64, len(lines))
+    if len(lines) and all_sizes.min() < SHINGLE:
+        lines, all_sizes = [x.ljust(SHINGLE, "\0") for x in lines], np.maximum(all_sizes, SHINGLE)
+    through = all_sizes.cumsum()
     out = np.empty((len(lines), BANDS), np.int64)
     at = 0
     while at < len(lines):
-        end, size = at, 0
-        while end < len(lines) and (end == at or size + len(lines[end]) <= 60_000):
-            size += len(lines[end])
-            end += 1
+        end = max(at + 1, int(through.searchsorted(through[at] - all_sizes[at] + 60_000, "right")))
         code = np.frombuffer("".join(lines[at:end]).encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.array([len(x) for x in lines[at:end]])
+        sizes = all_sizes[at:end]
         h = np.zeros(len(code) - SHINGLE + 1, np.uint32)
+        spread = code * np.uint32(0x9E3779B1)
         for k in range(SHINGLE):
             h *= np.uint32(0x01000193)
-            h ^= code[k : len(code) - SHINGLE + 1 + k] * np.uint32(0x9E3779B1)
+            h ^= spread[k : len(code) - SHINGLE + 1 + k]
         for shift, by in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
             h ^= h >> np.uint32(shift)
             h *= np.uint32(by)
@@ -115,16 +155,19 @@ def signatures(lines: list[str]):
         h = h[inside[: len(h)]]
         least = np.full((end - at) * n, none, np.uint32)
         place = np.repeat(np.arange(0, (end - at) * n, n), sizes - SHINGLE + 1)
-        place += (h.astype(np.uint64) * np.uint64(n) >> np.uint64(32)).astype(np.int64)
+        share = np.multiply(h, np.uint64(n), dtype=np.uint64)
+        share >>= np.uint64(32)
+        place += share.view(np.int64)
         np.minimum.at(least, place, h)
         empty, filled = np.flatnonzero(least == none), least.copy()
+        own = empty % n
         for order in donors:
             if not len(empty):
                 break
-            own = empty % n
             got = least[empty - own + order[own]]
             filled[empty] = got
-            empty = empty[got == none]
+            left = got == none
+            empty, own = empty[left], own[left]
         wide = filled.astype(np.uint64).reshape(-1, BANDS, ROWS)
         key = np.broadcast_to(np.arange(1, BANDS + 1, dtype=np.uint64), (end - at, BANDS)).copy()
         for r in range(ROWS):
@@ -146,10 +189,9 @@ def shingle_sets(lines: list[str]) -> list:
     code = np.frombuffer("".join(lines).encode("utf-32-le", "surrogatepass"), np.uint32)
     wide = len(code) > 0 and int(code.max()) >= 512
     if not wide and len(code) >= SHINGLE:  # all places at once; those across two lines are not looked at
-        size = len(code) - SHINGLE + 1
-        every = code[:size].astype(np.int64)
-        for k in range(1, SHINGLE):
-            every |= code[k : size + k].astype(np.int64) << 9 * k
+        every = code.astype(np.int64)
+        for k in (1, 2, 3):  # of 2, 4 and 7 code points; the last step has one of them twice
+            every = every[:-k] | every[k:] << 9 * k
     out: list = []
     names: dict[str, int] = {}
     at = 0
@@ -162,7 +204,9 @@ def shingle_sets(lines: list[str]) -> list:
         else:
             own = every[at : at + n - SHINGLE + 1].copy()
         own.sort()
-        out.append(own[np.concatenate([[True], own[1:] != own[:-1]])])
+        first = np.ones(len(own), bool)
+        np.not_equal(own[1:], own[:-1], out=first[1:])
+        out.append(own[first])
         at += n
     return out
 
@@ -173,6 +217,8 @@ def verified(rows: list[tuple]) -> list[tuple[int, int]]:
     Lines come in the order of their set sizes; each is compared with the groups so far, with a group's members from the
     largest set down until one is near or all are too small.
     """
+    import numpy as np
+
     sets = shingle_sets([x[-1] for x in rows])
     sizes = [len(x) for x in sets]
     groups: list[list[int]] = []
@@ -186,8 +232,9 @@ def verified(rows: list[tuple]) -> list[tuple[int, int]]:
                 if m < SIMILAR * n - 1e-9:
                     rest.append(members)
                     break
-                at = own.searchsorted(sets[o])
-                both = int((own.take(at, mode="clip") == sets[o]).sum())
+                merged = np.concatenate((own, sets[o]))
+                merged.sort(kind="stable")  # two sorted runs: a merge
+                both = int(np.count_nonzero(merged[1:] == merged[:-1]))
                 if both >= SIMILAR * (n + m - both) - 1e-9:
                     out.append((k, o))
                     linked = members + linked if len(linked) == 1 else sorted(members + linked, key=lambda x: (sizes[x], x))
@@ -206,23 +253,25 @@ def _pieces(batches):
 
 
 def _lines(docs: DataFrame, least: int) -> DataFrame:
-    """A row for each line that takes part: id, id2, nil (1: no doc_id), doc_id, doc_key, line, size (characters), keys."""
+    """A row for each line that takes part: id, id2, nil (1: no doc_id), doc_id, doc_key, line, size (characters), keys (8 bytes a band)."""
 
     def run(batches):
         import numpy as np
         import pyarrow as pa
 
+        donors = _donors()
         for batch in _pieces(batches):
             texts = batch.column(2).to_pylist()
             at, line, ids, ids2, own = line_table(texts, least)
             doc_keys = np.array([doc_key(t) if t else 0 for t in texts], np.int64)
-            keys = signatures(own) if own else np.empty((0, BANDS), np.int64)
+            place = {form: k for k, form in enumerate(dict.fromkeys(own))}
+            keys = [x.tobytes() for x in signatures(list(place), donors)]
             size = np.fromiter(map(len, own), np.int64, len(own))
             first = [pa.array(x) for x in (ids, ids2, batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at], doc_keys[at], line, size)]
-            last = pa.ListArray.from_arrays(np.arange(0, keys.size + 1, BANDS, dtype=np.int32), pa.array(keys.ravel()))
+            last = pa.array([keys[place[form]] for form in own], pa.binary())
             yield pa.RecordBatch.from_arrays([*first, last], names=["id", "id2", "nil", "doc_id", "doc_key", "line", "size", "keys"])
 
-    return docs.selectExpr(*_PLACED, _TEXT).mapInArrow(run, "id long, id2 long, nil long, doc_id long, doc_key long, line int, size long, keys array<long>")
+    return docs.selectExpr(*_PLACED, _TEXT).mapInArrow(run, "id long, id2 long, nil long, doc_id long, doc_key long, line int, size long, keys binary")
 
 
 #: Whether there is no doc_id (1 or 0), the doc_id (0 if none), the text (empty if none).
@@ -239,10 +288,7 @@ def _found(docs: DataFrame, sent, least: int) -> DataFrame:
 
         for batch in _pieces(batches):
             texts = batch.column(2).to_pylist()
-            at, line, ids, ids2, own = line_table(texts, least)
-            if sent is not None:
-                hit = np.flatnonzero(_among(ids, sent.value[:, 0])[1])
-                at, line, ids, ids2, own = at[hit], line[hit], ids[hit], ids2[hit], [own[k] for k in hit.tolist()]
+            at, line, ids, ids2, own = line_table(texts, least, None if sent is None else sent.value[:, 0])
             keys = {d: doc_key(texts[d]) for d in set(at.tolist())}
             key = np.fromiter((keys[d] for d in at.tolist()), np.int64, len(at))
             columns = [pa.array(x) for x in (ids, ids2, batch.column(0).to_numpy()[at], batch.column(1).to_numpy()[at], key, line)]
@@ -267,6 +313,42 @@ def _send(df: DataFrame, most: int):
     return None if rows is None else df.sparkSession.sparkContext.broadcast(rows[rows[:, 0].argsort(kind="stable")])
 
 
+def _bands_of(column):
+    """The bands of an Arrow column of keys, packed or as lists, one after the other."""
+    import numpy as np
+    import pyarrow as pa
+
+    if pa.types.is_list(column.type):
+        return column.flatten().to_numpy()
+    return np.frombuffer(b"".join(column.to_pylist()), np.int64)
+
+
+def banded(distinct: DataFrame, sent=None) -> DataFrame:
+    """id, size, key: a row for each band of ``distinct`` (id, size, keys) that is in the broadcast array (None: for each band)."""
+
+    def run(batches):
+        import numpy as np
+        import pyarrow as pa
+
+        if sent is not None:  # most bands are told from all known ones by their first bits
+            known = np.ascontiguousarray(sent.value[:, 0])
+            near = np.zeros(1 << 22, bool)
+            near[known.view(np.uint64) >> np.uint64(42)] = True
+        for batch in batches:
+            keys = _bands_of(batch.column(2))
+            at = np.arange(len(keys))
+            if sent is not None:
+                at = np.flatnonzero(near[keys.view(np.uint64) >> np.uint64(42)])
+                at = at[_among(keys[at], known)[1]]
+            row = at // BANDS
+            for k in range(0, max(1, len(at)), BLOCK):
+                own = row[k : k + BLOCK]
+                columns = [batch.column(0).to_numpy()[own], batch.column(1).to_numpy()[own], keys[at[k : k + BLOCK]]]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["id", "size", "key"])
+
+    return distinct.select("id", "size", "keys").mapInArrow(run, "id long, size long, key long")
+
+
 def shared_bands(distinct: DataFrame) -> DataFrame:
     """key: the bands that two or more rows of ``distinct`` (keys) have.
 
@@ -294,7 +376,7 @@ def shared_bands(distinct: DataFrame) -> DataFrame:
 
         held, size = [], 0
         for batch in batches:
-            own = batch.column(0).flatten().to_numpy().view(np.uint64)
+            own = _bands_of(batch.column(0)).view(np.uint64)
             for k in range(0, len(own), BLOCK):
                 held.append(own[k : k + BLOCK])
                 size += len(held[-1])
@@ -324,10 +406,9 @@ def surplus(docs: DataFrame, most_sent: int = MOST_SENT, least: int = 1) -> Data
     """id, id2, keep_nil, keep_doc, keep_key, keep_line: a row for each distinct line of which some occurrence goes, and where the one that stays is."""
     place = F.struct("nil", "doc_id", "doc_key", "line")  # orders keepers; a null doc_id comes last
     distinct = cut(_lines(docs, least).groupBy("id", "id2").agg(F.min(place).alias("at"), F.count(F.lit(1)).alias("n"), F.first("size").alias("size"), F.first("keys").alias("keys")))
-    each = distinct.select("id", "size", F.explode("keys").alias("key"))
     bands = cut(shared_bands(distinct))
-    few = bands.limit(MOST_BANDS + 1).count() <= (MOST_BANDS if most_sent else 0)
-    shared = cut(each.join(F.broadcast(bands) if few else bands, "key"))
+    few = _send(bands, MOST_BANDS if most_sent else 0)
+    shared = cut(banded(distinct).join(bands, "key") if few is None else banded(distinct, few))
     wanted_ids = shared.select("id").distinct()
     sent = _send(wanted_ids, most_sent)
     texts = _found(docs, sent, least).select("id", "id2", "text")
@@ -397,11 +478,11 @@ def drop_lines(docs: DataFrame, most_sent: int = MOST_SENT, least: int = 1) -> D
         known = np.ascontiguousarray(gone[:, 0])
         for batch in _pieces(batches):
             texts, nil, ids = batch.column(1).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist()
-            at, line, id1, id2, _ = line_table([t or "" for t in texts], least)
-            first, hit = _among(id1, known)
+            at, line, id1, id2, _ = line_table([t or "" for t in texts], least, known)
+            first, _ = _among(id1, known)
             drop: dict[int, set[int]] = {}
             keys: dict[int, int] = {}
-            for k in np.flatnonzero(hit).tolist():
+            for k in range(len(at)):
                 d, n = int(at[k]), int(line[k])
                 for row in range(int(first[k]), len(known)):
                     if known[row] != id1[k]:

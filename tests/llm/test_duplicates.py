@@ -378,3 +378,33 @@ def test_tidy_texts_need_no_splitting_into_words(monkeypatch):
     monkeypatch.setattr(line_dedup, "normal", None)
     at, line, _, _, own = line_dedup.line_table(texts)
     assert own == [f for forms in want[: len(texts)] for f in forms] and line.tolist() == [0, 2, 3, 0, 0, 1, 2] and at.tolist() == [0, 0, 0, 3, 4, 4, 4]
+
+
+def test_only_known_lines_are_hashed_twice(monkeypatch):
+    """Passes that look lines up work out the second hash and the form of those found only."""
+    import numpy as np
+
+    texts = ["Eine Zeile\nzwei  Zeilen\n\nEINE zeile", "", "drei\nEine Zeile"]
+    at, line, ids, ids2, own = line_table = line_dedup.line_table(texts)
+    assert own == ["eine zeile", "zwei zeilen", "eine zeile", "drei", "eine zeile"] and at.tolist() == [0, 0, 0, 2, 2] and line.tolist() == [0, 1, 3, 0, 1]
+    plain, seen = xxhash.xxh64_intdigest, []
+    monkeypatch.setattr(xxhash, "xxh64_intdigest", lambda x, seed=0: seen.append(seed) or plain(x, seed))
+    got = line_dedup.line_table(texts, 1, np.sort(ids[3:4]))
+    assert [list(x) for x in got] == [[x[3]] for x in line_table] and seen.count(7) == 1 and seen.count(42) == 5
+    assert [len(x) for x in line_dedup.line_table(texts, 1, ids[:0])] == [0] * 5 and seen.count(7) == 1
+
+
+def test_bands_of_packed_keys(spark):
+    """Packed keys give the bands that lists of them do; of those sent along, all that are there and no other."""
+    import numpy as np
+
+    rng = random.Random(5)
+    rows = [(k, k % 9, [rng.randrange(-(1 << 63), 1 << 63) for _ in range(line_dedup.BANDS)]) for k in range(300)]
+    want = sorted((k, n, x) for k, n, keys in rows for x in keys)
+    packed = spark.createDataFrame([(k, n, bytearray(np.array(keys, np.int64).tobytes())) for k, n, keys in rows], "id long, size long, keys binary").repartition(3)
+    known = np.array(sorted(x for _, _, x in want[::7]))[:, None]
+    got = lambda *sent: sorted(map(tuple, line_dedup.banded(packed, *sent).collect()))
+    assert got() == want
+    assert got(spark.sparkContext.broadcast(known)) == want[::7]
+    assert got(spark.sparkContext.broadcast(known[:0])) == []
+    assert line_dedup.shared_bands(packed.union(packed)).count() == len(want)
