@@ -196,3 +196,23 @@ print("found", sorted(map(tuple, found.collect())))
     out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
     want = [(b + u, b) for b in (0, 10, 20) for u in range(3)]
     assert f"found {want}" in out.stdout, out.stderr[-2000:]
+
+
+@pytest.mark.parametrize("kind", ["spc", "splc", "spnp"])
+def test_weights_by_parts(spark, monkeypatch, graph, kind):
+    """Each edge's weight, of edges that come twice once, and none for a cycle and what is behind it."""
+    edges = spark.createDataFrame(graph + graph[::3] + [(900, 901), (901, 900), (901, 902), (903, 900)], "source long, target long")
+    got, want = both_ways(monkeypatch, lambda: paths.traversal_weights(edges, kind, as_text=True))
+    assert got == want and {r[:2] for r in got} - set(graph) <= {(903, 900)} and len(got) >= len(graph)
+
+
+def test_global_key_routes_by_parts(spark, monkeypatch, graph):
+    edges = spark.createDataFrame(graph + graph[::3], "source long, target long")
+    got, want = both_ways(monkeypatch, lambda: paths.key_routes(edges, 10, "global"))
+    assert got == want and sum(n for _, n in got) == 10
+
+
+def test_robustness_by_parts(spark, monkeypatch, graph):
+    edges = spark.createDataFrame(graph + graph[::3], "source long, target long")
+    got, want = both_ways(monkeypatch, lambda: paths.robustness(edges))
+    assert got == want and len(got) == 3
