@@ -10,25 +10,33 @@ register(spark) defines them for a session:
 The table functions take a table with graph, source and target (and weight, for communities), in any order of columns, and work
 on each graph by itself in one task: for many graphs of bounded size. One large graph is what operators.paths and
 operators.louvain are for.
+
+Spark hands table functions row after row, which costs more than the weights do. traversal_weights therefore takes and gives
+edges in bunches too, if source and target are arrays: a row is then as many edges, those of a graph in any number of rows.
 """
 
 from __future__ import annotations
 
 import sys
 from array import array
+from itertools import islice
 
 from pyspark import cloudpickle
 from pyspark.sql import SparkSession
 from pyspark.sql import types as T
 from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult, OrderingColumn, PartitioningColumn
 
-from ..operators import louvain as _louvain
-from ..operators import paths as _paths
-from ..operators import sweeps as _sweeps
+from ..operators.louvain import louvain
+from ..operators.parts import numbered
+from ..operators.paths import KINDS
+from ..operators.sweeps import settled
 from . import terms
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
+#: Edges in a bunch that traversal_weights gives.
+BUNCH = 20_000
+
 #: Name, arguments, type and body of further scalar functions.
 SCALARS = (
     ("bare_doi_of", "doi STRING", "STRING", r"nullif(lower(regexp_replace(trim(doi), '(?i)^https?://(dx\\.)?doi\\.org/', '')), '')"),
@@ -73,6 +81,29 @@ class _Numbered:
         for source, target in edges:
             self.add(source, target)
 
+    @classmethod
+    def of_bunches(cls, bunches: list[tuple]) -> _Numbered:
+        """The distinct edges without self loops of bunches (sources, targets), in the order of source and target; an end that is null is none."""
+        import numpy as np
+
+        ends = [[], []]
+        for sources, targets in bunches:
+            if None in sources or None in targets:
+                both = [(u, v) for u, v in zip(sources, targets) if u is not None and v is not None]
+                sources, targets = [u for u, _ in both], [v for _, v in both]
+            for own, x in zip(ends, (sources, targets)):
+                own.append(np.array(x, None if len(x) and isinstance(x[0], int) else object))
+        made = cls()
+        ends = [[x for x in own if len(x)] for own in ends]
+        if ends[0]:
+            names, a, b = numbered(*map(np.concatenate, ends))
+            key = np.unique((a * len(names) + b)[a != b])
+            a, b = np.divmod(key, len(names))
+            kept = np.unique(np.concatenate([a, b]))
+            made.at = dict.fromkeys(names[kept].tolist())
+            made.sources, made.targets = (array("i", kept.searchsorted(x).astype(np.intc).tobytes()) for x in (a, b))
+        return made
+
     def add(self, source, target) -> None:
         u, v = self.at.setdefault(source, len(self.at)), self.at.setdefault(target, len(self.at))
         if not self.sources or (self.sources[-1], self.targets[-1]) != (u, v):
@@ -103,7 +134,7 @@ class _Numbered:
         """source, target, traversal weight of each edge; edges on or behind cycles are left out."""
         if not self.sources:
             return
-        own_in, own_out = _paths.KINDS[kind]
+        own_in, own_out = KINDS[kind]
         before, after, names = self.counts(own_in, False), self.counts(own_out, True), list(self.at)
         for u, v in zip(self.sources, self.targets):
             if None not in (before[u], before[v], after[u], after[v]):
@@ -121,20 +152,33 @@ class TraversalWeights:
     @staticmethod
     def analyze(table: AnalyzeArgument, kind: AnalyzeArgument | None = None) -> AnalyzeResult:
         graph, source, target = _kinds(table, "graph", "source", "target")
-        _given(kind, lambda x: x in _paths.KINDS, "spc")
-        schema = T.StructType().add("graph", graph).add("source", source).add("target", target).add("weight", T.StringType())
-        return AnalyzeResult(schema, partitionBy=[PartitioningColumn("graph")], orderBy=[OrderingColumn("source"), OrderingColumn("target")])
+        _given(kind, lambda x: x in KINDS, "spc")
+        bunches = isinstance(source, T.ArrayType)
+        if bunches != isinstance(target, T.ArrayType):
+            raise ValueError("not allowed: source and target have to be arrays both, or neither")
+        schema = T.StructType().add("graph", graph).add("source", source).add("target", target).add("weight", T.ArrayType(T.StringType()) if bunches else T.StringType())
+        return AnalyzeResult(schema, partitionBy=[PartitioningColumn("graph")], orderBy=[] if bunches else [OrderingColumn("source"), OrderingColumn("target")])
 
     def __init__(self):
-        self.graph, self.numbered, self.more = None, _Numbered(), ()
+        self.graph, self.numbered, self.bunches, self.more = None, _Numbered(), [], ()
 
     def eval(self, row, *more):
         self.graph, self.more = row["graph"], more
-        if row["source"] is not None and row["target"] is not None and row["source"] != row["target"]:
+        if isinstance(row["source"], list):
+            self.bunches.append((row["source"], row["target"]))
+        elif row["source"] is not None and row["target"] is not None and row["source"] != row["target"]:
             self.numbered.add(row["source"], row["target"])
 
     def terminate(self):
-        for u, v, w in self.numbered.weights(self.more[0] if self.more else "spc"):
+        kind = self.more[0] if self.more else "spc"
+        if self.bunches:
+            numbered_edges, self.bunches = _Numbered.of_bunches(self.bunches), []
+            weighed = numbered_edges.weights(kind)
+            while some := list(islice(weighed, BUNCH)):
+                sources, targets, weights = zip(*some)
+                yield self.graph, list(sources), list(targets), [str(w) for w in weights]
+            return
+        for u, v, w in self.numbered.weights(kind):
             yield self.graph, u, v, str(w)
 
 
@@ -144,7 +188,7 @@ class MainPath(_OnGraph):
     @staticmethod
     def analyze(table: AnalyzeArgument, kind: AnalyzeArgument | None = None) -> AnalyzeResult:
         graph, source, _ = _kinds(table, "graph", "source", "target")
-        _given(kind, lambda x: x in _paths.KINDS, "spc")
+        _given(kind, lambda x: x in KINDS, "spc")
         schema = T.StructType().add("graph", graph).add("position", T.IntegerType()).add("node", source)
         return AnalyzeResult(schema, partitionBy=[PartitioningColumn("graph")], orderBy=[OrderingColumn("source"), OrderingColumn("target")])
 
@@ -158,7 +202,7 @@ class MainPath(_OnGraph):
             least = min(u for u, v, w in into if v[0] + w == total)
             return (total, least), None
 
-        best |= {n: v for n, v, _ in _sweeps.settled([(u, v, best.get(u), w) for (u, v), w in weights.items()], of)}
+        best |= {n: v for n, v, _ in settled([(u, v, best.get(u), w) for (u, v), w in weights.items()], of)}
         ends = [n for n in best if n not in tails]
         if ends:
             path = [min(ends, key=lambda n: (-best[n][0], n))]
@@ -179,7 +223,7 @@ class Communities(_OnGraph):
         return AnalyzeResult(schema, partitionBy=[PartitioningColumn("graph")], orderBy=[OrderingColumn("source"), OrderingColumn("target")])
 
     def terminate(self):
-        for part in _louvain.louvain(self.edges, float(self.more[0]) if self.more else 1.0):
+        for part in louvain(self.edges, float(self.more[0]) if self.more else 1.0):
             for node in sorted(part):
                 yield self.graph, node, min(part)
 

@@ -33,6 +33,38 @@ def test_weights_of_many_graphs(spark, graphs, kind):
     assert {k: v for k, v in got.items() if k[0] != "d"} == want
 
 
+@pytest.mark.parametrize("kind", ["spc", "spnp"])
+def test_weights_in_bunches(spark, graphs, kind):
+    """Edges as arrays, several rows a graph, some twice, with loops and nulls: the weights of the same edges row by row."""
+    bunches = "SELECT graph, transform(e, x -> x.source) AS source, transform(e, x -> x.target) AS target FROM (SELECT graph, collect_list(struct(source, target)) AS e FROM (SELECT graph, source, target FROM many UNION ALL SELECT graph, source, target FROM many WHERE source % 3 = 0 UNION ALL SELECT graph, source, source FROM many UNION ALL SELECT graph, NULL, target FROM many) GROUP BY graph, pmod(coalesce(source, 0), 3))"
+    got = spark.sql(f"SELECT graph, inline(arrays_zip(source, target, weight)) FROM traversal_weights(TABLE({bunches}), '{kind}')").collect()
+    want = spark.sql(f"SELECT graph, source, target, weight FROM traversal_weights(TABLE(many), '{kind}')").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 40
+
+
+def test_functions_where_tasks_lack_the_library(tmp_path):
+    """Table functions work where Python can't import this package, as on executors of a cluster."""
+    import os
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    code = f"""
+import sys
+sys.path.insert(0, {str(Path(__file__).resolve().parents[1])!r})
+from pyspark.sql import SparkSession
+from citegrain.functions import sql
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "2").getOrCreate()
+sql.register(spark)
+spark.createDataFrame([("g", 1, 2), ("g", 2, 3)], "graph string, source long, target long").createOrReplaceTempView("e")
+for call in ("traversal_weights(TABLE(e))", "main_path(TABLE(e))", "communities(TABLE(e))", "traversal_weights(TABLE(SELECT graph, array(source) AS source, array(target) AS target FROM e))"):
+    print("rows", spark.sql("SELECT * FROM " + call).count())
+"""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=120)
+    assert [x for x in out.stdout.splitlines() if x.startswith("rows")] == ["rows 2", "rows 3", "rows 3", "rows 1"], out.stderr[-2000:]
+
+
 def test_a_graph_is_held_in_little_memory():
     """200,000 edges and their weights; as tuples and dictionaries they took 95 MB."""
     import tracemalloc
