@@ -419,3 +419,26 @@ def test_lineage_works_the_citations_out_once(spark, sf):
 
     found = graphs.QUERIES["lineage_backward"](spark, sf)
     assert not [f for f in found.inputFiles() if "lineitem" in f]
+
+
+def test_cycles_are_settled_the_same_when_looked_up_by_a_join(spark, monkeypatch):
+    """Mutual pairs with dates that differ, are equal or missing, and what is no pair: sent to all tasks or joined."""
+    edges = spark.createDataFrame([(1, 2), (2, 1), (1, 2), (3, 4), (4, 3), (5, 6), (6, 5), (1, 3), (7, 8)], "source long, target long")
+    dates = spark.createDataFrame([(1, "2001"), (2, "2003"), (3, "2004"), (4, "2004"), (5, "2002"), (7, "2009"), (8, "2001")], "node long, date string")
+    got = []
+    for few in (500_000, 0):
+        monkeypatch.setattr(paths, "FEW", few)
+        left, gone = paths.acyclic(edges, dates)
+        got.append((sorted(map(tuple, left.collect())), sorted(map(tuple, gone.collect()))))
+    assert got[0] == got[1] == ([(1, 2), (1, 3), (3, 4), (5, 6), (7, 8)], [(2, 1), (4, 3), (6, 5)])
+
+
+def test_references_without_a_doi_stay_out_of_its_look_up(spark):
+    """They would share one key, so one task; a row's id counts before its DOI."""
+    from citegrain.operators import networks
+
+    refs = spark.createDataFrame([("1", "2", None), ("1", "x", "10.1/C"), ("2", "3", "10.1/a"), ("2", None, "10.1/A"), ("3", "x", None)], "citing_id string, ref_id string, ref_doi string")
+    papers = spark.createDataFrame([("1", "10.1/a"), ("2", None), ("3", "10.1/c")], "paper_id string, doi string")
+    assert sorted(map(tuple, networks.link_within(refs, papers).collect())) == [("1", "2"), ("2", "1"), ("3", "1"), ("3", "2")]
+    none = networks.link_within(refs.selectExpr("citing_id", "ref_id", "cast(null AS string) AS ref_doi"), papers)
+    assert "lower(" not in none._jdf.queryExecution().optimizedPlan().toString()
